@@ -39,17 +39,17 @@ def rule_grid(pages: DataFrame, steps: DataFrame) -> DataFrame:
 
 def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None,
               normalize_whitespace: bool = True, resolve_relative: bool = False,
-              max_results: int = fixed.MAX_RESULTS_PER_STEP):
+              max_results: int = fixed.MAX_RESULTS_PER_STEP, pairs: DataFrame | None = None,
+              keep_empty_text: bool = False):
     """Returns (values, step_status).
 
     values: (page_id, sequence_id, step_index, ord, node, value)
     step_status: (page_id, sequence_id, step_index, xpath, status, element_count,
                   data_count, error_message)
     """
-    sets = select.select_nodes(nodes, steps)
-    base = None
+    sets = select.select_nodes(nodes, steps, pairs)
     vals = select.node_values(nodes, pages, steps, sets, normalize_whitespace=normalize_whitespace,
-                              max_results=max_results + 1)
+                              max_results=max_results + 1, keep_empty_text=keep_empty_text)
     if resolve_relative and pages is not None:
         from ..functions import urls
 
@@ -59,10 +59,13 @@ def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None
             F.when(F.startswith("value", F.lit("/")) | F.startswith("value", F.lit("./")),
                    F.coalesce(urls.join(F.col("u_url"), F.col("value")), F.col("value"))).otherwise(F.col("value")),
         ).drop("u_page", "u_url")
-    del base
     counts_e = sets.groupBy("page_id", *KEY).agg(F.count("*").alias("element_count"))
     counts_v = vals.groupBy("page_id", *KEY).agg(F.max("ord").alias("n_all"))
-    grid = rule_grid(pages if pages is not None else nodes.select("page_id").distinct(), steps)
+    if pairs is not None:
+        grid = pairs.select("page_id", "sequence_id").join(
+            F.broadcast(steps.select(*KEY, "xpath", (F.size("branches") > 0).alias("has_branches"))), "sequence_id")
+    else:
+        grid = rule_grid(pages if pages is not None else nodes.select("page_id").distinct(), steps)
     st = (
         grid.join(counts_e, ["page_id", *KEY], "left")
         .join(counts_v, ["page_id", *KEY], "left")

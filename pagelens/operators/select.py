@@ -226,7 +226,7 @@ def _branches(steps: DataFrame) -> DataFrame:
     )
 
 
-def select_nodes(nodes: DataFrame, steps: DataFrame) -> DataFrame:
+def select_nodes(nodes: DataFrame, steps: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Node sets: (page_id, sequence_id, step_index, node, attr, kind).
 
     ``node`` is a node number; ``attr`` is set for attribute results.
@@ -240,6 +240,8 @@ def select_nodes(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     br = bounded_broadcast(_branches(steps))
     m = keyed.join(br, "tkey").filter(element_predicate("b"))
     m = m.select("page_id", *KEY, "pre", "attrs", "b")
+    if pairs is not None:  # evaluate each page only with its own rules
+        m = m.join(pairs.select("page_id", "sequence_id"), ["page_id", "sequence_id"], "left_semi")
 
     own = m.filter(F.col("b.output") == "self").select(
         "page_id", *KEY, F.col("pre").alias("node"), F.lit(None).cast("string").alias("attr"),
@@ -349,7 +351,7 @@ def squeeze_ws(v: Column) -> Column:
 
 def node_values(nodes: DataFrame, pages: DataFrame | None, steps: DataFrame, sets: DataFrame,
                 normalize_whitespace: bool = True, base_url: Column | None = None,
-                max_results: int = fixed.MAX_RESULTS_PER_STEP) -> DataFrame:
+                max_results: int = fixed.MAX_RESULTS_PER_STEP, keep_empty_text: bool = False) -> DataFrame:
     """(page_id, sequence_id, step_index, node, attr, ord, value, truncated).
 
     Text nodes give their text, attribute results their value, elements
@@ -398,9 +400,11 @@ def node_values(nodes: DataFrame, pages: DataFrame | None, steps: DataFrame, set
         from ..functions import urls
 
         v = F.when(F.startswith(v, F.lit("/")) | F.startswith(v, F.lit("./")), urls.join(base_url, v)).otherwise(v)
-    out = j.select("page_id", *KEY, "node", "attr", v.alias("value")).filter(
-        F.col("value").isNotNull() & (F.col("value") != "")
-    )
+    out = j.select("page_id", *KEY, "node", "attr", "kind", v.alias("value"))
+    keep = F.col("value").isNotNull() & (F.col("value") != "")
+    if keep_empty_text:  # direct text results keep empty strings (learner semantics)
+        keep = keep | ((F.col("kind") != "elem") & F.col("value").isNotNull())
+    out = out.filter(keep).drop("kind")
     w = Window.partitionBy("page_id", *KEY).orderBy("node", "attr")
     out = out.withColumn("ord", F.row_number().over(w))
     return out.filter(F.col("ord") <= max_results)
