@@ -365,6 +365,19 @@ def _parse_batches(max_chars):
     return run
 
 
+def _ship_parser() -> None:
+    """Pickle this module's parser by value so executors need no installed
+    copy of the package (the same effect as shipping it with --py-files)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    try:
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except ValueError:  # already registered
+        pass
+
+
 def parse_nodes(pages: DataFrame, html_col: str = "html", max_html_chars: int = DEFAULT_MAX_HTML_CHARS,
                 partitions: int | None = None) -> DataFrame:
     """pages(page_id, html) -> raw node rows (including error rows).
@@ -373,6 +386,7 @@ def parse_nodes(pages: DataFrame, html_col: str = "html", max_html_chars: int =
     (page_id, ...) join and aggregate reuses this one exchange.
     """
     spark = pages.sparkSession
+    _ship_parser()
     src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col(html_col).alias("html"))
     raw = src.mapInArrow(_parse_batches(max_html_chars), NODE_DDL)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

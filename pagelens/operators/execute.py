@@ -62,7 +62,7 @@ def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None
     counts_e = sets.groupBy("page_id", *KEY).agg(F.count("*").alias("element_count"))
     counts_v = vals.groupBy("page_id", *KEY).agg(F.max("ord").alias("n_all"))
     if pairs is not None:
-        grid = pairs.select("page_id", "sequence_id").join(
+        grid = pairs.select("page_id", "sequence_id").distinct().join(
             F.broadcast(steps.select(*KEY, "xpath", (F.size("branches") > 0).alias("has_branches"))), "sequence_id")
     else:
         grid = rule_grid(pages if pages is not None else nodes.select("page_id").distinct(), steps)

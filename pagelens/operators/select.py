@@ -243,34 +243,39 @@ def select_nodes(nodes: DataFrame, steps: DataFrame, pairs: DataFrame | None = N
     if pairs is not None:  # evaluate each page only with its own rules
         m = m.join(pairs.select("page_id", "sequence_id"), ["page_id", "sequence_id"], "left_semi")
 
-    own = m.filter(F.col("b.output") == "self").select(
-        "page_id", *KEY, F.col("pre").alias("node"), F.lit(None).cast("string").alias("attr"),
-        F.lit("elem").alias("kind"),
-    )
-    attr = m.filter(
-        (F.col("b.output") == "attr") & F.col("attrs")[F.col("b.out_attr")].isNotNull()
-    ).select("page_id", *KEY, F.col("pre").alias("node"), F.col("b.out_attr").alias("attr"),
-             F.lit("attr").alias("kind"))
-
-    texts = dom.text_nodes(nodes).select(F.col("page_id").alias("t_page"), F.col("parent").alias("tparent"),
-                                         F.col("pre").alias("tpre"), F.col("text").alias("ttext"))
-    mt = m.filter(F.col("b.output") == "text")
-    child = mt.join(texts, (F.col("page_id") == F.col("t_page")) & (F.col("pre") == F.col("tparent"))).filter(
-        value_predicate(F.col("ttext"))
-    ).select("page_id", *KEY, F.col("tpre").alias("node"), F.lit(None).cast("string").alias("attr"),
-             F.lit("text").alias("kind"))
-
-    desc = dom.descendant_texts(nodes).select(F.col("page_id").alias("d_page"), "anc_pre",
-                                               F.col("pre").alias("tpre"), F.col("text").alias("ttext"))
-    md = m.filter(F.col("b.output") == "desc_text")
-    dsc = md.join(desc, (F.col("page_id") == F.col("d_page")) & (F.col("pre") == F.col("anc_pre"))).filter(
-        value_predicate(F.col("ttext"))
-    ).select("page_id", *KEY, F.col("tpre").alias("node"), F.lit(None).cast("string").alias("attr"),
-             F.lit("text").alias("kind"))
-
-    sets = own.unionByName(attr).unionByName(child).unionByName(dsc).dropDuplicates(
-        ["page_id", *KEY, "node", "attr"]
-    )
+    # only the output kinds this rule set uses (read from the tiny rule table)
+    used = {r["o"] for r in steps.select(F.explode("branches.output").alias("o")).distinct().collect()}
+    null_attr = F.lit(None).cast("string").alias("attr")
+    parts = []
+    if "self" in used:
+        parts.append(m.filter(F.col("b.output") == "self").select(
+            "page_id", *KEY, F.col("pre").alias("node"), null_attr, F.lit("elem").alias("kind")))
+    if "attr" in used:
+        parts.append(m.filter(
+            (F.col("b.output") == "attr") & F.col("attrs")[F.col("b.out_attr")].isNotNull()
+        ).select("page_id", *KEY, F.col("pre").alias("node"), F.col("b.out_attr").alias("attr"),
+                 F.lit("attr").alias("kind")))
+    if "text" in used:
+        texts = dom.text_nodes(nodes).select(F.col("page_id").alias("t_page"), F.col("parent").alias("tparent"),
+                                             F.col("pre").alias("tpre"), F.col("text").alias("ttext"))
+        mt = m.filter(F.col("b.output") == "text")
+        parts.append(mt.join(texts, (F.col("page_id") == F.col("t_page")) & (F.col("pre") == F.col("tparent"))).filter(
+            value_predicate(F.col("ttext"))
+        ).select("page_id", *KEY, F.col("tpre").alias("node"), null_attr, F.lit("text").alias("kind")))
+    if "desc_text" in used:
+        desc = dom.descendant_texts(nodes).select(F.col("page_id").alias("d_page"), "anc_pre",
+                                                   F.col("pre").alias("tpre"), F.col("text").alias("ttext"))
+        md = m.filter(F.col("b.output") == "desc_text")
+        parts.append(md.join(desc, (F.col("page_id") == F.col("d_page")) & (F.col("pre") == F.col("anc_pre"))).filter(
+            value_predicate(F.col("ttext"))
+        ).select("page_id", *KEY, F.col("tpre").alias("node"), null_attr, F.lit("text").alias("kind")))
+    if not parts:
+        parts.append(m.limit(0).select("page_id", *KEY, F.col("pre").alias("node"), null_attr, F.lit("elem").alias("kind")))
+    sets = parts[0]
+    for p in parts[1:]:
+        sets = sets.unionByName(p)
+    # node-set semantics: each (node, attribute) once per step
+    sets = sets.distinct()
     return apply_post_ops(nodes, steps, sets)
 
 
@@ -331,7 +336,7 @@ def apply_post_ops(nodes: DataFrame, steps: DataFrame, sets: DataFrame) -> DataF
         pm = pm.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("o.n")).select(*cols)
         sets = (
             keep.unionByName(par).unionByName(nxt).unionByName(ct).unionByName(dt).unionByName(tf)
-            .unionByName(pm).dropDuplicates(["page_id", *KEY, "node", "attr"])
+            .unionByName(pm).distinct()
         )
     return sets
 
@@ -371,11 +376,16 @@ def node_values(nodes: DataFrame, pages: DataFrame | None, steps: DataFrame, set
     attr_name = F.coalesce(F.col("attribute"), F.lit(fixed.DEFAULT_ATTRIBUTE))
     is_elem = F.col("kind") == "elem"
     # element text content only where needed
-    need_tc = j.filter(is_elem & ~action.isin(fixed.ACTION_ATTRIBUTE, fixed.ACTION_HTML))
-    tc = dom.element_text(nodes, need_tc.select("page_id", F.col("node").alias("pre")).distinct(), [])
-    tc = tc.select(F.col("page_id").alias("c_page"), F.col("pre").alias("c_pre"), "text_content")
-    j = j.join(tc, (F.col("page_id") == F.col("c_page")) & (F.col("node") == F.col("c_pre")), "left").drop(
-        "c_page", "c_pre")
+    outputs = {r["o"] for r in steps.select(F.explode("branches.output").alias("o")).distinct().collect()}
+    posts = {r["o"] for r in steps.select(F.explode("post.op").alias("o")).distinct().collect()}
+    if "self" in outputs or posts & {"parent", "next_sibling"}:
+        need_tc = j.filter(is_elem & ~action.isin(fixed.ACTION_ATTRIBUTE, fixed.ACTION_HTML))
+        tc = dom.element_text(nodes, need_tc.select("page_id", F.col("node").alias("pre")).distinct(), [])
+        tc = tc.select(F.col("page_id").alias("c_page"), F.col("pre").alias("c_pre"), "text_content")
+        j = j.join(tc, (F.col("page_id") == F.col("c_page")) & (F.col("node") == F.col("c_pre")), "left").drop(
+            "c_page", "c_pre")
+    else:
+        j = j.withColumn("text_content", F.lit(None).cast("string"))
     if pages is not None and steps.filter(F.col("action_type") == fixed.ACTION_HTML).limit(1).count() > 0:
         ph = pages.select(F.col("page_id").alias("h_page"), F.col("html").alias("h_html"))
         j = j.join(ph, F.col("page_id") == F.col("h_page"), "left").drop("h_page")
