@@ -66,7 +66,8 @@ def fetch(rules: DataFrame, sequence_id: str) -> DataFrame:
 
 
 def _by_robustness(df: DataFrame) -> list[Column]:
-    return [F.desc("robustness_score"), F.asc("sequence_id")]
+    # rounded so float noise from a different summation order cannot reorder
+    return [F.desc(F.round("robustness_score", 12)), F.asc("sequence_id")]
 
 
 def fetch_by_domain(rules: DataFrame, domain: str, limit: int = fixed.FETCH_BY_DOMAIN_LIMIT) -> DataFrame:
@@ -88,7 +89,7 @@ def fetch_by_domain_and_task(rules: DataFrame, domain: str, task: str,
 
 def top_per(rules: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Batch form of I3/I4/I5: top ``limit`` rules per key, ranked."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("robustness_score"), F.asc("sequence_id"))
+    w = Window.partitionBy(*keys).orderBy(*_by_robustness(rules))
     return rules.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
@@ -109,7 +110,8 @@ def rules_for_pages(pages: DataFrame, rules: DataFrame, tasks: DataFrame,
 def list_all(rules: DataFrame, limit: int = fixed.LIST_ALL_LIMIT, order_by: str = "robustness_score") -> DataFrame:
     """Best first by one of the allowed fields (others fall back)."""
     field = order_by if order_by in fixed.LIST_ORDER_FIELDS else "robustness_score"
-    return rules.orderBy(F.desc(field), F.asc("sequence_id")).limit(limit)
+    key = F.round(field, 12) if field in ("robustness_score", "success_rate") else F.col(field)
+    return rules.orderBy(key.desc(), F.asc("sequence_id")).limit(limit)
 
 
 def statistics(rules: DataFrame) -> DataFrame:

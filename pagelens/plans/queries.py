@@ -236,8 +236,11 @@ def extract_html(spark, sf):
 def field_inference(spark, sf):
     pc = _clean_pages(spark, sf)
     nodes = dom.dom_nodes(pc)
-    return structure.field_names(nodes, ["h1", "a", "div", "footer", "title"]).select(
-        "page_id", "pre", "tag", "field")
+    from pyspark.sql.window import Window
+
+    f = structure.field_names(nodes, ["h1", "a", "div", "footer", "title"])
+    w = Window.partitionBy("page_id", "tag").orderBy("pre")
+    return f.select("page_id", "tag", F.row_number().over(w).cast("bigint").alias("idx"), "field")
 
 
 def nav_filter(spark, sf):
