@@ -196,6 +196,18 @@ def join(base: Column, rel: Column) -> Column:
 
 def absolute(base: Column, rel: Column) -> Column:
     """Validate the base, join against its normalised form, validate and
-    normalise the result; NULL when either check fails."""
+    normalise the result; NULL when either check fails.  (Single-expression
+    form; prefer :func:`resolve`, which stages the work in projections.)"""
     joined = join(normalized(base), rel)
     return F.when(is_valid(base), normalized(joined))
+
+
+def resolve(df, base_col: str, rel_col: str, out_col: str):
+    """DataFrame form of :func:`absolute`: each intermediate URL is its own
+    projected column, so every regular expression runs once per row instead
+    of once per reference."""
+    tmp_b, tmp_j = f"__{out_col}_base", f"__{out_col}_joined"
+    out = df.withColumn(tmp_b, normalized(F.col(base_col)))
+    out = out.withColumn(tmp_j, join(F.col(tmp_b), F.col(rel_col)))
+    out = out.withColumn(out_col, F.when(F.col(tmp_b).isNotNull(), normalized(F.col(tmp_j))))
+    return out.drop(tmp_b, tmp_j)

@@ -298,46 +298,45 @@ def apply_post_ops(nodes: DataFrame, steps: DataFrame, sets: DataFrame) -> DataF
                                                F.col("pre").alias("tpre"), F.col("text").alias("ttext"))
     on_info = (F.col("page_id") == F.col("i_page")) & (F.col("node") == F.col("i_pre"))
     cols = ["page_id", *KEY, "node", "attr", "kind"]
+    null_attr = F.lit(None).cast("string").alias("attr")
     for k in range(n_rounds):
+        # ops used at this position (the rule table is tiny): plan only those
+        present = {r["o"] for r in steps.select(F.element_at("post", k + 1)["op"].alias("o")).distinct().collect()}
         cur = sets.join(F.broadcast(ops), KEY).withColumn("o", F.element_at("post", k + 1)).drop("post")
-        keep = cur.filter(F.col("o").isNull()).select(*cols)
-        # parent of each node (attribute results: their element)
-        par = cur.filter(F.col("o.op") == "parent")
-        par = par.join(info, on_info).select(
-            "page_id", *KEY,
-            F.when(F.col("kind") == "attr", F.col("node")).otherwise(F.col("i_parent")).alias("node"),
-            F.lit(None).cast("string").alias("attr"), F.lit("elem").alias("kind"),
-        ).filter(F.col("node") >= 0)
-        nxt = cur.filter((F.col("o.op") == "next_sibling") & (F.col("kind") == "elem"))
-        nxt = nxt.join(info, on_info).select(
-            "page_id", *KEY, F.col("i_next").alias("node"), F.lit(None).cast("string").alias("attr"),
-            F.lit("elem").alias("kind"),
-        ).filter(F.col("node") >= 0)
-        ct = cur.filter((F.col("o.op") == "child_text") & (F.col("kind") == "elem"))
-        ct = ct.join(texts, (F.col("page_id") == F.col("t_page")) & (F.col("node") == F.col("tparent"))).select(
-            "page_id", *KEY, F.col("tpre").alias("node"), F.lit(None).cast("string").alias("attr"),
-            F.lit("text").alias("kind"),
-        )
-        dt = cur.filter((F.col("o.op") == "desc_text") & (F.col("kind") == "elem"))
-        dt = dt.join(desc, (F.col("page_id") == F.col("d_page")) & (F.col("node") == F.col("anc_pre"))).filter(
-            _norm_len(F.col("ttext")) > 0
-        ).select("page_id", *KEY, F.col("tpre").alias("node"), F.lit(None).cast("string").alias("attr"),
-                 F.lit("text").alias("kind"))
-        # text filters on text results
-        tf = cur.filter(F.col("o.op").isin("len_gt", "len_lt", "nonblank") & (F.col("kind") == "text"))
-        tf = tf.join(info, on_info).filter(
-            F.when(F.col("o.op") == "len_gt", F.length("i_text") > F.col("o.n"))
-            .when(F.col("o.op") == "len_lt", F.length("i_text") < F.col("o.n"))
-            .otherwise(_norm_len(F.col("i_text")) > 0)
-        ).select("page_id", *KEY, "node", "attr", "kind")
-        # position filter on the (document-ordered) node set
-        pm = cur.filter(F.col("o.op") == "position_max")
-        w = Window.partitionBy("page_id", *KEY).orderBy("node", "attr")
-        pm = pm.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("o.n")).select(*cols)
-        sets = (
-            keep.unionByName(par).unionByName(nxt).unionByName(ct).unionByName(dt).unionByName(tf)
-            .unionByName(pm).distinct()
-        )
+        parts = [cur.filter(F.col("o").isNull()).select(*cols)]
+        if "parent" in present:  # parent of each node (attribute results: their element)
+            par = cur.filter(F.col("o.op") == "parent").join(info, on_info)
+            parts.append(par.select(
+                "page_id", *KEY, F.when(F.col("kind") == "attr", F.col("node")).otherwise(F.col("i_parent")).alias("node"),
+                null_attr, F.lit("elem").alias("kind")).filter(F.col("node") >= 0))
+        if "next_sibling" in present:
+            nxt = cur.filter((F.col("o.op") == "next_sibling") & (F.col("kind") == "elem")).join(info, on_info)
+            parts.append(nxt.select("page_id", *KEY, F.col("i_next").alias("node"), null_attr,
+                                    F.lit("elem").alias("kind")).filter(F.col("node") >= 0))
+        if "child_text" in present:
+            ct = cur.filter((F.col("o.op") == "child_text") & (F.col("kind") == "elem"))
+            ct = ct.join(texts, (F.col("page_id") == F.col("t_page")) & (F.col("node") == F.col("tparent")))
+            parts.append(ct.select("page_id", *KEY, F.col("tpre").alias("node"), null_attr, F.lit("text").alias("kind")))
+        if "desc_text" in present:
+            dt = cur.filter((F.col("o.op") == "desc_text") & (F.col("kind") == "elem"))
+            dt = dt.join(desc, (F.col("page_id") == F.col("d_page")) & (F.col("node") == F.col("anc_pre"))).filter(
+                _norm_len(F.col("ttext")) > 0)
+            parts.append(dt.select("page_id", *KEY, F.col("tpre").alias("node"), null_attr, F.lit("text").alias("kind")))
+        if present & {"len_gt", "len_lt", "nonblank"}:  # text filters on text results
+            tf = cur.filter(F.col("o.op").isin("len_gt", "len_lt", "nonblank") & (F.col("kind") == "text")).join(info, on_info)
+            parts.append(tf.filter(
+                F.when(F.col("o.op") == "len_gt", F.length("i_text") > F.col("o.n"))
+                .when(F.col("o.op") == "len_lt", F.length("i_text") < F.col("o.n"))
+                .otherwise(_norm_len(F.col("i_text")) > 0)
+            ).select("page_id", *KEY, "node", "attr", "kind"))
+        if "position_max" in present:  # position filter on the (document-ordered) node set
+            pm = cur.filter(F.col("o.op") == "position_max")
+            w = Window.partitionBy("page_id", *KEY).orderBy("node", "attr")
+            parts.append(pm.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("o.n")).select(*cols))
+        sets = parts[0]
+        for p in parts[1:]:
+            sets = sets.unionByName(p)
+        sets = sets.distinct()
     return sets
 
 

@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..functions import urls
 from ..operators import advise, dom, execute, learn, profile, repository, structure, validate
 from ..operators import select as S
-from ..session import read_table, tune
+from ..session import cut_lineage, read_table, tune
 from . import catalog, scrape
 
 STAMP = "2026-01-01T00:00:00"
@@ -88,10 +88,10 @@ def page_links(spark, sf):
     toks = profile.tag_tokens(pc).filter((F.col("tag") == "a") & F.col("has_href"))
     href = T.decode_entities(F.regexp_extract(F.col("attrs"), r"[ \t\n\r\f]href=\"([^\"]*)\"", 1))
     t = toks.join(pc.select("page_id", "url"), "page_id").select("page_id", "pos", "url", href.alias("href"))
-    absu = urls.absolute(F.col("url"), F.col("href"))
+    t = urls.resolve(t, "url", "href", "absolute")
     return t.select(
-        "page_id", F.col("pos").cast("bigint").alias("pos"), "href", absu.alias("absolute"),
-        F.coalesce(urls.domain(absu) == urls.domain(F.col("url")), F.lit(False)).alias("is_internal"),
+        "page_id", F.col("pos").cast("bigint").alias("pos"), "href", "absolute",
+        F.coalesce(urls.domain(F.col("absolute")) == urls.domain(F.col("url")), F.lit(False)).alias("is_internal"),
     )
 
 
@@ -355,10 +355,13 @@ def validation_summary(spark, sf):
 
 
 def _published(spark, sf):
+    """The rule table published by cross-validation, materialised once
+    (a reliable checkpoint in the shared checkpoint folder), as a stored
+    rule table would be."""
     pages = _pages(spark, sf)
     rules, ranked, summary = scrape.validate_and_publish(
         pages, catalog.flat_steps(spark), catalog.validation_rules(spark), catalog.VALIDATION_TASK, STAMP)
-    return rules
+    return cut_lineage(rules)
 
 
 def publish_rules(spark, sf):

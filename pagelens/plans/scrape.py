@@ -84,7 +84,9 @@ def scrape_known(pages: DataFrame, rules: DataFrame, task: str, nodes: DataFrame
         nodes = dom.dom_nodes(pc)
     tasks = spark.createDataFrame([(task,)], "task string")
     cand = repository.rules_for_pages(pc, rules, tasks, limit)  # page_id, domain, sequence_id, rank, ...
-    steps = rule_steps(rules.join(cand.select("sequence_id").distinct(), "sequence_id", "left_semi"))
+    # the rule table is small and already materialised; the (page, rule)
+    # pairs restrict evaluation to each page's own top rules
+    steps = rule_steps(rules)
     pairs = cand.select("page_id", "sequence_id")
     vals, st = execute.run_steps(nodes, steps, pc, pairs=pairs)
     extracted, summary = execute.sequence_results(vals, st, steps, pc)
