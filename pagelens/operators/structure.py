@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from .. import fixed
 from ..functions import text as T
+from ..session import cut_lineage
 from . import dom, execute
 from . import select as S
 
@@ -109,6 +110,7 @@ def structure_records(pages: DataFrame, steps: DataFrame, nodes: DataFrame | Non
     src = v.select("page_id", F.when(F.col("i_kind") == "elem", F.col("node")).otherwise(F.col("i_parent")).alias("pre"),
                    F.when(F.col("i_kind") == "elem", F.col("i_anc")).otherwise(F.slice("i_anc", 1, F.size("i_anc") - 1)).alias("anc")
                    ).distinct()
+    src = cut_lineage(src)  # stage boundary: extraction done
     # ancestors within 5 levels shared by >= 2 sources; keep the innermost
     up = src.select("page_id", "pre", F.posexplode(F.reverse("anc")).alias("lvl", "container")).filter(
         F.col("lvl") < fixed.CONTAINER_MAX_LEVELS)
@@ -126,6 +128,7 @@ def structure_records(pages: DataFrame, steps: DataFrame, nodes: DataFrame | Non
     txt = S.squeeze_ws(F.col("text_content"))
     fields = src.select("page_id", "pre").distinct().join(e, ["page_id", "pre"]).join(tc, ["page_id", "pre"]).select(
         "page_id", "pre", txt.alias("text"), field_name(txt, F.col("cls"), F.col("tag"), F.col("href").isNotNull()).alias("field"))
+    fields = cut_lineage(fields)  # stage boundary: sources and their fields
     by_container = _records(grouped.select("page_id", "container", "pre").join(fields, ["page_id", "pre"]), "container")
     by_container = by_container.select("page_id", F.col("container").alias("record"), "field", "value",
                                        F.lit("container").alias("strategy"))
