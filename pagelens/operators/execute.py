@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..session import bounded_broadcast
+from ..session import BROADCAST_MAX_ROWS
 from . import dom, select
 
 KEY = select.KEY
@@ -34,7 +34,8 @@ def rule_grid(pages: DataFrame, steps: DataFrame) -> DataFrame:
     else:
         p = pages.select("page_id", F.lit("*").alias("scope"))
         r = steps.select(F.lit("*").alias("scope"), *cols)
-    return p.join(bounded_broadcast(r), "scope").drop("scope")
+    small = select.rule_meta(steps)["n_steps"] <= BROADCAST_MAX_ROWS
+    return p.join(F.broadcast(r) if small else r, "scope").drop("scope")
 
 
 def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None,
@@ -166,6 +167,8 @@ def execute(pages: DataFrame, steps: DataFrame, nodes: DataFrame | None = None,
     if nodes is None:
         nodes = dom.dom_nodes(pages)
     vals, st = run_steps(nodes, steps, pages, **kw)
+    # both feed the per-rule results and the step report: compute once
+    vals, st = vals.persist(), st.persist()
     extracted, summary = sequence_results(vals, st, steps, pages)
     return extracted, summary, st
 

@@ -17,6 +17,7 @@ per (page, rule, step), document order = ``pre``.
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import fixed
-from ..session import bounded_broadcast
+from ..session import BROADCAST_MAX_ROWS
 from . import dom
 
 OP_DDL = "struct<op:string,n:int,s:string>"
@@ -152,6 +153,40 @@ class Step:
         return s
 
 
+# Facts about a rule table that shape the plan (which output kinds and
+# post-ops occur, how many rows).  Rule tables are tiny; this is read once
+# per table object — from the Python rules when we built the table, else
+# with one small job — instead of one job per question.
+_META: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary()
+
+
+def _meta_of_rows(rows: list[tuple]) -> dict:
+    outputs, posts, actions, n_branch_rows = set(), [], set(), 0
+    for action, outs, n_tags, ops in rows:
+        actions.add(action)
+        outputs.update(o for o in (outs or []) if o is not None)
+        n_branch_rows += n_tags or 0
+        for k, o in enumerate(ops or []):
+            while len(posts) <= k:
+                posts.append(set())
+            posts[k].add(o)
+    return {"outputs": outputs, "posts": posts, "actions": actions, "n_steps": len(rows),
+            "n_branch_rows": n_branch_rows}
+
+
+def rule_meta(steps: DataFrame) -> dict:
+    m = _META.get(steps)
+    if m is None:
+        rows = steps.select(
+            "action_type", F.col("branches.output").alias("outs"),
+            F.aggregate(F.col("branches"), F.lit(0), lambda acc, b: acc + F.greatest(F.size(b.tags), F.lit(1))).alias("n_tags"),
+            F.col("post.op").alias("ops"),
+        ).collect()
+        m = _meta_of_rows([tuple(r) for r in rows])
+        _META[steps] = m
+    return m
+
+
 def steps_frame(spark: SparkSession, rules: dict[str, list[Step]]) -> DataFrame:
     """{sequence_id: [Step, ...]} -> rule step table."""
     rows = []
@@ -161,7 +196,21 @@ def steps_frame(spark: SparkSession, rules: dict[str, list[Step]]) -> DataFrame:
                 sid, i, st.action_type, st.attribute, st.display() if st.branches else (st.xpath or ""),
                 [b.row() for b in st.branches], list(st.post),
             ))
-    return spark.createDataFrame(rows, STEP_DDL)
+    df = spark.createDataFrame(rows, STEP_DDL)
+    _META[df] = _meta_of_rows([
+        (r[2], [b["output"] for b in r[5]], sum(max(len(b["tags"]), 1) for b in r[5]), [o["op"] for o in r[6]])
+        for r in rows
+    ])
+    return df
+
+
+def with_action(steps: DataFrame, action: str) -> DataFrame:
+    """The same rules with every action replaced (metadata carried over)."""
+    out = steps.withColumn("action_type", F.lit(action))
+    m = _META.get(steps)
+    if m is not None:
+        _META[out] = dict(m, actions={action})
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -237,14 +286,16 @@ def select_nodes(nodes: DataFrame, steps: DataFrame, pairs: DataFrame | None = N
         "n_text", "text_len", "attrs",
     )
     keyed = elems.withColumn("tkey", F.explode(F.array(F.col("tag"), F.lit("*"))))
-    br = bounded_broadcast(_branches(steps))
+    meta = rule_meta(steps)
+    br = _branches(steps)
+    br = F.broadcast(br) if meta["n_branch_rows"] <= BROADCAST_MAX_ROWS else br
     m = keyed.join(br, "tkey").filter(element_predicate("b"))
     m = m.select("page_id", *KEY, "pre", "attrs", "b")
     if pairs is not None:  # evaluate each page only with its own rules
         m = m.join(pairs.select("page_id", "sequence_id"), ["page_id", "sequence_id"], "left_semi")
 
     # only the output kinds this rule set uses (read from the tiny rule table)
-    used = {r["o"] for r in steps.select(F.explode("branches.output").alias("o")).distinct().collect()}
+    used = meta["outputs"]
     null_attr = F.lit(None).cast("string").alias("attr")
     parts = []
     if "self" in used:
@@ -284,7 +335,8 @@ def apply_post_ops(nodes: DataFrame, steps: DataFrame, sets: DataFrame) -> DataF
 
     The number of rounds is the longest op list in the (tiny) rule table;
     each round is a handful of equi-joins on (page_id, node)."""
-    n_rounds = steps.select(F.max(F.size("post")).alias("m")).first()["m"] or 0
+    meta = rule_meta(steps)
+    n_rounds = len(meta["posts"])
     if n_rounds <= 0:
         return sets
     ops = steps.select(*KEY, "post")
@@ -301,7 +353,7 @@ def apply_post_ops(nodes: DataFrame, steps: DataFrame, sets: DataFrame) -> DataF
     null_attr = F.lit(None).cast("string").alias("attr")
     for k in range(n_rounds):
         # ops used at this position (the rule table is tiny): plan only those
-        present = {r["o"] for r in steps.select(F.element_at("post", k + 1)["op"].alias("o")).distinct().collect()}
+        present = meta["posts"][k]
         cur = sets.join(F.broadcast(ops), KEY).withColumn("o", F.element_at("post", k + 1)).drop("post")
         parts = [cur.filter(F.col("o").isNull()).select(*cols)]
         if "parent" in present:  # parent of each node (attribute results: their element)
@@ -375,8 +427,9 @@ def node_values(nodes: DataFrame, pages: DataFrame | None, steps: DataFrame, set
     attr_name = F.coalesce(F.col("attribute"), F.lit(fixed.DEFAULT_ATTRIBUTE))
     is_elem = F.col("kind") == "elem"
     # element text content only where needed
-    outputs = {r["o"] for r in steps.select(F.explode("branches.output").alias("o")).distinct().collect()}
-    posts = {r["o"] for r in steps.select(F.explode("post.op").alias("o")).distinct().collect()}
+    meta = rule_meta(steps)
+    outputs = meta["outputs"]
+    posts = set().union(*meta["posts"]) if meta["posts"] else set()
     if "self" in outputs or posts & {"parent", "next_sibling"}:
         need_tc = j.filter(is_elem & ~action.isin(fixed.ACTION_ATTRIBUTE, fixed.ACTION_HTML))
         tc = dom.element_text(nodes, need_tc.select("page_id", F.col("node").alias("pre")).distinct(), [])
@@ -385,7 +438,7 @@ def node_values(nodes: DataFrame, pages: DataFrame | None, steps: DataFrame, set
             "c_page", "c_pre")
     else:
         j = j.withColumn("text_content", F.lit(None).cast("string"))
-    if pages is not None and steps.filter(F.col("action_type") == fixed.ACTION_HTML).limit(1).count() > 0:
+    if pages is not None and fixed.ACTION_HTML in meta["actions"]:
         ph = pages.select(F.col("page_id").alias("h_page"), F.col("html").alias("h_html"))
         j = j.join(ph, F.col("page_id") == F.col("h_page"), "left").drop("h_page")
         html_val = F.substring(F.col("h_html"), F.col("i_start") + 1, F.col("i_end") - F.col("i_start"))

@@ -59,7 +59,7 @@ def page_values(nodes: DataFrame, pages: DataFrame, steps: DataFrame) -> tuple[D
       data (page_id, sequence_id, idx, value)
       page_status (page_id, sequence_id, success, error_count)
     """
-    as_text = steps.withColumn("action_type", F.lit(fixed.ACTION_TEXT))
+    as_text = select.with_action(steps, fixed.ACTION_TEXT)
     vals, st = execute.run_steps(nodes, as_text, pages, normalize_whitespace=False, max_results=1 << 30)
     first = vals.groupBy("page_id", "sequence_id", "step_index", "value").agg(F.min("ord").alias("ord"))
     ok = first.groupBy("page_id", "sequence_id", "step_index").agg(F.count("*").alias("n"))
