@@ -107,12 +107,15 @@ def sequence_results(values: DataFrame, step_status: DataFrame, steps: DataFrame
     """
     ok = step_status.filter(F.col("status").isin("success", "partial")).select("page_id", *KEY)
     v = values.join(ok, ["page_id", *KEY], "left_semi")
+    # first occurrence by (step, ord) packed into one bigint: a hash
+    # aggregate with fixed-width buffers instead of a sort aggregate
+    key = F.col("step_index").cast("bigint") * F.lit(1 << 32) + F.col("ord")
     first = v.groupBy("page_id", "sequence_id", "value").agg(
-        F.min(F.struct("step_index", "ord", "node")).alias("f")
+        F.min(key).alias("k"), F.min_by("node", key).alias("node")
     )
     ranked = first.select(
-        "page_id", "sequence_id", "value", F.col("f.step_index").alias("step_index"),
-        F.col("f.ord").alias("ord"), F.col("f.node").alias("node"),
+        "page_id", "sequence_id", "value", (F.col("k") / F.lit(1 << 32)).cast("int").alias("step_index"),
+        (F.col("k") % F.lit(1 << 32)).cast("int").alias("ord"), "node",
     )
     from pyspark.sql.window import Window
 

@@ -129,7 +129,7 @@ def class_patterns(pages_clean: DataFrame, k: int = fixed.CLASS_TOP) -> DataFram
     """(page_id, total_classes, rank, class_name, n) — top k class tokens."""
     ct = class_tokens(pages_clean)
     c = ct.groupBy("page_id", "class_name").agg(
-        F.count("*").alias("n"), F.min(F.struct("pos", "k")).alias("first")
+        F.count("*").alias("n"), F.min(F.col("pos").cast("bigint") * F.lit(1 << 32) + F.col("k")).alias("first")
     )
     tot = c.groupBy("page_id").agg(F.count("*").alias("total_classes"))
     top = _top_k(c, ["page_id"], [F.desc("n"), F.asc("first")], k)
@@ -161,7 +161,11 @@ def repeated_classes(pages_clean: DataFrame) -> DataFrame:
 
 
 def _first_k_distinct(matches: DataFrame, part: list[str], order_cols: list[str], k: int) -> DataFrame:
-    first = matches.groupBy(*part, "value").agg(F.min(F.struct(*order_cols)).alias("first"))
+    # order columns packed into one bigint (each < 2^31): hash-aggregated
+    key = F.lit(0).cast("bigint")
+    for c in order_cols:
+        key = key * F.lit(1 << 32) + F.col(c).cast("bigint")
+    first = matches.groupBy(*part, "value").agg(F.min(key).alias("first"))
     return _top_k(first, part, [F.asc("first")], k).select(*part, F.col("rank").cast("bigint").alias("rank"), "value")
 
 

@@ -178,8 +178,10 @@ def rank_rules(perf: DataFrame, rule_order: DataFrame, min_success: float = fixe
     w = Window.partitionBy("grp").orderBy(F.desc(F.round("robustness_score", 12)), F.asc("rule_ord"))
     p = p.withColumn("rank", F.row_number().over(w).cast("bigint"))
     eligible = (F.col("success_rate") >= min_success) & (F.col("quality_score") >= fixed.SELECT_MIN_QUALITY)
-    pick = p.groupBy("grp").agg(F.min(F.struct((~eligible).alias("ne"), F.col("rank").alias("r"))).alias("pick"))
-    return p.join(pick, "grp").withColumn("is_selected", F.col("rank") == F.col("pick.r")).drop("pick")
+    # first eligible rank, else rank 1: min over (not eligible, rank) packed in a bigint
+    key = F.when(eligible, F.lit(0)).otherwise(F.lit(1)).cast("bigint") * F.lit(1 << 32) + F.col("rank")
+    pick = p.groupBy("grp").agg(F.min(key).alias("pick"))
+    return p.join(pick, "grp").withColumn("is_selected", F.col("rank") == F.col("pick") % F.lit(1 << 32)).drop("pick")
 
 
 def validation_summary(ranked: DataFrame, quality: DataFrame, groups: DataFrame) -> DataFrame:
