@@ -354,7 +354,7 @@ def apply_post_ops(nodes: DataFrame, steps: DataFrame, sets: DataFrame) -> DataF
     for k in range(n_rounds):
         # ops used at this position (the rule table is tiny): plan only those
         present = meta["posts"][k]
-        cur = sets.join(F.broadcast(ops), KEY).withColumn("o", F.element_at("post", k + 1)).drop("post")
+        cur = sets.join(F.broadcast(ops), KEY).withColumn("o", F.try_element_at("post", F.lit(k + 1))).drop("post")
         parts = [cur.filter(F.col("o").isNull()).select(*cols)]
         if "parent" in present:  # parent of each node (attribute results: their element)
             par = cur.filter(F.col("o.op") == "parent").join(info, on_info)

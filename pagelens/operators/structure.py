@@ -141,3 +141,83 @@ def structure_records(pages: DataFrame, steps: DataFrame, nodes: DataFrame | Non
     flat = rest2.select("page_id", F.col("pre").alias("record"), "field", F.col("text").alias("value"),
                         F.lit("flat").alias("strategy"))
     return by_container.unionByName(by_parent).unionByName(flat)
+
+
+# ---------------------------------------------------------------------------
+# broad container search; F9/F10: price <-> title pairing
+# ---------------------------------------------------------------------------
+
+
+def _source_values(nodes: DataFrame, vals: DataFrame) -> DataFrame:
+    """(page_id, idx, value, pre, chain): each de-duplicated value with its
+    source element and that element's ancestor-or-self chain (5 levels)."""
+    info = nodes.filter(F.col("kind") != "error").select(
+        F.col("page_id").alias("i_page"), F.col("pre").alias("i_pre"), F.col("kind").alias("i_kind"),
+        F.col("parent").alias("i_parent"), F.col("anc").alias("i_anc"))
+    v = vals.join(info, (F.col("page_id") == F.col("i_page")) & (F.col("node") == F.col("i_pre")))
+    elem = F.when(F.col("i_kind") == "elem", F.col("node")).otherwise(F.col("i_parent"))
+    anc = F.when(F.col("i_kind") == "elem", F.col("i_anc")).otherwise(F.slice("i_anc", 1, F.size("i_anc") - 1))
+    chain = F.concat(F.array(elem), F.slice(F.reverse(anc), 1, fixed.RELATED_MAX_DISTANCE - 1))
+    return v.select("page_id", "idx", "value", elem.alias("pre"), chain.alias("chain"))
+
+
+def pair_records(src: DataFrame) -> DataFrame:
+    """F9 (+F10): prices in order each take the first unused related title
+    (related = ancestor-or-self chains within 5 levels intersect); unused
+    titles become records of their own.  The greedy pass is a JVM
+    ``aggregate`` fold over one page's values (bounded by the page), so no
+    price × title pair rows are produced.
+
+    ``src``: (page_id, idx, value, chain).  Returns (page_id, record, field, value)."""
+    cur = T.contains_any(F.col("value"), fixed.CURRENCY_MARKS)
+    n = F.length("value")
+    title = ~cur & (F.contains(F.col("value"), F.lit(fixed.PAIR_TITLE_MARK)) | ((n > 15) & (n < 100)))
+    item = F.struct("idx", "value", "chain")
+    per = src.groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.when(cur, item))).alias("prices"),
+        F.array_sort(F.collect_list(F.when(title, item))).alias("titles"),
+    )
+    rec_t = "struct<title:string,price:string>"
+    init = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<{rec_t}>").alias("recs"))
+
+    def step(acc, p):
+        cands = F.filter(F.col("titles"), lambda t: ~F.array_contains(acc["used"], t["idx"]) & F.arrays_overlap(t["chain"], p["chain"]))
+        t = F.try_element_at(cands, F.lit(1))
+        return F.struct(
+            F.when(t.isNotNull(), F.concat(acc["used"], F.array(t["idx"]))).otherwise(acc["used"]).alias("used"),
+            F.concat(acc["recs"], F.array(F.struct(t["value"].alias("title"), p["value"].alias("price")))).alias("recs"),
+        )
+
+    folded = per.select("page_id", "titles", F.aggregate("prices", init, step).alias("acc"))
+    left = F.transform(F.filter("titles", lambda t: ~F.array_contains(F.col("acc.used"), t["idx"])),
+                       lambda t: F.struct(t["value"].alias("title"), F.lit(None).cast("string").alias("price")))
+    recs = folded.select("page_id", F.posexplode(F.concat("acc.recs", left)).alias("record", "r"))
+    return recs.select("page_id", "record", F.explode(F.array(
+        F.struct(F.lit("title").alias("field"), F.col("r.title").alias("value")),
+        F.struct(F.lit("price").alias("field"), F.col("r.price").alias("value")),
+    )).alias("f")).select("page_id", "record", "f.field", "f.value").filter(F.col("value").isNotNull())
+
+
+def product_containers(nodes: DataFrame, src: DataFrame) -> DataFrame:
+    """(page_id, container, rank) — ancestors (up to 4 levels) of the
+    first 5 price sources whose text is > 1.5 × the price, then elements with
+    a product-like class (or ``article``) whose text has a price or brand
+    mark; distinct, first 10 per page in that order."""
+    cur = T.contains_any(F.col("value"), fixed.CURRENCY_MARKS)
+    w = Window.partitionBy("page_id").orderBy("idx")
+    prices = src.filter(cur).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= fixed.CONTAINER_SOURCE_LIMIT)
+    ups = prices.select("page_id", "value", F.posexplode(F.slice("chain", 2, 4)).alias("lvl", "container"),
+                        F.col("_r").alias("r"))
+    el = dom.elements(nodes).select(F.col("page_id").alias("e_page"), F.col("pre").alias("e_pre"), "tag", "cls", "text_len")
+    s1 = ups.join(el, (F.col("page_id") == F.col("e_page")) & (F.col("container") == F.col("e_pre"))).filter(
+        F.col("text_len") > F.length("value") * 1.5).select(
+        "page_id", "container", (F.col("r") * 10 + F.col("lvl")).cast("bigint").alias("o"), F.lit(1).alias("s"))
+    low = F.lower(F.coalesce(F.col("cls"), F.lit("")))
+    cand = el.filter(T.contains_any(low, fixed.CONTAINER_PRODUCT_CLASSES) | (F.col("tag") == "article")).select(
+        F.col("e_page").alias("page_id"), F.col("e_pre").alias("pre"))
+    tc = dom.element_text(nodes, cand, [])
+    s2 = tc.filter(T.contains_any(F.col("text_content"), fixed.CONTAINER_PRODUCT_MARKS)).select(
+        "page_id", F.col("pre").alias("container"), F.col("pre").cast("bigint").alias("o"), F.lit(2).alias("s"))
+    both = s1.unionByName(s2).groupBy("page_id", "container").agg(F.min(F.col("s") * F.lit(1 << 40) + F.col("o")).alias("k"))
+    w2 = Window.partitionBy("page_id").orderBy("k")
+    return both.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= fixed.CONTAINER_TOP).drop("k")

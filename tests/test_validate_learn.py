@@ -73,3 +73,26 @@ def test_navigation_and_fields(spark):
     assert nav == [True, False, True, False, True]
     f = df.select(structure.field_name(F.col("t"), F.lit(None), F.lit("span"), F.lit(False))).collect()
     assert [r[0] for r in f] == ["text", "title", "text", "title", "title"]
+
+
+def test_price_title_pairing(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from pagelens.operators import dom, execute
+
+    html = ("<html><body><ul><li><span>$10</span><a>New Balance 574 Classic</a></li>"
+            "<li><span>$20</span><a>Another long product name</a></li></ul>"
+            "<p>Some unrelated paragraph text</p></body></html>")
+    pages = spark.createDataFrame([(1, "https://shop.test/p", html)], "page_id bigint, url string, html string")
+    steps = S.steps_frame(spark, {"r": [St([B(tags=["span", "a", "p"], output="text")])]})
+    nodes = dom.dom_nodes(pages)
+    vals, _ = execute.run_steps(nodes, steps, pages)
+    sv = structure._source_values(nodes, vals.withColumn(
+        "idx", F.row_number().over(Window.partitionBy("page_id").orderBy("step_index", "ord"))))
+    recs = {}
+    for r in structure.pair_records(sv).collect():
+        recs.setdefault(r["record"], {})[r["field"]] = r["value"]
+    assert recs[0] == {"price": "$10", "title": "New Balance 574 Classic"}
+    assert recs[1] == {"price": "$20", "title": "Another long product name"}
+    assert recs[2] == {"title": "Some unrelated paragraph text"}
