@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, read_table
@@ -38,6 +38,22 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def bounded_sample(df: DataFrame, key: str, per_key: int, sizes: dict, *order: Column) -> DataFrame:
+    """Of each value of ``key`` the ``per_key`` rows with the smallest hash of
+    ``order``; ``sizes`` maps the (few) values to their numbers of rows.
+
+    Rows are let through by a hash threshold where they are read, so that about
+    twice ``per_key`` of each value are shuffled however many rows there are.
+    """
+    h = F.xxhash64(*order)
+    share = F.lit(0.0)
+    for value, n in sizes.items():
+        share = F.when(F.col(key) == value, min(1.0, 2 * (per_key + 20) / max(1, n))).otherwise(share)
+    few = df.withColumn("_h", h).filter(F.pmod("_h", F.lit(1 << 30)) < share * (1 << 30))
+    w = Window.partitionBy(key).orderBy(F.pmod("_h", F.lit(1 << 30)), "_h")
+    return few.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_key).drop("_h", "_rank")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -23,11 +23,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import by_value, small_batches
+from .common import bounded_sample, by_value, small_batches
 
 BUCKETS, DIM, ORDERS = 1 << 13, 16, (2, 3, 4)
 SAMPLE, MAX_LANGUAGES = 400, 64
@@ -170,9 +170,10 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
         F.xxhash64(F.lit("langid"), F.col(id_col), F.col(text_col)).alias("h")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull())
-    w = Window.partitionBy("lang").orderBy("h")
-    # The rank limit is applied in every task before the shuffle.
-    some = known.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_language)
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    some = bounded_sample(known, "lang", per_language, sizes, F.col("h"))
 
     def run(batches):
         for b in batches:
@@ -188,8 +189,6 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     rows = sorted(some.select("lang", "text", "h").mapInArrow(run, "lang string, h long, at binary, share binary").collect())
     langs = sorted({r.lang for r in rows})
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r.at, "<i2")] = np.frombuffer(r.share, "<f4")
