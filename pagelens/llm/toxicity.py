@@ -27,11 +27,11 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import by_value, small_batches, stored
+from .common import bounded_sample, by_value, small_batches, stored
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -121,10 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     by_value(__name__, textops.__name__)
     small_batches(docs.sparkSession)
     flags = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) > 0).alias("toxic")).filter(
-        F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+        F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).distinct()
     sizes = {r.toxic: r["count"] for r in flags.groupBy("toxic").count().collect()}
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id")
-    some = stored(flags.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_class).select("doc_id", "toxic").distinct())
+    some = stored(bounded_sample(flags, "toxic", per_class, sizes, F.lit("toxicity"), F.col("doc_id")))
     # At most 2 * per_class narrow rows.
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(some), "doc_id")
 
