@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, by_value, maybe_broadcast, small_batches
+from .common import ascii_lower, by_value, maybe_broadcast, small_batches, stored
 
 #: Hand-labelled names: words of hosts and paths to block and to allow.
 TRAINING = {
@@ -52,6 +52,8 @@ PRIOR = math.log(0.2 / 0.8)
 #: A piece counts as a word if it occurs in at most so long a form, in at least
 #: so many hosts; words of TRAINING count as SEED_HOSTS hosts.
 MAX_WORD, MIN_HOSTS, SEED_HOSTS = 24, 3, 50
+#: Hosts (with their words) that may be broadcast to the pages.
+BROADCAST_HOSTS = 100_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -148,7 +150,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     p = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     weights = F.create_map(*[F.lit(x) for kv in naive_bayes(training).items() for x in kv])
     of_path = F.aggregate(_pieces(F.col("path")), F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(weights, w), F.lit(0.0)))
-    j = p.join(host_scores(p, training), "host", "left")
+    # Stored, so that beyond the bound both sides are dealt anew and a hot
+    # host's pages can be split.
+    j = p.join(maybe_broadcast(stored(host_scores(p, training)), BROADCAST_HOSTS), "host", "left")
     score = F.lit(PRIOR) + F.coalesce("host_score", F.lit(0.0)) + of_path
     j = j.select("page_id", "host", "path", fitting_rule(F.col("host"), F.col("path"), rules).alias("r"), score.alias("score"),
                  F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words"))
