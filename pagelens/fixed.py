@@ -57,28 +57,6 @@ CLEAN_DROP_VOID = ["meta", "link", "base"]
 # Text under these keeps its whitespace.
 WHITESPACE_KEEP_PARENTS = ["pre", "code", "textarea"]
 
-# Named character references decoded by the flat (regex) text forms.
-# The tree builder decodes the full HTML5 table; the flat forms use this
-# list, which covers every reference that occurs in the page tables.
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&hellip;", "…"),
-    ("&mdash;", "—"),
-    ("&ndash;", "–"),
-    ("&euro;", "€"),
-    ("&pound;", "£"),
-    ("&yen;", "¥"),
-    ("&amp;", "&"),  # last, so `&amp;lt;` stays `&lt;`
-]
-
 # Void elements for the tree builder.
 VOID_TAGS = [
     "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen",
@@ -183,11 +161,14 @@ NAV_UPPER_ALLOWED = "NEW BALANCE"
 CATEGORY_TERMS = ["perfumes", "shoes", "clothing", "accessories", "men", "women", "kids"]
 CONTAINER_MAX_LEVELS = 5
 CONTAINER_SOURCE_LIMIT = 5
-CONTAINER_PRODUCT_CLASSES = ["product", "item", "card", "listing"]
+# class substrings, and the element name "article", in this order
+CONTAINER_PRODUCT_CLASSES = ["product", "item", "card", "article", "listing"]
 CONTAINER_PRODUCT_MARKS = ["Rs.", "$", "New Balance"]
 CONTAINER_TOP = 10
 PAIR_TITLE_MARK = "New Balance"
 RELATED_MAX_DISTANCE = 5
+# With fewer records than this share of the values, pairing is tried.
+STRUCTURED_SHARE = 0.3
 
 # ---------------------------------------------------------------------------
 # Rule learning
@@ -209,6 +190,9 @@ ROUTES = [
     ("item", ["shoe", "shoes", "product", "item", "new balance"]),
 ]
 ROUTE_GENERIC = "generic"
+# What prompt routing reads of a page.
+PROMPT_SAMPLE_CHARS = 2000
+PROMPT_SAMPLE_TAGS = 10
 
 MULTI_ITEM_WORDS = [
     "quote", "quotes", "items", "products", "articles", "posts", "comments",
@@ -270,6 +254,9 @@ COUNT_VAR_NORM = 100.0
 MEAN_LENGTH_VAR_NORM = 1000.0
 COVERAGE_NORM = 10.0
 RELEVANCE_CURRENCY = ["$", "€", "£", "¥"]
+RELEVANCE_PRICE_WORDS = ["price", "cost", "amount", "money"]
+RELEVANCE_TITLE_WORDS = ["title", "heading", "name"]
+RELEVANCE_LINK_WORDS = ["link", "url", "href"]
 
 # ---------------------------------------------------------------------------
 # Rule table

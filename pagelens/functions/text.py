@@ -6,6 +6,8 @@ inside whole-stage codegen next to the scan.
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,28 +24,120 @@ def _lit_re(s: str) -> str:
     return "".join(out)
 
 
+#: White space of a text node, as characters or as references to a no-break
+#: space (which cleaning reads as the character).
+TEXT_WS = (r"(?:[ \t\n\r\f\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+           r"|&nbsp;|&#0*160;|&#[xX]0*[aA]0;)")
+#: A tag (quoted values may hold ``>``), a run of text, or a stray ``<``.
+TOKEN = r"""</?[a-zA-Z!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
+KEEP = "|".join(fixed.WHITESPACE_KEEP_PARENTS)
+#: An element whose own text keeps its white space, up to its end tag.
+KEPT_ELEMENT = rf"(?is)<({KEEP})\b[^>]*>.*?</\1{WS}*>"
+
+#: A tag with blanks that whole-page replacements would touch, an angle bracket
+#: in a quoted value, or a stray ``<``.
+TRICKY_TAG = rf"""<[a-zA-Z/!?][^<>]*(?:{TEXT_WS}{{2}}|[\t\n\r\f\x0B\x{{A0}}]|&nbsp;)|=["'][^"'<>]*[<>]|={WS}*["']{WS}|<(?![a-zA-Z/!?])|{WS}["'][^<>]*>"""
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often
+    ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _squeeze_text(tok: Column) -> Column:
+    """A text token as cleaning leaves it: trimmed, runs of blanks one space."""
+    return F.regexp_replace(F.regexp_replace(tok, rf"^{TEXT_WS}+|{TEXT_WS}+$", ""), TEXT_WS + "+", " ")
+
+
+def _squeeze_between_tags(part: Column) -> Column:
+    """Every text token squeezed; tags, and so attribute values, stay as they are."""
+    toks = F.regexp_extract_all(part, F.lit(TOKEN), F.lit(0))
+    return F.array_join(F.transform(toks, lambda t: F.when(F.startswith(t, F.lit("<")), t).otherwise(_squeeze_text(t))), "")
+
+
+def _squeeze_inside(block: Column) -> Column:
+    """A kept element: its direct text stays, text of elements in it is
+    squeezed.  The depth of a token follows from the tags before it."""
+    toks = F.regexp_extract_all(block, F.lit(TOKEN), F.lit(0))
+    void = r"(?i)^<(?:" + "|".join(fixed.VOID_TAGS) + r")\b|/>$|^<[!?]"
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, t):
+        tag = F.startswith(t, F.lit("<")) & (F.length(t) > 1)
+        move = F.when(~tag | F.regexp_like(t, F.lit(void)), 0).when(F.startswith(t, F.lit("</")), -1).otherwise(1)
+        text = F.when(tag | (acc["depth"] <= 1), t).otherwise(_squeeze_text(t))
+        return F.struct((acc["depth"] + move).alias("depth"), F.concat(acc["out"], F.array(text)).alias("out"))
+
+    return F.array_join(F.aggregate(toks, start, step)["out"], "")
+
+
 def clean_html(html: Column) -> Column:
     """Drop script/style/noscript (with content), comments and
-    meta/link/base, then normalise whitespace the way per-text-node
-    trimming does: blanks next to a tag vanish, other runs become one space.
-    Blank input gives ``""``.
+    meta/link/base, then normalise the white space of every text: trimmed, runs
+    of blanks one space.  Text directly under pre/code/textarea and attribute
+    values stay as they are.  Blank input gives ``""``.
     """
     out = F.coalesce(html, F.lit(""))
     for tag in fixed.CLEAN_DROP_WITH_CONTENT:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}{WS}*>", "")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
     out = F.regexp_replace(out, r"(?is)<(?:" + "|".join(fixed.CLEAN_DROP_VOID) + r")\b[^>]*>", "")
-    out = F.regexp_replace(out, WS + r"+<", "<")
-    out = F.regexp_replace(out, ">" + WS + "+", ">")
-    out = F.regexp_replace(out, WS + "+", " ")
-    return F.trim(out)
+    return let(out, _squeeze_page)
+
+
+def _squeeze_page(out: Column) -> Column:
+    # Without blanks or angle brackets to protect, whole-page replacements do.
+    plain = F.regexp_replace(F.regexp_replace(out, TEXT_WS + "+<", "<"), ">" + TEXT_WS + "+", ">")
+    plain = F.regexp_replace(F.regexp_replace(plain, rf"^{TEXT_WS}+|{TEXT_WS}+$", ""), TEXT_WS + "+", " ")
+    # Kept elements alternate with the rest of the page.
+    rest, kept = F.split(out, KEPT_ELEMENT), F.regexp_extract_all(out, F.lit(KEPT_ELEMENT), F.lit(0))
+    both = F.arrays_zip(rest.alias("rest"), kept.alias("kept"))
+    parts = F.transform(both, lambda x: F.concat(_squeeze_between_tags(x["rest"]), F.coalesce(_squeeze_inside(x["kept"]), F.lit(""))))
+    return (F.when(F.regexp_like(out, F.lit(rf"(?i)<(?:{KEEP})\b")), F.array_join(parts, ""))
+            .when(F.regexp_like(out, F.lit(TRICKY_TAG)), _squeeze_between_tags(out)).otherwise(plain))
+
+
+#: References that need no semicolon, longest first.
+_BARE = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+REFERENCE = rf"&(?:#[0-9]{{1,7}};?|#[xX][0-9a-fA-F]{{1,6}};?|[A-Za-z][A-Za-z0-9]*;|(?:{_BARE}))"
+
+
+#: Every named reference and its text, as one searchable string.
+_NAMED = "\x01" + "".join(f"{name}\x02{text}\x01" for name, text in sorted(html.entities.html5.items()))
+#: Looked at before the long string: the references of usual pages.
+_USUAL = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "copy;", "middot;", "hellip;", "mdash;", "ndash;", "rsquo;", "lsquo;", "euro;"]
+
+
+def _named(name: Column) -> Column:
+    """The text of a named reference (without ``&``), null if there is none."""
+    at = F.instr(F.lit(_NAMED), F.concat(F.lit("\x01"), name, F.lit("\x02")))
+    rest = F.substring(F.lit(_NAMED), at + F.length(name) + 2, F.lit(4))
+    return F.when(at > 0, F.substring_index(rest, "\x01", 1))
+
+
+def _decode_reference(ref: Column) -> Column:
+    body = F.regexp_replace(ref, "^&|;$", "")
+    number = F.when(F.startswith(body, F.lit("#x")) | F.startswith(body, F.lit("#X")),
+                    F.conv(F.substring(body, 3, 8), 16, 10)).otherwise(F.substring(body, 2, 8)).cast("int")
+    char = F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), F.lit("\ufffd")).otherwise(
+        F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    bare = F.regexp_extract(ref, rf"^&({_BARE})", 1)  # an unknown name may begin with a known one
+    out = F.when(F.startswith(body, F.lit("#")), char)
+    for name in _USUAL:
+        out = out.when(ref == "&" + name, html.entities.html5[name])
+    return out.otherwise(F.coalesce(_named(F.substring(ref, 2, 64)), F.concat(
+        _named(bare), F.substring(ref, F.length(bare) + 2, F.length(ref))), ref))
 
 
 def decode_entities(s: Column) -> Column:
-    """Decode the fixed list of character references (flat text forms)."""
-    for ent, ch in fixed.ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    return s
+    """Decode every HTML5 character reference once, named or numeric."""
+    def decode(t):
+        both = F.arrays_zip(F.split(t, REFERENCE).alias("text"), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)).alias("ref"))
+        out = F.transform(both, lambda x: F.concat(x["text"], F.coalesce(_decode_reference(x["ref"]), F.lit(""))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(out, "")).otherwise(t)
+
+    return let(s, decode)
 
 
 def squeeze(s: Column) -> Column:
@@ -56,11 +150,6 @@ def page_text(html_clean: Column) -> Column:
     return squeeze(decode_entities(F.regexp_replace(html_clean, r"<[^>]*>", " ")))
 
 
-def text_length(html_clean: Column) -> Column:
-    """Length of all text joined with no separator."""
-    return F.length(decode_entities(F.regexp_replace(html_clean, r"<[^>]*>", "")))
-
-
 def contains_any(s: Column, needles: list[str]) -> Column:
     cond = F.lit(False)
     for n in needles:
@@ -68,17 +157,6 @@ def contains_any(s: Column, needles: list[str]) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def char_pattern_v2(s: Column, width: int = 20) -> Column:
-    """D/L/S/P code of the first ``width`` characters (digit, letter,
-    whitespace, other).  Letters are coded first so the code letters are
-    not re-coded."""
-    head = F.substring(s, 1, width)
-    out = F.regexp_replace(head, r"\p{L}", "L")
-    out = F.regexp_replace(out, r"\p{Nd}", "D")
-    out = F.regexp_replace(out, WS, "S")
-    return F.regexp_replace(out, r"[^LDS]", "P")
-
-
 def char_pattern_v1(s: Column, width: int = 20) -> Column:
     """Phase-one code: digits -> D, then ASCII letters (D included) -> L,
     then anything not a word character or blank -> S; first ``width``."""

@@ -8,13 +8,16 @@ profiles, structuring, validation) is a join/aggregate over the node table.
 Node numbering is pre-order over elements *and* text nodes, so:
 
 * child(c, p):       c.page_id = p.page_id AND c.parent = p.pre
-* descendant(d, a):  d.page_id = a.page_id AND a.pre IN d.anc
-  (``anc`` is the root-first list of ancestor numbers; exploding it gives an
-  equi-join instead of a range join, so work stays linear in nodes×depth)
 * subtree(a):        a.pre < d.pre <= a.last
-
-Unparsable or oversized pages become one ``kind='error'`` row (never a job
-failure, never a silent drop); :func:`node_errors` splits them out.
+* texts below a:     the text nodes with the ordinals ``t_from`` to
+  ``t_from + t_count - 1`` of the page, so they meet a selected element by an
+  equi-join on (page_id, ordinal); work is linear in what is selected
+* ``up``:            the nearest ancestors, nearest first, ``NEAR`` at most
+
+A page's rows take memory and time in proportion to its length, however long
+it is and however deep its elements are nested.  Pages that cannot be parsed
+become one ``kind='error'`` row (never a job failure, never a silent drop);
+:func:`node_errors` splits them out and rule execution reports them.
 """
 
 from __future__ import annotations
@@ -29,10 +32,14 @@ from .. import fixed
 NODE_DDL = (
     "page_id bigint, pre int, last int, parent int, depth int, kind string, tag string, "
     "ptag string, cls string, elem_id string, href string, attr_names array<string>, "
-    "attr_values array<string>, text string, first_text string, first_desc_text string, "
-    "n_text int, n_elem int, next_sib int, text_len int, anc array<int>, src_start int, src_end int"
+    "attr_values array<string>, text string, first_text string, "
+    "n_text int, n_elem int, next_sib int, text_len int, t_from int, t_count int, up array<int>, "
+    "src_start int, src_end int"
 )
 
+#: Ancestors kept in ``up``: what relatedness and containers look at.
+NEAR = max(fixed.CONTAINER_MAX_LEVELS, fixed.RELATED_MAX_DISTANCE) + 1
+
 _VOID = frozenset(fixed.VOID_TAGS)
 _CLOSES_P = frozenset(fixed.CLOSES_P)
 _P_SCOPE_STOP = frozenset(["table", "td", "th", "caption", "button", "html", "body"])
@@ -43,8 +50,6 @@ _CELL_STOP = frozenset(["tr", "table", "body", "html"])
 _NEVER_CLOSED = frozenset(["html", "body"])
 _BLANK_SKIP_PARENTS = frozenset(["html", "head"])
 
-DEFAULT_MAX_HTML_CHARS = 5_000_000
-
 
 class _TreeBuilder(HTMLParser):
     """Builds the node list in document (pre) order."""
@@ -57,25 +62,28 @@ class _TreeBuilder(HTMLParser):
         while pos >= 0:
             self.line_starts.append(pos + 1)
             pos = html.find("\n", pos + 1)
-        # per node: [kind, tag, parent, depth, attrs, text, anc, start, end, last]
         self.kind: list[str] = []
         self.tag: list[str | None] = []
         self.parent: list[int] = []
         self.depth: list[int] = []
         self.attrs: list[list[tuple[str, str]] | None] = []
-        self.text: list[str | None] = []
-        self.anc: list[list[int]] = []
+        self.text: list[list[str] | None] = []  # pieces of a text node
         self.start: list[int] = []
         self.end: list[int] = []
         self.last: list[int] = []
         self.first_text: list[int] = []
-        self.first_desc: list[int] = []
         self.n_text: list[int] = []
         self.n_elem: list[int] = []
         self.next_sib: list[int] = []
         self.last_elem_child: list[int] = []
+        # Texts and characters before a node when it opens, within it after.
+        self.t_from: list[int] = []
+        self.t_count: list[int] = []
         self.text_len: list[int] = []
+        self.n_texts = 0
+        self.n_chars = 0
         self.stack: list[int] = []
+        self.open_at: dict[str, list[int]] = {}  # tag -> its places in the stack
         self.last_child_text = -1  # index of the text node that may absorb more data
 
     # -- helpers ---------------------------------------------------------
@@ -92,47 +100,48 @@ class _TreeBuilder(HTMLParser):
         self.depth.append(len(self.stack))
         self.attrs.append(attrs)
         self.text.append(text)
-        self.anc.append(list(self.stack))
         self.start.append(start)
         self.end.append(start)
         self.last.append(idx)
         self.first_text.append(-1)
-        self.first_desc.append(-1)
         self.n_text.append(0)
         self.n_elem.append(0)
         self.next_sib.append(-1)
         self.last_elem_child.append(-1)
-        self.text_len.append(0)
+        self.t_from.append(self.n_texts)
+        self.t_count.append(0)
+        self.text_len.append(self.n_chars)
         return idx
 
+    def _push(self, idx: int) -> None:
+        self.open_at.setdefault(self.tag[idx], []).append(len(self.stack))
+        self.stack.append(idx)
+
     def _close_top(self, end: int) -> None:
         idx = self.stack.pop()
+        self.open_at[self.tag[idx]].pop()
         self.last[idx] = len(self.kind) - 1
         self.end[idx] = end
+        self.t_count[idx] = self.n_texts - self.t_from[idx]
+        self.text_len[idx] = self.n_chars - self.text_len[idx]
         self.last_child_text = -1
 
     def _close_through(self, pos_in_stack: int, end: int) -> None:
         while len(self.stack) > pos_in_stack:
             self._close_top(end)
 
+    def _innermost(self, names) -> int:
+        return max((self.open_at[t][-1] for t in names if self.open_at.get(t)), default=-1)
+
     def _find_open(self, names, stops) -> int:
-        for i in range(len(self.stack) - 1, -1, -1):
-            t = self.tag[self.stack[i]]
-            if t in names:
-                return i
-            if t in stops:
-                return -1
-        return -1
+        """Place of the innermost open element of ``names``, unless one of
+        ``stops`` lies within it."""
+        at = self._innermost(names)
+        return at if at > self._innermost(stops) else -1
 
     def _ensure_root(self, start: int) -> None:
-        if not self.stack and not self.kind:
-            pass
         if not self.stack:
-            if self.kind:  # content after the root was closed: reopen root
-                self.stack.append(0)
-            else:
-                self._new("elem", "html", [], None, start)
-                self.stack.append(0)
+            self._push(self._new("elem", "html", [], None, start))
 
     # -- parser callbacks --------------------------------------------------
     def handle_starttag(self, tag, attrs):
@@ -144,8 +153,7 @@ class _TreeBuilder(HTMLParser):
     def _open(self, tag, attrs, self_closing):
         start = self._offset()
         if tag == "html" and not self.kind:
-            idx = self._new("elem", "html", _dedup_attrs(attrs), None, start)
-            self.stack.append(idx)
+            self._push(self._new("elem", "html", _dedup_attrs(attrs), None, start))
             return
         if tag == "html":
             return
@@ -181,7 +189,7 @@ class _TreeBuilder(HTMLParser):
         if prev >= 0:
             self.next_sib[prev] = idx
         self.last_elem_child[par] = idx
-        self.stack.append(idx)
+        self._push(idx)
         self.last_child_text = -1
         if tag in _VOID or self_closing:
             raw = self.get_starttag_text() or ""
@@ -190,20 +198,18 @@ class _TreeBuilder(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _NEVER_CLOSED:
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.tag[self.stack[i]] == tag:
-                start = self._offset()
-                close = self.src.find(">", start)
-                self._close_through(i, (close + 1) if close >= 0 else len(self.src))
-                return
+        i = self._innermost((tag,))
+        if i >= 0:
+            start = self._offset()
+            close = self.src.find(">", start)
+            self._close_through(i, (close + 1) if close >= 0 else len(self.src))
 
     def handle_data(self, data):
         if not data:
             return
         if self.last_child_text >= 0:
-            self.text[self.last_child_text] += data
-            for e in self.stack:
-                self.text_len[e] += len(data)
+            self.text[self.last_child_text].append(data)
+            self.n_chars += len(data)
             return
         if not self.stack:
             if not data.strip():
@@ -212,18 +218,14 @@ class _TreeBuilder(HTMLParser):
         par = self.stack[-1]
         if self.tag[par] in _BLANK_SKIP_PARENTS and not data.strip():
             return
-        idx = self._new("text", None, None, data, self._offset())
+        idx = self._new("text", None, None, [data], self._offset())
         self.last[idx] = idx
+        self.n_texts += 1
+        self.t_count[idx] = 1
+        self.n_chars += len(data)
         self.n_text[par] += 1
-        for e in self.stack:
-            self.text_len[e] += len(data)
         if self.first_text[par] < 0:
             self.first_text[par] = idx
-        for i in range(len(self.stack) - 1, -1, -1):
-            e = self.stack[i]
-            if self.first_desc[e] >= 0:
-                break
-            self.first_desc[e] = idx
         self.last_child_text = idx
 
     def handle_comment(self, data):
@@ -255,13 +257,10 @@ def parse_page(html: str):
     return b
 
 
-def _page_rows(page_id, html, max_chars, cols):
+def _page_rows(page_id, html, cols):
     if html is None or not html.strip():
         _error_row(cols, page_id, "HTML parsing failed: empty document")
         return
-    if len(html) > max_chars:
-        _error_row(cols, page_id, f"HTML parsing failed: page larger than {max_chars} characters")
-        return
     try:
         b = parse_page(html)
     except Exception as exc:  # the page becomes an error row
@@ -269,7 +268,7 @@ def _page_rows(page_id, html, max_chars, cols):
         return
     n = len(b.kind)
     tags = b.tag
-    texts = b.text
+    texts = ["".join(t) if t is not None else None for t in b.text]
     for i in range(n):
         kind = b.kind[i]
         par = b.parent[i]
@@ -281,7 +280,13 @@ def _page_rows(page_id, html, max_chars, cols):
         cols["kind"].append(kind)
         cols["tag"].append(tags[i])
         cols["ptag"].append(tags[par] if par >= 0 else None)
-        cols["anc"].append(b.anc[i])
+        cols["t_from"].append(b.t_from[i])
+        cols["t_count"].append(b.t_count[i])
+        near, a = [], par
+        while a >= 0 and len(near) < NEAR:
+            near.append(a)
+            a = b.parent[a]
+        cols["up"].append(near)
         cols["src_start"].append(b.start[i])
         cols["src_end"].append(b.end[i])
         if kind == "elem":
@@ -294,9 +299,7 @@ def _page_rows(page_id, html, max_chars, cols):
             cols["attr_values"].append([v for _, v in attrs])
             cols["text"].append(None)
             ft = b.first_text[i]
-            fd = b.first_desc[i]
             cols["first_text"].append(texts[ft] if ft >= 0 else None)
-            cols["first_desc_text"].append(texts[fd] if fd >= 0 else None)
             cols["n_text"].append(b.n_text[i])
             cols["n_elem"].append(b.n_elem[i])
             cols["next_sib"].append(b.next_sib[i])
@@ -309,7 +312,6 @@ def _page_rows(page_id, html, max_chars, cols):
             cols["attr_values"].append([])
             cols["text"].append(texts[i])
             cols["first_text"].append(None)
-            cols["first_desc_text"].append(None)
             cols["n_text"].append(0)
             cols["n_elem"].append(0)
             cols["next_sib"].append(-1)
@@ -323,7 +325,7 @@ def _error_row(cols, page_id, message):
     cols["pre"][-1] = -1
     cols["kind"][-1] = "error"
     cols["text"][-1] = message
-    cols["anc"][-1] = []
+    cols["up"][-1] = []
     cols["attr_names"][-1] = []
     cols["attr_values"][-1] = []
 
@@ -345,7 +347,7 @@ def _arrow_schema():
     return pa.schema(fields)
 
 
-def _parse_batches(max_chars):
+def _parse_batches():
     def run(batches):
         import pyarrow as pa
 
@@ -355,7 +357,7 @@ def _parse_batches(max_chars):
             htmls = batch.column("html").to_pylist()
             cols = {k: [] for k in _NAMES}
             for pid, html in zip(ids, htmls):
-                _page_rows(pid, html, max_chars, cols)
+                _page_rows(pid, html, cols)
                 if len(cols["pre"]) >= 65536:
                     yield pa.RecordBatch.from_pydict(cols, schema=schema)
                     cols = {k: [] for k in _NAMES}
@@ -365,30 +367,26 @@ def _parse_batches(max_chars):
     return run
 
 
-def _ship_parser() -> None:
-    """Pickle this module's parser by value so executors need no installed
+def ship(module: str) -> None:
+    """Pickle a module's functions by value so executors need no installed
     copy of the package (the same effect as shipping it with --py-files)."""
     import sys
 
     from pyspark import cloudpickle
 
-    try:
-        cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    except ValueError:  # already registered
-        pass
+    cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def parse_nodes(pages: DataFrame, html_col: str = "html", max_html_chars: int = DEFAULT_MAX_HTML_CHARS,
-                partitions: int | None = None) -> DataFrame:
+def parse_nodes(pages: DataFrame, html_col: str = "html", partitions: int | None = None) -> DataFrame:
     """pages(page_id, html) -> raw node rows (including error rows).
 
     The result is hash-partitioned by ``page_id`` so every later
     (page_id, ...) join and aggregate reuses this one exchange.
     """
     spark = pages.sparkSession
-    _ship_parser()
+    ship(__name__)
     src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col(html_col).alias("html"))
-    raw = src.mapInArrow(_parse_batches(max_html_chars), NODE_DDL)
+    raw = src.mapInArrow(_parse_batches(), NODE_DDL)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = raw.repartition(n, "page_id")
     return raw.withColumn(
@@ -396,13 +394,11 @@ def parse_nodes(pages: DataFrame, html_col: str = "html", max_html_chars: int =
     ).drop("attr_names", "attr_values")
 
 
-def dom_nodes(pages: DataFrame, html_col: str = "html", max_html_chars: int = DEFAULT_MAX_HTML_CHARS,
-              persist: bool = True) -> DataFrame:
-    """Node table without error rows (use :func:`node_errors` for those)."""
-    nodes = parse_nodes(pages, html_col, max_html_chars)
-    if persist:
-        nodes = nodes.persist()
-    return nodes
+def dom_nodes(pages: DataFrame, html_col: str = "html", persist: bool = True) -> DataFrame:
+    """Node table (with error rows), kept for the operators that share it.
+    The caller that made it releases it with ``unpersist()``."""
+    nodes = parse_nodes(pages, html_col)
+    return nodes.persist() if persist else nodes
 
 
 def good_nodes(nodes: DataFrame) -> DataFrame:
@@ -421,25 +417,32 @@ def text_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind") == "text")
 
 
-def descendant_texts(nodes: DataFrame) -> DataFrame:
-    """(page_id, anc_pre, pre, text): each text node once per ancestor."""
-    return text_nodes(nodes).select(
-        "page_id", F.explode("anc").alias("anc_pre"), "pre", "text"
-    )
+def first_descendant_text(nodes: DataFrame, elems: DataFrame) -> DataFrame:
+    """``elems`` (page_id, t_from, t_count, ...) with ``first_desc_text``, the
+    first text below each element (null if there is none)."""
+    t = text_nodes(nodes).select(F.col("page_id").alias("f_page"), F.col("t_from").alias("f_at"), F.col("text").alias("first_desc_text"))
+    on = (F.col("page_id") == F.col("f_page")) & (F.col("t_from") == F.col("f_at")) & (F.col("t_count") > 0)
+    return elems.join(t, on, "left").drop("f_page", "f_at")
+
+
+def texts_below(nodes: DataFrame, elems: DataFrame) -> DataFrame:
+    """Each of ``elems`` (page_id, t_from, t_count, other columns) with every
+    text node below it: adds (tpre, ttext)."""
+    t = text_nodes(nodes).select(F.col("page_id").alias("d_page"), F.col("t_from").alias("d_at"), F.col("pre").alias("tpre"),
+                                 F.col("text").alias("ttext"))
+    e = elems.filter(F.col("t_count") > 0).withColumn("t_at", F.explode(F.sequence("t_from", F.col("t_from") + F.col("t_count") - 1)))
+    return e.join(t, (F.col("page_id") == F.col("d_page")) & (F.col("t_at") == F.col("d_at"))).drop("d_page", "d_at", "t_at")
 
 
 def element_text(nodes: DataFrame, elems: DataFrame, key_cols: list[str]) -> DataFrame:
     """Full text content (descendant texts in document order) of the
     elements in ``elems`` (columns page_id, pre + key_cols).  Groups are one
     element's subtree, bounded by the page size."""
-    d = descendant_texts(nodes).select(
-        F.col("page_id").alias("d_page"), F.col("anc_pre").alias("d_anc"),
-        F.col("pre").alias("tpre"), F.col("text").alias("ttext"),
-    )
-    e = elems.select(F.col("page_id").alias("e_page"), F.col("pre").alias("e_pre"), *key_cols)
-    j = e.join(d, (F.col("e_page") == F.col("d_page")) & (F.col("e_pre") == F.col("d_anc")), "left")
-    return j.groupBy(F.col("e_page").alias("page_id"), F.col("e_pre").alias("pre"), *key_cols).agg(
+    span = elements(nodes).select("page_id", "pre", "t_from", "t_count")
+    e = elems.select("page_id", "pre", *key_cols).join(span, ["page_id", "pre"])
+    j = texts_below(nodes, e).groupBy("page_id", "pre", *key_cols).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("tpre", "ttext"))), lambda s: s["ttext"]), ""
-        ).alias("text_content")
-    )
+        ).alias("text_content"))
+    return e.select("page_id", "pre", *key_cols).join(j, ["page_id", "pre", *key_cols], "left").withColumn(
+        "text_content", F.coalesce("text_content", F.lit("")))

@@ -6,12 +6,14 @@ page's results for one rule, bounded by the page and by the per-step cap.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..session import BROADCAST_MAX_ROWS
-from . import dom, select
+from . import dom, select, structure
 
 KEY = select.KEY
 
@@ -21,10 +23,11 @@ def rule_grid(pages: DataFrame, steps: DataFrame) -> DataFrame:
     page × step in scope.
 
     A step table with a ``domain`` column applies each rule to its domain's
-    pages (equi-join); without it every rule applies to every page.  Either
-    way the rule side is a size-checked broadcast and each page row meets
-    only its own rules, so the grid is linear in pages.
+    pages (equi-join); without it every rule applies to every page, which is
+    meant for a rule set of bounded size: beyond the bound the caller has to
+    say which rules belong to which pages (``pairs`` or ``domain``).
     """
+    n = select.rule_meta(steps)["n_steps"]
     cols = [*KEY, "xpath", (F.size("branches") > 0).alias("has_branches")]
     if "domain" in steps.columns:
         from ..functions import urls
@@ -32,10 +35,11 @@ def rule_grid(pages: DataFrame, steps: DataFrame) -> DataFrame:
         p = pages.select("page_id", F.explode(F.array(urls.domain(F.col("url")), F.lit("*"))).alias("scope"))
         r = steps.select(F.coalesce(F.col("domain"), F.lit("*")).alias("scope"), *cols)
     else:
+        if n > BROADCAST_MAX_ROWS:
+            raise ValueError(f"more than {BROADCAST_MAX_ROWS} rule steps for every page: give the pairs of pages and rules")
         p = pages.select("page_id", F.lit("*").alias("scope"))
         r = steps.select(F.lit("*").alias("scope"), *cols)
-    small = select.rule_meta(steps)["n_steps"] <= BROADCAST_MAX_ROWS
-    return p.join(F.broadcast(r) if small else r, "scope").drop("scope")
+    return p.join(select.small(r, n), "scope").drop("scope")
 
 
 def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None,
@@ -46,7 +50,8 @@ def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None
 
     values: (page_id, sequence_id, step_index, ord, node, value)
     step_status: (page_id, sequence_id, step_index, xpath, status, element_count,
-                  data_count, error_message)
+                  data_count, error_message, page_failed, has_branches); a page that
+                  cannot be parsed fails every step with its parse error
     """
     sets = select.select_nodes(nodes, steps, pairs)
     vals = select.node_values(nodes, pages, steps, sets, normalize_whitespace=normalize_whitespace,
@@ -64,22 +69,25 @@ def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None
     counts_v = vals.groupBy("page_id", *KEY).agg(F.max("ord").alias("n_all"))
     if pairs is not None:
         grid = pairs.select("page_id", "sequence_id").distinct().join(
-            F.broadcast(steps.select(*KEY, "xpath", (F.size("branches") > 0).alias("has_branches"))), "sequence_id")
+            select.small(steps.select(*KEY, "xpath", (F.size("branches") > 0).alias("has_branches")), select.rule_meta(steps)["n_steps"]),
+            "sequence_id")
     else:
         grid = rule_grid(pages if pages is not None else nodes.select("page_id").distinct(), steps)
     st = (
         grid.join(counts_e, ["page_id", *KEY], "left")
         .join(counts_v, ["page_id", *KEY], "left")
+        .join(dom.node_errors(nodes).withColumnRenamed("error_message", "page_error"), "page_id", "left")
         .fillna(0, ["element_count", "n_all"])
     )
     status = (
-        F.when(~F.col("has_branches"), F.lit("failed"))
+        F.when(F.col("page_error").isNotNull() | ~F.col("has_branches"), F.lit("failed"))
         .when(F.col("n_all") == 0, F.lit("failed"))
         .when(F.col("n_all") > max_results, F.lit("partial"))
         .otherwise(F.lit("success"))
     )
     msg = (
-        F.when(~F.col("has_branches") & (F.coalesce(F.col("xpath"), F.lit("")) == ""), F.lit(fixed.MSG_NO_XPATH))
+        F.when(F.col("page_error").isNotNull(), F.col("page_error"))
+        .when(~F.col("has_branches") & (F.coalesce(F.col("xpath"), F.lit("")) == ""), F.lit(fixed.MSG_NO_XPATH))
         .when(~F.col("has_branches"), F.lit(fixed.MSG_BAD_XPATH))
         .when(F.col("n_all") == 0, F.lit(fixed.MSG_NO_DATA))
         .when(F.col("n_all") > max_results, F.lit(fixed.MSG_TRUNCATED.format(n=max_results)))
@@ -88,19 +96,22 @@ def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None
         "page_id", *KEY, "xpath", status.alias("status"),
         F.when(F.col("has_branches"), F.col("element_count")).otherwise(F.lit(0)).cast("bigint").alias("element_count"),
         F.least(F.col("n_all"), F.lit(max_results)).cast("bigint").alias("data_count"),
-        msg.alias("error_message"),
+        msg.alias("error_message"), F.col("page_error").isNotNull().alias("page_failed"), "has_branches",
     )
     vals = vals.filter(F.col("ord") <= max_results).select("page_id", *KEY, "ord", "node", "value")
     return vals, st
 
 
-def sequence_results(values: DataFrame, step_status: DataFrame, steps: DataFrame,
-                     pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def sequence_results(values: DataFrame, step_status: DataFrame, steps: DataFrame, pages: DataFrame | None = None,
+                     nodes: DataFrame | None = None, compat: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per (page, rule) concatenation of step values in step order,
-    de-duplicated keeping the first occurrence.
+    de-duplicated keeping the first occurrence, then grouped into records
+    (F11) if ``nodes`` is given.  Counts are those of the final data: records
+    where there are some, else values.
 
-    Returns (extracted, summary):
+    Returns (extracted, summary, data):
       extracted (page_id, sequence_id, idx, step_index, node, value)
+      data      (page_id, sequence_id, idx, value, record, strategy)
       summary   (page_id, sequence_id, success, total_steps, successful_steps,
                  failed_steps, data_count, error_summary, html_length,
                  unique_xpaths, success_rate, data_extraction_rate)
@@ -136,14 +147,19 @@ def sequence_results(values: DataFrame, step_status: DataFrame, steps: DataFrame
     agg = step_status.groupBy("page_id", "sequence_id").agg(
         F.sum(F.col("status").isin("success", "partial").cast("int")).alias("successful_steps"),
         F.sum((F.col("status") == "failed").cast("int")).alias("failed_steps"),
-        F.transform(
+        F.when(F.bool_or("page_failed"), F.array(F.max("error_message"))).otherwise(F.transform(
             F.array_sort(F.collect_list(F.when(msg.isNotNull(), F.struct(F.col("step_index"), msg.alias("m"))))),
             lambda s: s["m"],
-        ).alias("error_summary"),
+        )).alias("error_summary"),
     )
-    counts = extracted.groupBy("page_id", "sequence_id").agg(F.count("*").alias("data_count"))
+    if nodes is None:
+        data = extracted.select("page_id", "sequence_id", "idx", "value", F.lit(None).cast("map<string,string>").alias("record"),
+                                F.lit("flat").alias("strategy"))
+    else:
+        data = structure.structure(nodes, values, step_status, extracted, compat)
+    counts = data.groupBy("page_id", "sequence_id").agg(F.count("*").alias("data_count"))
     summary = (
-        agg.join(F.broadcast(per_rule), "sequence_id")
+        agg.join(select.small(per_rule, select.rule_meta(steps)["n_steps"]), "sequence_id")
         .join(counts, ["page_id", "sequence_id"], "left")
         .fillna(0, ["data_count"])
     )
@@ -162,18 +178,31 @@ def sequence_results(values: DataFrame, step_status: DataFrame, steps: DataFrame
         (F.col("successful_steps") / F.col("total_steps")).alias("success_rate"),
         (F.col("data_count") / F.col("total_steps")).alias("data_extraction_rate"),
     )
-    return extracted, summary
+    return extracted, summary, data
 
 
-def execute(pages: DataFrame, steps: DataFrame, nodes: DataFrame | None = None, **kw):
-    """pages × rules -> (extracted, summary, step_status)."""
-    if nodes is None:
-        nodes = dom.dom_nodes(pages)
+class Execution(NamedTuple):
+    extracted: DataFrame  # values, one row each
+    summary: DataFrame  # one row per page and rule
+    steps: DataFrame  # one row per page and rule step
+    data: DataFrame  # final data: records, or values where there are none
+    cached: tuple  # tables to release when the results are written
+
+    def release(self) -> None:
+        for df in self.cached:
+            df.unpersist()
+
+
+def execute(pages: DataFrame, steps: DataFrame, nodes: DataFrame | None = None, enable_structuring: bool = True,
+            compat: bool = False, **kw) -> Execution:
+    """pages × rules -> :class:`Execution`."""
+    own = () if nodes is not None else (dom.dom_nodes(pages),)
+    nodes = nodes if nodes is not None else own[0]
     vals, st = run_steps(nodes, steps, pages, **kw)
     # both feed the per-rule results and the step report: compute once
     vals, st = vals.persist(), st.persist()
-    extracted, summary = sequence_results(vals, st, steps, pages)
-    return extracted, summary, st
+    extracted, summary, data = sequence_results(vals, st, steps, pages, nodes if enable_structuring else None, compat)
+    return Execution(extracted, summary, st, data, (*own, vals, st))
 
 
 def execute_single(pages: DataFrame, steps: DataFrame, nodes: DataFrame | None = None, **kw):
@@ -188,11 +217,15 @@ def execute_single(pages: DataFrame, steps: DataFrame, nodes: DataFrame | None =
 
 
 def probe(pages: DataFrame, steps: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Does each rule run on each page, result count, first 3 results."""
-    single = execute_single(pages, steps, nodes)
+    """Whether each rule can run on each page, how many results of which
+    kinds it has (``elem`` / ``text`` / ``attr``), and the first 3 values."""
+    if nodes is None:
+        nodes = dom.dom_nodes(pages)
+    kinds = select.select_nodes(nodes, steps).groupBy("page_id", *KEY).agg(F.sort_array(F.collect_set("kind")).alias("result_types"))
+    single = execute_single(pages, steps, nodes).join(kinds, ["page_id", *KEY], "left")
     return single.select(
-        "page_id", *KEY, "xpath",
-        F.col("has_branches").alias("valid") if "has_branches" in single.columns else F.lit(True).alias("valid"),
+        "page_id", *KEY, "xpath", (F.col("has_branches") & ~F.col("page_failed")).alias("valid"),
         F.col("element_count").alias("result_count"),
+        F.coalesce("result_types", F.array().cast("array<string>")).alias("result_types"),
         F.slice("data", 1, 3).alias("sample_results"),
-    )
+        F.when(F.col("page_failed") | ~F.col("has_branches"), F.col("error_message")).alias("error_message"))

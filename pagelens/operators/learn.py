@@ -68,18 +68,19 @@ def route(hay: Column) -> Column:
     return out.otherwise(F.lit(fixed.ROUTE_GENERIC))
 
 
-def prompt_haystack(pages_clean: DataFrame, task_col: str = "task") -> DataFrame:
-    """Adds ``hay``: lower(task, first 10 distinct tag names sorted, first
-    2000 characters of the cleaned page) — what the keyword router reads in
-    prompt mode (the fixed prompt wording contains none of its keywords)."""
+def prompt_haystack(pages_clean: DataFrame, task_col: str = "task", sample_chars: int = fixed.PROMPT_SAMPLE_CHARS,
+                    sample_tags: int = fixed.PROMPT_SAMPLE_TAGS) -> DataFrame:
+    """Adds ``hay``: lower(task, first distinct tag names sorted, head of the
+    cleaned page) — what the keyword router reads in prompt mode (the fixed
+    prompt wording contains none of its keywords)."""
     from . import profile
 
     tags = profile.tag_tokens(pages_clean).groupBy("page_id").agg(
-        F.array_join(F.slice(F.array_sort(F.collect_set("tag")), 1, 10), ", ").alias("tag_list")
+        F.array_join(F.slice(F.array_sort(F.collect_set("tag")), 1, sample_tags), ", ").alias("tag_list")
     )
     j = pages_clean.join(tags, "page_id", "left")
     hay = F.lower(F.concat_ws(" ", F.col(task_col), F.coalesce(F.col("tag_list"), F.lit("")),
-                              F.substring(F.col("html_clean"), 1, 2000)))
+                              F.substring(F.col("html_clean"), 1, sample_chars)))
     return j.withColumn("hay", hay)
 
 
@@ -110,7 +111,8 @@ def task_match(value: Column, task: Column) -> Column:
 
 
 def score(values: DataFrame, keys: list[str], task_col: str = "task") -> DataFrame:
-    """G2-G6 per key group; ``values`` has keys + task + value.
+    """G2-G6 per key group; ``values`` has keys + task + value, each value of a
+    group once (extraction drops repeats, so there are no duplicate results).
 
     Returns keys + n, confidence, success, is_weak, has_meaningful,
     task_score, consistency, n_empty, n_short, n_long, n_dupes."""
@@ -126,7 +128,6 @@ def score(values: DataFrame, keys: list[str], task_col: str = "task") -> DataFra
         F.sum((strip_len == 0).cast("int")).alias("n_empty"),
         F.sum((strip_len < 3).cast("int")).alias("n_short"),
         F.sum((F.length("value") > 200).cast("int")).alias("n_long"),
-        F.count_distinct("value").alias("_distinct"),
     )
     weak = (F.col("n") == 1) & weak_task(F.col("_task"))
     q = F.when(weak, 0.6).when((F.col("n") >= 2) & (F.col("n") <= 20), 0.9).otherwise(0.7)
@@ -138,7 +139,7 @@ def score(values: DataFrame, keys: list[str], task_col: str = "task") -> DataFra
     out = agg.select(
         *keys, F.col("n").cast("bigint").alias("n"), weak.alias("is_weak"),
         (F.col("_meaningful") == 1).alias("has_meaningful"), "task_score", k.alias("consistency"), conf.alias("confidence"),
-        "n_empty", "n_short", "n_long", (F.col("n") - F.col("_distinct")).alias("n_dupes"),
+        "n_empty", "n_short", "n_long", F.lit(0).cast("bigint").alias("n_dupes"),
     )
     success = F.col("has_meaningful") & (F.col("confidence") >= F.when(F.col("is_weak"), 0.6).otherwise(0.5))
     return out.withColumn("success", success)
@@ -230,20 +231,29 @@ def repair_alternative(st: Step) -> Step:
 
 
 def repair_fine(st: Step, empty: bool, short: bool, long_: bool) -> Step:
-    if "/text()" not in st.display():
+    """A condition on every text result of the rule, whether its own text or
+    any text below; conditions add up."""
+    shown = st.display()
+    if "/text()" not in shown or not (empty or short or long_):
         return st
     st = copy.deepcopy(st)
-    texts = [b for b in st.branches if b.output == "text"]
     if empty:
-        for b in texts:
-            b.nonblank = True
+        cond, post = "normalize-space()", S.op("nonblank")
     elif short:
-        for b in texts:
-            b.min_len = 5
-    elif long_:
-        for b in texts:
-            b.max_len = 100
-    st.xpath = None
+        cond, post = "string-length(.) > 5", S.op("len_gt", 5)
+    else:
+        cond, post = "string-length(.) < 100", S.op("len_lt", 100)
+    for b in st.branches:
+        if b.output in ("text", "desc_text"):
+            if empty:
+                b.nonblank = True
+            elif short:
+                b.min_len = max(b.min_len or 0, 5)
+            else:
+                b.max_len = min(b.max_len or 100, 100)
+    st.post = [x for o in st.post for x in ([o, post] if o["op"] in ("child_text", "desc_text") else [o])]
+    # A condition that was there already still makes another rule text.
+    st.xpath = shown.replace("/text()", f"/text()[{cond}]")
     return st
 
 

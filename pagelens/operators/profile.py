@@ -36,10 +36,11 @@ def with_clean(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html_clean", T.clean_html(F.col("html")))
 
 
-def tag_tokens(pages_clean: DataFrame, html_col: str = "html_clean") -> DataFrame:
-    """(page_id, pos, tag, attrs, cls, has_class, has_id, has_href)."""
+def tag_tokens(pages_clean: DataFrame, html_col: str = "html_clean", carry: tuple = ()) -> DataFrame:
+    """(page_id, pos, tag, attrs, cls, has_class, has_id, has_href) and the
+    page columns to ``carry`` along."""
     toks = pages_clean.select(
-        "page_id", F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(TAG_RE), 0)).alias("pos", "tok")
+        "page_id", *carry, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(TAG_RE), 0)).alias("pos", "tok")
     )
     attrs = F.regexp_extract(F.col("tok"), TAG_RE, 2)
     cls = F.concat(
@@ -48,7 +49,7 @@ def tag_tokens(pages_clean: DataFrame, html_col: str = "html_clean") -> DataFram
     )
     has_class = F.regexp_like(attrs, F.lit(HAS_CLASS_RE))
     return toks.select(
-        "page_id", (F.col("pos") + 1).alias("pos"),
+        "page_id", *carry, (F.col("pos") + 1).alias("pos"),
         F.lower(F.regexp_extract(F.col("tok"), TAG_RE, 1)).alias("tag"),
         attrs.alias("attrs"),
         F.when(has_class, cls).alias("cls"),
@@ -67,37 +68,39 @@ def text_segments(pages_clean: DataFrame, html_col: str = "html_clean") -> DataF
     return segs.select("page_id", (F.col("seg_pos") + 1).alias("seg_pos"), t.alias("text")).filter(F.col("text") != "")
 
 
+def _page_arrays(pages_clean: DataFrame) -> DataFrame:
+    """(page_id, tags, attrs, texts): the tokens and segments of a page as
+    arrays of its row, so that counts are one projection without a shuffle."""
+    strip = lambda t: F.regexp_replace(T.decode_entities(t), STRIP_RE, "")
+    return pages_clean.select(
+        "page_id",
+        F.transform(F.regexp_extract_all("html_clean", F.lit(TAG_RE), F.lit(1)), F.lower).alias("tags"),
+        F.regexp_extract_all("html_clean", F.lit(TAG_RE), F.lit(2)).alias("attrs"),
+        F.filter(F.transform(F.regexp_extract_all("html_clean", F.lit(SEGMENT_RE), F.lit(1)), strip), lambda t: t != "").alias("texts"))
+
+
+def _count(array: Column, test) -> Column:
+    return F.size(F.filter(array, test)).cast("bigint")
+
+
 def structure_info(pages_clean: DataFrame) -> DataFrame:
     """C4: tag_count, class_count, has_classes, text_length per page."""
-    toks = tag_tokens(pages_clean).groupBy("page_id").agg(
-        F.count("*").alias("tag_count"), F.sum(F.col("has_class").cast("bigint")).alias("class_count")
-    )
-    txt = text_segments(pages_clean).groupBy("page_id").agg(F.sum(F.length("text")).cast("bigint").alias("text_length"))
-    base = pages_clean.select("page_id")
-    return (
-        base.join(toks, "page_id", "left").join(txt, "page_id", "left")
-        .fillna(0, ["tag_count", "class_count", "text_length"])
-        .select(
-            "page_id", F.col("tag_count").cast("bigint").alias("tag_count"),
-            F.col("class_count").cast("bigint").alias("class_count"),
-            (F.col("class_count") > 0).alias("has_classes"), "text_length",
-        )
-    )
+    classes = _count(F.col("attrs"), lambda a: F.regexp_like(a, F.lit(HAS_CLASS_RE)))
+    chars = F.aggregate("texts", F.lit(0).cast("bigint"), lambda n, t: n + F.length(t))
+    return _page_arrays(pages_clean).select(
+        "page_id", F.size("tags").cast("bigint").alias("tag_count"), classes.alias("class_count"), chars.alias("text_length")).withColumn(
+        "has_classes", F.col("class_count") > 0)
 
 
 def basic_stats(pages_clean: DataFrame) -> DataFrame:
     """D3 (token form): element, class, id, link, image and text counts."""
-    toks = tag_tokens(pages_clean).groupBy("page_id").agg(
-        F.count("*").alias("total_elements"),
-        F.sum(F.col("has_class").cast("bigint")).alias("elements_with_classes"),
-        F.sum(F.col("has_id").cast("bigint")).alias("elements_with_ids"),
-        F.sum(((F.col("tag") == "a") & F.col("has_href")).cast("bigint")).alias("links"),
-        F.sum((F.col("tag") == "img").cast("bigint")).alias("images"),
-    )
-    txt = text_segments(pages_clean).groupBy("page_id").agg(F.count("*").alias("text_nodes"))
-    out = pages_clean.select("page_id").join(toks, "page_id", "left").join(txt, "page_id", "left")
-    cols = ["total_elements", "elements_with_classes", "elements_with_ids", "links", "images", "text_nodes"]
-    return out.fillna(0, cols).select("page_id", *[F.col(c).cast("bigint").alias(c) for c in cols])
+    has = lambda rx: _count(F.col("attrs"), lambda a: F.regexp_like(a, F.lit(rx)))
+    both = F.arrays_zip("tags", "attrs")
+    return _page_arrays(pages_clean).select(
+        "page_id", F.size("tags").cast("bigint").alias("total_elements"), has(HAS_CLASS_RE).alias("elements_with_classes"),
+        has(HAS_ID_RE).alias("elements_with_ids"),
+        _count(both, lambda x: (x["tags"] == "a") & F.regexp_like(x["attrs"], F.lit(HAS_HREF_RE))).alias("links"),
+        _count(F.col("tags"), lambda t: t == "img").alias("images"), F.size("texts").cast("bigint").alias("text_nodes"))
 
 
 def max_depth(nodes: DataFrame) -> DataFrame:
@@ -131,9 +134,8 @@ def class_patterns(pages_clean: DataFrame, k: int = fixed.CLASS_TOP) -> DataFram
     c = ct.groupBy("page_id", "class_name").agg(
         F.count("*").alias("n"), F.min(F.col("pos").cast("bigint") * F.lit(1 << 32) + F.col("k")).alias("first")
     )
-    tot = c.groupBy("page_id").agg(F.count("*").alias("total_classes"))
-    top = _top_k(c, ["page_id"], [F.desc("n"), F.asc("first")], k)
-    return top.join(tot, "page_id").select(
+    c = c.withColumn("total_classes", F.count("*").over(Window.partitionBy("page_id")))
+    return _top_k(c, ["page_id"], [F.desc("n"), F.asc("first")], k).select(
         "page_id", F.col("total_classes").cast("bigint").alias("total_classes"),
         F.col("rank").cast("bigint").alias("rank"), "class_name", F.col("n").cast("bigint").alias("n"),
     )
@@ -184,15 +186,9 @@ def content_patterns(df: DataFrame, id_col: str, text_col: str, k: int = fixed.P
     """(id, kind, rank, value): distinct prices / emails / urls / dates
     found in raw text, first k per kind by first occurrence; kinds with no
     match produce no rows."""
-    parts = []
-    for kind in fixed.CONTENT_KINDS:
-        parts.append(df.select(
-            F.col(id_col), F.lit(kind).alias("kind"),
-            F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(T.content_regex(kind)), 0)).alias("m_pos", "value"),
-        ))
-    m = parts[0]
-    for p in parts[1:]:
-        m = m.unionByName(p)
+    found = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all(F.col(text_col), F.lit(T.content_regex(kind)), F.lit(0)).alias("l"))
+                      for kind in fixed.CONTENT_KINDS])
+    m = df.select(F.col(id_col), F.explode(found).alias("x")).select(id_col, "x.kind", F.posexplode("x.l").alias("m_pos", "value"))
     return _first_k_distinct(m, [id_col, "kind"], ["m_pos"], k)
 
 
@@ -218,53 +214,68 @@ def task_patterns(nodes: DataFrame, tasks: list[str]) -> DataFrame:
 
 
 def dynamic_pages(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A2: (page_id, is_dynamic, reason) — first matching check wins.
+    """A2: (page_id, is_dynamic, reason, reasons): ``reasons`` are all checks
+    that a page fails, in the order of checking, ``reason`` the first.
 
     Needs the node table (of the *raw* page) for body text, script text and
-    content elements."""
-    strip_len = F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), STRIP_RE, ""))
-    texts = dom.text_nodes(nodes).select("page_id", "pre", "anc", "ptag", strip_len.alias("slen"),
-                                         F.length("text").alias("rlen"))
-    el = dom.elements(nodes).select("page_id", F.col("pre").alias("e_pre"), F.col("tag").alias("e_tag"))
-    body = el.filter(F.col("e_tag") == "body").groupBy("page_id").agg(F.min("e_pre").alias("body_pre"))
-    # per element stripped subtree text (only content tags and body)
-    d = texts.select("page_id", F.explode("anc").alias("a"), "slen")
-    sub = d.groupBy("page_id", "a").agg(F.sum("slen").alias("stext"))
-    cand = el.filter(F.col("e_tag").isin(*fixed.DYNAMIC_CONTENT_TAGS, "body"))
-    sub = sub.withColumnRenamed("page_id", "s_page")
-    sub = cand.join(sub, (F.col("page_id") == F.col("s_page")) & (F.col("e_pre") == F.col("a")), "left").select(
-        "page_id", "e_pre", "e_tag", F.coalesce("stext", F.lit(0)).alias("stext")
-    )
-    content = sub.filter(F.col("e_tag") != "body").groupBy("page_id").agg(
-        F.sum((F.col("stext") > fixed.DYNAMIC_CONTENT_MIN_TEXT).cast("int")).alias("meaningful")
-    )
-    body_len = sub.join(body, "page_id").filter(F.col("e_pre") == F.col("body_pre")).select("page_id", F.col("stext").alias("body_len"))
+    content elements; the html itself is reduced to flags before any join."""
+    low = F.lower(F.coalesce("html", F.lit("")))
+    flags = pages.select(
+        "page_id", (F.length(F.trim(F.coalesce("html", F.lit("")))) < fixed.DYNAMIC_MIN_HTML).alias("short"),
+        T.contains_any(low, fixed.DYNAMIC_FRAMEWORK_MARKERS).alias("framework"))
+    # Scripts, style sheets and templates hold no text of the page.
+    stripped = F.when(F.col("ptag").isin("script", "style", "template"), "").otherwise(F.regexp_replace("text", STRIP_RE, ""))
+    w = Window.partitionBy("page_id").orderBy("t_from")
+    texts = dom.text_nodes(nodes).select("page_id", "t_from", "ptag", F.length("text").alias("rlen"), stripped.alias("t")).withColumn(
+        "upto", F.sum(F.length("t")).over(w))
+    # Text below an element: a difference of running sums at its first and last text.
+    first = texts.select("page_id", "t_from", (F.col("upto") - F.length("t")).alias("before"))
+    last = texts.select("page_id", F.col("t_from").alias("t_last"), "upto")
+    el = dom.elements(nodes).filter(F.col("tag").isin(*fixed.DYNAMIC_CONTENT_TAGS, "body")).select(
+        "page_id", "pre", "tag", "t_from", "t_count", (F.col("t_from") + F.col("t_count") - 1).alias("t_last"))
+    el = el.filter("t_count > 0").join(first, ["page_id", "t_from"]).join(last, ["page_id", "t_last"]).withColumn(
+        "below", F.col("upto") - F.col("before"))
+    body_row = F.when(F.col("tag") == "body", F.struct("pre", "below", "t_from", "t_last"))
+    sums = el.groupBy("page_id").agg(
+        F.min(body_row).alias("b"),
+        F.sum(((F.col("tag") != "body") & (F.col("below") > fixed.DYNAMIC_CONTENT_MIN_TEXT)).cast("int")).alias("meaningful"))
+    has_body = dom.elements(nodes).filter(F.col("tag") == "body").select("page_id").distinct().withColumn("has_body", F.lit(True))
     script = texts.filter(F.col("ptag") == "script").groupBy("page_id").agg(F.sum("rlen").alias("script_len"))
-    # body text for the loading markers: stripped texts under body, in order
-    body_txt = dom.text_nodes(nodes).join(body, "page_id").filter(F.array_contains("anc", F.col("body_pre")))
-    body_txt = body_txt.groupBy("page_id").agg(
-        F.lower(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("pre", F.regexp_replace("text", STRIP_RE, "").alias("t")))),
-            lambda s: s["t"]), "")).alias("body_text")
-    )
-    p = pages.select("page_id", F.col("html"))
-    j = (p.join(body, "page_id", "left").join(body_len, "page_id", "left").join(content, "page_id", "left")
-         .join(script, "page_id", "left").join(body_txt, "page_id", "left"))
-    j = j.fillna(0, ["body_len", "meaningful", "script_len"])
-    low = F.lower(F.col("html"))
-    reason = (
-        F.when(F.col("html").isNull() | (F.length(F.trim(F.col("html"))) < fixed.DYNAMIC_MIN_HTML), F.lit("short_html"))
-        .when(F.col("body_pre").isNull(), F.lit("no_body"))
-        .when(F.col("body_len") < fixed.DYNAMIC_MIN_BODY_TEXT, F.lit("little_body_text"))
-        .when(F.col("script_len") > F.col("body_len") * fixed.DYNAMIC_SCRIPT_RATIO, F.lit("script_heavy"))
-        .when(T.contains_any(low, fixed.DYNAMIC_FRAMEWORK_MARKERS), F.lit("framework_marker"))
-        .when(F.col("meaningful") < fixed.DYNAMIC_MIN_CONTENT_ELEMENTS, F.lit("few_content_elements"))
-        .when(T.contains_any(F.coalesce(F.col("body_text"), F.lit("")), fixed.DYNAMIC_LOADING_MARKERS), F.lit("loading_marker"))
-    )
-    return j.select("page_id", reason.isNotNull().alias("is_dynamic"), reason.alias("reason"))
+    loading = texts.join(sums.select("page_id", "b"), "page_id").filter(F.col("t_from").between(F.col("b.t_from"), F.col("b.t_last"))).groupBy(
+        "page_id").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_from", "t"))), lambda s: s["t"]), "")).alias("body_text"))
+    loading = loading.select("page_id", T.contains_any(F.col("body_text"), fixed.DYNAMIC_LOADING_MARKERS).alias("loading"))
+    j = (flags.join(sums, "page_id", "left").join(has_body, "page_id", "left").join(script, "page_id", "left").join(loading, "page_id", "left"))
+    body_len, script_len = F.coalesce("b.below", F.lit(0)), F.coalesce("script_len", F.lit(0))
+    checks = [
+        (F.col("short"), "short_html"), (F.col("has_body").isNull(), "no_body"), (body_len < fixed.DYNAMIC_MIN_BODY_TEXT, "little_body_text"),
+        (script_len > body_len * fixed.DYNAMIC_SCRIPT_RATIO, "script_heavy"), (F.col("framework"), "framework_marker"),
+        (F.coalesce("meaningful", F.lit(0)) < fixed.DYNAMIC_MIN_CONTENT_ELEMENTS, "few_content_elements"),
+        (F.coalesce("loading", F.lit(False)), "loading_marker")]
+    reasons = F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in checks]), lambda r: r.isNotNull())
+    return j.select("page_id", reasons.alias("reasons")).select(
+        "page_id", (F.size("reasons") > 0).alias("is_dynamic"), F.get("reasons", F.lit(0)).alias("reason"), "reasons")
+
+
+def full_profile(pages_clean: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One nested report per page (also for pages that cannot be parsed):
+    counts, depth, top tags, classes by category, repeated classes, prices."""
+    def listed(df, name, *cols):
+        order = F.col("rank") if "rank" in df.columns else F.col(cols[0])
+        return df.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*cols).alias("v")))),
+                                                     lambda x: x["v"]).alias(name))
+
+    semantic = semantic_classes(pages_clean).groupBy("page_id", "category").agg(F.sort_array(F.collect_set("class_name")).alias("classes"))
+    parts = [
+        max_depth(nodes), listed(element_distribution(pages_clean), "top_tags", "tag", "n"),
+        listed(class_patterns(pages_clean), "top_classes", "class_name", "n"), listed(semantic, "semantic_classes", "category", "classes"),
+        listed(repeated_classes(pages_clean), "repeated_classes", "class_value", "n"), listed(price_patterns(pages_clean), "price_patterns", "value")]
+    out = basic_stats(pages_clean)
+    for p in parts:
+        out = out.join(p, "page_id", "left")
+    return out.withColumn("max_depth", F.coalesce("max_depth", F.lit(0)).cast("bigint"))
 
 
 def route_pages(pages: DataFrame, dyn: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A3: (static pages kept, pages that need rendering)."""
-    j = pages.join(dyn.select("page_id", "is_dynamic", "reason"), "page_id")
-    return j.filter(~F.col("is_dynamic")).drop("is_dynamic", "reason"), j.filter(F.col("is_dynamic"))
+    j = pages.join(dyn.select("page_id", "is_dynamic", "reasons"), "page_id")
+    return j.filter(~F.col("is_dynamic")).drop("is_dynamic", "reasons"), j.filter(F.col("is_dynamic"))

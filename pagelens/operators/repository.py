@@ -1,15 +1,15 @@
-"""The rule table.
-
-Rules are rows of a parquet table partitioned by domain:
+"""The rule table.
 
     sequence_id, domain, extraction_task, actions ARRAY<STRUCT<…step…>>,
     success_rate, robustness_score, created_at, updated_at,
     metadata MAP<STRING,STRING>
 
-Lookups are filters (pushed into the scan, partition-pruned on domain);
-batch lookups for many pages at once are joins plus a top-k window; upsert
-and delete are a union / anti-join followed by an overwrite of a new table
-version, so a failed write never leaves a half-written table behind.
+The store is a folder of numbered versions, each a parquet table in hash
+buckets of the domain (the domain itself stays a column, so empty and null
+domains come back as they were).  A save writes a new version; readers take
+the newest complete one, so a write that fails half-way is never seen, and a
+new version may be computed from the current one.  Batch lookups for many pages
+are joins plus a top-k window; upsert and delete are unions and anti-joins.
 """
 
 from __future__ import annotations
@@ -43,16 +43,20 @@ def empty(spark: SparkSession) -> DataFrame:
 
 
 def upsert(current: DataFrame, incoming: DataFrame, now: Column | None = None) -> DataFrame:
-    """By sequence_id; an update keeps created_at and sets updated_at."""
+    """By sequence_id; an update keeps created_at and sets updated_at.  Of
+    incoming rows with one id the last wins."""
     now = now if now is not None else F.current_timestamp()
+    cols = current.columns
+    row = F.max_by(F.struct(*cols), F.col("_at"))
+    incoming = incoming.withColumn("_at", F.monotonically_increasing_id()).groupBy("sequence_id").agg(row.alias("r")).select("r.*")
     old = current.select("sequence_id", F.col("created_at").alias("old_created"))
     inc = incoming.join(old, "sequence_id", "left").select(
-        *[c for c in incoming.columns if c not in ("created_at", "updated_at")],
+        *[c for c in cols if c not in ("created_at", "updated_at")],
         F.coalesce(F.col("old_created"), F.col("created_at")).alias("created_at"),
         F.when(F.col("old_created").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"),
     )
     kept = current.join(incoming.select("sequence_id"), "sequence_id", "left_anti")
-    return kept.unionByName(inc.select(*current.columns))
+    return kept.unionByName(inc.select(*cols))
 
 
 def delete(current: DataFrame, sequence_ids: DataFrame) -> DataFrame:
@@ -103,8 +107,8 @@ def rules_for_pages(pages: DataFrame, rules: DataFrame, tasks: DataFrame,
     top = top_per(rules, ["domain", "extraction_task"], limit)
     p = pages.select("page_id", urls.domain(F.col("url")).alias("domain"))
     t = tasks.select(F.col("task").alias("extraction_task"))
-    pj = p.join(top, "domain")
-    return pj.join(F.broadcast(t), "extraction_task", "left_semi")
+    top = top.join(F.broadcast(t), "extraction_task", "left_semi")  # the caller's few tasks
+    return p.join(S.small(top, top.count()), "domain")
 
 
 def list_all(rules: DataFrame, limit: int = fixed.LIST_ALL_LIMIT, order_by: str = "robustness_score") -> DataFrame:
@@ -137,10 +141,39 @@ def statistics(rules: DataFrame) -> DataFrame:
     return longt.unionByName(top)
 
 
-def save(rules: DataFrame, path: str) -> None:
-    """A5: write a table version, partitioned by domain."""
-    rules.write.mode("overwrite").partitionBy("domain").parquet(path)
+BUCKETS = 64
+
+
+def _bucket(domain: Column) -> Column:
+    return F.pmod(F.xxhash64(domain), F.lit(BUCKETS)).cast("int")
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """(complete versions, all version folders) of a store, oldest first."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return [], []
+    found = sorted((int(f.getPath().getName()[1:]), f.getPath()) for f in fs.listStatus(top) if f.getPath().getName()[:1] == "v")
+    done = [n for n, p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return done, [n for n, _ in found]
+
+
+def save(rules: DataFrame, path: str) -> int:
+    """A5: write the next version of the store; returns its number."""
+    spark = rules.sparkSession
+    n = max(_versions(spark, path)[1], default=0) + 1
+    rules.withColumn("bucket", _bucket(F.col("domain"))).write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/v{n:08d}")
+    return n
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RULE_DDL).parquet(path)
+def load(spark: SparkSession, path: str, domain: str | None = None, version: int | None = None) -> DataFrame:
+    """The newest complete version (or ``version``); with ``domain`` only its
+    bucket is read."""
+    done, _ = _versions(spark, path)
+    if version is None and not done:
+        return empty(spark)
+    df = spark.read.schema(RULE_DDL + ", bucket int").parquet(f"{path}/v{version or done[-1]:08d}")
+    if domain is not None:
+        df = df.filter((F.col("bucket") == _bucket(F.lit(domain))) & (F.col("domain") == domain))
+    return df.drop("bucket")

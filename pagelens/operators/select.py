@@ -9,10 +9,18 @@ every path the rule learner and the rule catalogue produce, so matching is a
 broadcast hash join of the (small, size-checked) branch table against the
 element rows on a tag key — no XPath text is evaluated anywhere.
 
+Two ways to match:
+
+* every rule on every page: the branch table (size-checked, broadcast) meets
+  the elements on the tag;
+* ``pairs`` (page_id, sequence_id), when each page has its own rules: the
+  pairs fetch their branches first, and these meet the elements on
+  (page_id, tag), so a page never sees another page's rules.
+
 Output axes are equi-joins on the node table, which is hash-partitioned by
-``page_id``: child text (``parent = pre``), descendant text (exploded
-``anc = pre``), parent, next sibling.  Node-set semantics: each node once
-per (page, rule, step), document order = ``pre``.
+``page_id``: child text (``parent = pre``), descendant text (the element's
+range of text ordinals), parent, next sibling.  Node-set semantics: each node
+once per (page, rule, step), document order = ``pre``.
 """
 
 from __future__ import annotations
@@ -153,40 +161,57 @@ class Step:
         return s
 
 
-# Facts about a rule table that shape the plan (which output kinds and
-# post-ops occur, how many rows).  Rule tables are tiny; this is read once
-# per table object — from the Python rules when we built the table, else
-# with one small job — instead of one job per question.
+# Facts about a rule table that shape the plan: which output kinds, actions
+# and post-ops occur and how many rows there are.  The facts are a few words
+# and counts however many rules there are; they are known from the Python rules
+# when the table was built here, else one small aggregation finds them.
 _META: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary()
 
 
 def _meta_of_rows(rows: list[tuple]) -> dict:
-    outputs, posts, actions, n_branch_rows = set(), [], set(), 0
-    for action, outs, n_tags, ops in rows:
-        actions.add(action)
-        outputs.update(o for o in (outs or []) if o is not None)
-        n_branch_rows += n_tags or 0
-        for k, o in enumerate(ops or []):
+    outputs, posts, html, desc, n_branch_rows = set(), [], False, False, 0
+    for action, branches, ops in rows:
+        html = html or action == fixed.ACTION_HTML
+        for b in branches:
+            outputs.add(b["output"])
+            desc = desc or bool(b["desc_text_any"])
+            n_branch_rows += max(len(b["tags"]), 1)
+        for k, o in enumerate(ops):
             while len(posts) <= k:
                 posts.append(set())
             posts[k].add(o)
-    return {"outputs": outputs, "posts": posts, "actions": actions, "n_steps": len(rows),
-            "n_branch_rows": n_branch_rows}
+    return {"outputs": outputs, "posts": posts, "html": html, "desc": desc, "n_steps": len(rows), "n_branch_rows": n_branch_rows}
 
 
 def rule_meta(steps: DataFrame) -> dict:
     m = _META.get(steps)
     if m is None:
-        rows = steps.select(
-            "action_type", F.col("branches.output").alias("outs"),
-            F.aggregate(F.col("branches"), F.lit(0), lambda acc, b: acc + F.greatest(F.size(b.tags), F.lit(1))).alias("n_tags"),
-            F.col("post.op").alias("ops"),
-        ).collect()
-        m = _meta_of_rows([tuple(r) for r in rows])
+        ops = F.transform("post", lambda o, i: F.struct(i.alias("k"), o["op"].alias("op")))
+        one = steps.agg(
+            F.array_distinct(F.flatten(F.collect_set("branches.output"))).alias("outputs"),
+            F.array_distinct(F.flatten(F.collect_set(ops))).alias("posts"),
+            F.bool_or(F.col("action_type") == fixed.ACTION_HTML).alias("html"),
+            F.bool_or(F.exists("branches", lambda b: F.size(b["desc_text_any"]) > 0)).alias("desc"),
+            F.count("*").alias("n_steps"),
+            F.sum(F.aggregate("branches", F.lit(0), lambda n, b: n + F.greatest(F.size(b["tags"]), F.lit(1)))).alias("n_rows"),
+        ).first()
+        posts: list[set] = []
+        for o in one.posts:
+            while len(posts) <= o.k:
+                posts.append(set())
+            posts[o.k].add(o.op)
+        m = {"outputs": {x for x in one.outputs if x}, "posts": posts, "html": bool(one.html), "desc": bool(one.desc),
+             "n_steps": one.n_steps, "n_branch_rows": one.n_rows or 0}
         _META[steps] = m
     return m
 
 
+def small(rules: DataFrame, n_rows: int) -> DataFrame:
+    """Broadcast rule rows only when they are known to be few; beyond that the
+    planner's shuffled join (with skew splitting) is used."""
+    return F.broadcast(rules) if n_rows <= BROADCAST_MAX_ROWS else rules
+
+
 def steps_frame(spark: SparkSession, rules: dict[str, list[Step]]) -> DataFrame:
     """{sequence_id: [Step, ...]} -> rule step table."""
     rows = []
@@ -197,10 +222,7 @@ def steps_frame(spark: SparkSession, rules: dict[str, list[Step]]) -> DataFrame:
                 [b.row() for b in st.branches], list(st.post),
             ))
     df = spark.createDataFrame(rows, STEP_DDL)
-    _META[df] = _meta_of_rows([
-        (r[2], [b["output"] for b in r[5]], sum(max(len(b["tags"]), 1) for b in r[5]), [o["op"] for o in r[6]])
-        for r in rows
-    ])
+    _META[df] = _meta_of_rows([(r[2], r[5], [o["op"] for o in r[6]]) for r in rows])
     return df
 
 
@@ -209,7 +231,7 @@ def with_action(steps: DataFrame, action: str) -> DataFrame:
     out = steps.withColumn("action_type", F.lit(action))
     m = _META.get(steps)
     if m is not None:
-        _META[out] = dict(m, actions={action})
+        _META[out] = dict(m, html=action == fixed.ACTION_HTML)
     return out
 
 
@@ -281,18 +303,22 @@ def select_nodes(nodes: DataFrame, steps: DataFrame, pairs: DataFrame | None = N
     ``node`` is a node number; ``attr`` is set for attribute results.
     ``element_count`` of a step is the size of this set.
     """
-    elems = dom.elements(nodes).select(
-        "page_id", "pre", "tag", "cls", "elem_id", "href", "first_text", "first_desc_text",
-        "n_text", "text_len", "attrs",
-    )
-    keyed = elems.withColumn("tkey", F.explode(F.array(F.col("tag"), F.lit("*"))))
     meta = rule_meta(steps)
+    elems = dom.elements(nodes).select(
+        "page_id", "pre", "tag", "cls", "elem_id", "href", "first_text", "n_text", "text_len", "t_from", "t_count", "attrs")
+    elems = dom.first_descendant_text(nodes, elems) if meta["desc"] else elems.withColumn("first_desc_text", F.lit(None).cast("string"))
     br = _branches(steps)
-    br = F.broadcast(br) if meta["n_branch_rows"] <= BROADCAST_MAX_ROWS else br
-    m = keyed.join(br, "tkey").filter(element_predicate("b"))
-    m = m.select("page_id", *KEY, "pre", "attrs", "b")
-    if pairs is not None:  # evaluate each page only with its own rules
-        m = m.join(pairs.select("page_id", "sequence_id"), ["page_id", "sequence_id"], "left_semi")
+    named, star = F.col("tkey") != "*", F.col("tkey") == "*"
+    if pairs is None:
+        if meta["n_branch_rows"] > BROADCAST_MAX_ROWS:
+            raise ValueError(f"more than {BROADCAST_MAX_ROWS} rule branches for every page: give the pairs of pages and rules")
+        keyed = elems.withColumn("tkey", F.explode(F.array(F.col("tag"), F.lit("*"))))
+        m = keyed.join(F.broadcast(br), "tkey")
+    else:  # the rules of a page first, then the elements they name
+        own = pairs.select("page_id", "sequence_id").distinct().join(small(br, meta["n_branch_rows"]), "sequence_id")
+        m = elems.join(own.filter(named).withColumnRenamed("tkey", "tag"), ["page_id", "tag"])
+        m = m.unionByName(elems.join(own.filter(star).drop("tkey"), "page_id"))
+    m = m.filter(element_predicate("b")).select("page_id", *KEY, "pre", "attrs", "t_from", "t_count", "b")
 
     # only the output kinds this rule set uses (read from the tiny rule table)
     used = meta["outputs"]
@@ -314,12 +340,9 @@ def select_nodes(nodes: DataFrame, steps: DataFrame, pairs: DataFrame | None = N
             value_predicate(F.col("ttext"))
         ).select("page_id", *KEY, F.col("tpre").alias("node"), null_attr, F.lit("text").alias("kind")))
     if "desc_text" in used:
-        desc = dom.descendant_texts(nodes).select(F.col("page_id").alias("d_page"), "anc_pre",
-                                                   F.col("pre").alias("tpre"), F.col("text").alias("ttext"))
-        md = m.filter(F.col("b.output") == "desc_text")
-        parts.append(md.join(desc, (F.col("page_id") == F.col("d_page")) & (F.col("pre") == F.col("anc_pre"))).filter(
-            value_predicate(F.col("ttext"))
-        ).select("page_id", *KEY, F.col("tpre").alias("node"), null_attr, F.lit("text").alias("kind")))
+        md = dom.texts_below(nodes, m.filter(F.col("b.output") == "desc_text").drop("attrs"))
+        parts.append(md.filter(value_predicate(F.col("ttext"))).select(
+            "page_id", *KEY, F.col("tpre").alias("node"), null_attr, F.lit("text").alias("kind")))
     if not parts:
         parts.append(m.limit(0).select("page_id", *KEY, F.col("pre").alias("node"), null_attr, F.lit("elem").alias("kind")))
     sets = parts[0]
@@ -342,19 +365,17 @@ def apply_post_ops(nodes: DataFrame, steps: DataFrame, sets: DataFrame) -> DataF
     ops = steps.select(*KEY, "post")
     info = nodes.filter(F.col("kind") != "error").select(
         F.col("page_id").alias("i_page"), F.col("pre").alias("i_pre"), F.col("parent").alias("i_parent"),
-        F.col("next_sib").alias("i_next"), F.col("kind").alias("i_kind"), F.col("text").alias("i_text"),
+        F.col("next_sib").alias("i_next"), F.col("text").alias("i_text"), "t_from", "t_count",
     )
     texts = dom.text_nodes(nodes).select(F.col("page_id").alias("t_page"), F.col("parent").alias("tparent"),
                                          F.col("pre").alias("tpre"), F.col("text").alias("ttext"))
-    desc = dom.descendant_texts(nodes).select(F.col("page_id").alias("d_page"), "anc_pre",
-                                               F.col("pre").alias("tpre"), F.col("text").alias("ttext"))
     on_info = (F.col("page_id") == F.col("i_page")) & (F.col("node") == F.col("i_pre"))
     cols = ["page_id", *KEY, "node", "attr", "kind"]
     null_attr = F.lit(None).cast("string").alias("attr")
     for k in range(n_rounds):
         # ops used at this position (the rule table is tiny): plan only those
         present = meta["posts"][k]
-        cur = sets.join(F.broadcast(ops), KEY).withColumn("o", F.try_element_at("post", F.lit(k + 1))).drop("post")
+        cur = sets.join(small(ops, meta["n_steps"]), KEY).withColumn("o", F.try_element_at("post", F.lit(k + 1))).drop("post")
         parts = [cur.filter(F.col("o").isNull()).select(*cols)]
         if "parent" in present:  # parent of each node (attribute results: their element)
             par = cur.filter(F.col("o.op") == "parent").join(info, on_info)
@@ -371,7 +392,7 @@ def apply_post_ops(nodes: DataFrame, steps: DataFrame, sets: DataFrame) -> DataF
             parts.append(ct.select("page_id", *KEY, F.col("tpre").alias("node"), null_attr, F.lit("text").alias("kind")))
         if "desc_text" in present:
             dt = cur.filter((F.col("o.op") == "desc_text") & (F.col("kind") == "elem"))
-            dt = dt.join(desc, (F.col("page_id") == F.col("d_page")) & (F.col("node") == F.col("anc_pre"))).filter(
+            dt = dom.texts_below(nodes, dt.join(info, on_info).select("page_id", *KEY, "t_from", "t_count")).filter(
                 _norm_len(F.col("ttext")) > 0)
             parts.append(dt.select("page_id", *KEY, F.col("tpre").alias("node"), null_attr, F.lit("text").alias("kind")))
         if present & {"len_gt", "len_lt", "nonblank"}:  # text filters on text results
@@ -415,8 +436,8 @@ def node_values(nodes: DataFrame, pages: DataFrame | None, steps: DataFrame, set
     Empty values are dropped; ``ord`` is the document-order rank; steps
     over ``max_results`` keep the first ``max_results`` values.
     """
-    acts = F.broadcast(steps.select(*KEY, "action_type", "attribute"))
-    s = sets.join(acts, KEY)
+    meta = rule_meta(steps)
+    s = sets.join(small(steps.select(*KEY, "action_type", "attribute"), meta["n_steps"]), KEY)
     info = nodes.filter(F.col("kind") != "error").select(
         "page_id", F.col("pre").alias("i_pre"), F.col("text").alias("i_text"), F.col("attrs").alias("i_attrs"),
         F.col("src_start").alias("i_start"), F.col("src_end").alias("i_end"),
@@ -427,7 +448,6 @@ def node_values(nodes: DataFrame, pages: DataFrame | None, steps: DataFrame, set
     attr_name = F.coalesce(F.col("attribute"), F.lit(fixed.DEFAULT_ATTRIBUTE))
     is_elem = F.col("kind") == "elem"
     # element text content only where needed
-    meta = rule_meta(steps)
     outputs = meta["outputs"]
     posts = set().union(*meta["posts"]) if meta["posts"] else set()
     if "self" in outputs or posts & {"parent", "next_sibling"}:
@@ -438,10 +458,17 @@ def node_values(nodes: DataFrame, pages: DataFrame | None, steps: DataFrame, set
             "c_page", "c_pre")
     else:
         j = j.withColumn("text_content", F.lit(None).cast("string"))
-    if pages is not None and fixed.ACTION_HTML in meta["actions"]:
-        ph = pages.select(F.col("page_id").alias("h_page"), F.col("html").alias("h_html"))
-        j = j.join(ph, F.col("page_id") == F.col("h_page"), "left").drop("h_page")
-        html_val = F.substring(F.col("h_html"), F.col("i_start") + 1, F.col("i_end") - F.col("i_start"))
+    if pages is not None and meta["html"]:
+        # The spans of a page are cut in one pass over its row, not from a copy
+        # of the page on every match.
+        of = j.filter(is_elem & (action == fixed.ACTION_HTML)).groupBy("page_id").agg(
+            F.collect_set(F.struct("i_start", "i_end")).alias("spans"))
+        cut = of.join(pages.select("page_id", "html"), "page_id").select(
+            F.col("page_id").alias("h_page"), F.explode(F.transform("spans", lambda x: F.struct(
+                x["i_start"].alias("a"), x["i_end"].alias("b"),
+                F.substring(F.col("html"), x["i_start"] + 1, x["i_end"] - x["i_start"]).alias("html")))).alias("h"))
+        j = j.join(cut, (F.col("page_id") == F.col("h_page")) & (F.col("i_start") == F.col("h.a")) & (F.col("i_end") == F.col("h.b")), "left").drop("h_page")
+        html_val = F.col("h.html")
     else:
         html_val = F.lit(None).cast("string")
     raw = (

@@ -1,16 +1,25 @@
-"""F1-F8: group extracted values into records.
-
-Sources are the exact elements the values came from (provenance from the
-selector join, instead of re-finding elements by text).  Containers are
-ancestors (within 5 levels) shared by at least two sources; the innermost
-such ancestors are kept (an ancestor/descendant anti-join), sources are
-grouped under them, each source gets a field name (F4), and each record
-keeps one value per field by the original preferences (F6).  Pages with no
-container fall back to grouping by direct parent (F8), and to one record
-per value when that yields nothing.
-
-Every step is a join or a grouped aggregate keyed by (page_id, element);
-groups are one container's sources, bounded by the page.
+"""Group a rule's extracted values into records.
+
+Everything is keyed by (page_id, sequence_id): one rule's results on one page.
+
+* F1  sources are the exact elements the values came from (provenance from the
+  selector join, instead of re-finding elements by their text), in discovery
+  order, from steps that succeeded;
+* F2  containers are ancestors (within 5 levels) shared by two sources or
+  more; one is skipped if a container discovered earlier is its ancestor.
+  ``compat=True`` keeps one ancestor per (tag, level) instead;
+* F7  without containers: product-like elements, F8 without those either:
+  direct parents, else one record per source;
+* F3  a container takes every source within it: sources and container bounds
+  are swept in document order by a window, so each container knows its range of
+  source ordinals and meets its members by an equi-join;
+* F4-F6 field names, navigation filter, one value per field, records that look
+  like items;
+* F9/F10 if fewer than 30 % of the values became records, prices take the first
+  unused related title; this wins if it gives more records.
+
+Work is linear in sources and memberships; groups are one rule's values on one
+page, which execution bounds.
 """
 
 from __future__ import annotations
@@ -22,9 +31,11 @@ from pyspark.sql.window import Window
 from .. import fixed
 from ..functions import text as T
 from ..session import cut_lineage
-from . import dom, execute
+from . import dom
 from . import select as S
 
+KEY = ["page_id", "sequence_id"]
+
 
 def _has_currency(v: Column) -> Column:
     return T.contains_any(v, fixed.CURRENCY_MARKS)
@@ -63,161 +74,225 @@ def is_navigation(text: Column) -> Column:
     )
 
 
-def field_names(nodes: DataFrame, tags: list[str]) -> DataFrame:
-    """F4 for every element with one of ``tags``: (page_id, pre, tag, text, field)."""
-    e = dom.elements(nodes).filter(F.col("tag").isin(*tags)).select("page_id", "pre", "tag", "cls", "href")
-    tc = dom.element_text(nodes, e.select("page_id", "pre"), [])
-    j = e.join(tc, ["page_id", "pre"])
-    txt = S.strip_ws(F.col("text_content"))
-    return j.select("page_id", "pre", "tag", txt.alias("text"),
+def field_names(nodes: DataFrame) -> DataFrame:
+    """F4 for every element without element children (void elements have no
+    text and are left out): (page_id, pre, tag, text, field)."""
+    e = dom.elements(nodes).filter((F.col("n_elem") == 0) & ~F.col("tag").isin(*fixed.VOID_TAGS)).select(
+        "page_id", "pre", "tag", "cls", "href", F.coalesce("first_text", F.lit("")).alias("own"))
+    txt = S.strip_ws(F.col("own"))  # its only text node
+    return e.select("page_id", "pre", "tag", txt.alias("text"),
                     field_name(txt, F.col("cls"), F.col("tag"), F.col("href").isNotNull()).alias("field"))
 
 
-def _records(src: DataFrame, group_col: str) -> DataFrame:
-    """F6 over sources (page_id, group_col, pre, field, text) -> records
-    (page_id, group_col, field, value) for groups that look like items."""
-    s = src.filter((F.length(F.trim("text")) >= 3) & ~is_navigation(F.col("text")))
-    w = Window.partitionBy("page_id", group_col, "text").orderBy("pre")
-    s = s.withColumn("_d", F.row_number().over(w)).filter(F.col("_d") == 1)
-    per = s.groupBy("page_id", group_col, "field").agg(
-        F.min_by("text", "pre").alias("first"),
-        F.min_by(F.when(_has_currency(F.col("text")), F.col("text")), F.when(_has_currency(F.col("text")), F.col("pre"))).alias("first_cur"),
-        F.max_by("text", F.struct(F.length("text"), -F.col("pre"))).alias("longest"),
+def _records(members: DataFrame) -> DataFrame:
+    """F6 over (page_id, sequence_id, container, co, pre, o, field, text) ->
+    (page_id, sequence_id, co, record map) for groups that look like items;
+    ``co`` orders a rule's containers."""
+    group = [*KEY, "container", "co"]
+    s = members.filter((F.length(F.trim("text")) >= 3) & ~is_navigation(F.col("text")))
+    # a repeated text counts once, in its first place
+    s = s.groupBy(*group, "text").agg(F.min(F.struct("o", "field")).alias("f")).select(*group, "text", "f.o", "f.field")
+    cur = _has_currency(F.col("text"))
+    per = s.groupBy(*group, "field").agg(
+        F.min_by("text", "o").alias("first"), F.min("o").alias("fo"),
+        F.min_by(F.when(cur, F.col("text")), F.when(cur, F.col("o"))).alias("first_cur"),
+        F.max_by("text", F.struct(F.length("text"), -F.col("o"))).alias("longest"),
     )
     val = (F.when(F.col("field") == "price", F.coalesce("first_cur", "first"))
            .when(F.col("field") == "title", F.col("longest")).otherwise(F.col("first")))
-    rec = per.select("page_id", group_col, "field", val.alias("value"))
-    ok = rec.groupBy("page_id", group_col).agg(
-        F.bool_or(((F.col("field") == "price") & _has_currency(F.col("value")))
-                  | ((F.col("field") == "title") & ((F.length("value") > 5) | T.contains_any(F.col("value"), fixed.TITLE_BRANDS)))).alias("keep")
-    ).filter("keep")
-    return rec.join(ok.select("page_id", group_col), ["page_id", group_col], "left_semi")
-
-
-def structure_records(pages: DataFrame, steps: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(page_id, record, field, value, strategy) for the values the
-    rules extract.  ``strategy`` is container / parent / flat."""
-    if nodes is None:
-        nodes = dom.dom_nodes(pages)
-    vals, st = execute.run_steps(nodes, steps, pages)
-    ok = st.filter(F.col("status") == "success").select("page_id", *S.KEY)
-    vals = vals.join(ok, ["page_id", *S.KEY], "left_semi")
+    rec = per.select(*group, "field", "fo", val.alias("value"))
+    item = (((F.col("field") == "price") & _has_currency(F.col("value")))
+            | ((F.col("field") == "title") & ((F.length("value") > 5) | T.contains_any(F.col("value"), fixed.TITLE_BRANDS))))
+    fields = F.transform(F.array_sort(F.collect_list(F.struct("fo", "field", "value"))), lambda x: F.struct(x["field"], x["value"]))
+    return rec.groupBy(*group).agg(F.map_from_entries(fields).alias("record"), F.bool_or(item).alias("keep")).filter("keep").drop(
+        "keep", "container")
+
+
+def sources(nodes: DataFrame, values: DataFrame, step_status: DataFrame) -> DataFrame:
+    """F1 with F4: (page_id, sequence_id, pre, o, up, parent, text, field);
+    ``o`` is the order of discovery, ``up`` the nearest ancestors."""
+    ok = step_status.filter(F.col("status") == "success").select(*KEY, "step_index")
     info = nodes.filter(F.col("kind") != "error").select(
         F.col("page_id").alias("i_page"), F.col("pre").alias("i_pre"), F.col("kind").alias("i_kind"),
-        F.col("parent").alias("i_parent"), F.col("anc").alias("i_anc"))
-    v = vals.join(info, (F.col("page_id") == F.col("i_page")) & (F.col("node") == F.col("i_pre")))
-    # source element: the element itself, or the parent of a text result
-    src = v.select("page_id", F.when(F.col("i_kind") == "elem", F.col("node")).otherwise(F.col("i_parent")).alias("pre"),
-                   F.when(F.col("i_kind") == "elem", F.col("i_anc")).otherwise(F.slice("i_anc", 1, F.size("i_anc") - 1)).alias("anc")
-                   ).distinct()
-    src = cut_lineage(src)  # stage boundary: extraction done
-    # ancestors within 5 levels shared by >= 2 sources; keep the innermost
-    up = src.select("page_id", "pre", F.posexplode(F.reverse("anc")).alias("lvl", "container")).filter(
-        F.col("lvl") < fixed.CONTAINER_MAX_LEVELS)
-    cands = up.groupBy("page_id", "container").agg(F.count_distinct("pre").alias("n_src")).filter(F.col("n_src") >= 2)
-    cinfo = cands.join(info.select(F.col("i_page").alias("page_id"), F.col("i_pre").alias("container"),
-                                   F.col("i_anc").alias("c_anc")), ["page_id", "container"])
-    # a candidate is dropped when another candidate lies inside it
-    has_inner = cinfo.select("page_id", F.explode("c_anc").alias("container")).join(
-        cands.select("page_id", "container"), ["page_id", "container"], "left_semi").distinct()
-    keep = cands.join(has_inner, ["page_id", "container"], "left_anti")
-    grouped = up.join(keep.select("page_id", "container"), ["page_id", "container"])
-    # field names for sources
-    e = dom.elements(nodes).select("page_id", "pre", "tag", "cls", "href")
-    tc = dom.element_text(nodes, src.select("page_id", "pre").distinct(), [])
+        F.col("parent").alias("i_parent"), F.col("up").alias("i_up"))
+    v = values.join(ok, [*KEY, "step_index"], "left_semi")
+    v = v.join(info, (F.col("page_id") == F.col("i_page")) & (F.col("node") == F.col("i_pre")))
+    elem = F.col("i_kind") == "elem"  # else the parent of a text result
+    o = F.col("step_index").cast("bigint") * F.lit(1 << 32) + F.col("ord")
+    src = v.select(*KEY, o.alias("o"), F.when(elem, F.col("node")).otherwise(F.col("i_parent")).alias("pre")).groupBy(*KEY, "pre").agg(
+        F.min("o").alias("o"))
+    one = src.select("page_id", "pre").distinct()
+    e = dom.elements(nodes).select("page_id", "pre", "tag", "cls", "href", "up", "parent").join(one, ["page_id", "pre"], "left_semi")
     txt = S.squeeze_ws(F.col("text_content"))
-    fields = src.select("page_id", "pre").distinct().join(e, ["page_id", "pre"]).join(tc, ["page_id", "pre"]).select(
-        "page_id", "pre", txt.alias("text"), field_name(txt, F.col("cls"), F.col("tag"), F.col("href").isNotNull()).alias("field"))
-    fields = cut_lineage(fields)  # stage boundary: sources and their fields
-    by_container = _records(grouped.select("page_id", "container", "pre").join(fields, ["page_id", "pre"]), "container")
-    by_container = by_container.select("page_id", F.col("container").alias("record"), "field", "value",
-                                       F.lit("container").alias("strategy"))
-    # F8 fallback for pages without container records: group by parent
-    rest = fields.join(by_container.select("page_id").distinct(), "page_id", "left_anti")
-    par = info.select(F.col("i_page").alias("page_id"), F.col("i_pre").alias("pre"), F.col("i_parent").alias("parent"))
-    by_parent = _records(rest.join(par, ["page_id", "pre"]), "parent").select(
-        "page_id", F.col("parent").alias("record"), "field", "value", F.lit("parent").alias("strategy"))
-    rest2 = rest.join(by_parent.select("page_id").distinct(), "page_id", "left_anti")
-    flat = rest2.select("page_id", F.col("pre").alias("record"), "field", F.col("text").alias("value"),
-                        F.lit("flat").alias("strategy"))
-    return by_container.unionByName(by_parent).unionByName(flat)
-
-
-# ---------------------------------------------------------------------------
-# broad container search; F9/F10: price <-> title pairing
-# ---------------------------------------------------------------------------
-
-
-def _source_values(nodes: DataFrame, vals: DataFrame) -> DataFrame:
-    """(page_id, idx, value, pre, chain): each de-duplicated value with its
-    source element and that element's ancestor-or-self chain (5 levels)."""
-    info = nodes.filter(F.col("kind") != "error").select(
-        F.col("page_id").alias("i_page"), F.col("pre").alias("i_pre"), F.col("kind").alias("i_kind"),
-        F.col("parent").alias("i_parent"), F.col("anc").alias("i_anc"))
-    v = vals.join(info, (F.col("page_id") == F.col("i_page")) & (F.col("node") == F.col("i_pre")))
-    elem = F.when(F.col("i_kind") == "elem", F.col("node")).otherwise(F.col("i_parent"))
-    anc = F.when(F.col("i_kind") == "elem", F.col("i_anc")).otherwise(F.slice("i_anc", 1, F.size("i_anc") - 1))
-    chain = F.concat(F.array(elem), F.slice(F.reverse(anc), 1, fixed.RELATED_MAX_DISTANCE - 1))
-    return v.select("page_id", "idx", "value", elem.alias("pre"), chain.alias("chain"))
-
-
-def pair_records(src: DataFrame) -> DataFrame:
-    """F9 (+F10): prices in order each take the first unused related title
-    (related = ancestor-or-self chains within 5 levels intersect); unused
-    titles become records of their own.  The greedy pass is a JVM
-    ``aggregate`` fold over one page's values (bounded by the page), so no
-    price × title pair rows are produced.
-
-    ``src``: (page_id, idx, value, chain).  Returns (page_id, record, field, value)."""
+    named = e.join(dom.element_text(nodes, one, []), ["page_id", "pre"]).select(
+        "page_id", "pre", "up", "parent", txt.alias("text"),
+        field_name(S.strip_ws(F.col("text_content")), F.col("cls"), F.col("tag"), F.col("href").isNotNull()).alias("field"))
+    return src.join(named, ["page_id", "pre"])
+
+
+def containers(nodes: DataFrame, src: DataFrame, compat: bool = False) -> DataFrame:
+    """(page_id, sequence_id, container, last, co); ``co`` is the order of
+    discovery."""
+    bounds = dom.elements(nodes).select("page_id", F.col("pre").alias("container"), "last", F.col("tag").alias("c_tag"))
+    up = src.select(*KEY, "pre", "o", F.posexplode(F.slice("up", 1, fixed.CONTAINER_MAX_LEVELS)).alias("lvl", "container"))
+    seen = F.col("o") * F.lit(8) + F.col("lvl")
+    if compat:
+        bucket = up.join(bounds, ["page_id", "container"]).groupBy(*KEY, "c_tag", "lvl").agg(
+            F.count_distinct("pre").alias("n"), F.min_by("container", "o").alias("container"), F.min(seen).alias("co"))
+        found = bucket.filter("n >= 2").groupBy(*KEY, "container").agg(F.min("co").alias("co"))
+    else:
+        # a source has each ancestor once, so counting rows counts sources
+        found = up.groupBy(*KEY, "container").agg(F.count("*").alias("n"), F.min(seen).alias("co")).filter("n >= 2")
+    found = found.join(bounds.drop("c_tag"), ["page_id", "container"])
+    # Containers of one rule and page in document order, with the enclosing
+    # ones on a stack: one is skipped if an enclosing one was found earlier.
+    item = F.struct(F.col("container").alias("pre"), "last", "co")
+    start = F.struct(F.array().cast("array<struct<last:int,co:bigint>>").alias("open"),
+                     F.array().cast("array<struct<pre:int,last:int,co:bigint>>").alias("keep"))
+
+    def step(acc, c):
+        open_ = F.filter(acc["open"], lambda s: s["last"] >= c["pre"])
+        hidden = F.exists(open_, lambda s: s["co"] < c["co"])
+        return F.struct(F.concat(open_, F.array(F.struct(c["last"].alias("last"), c["co"].alias("co")))).alias("open"),
+                        F.when(hidden, acc["keep"]).otherwise(F.concat(acc["keep"], F.array(c))).alias("keep"))
+
+    kept = found.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("c")).select(
+        *KEY, F.explode(F.aggregate("c", start, step)["keep"]).alias("k"))
+    return kept.select(*KEY, F.col("k.pre").alias("container"), F.col("k.last").alias("last"), F.col("k.co").alias("co"))
+
+
+def members(src: DataFrame, cont: DataFrame) -> DataFrame:
+    """every source with each container it is or lies in."""
+    w = Window.partitionBy(*KEY).orderBy("at", "kind")
+    none = F.lit(None)
+    ev = src.select(*KEY, F.col("pre").alias("at"), F.lit(1).alias("kind"), none.cast("int").alias("container"), none.cast("bigint").alias("co"))
+    for kind, at in ((0, "container"), (2, "last")):
+        ev = ev.unionByName(cont.select(*KEY, F.col(at).alias("at"), F.lit(kind).alias("kind"), "container", "co"))
+    ev = ev.withColumn("n", F.sum((F.col("kind") == 1).cast("int")).over(w))
+    ranges = ev.filter("kind <> 1").groupBy(*KEY, "container", "co").agg(
+        F.min("n").alias("a"), F.max("n").alias("b")).filter("b > a")
+    numbered = src.withColumn("n", F.row_number().over(Window.partitionBy(*KEY).orderBy("pre")))
+    return ranges.select(*KEY, "container", "co", F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("n")).join(numbered, [*KEY, "n"])
+
+
+def product_containers(nodes: DataFrame, src: DataFrame, extracted: DataFrame) -> DataFrame:
+    """F7 for the rules and pages of ``src``: ancestors (up to 4 levels) of the
+    first 5 price values whose text is over 1.5 times as long as the price, then
+    elements with a product-like class (or ``article``) whose text has a price or
+    brand mark; the first 10.  Columns as of :func:`containers`."""
+    keys = src.select(*KEY).distinct()
+    w = Window.partitionBy(*KEY).orderBy("idx")
+    prices = extracted.join(keys, KEY, "left_semi").filter(T.contains_any(F.col("value"), fixed.CURRENCY_MARKS))
+    prices = prices.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= fixed.CONTAINER_SOURCE_LIMIT)
+    el = dom.elements(nodes).select("page_id", "pre", "last", "text_len", "tag", "cls")
+    near = nodes.filter(F.col("kind") != "error").select("page_id", F.col("pre").alias("node"), F.col("kind").alias("n_kind"), F.col("up").alias("n_up"))
+    up = F.when(F.col("n_kind") == "elem", F.col("n_up")).otherwise(F.slice("n_up", 2, dom.NEAR))
+    s1 = prices.join(near, ["page_id", "node"]).select(
+        *KEY, "r", F.length("value").alias("n"), F.posexplode(F.slice(up, 1, 4)).alias("lvl", "pre"))
+    s1 = s1.join(el, ["page_id", "pre"]).filter(F.col("text_len") > F.col("n") * 1.5).select(
+        *KEY, "pre", "last", (F.col("r") * 8 + F.col("lvl")).cast("bigint").alias("co"))
+    low = F.coalesce(F.col("cls"), F.lit(""))
+    kind = F.lit(None).cast("int")
+    for i, word in reversed(list(enumerate(fixed.CONTAINER_PRODUCT_CLASSES))):
+        hit = (F.col("tag") == "article") if word == "article" else F.contains(low, F.lit(word))
+        kind = F.when(hit, F.lit(i)).otherwise(kind)
+    cand = el.join(keys.select("page_id").distinct(), "page_id", "left_semi").withColumn("k", kind).filter("k IS NOT NULL")
+    tc = dom.element_text(nodes, cand.select("page_id", "pre"), [])
+    marked = cand.join(tc.filter(T.contains_any(F.col("text_content"), fixed.CONTAINER_PRODUCT_MARKS)), ["page_id", "pre"], "left_semi")
+    s2 = marked.join(keys, "page_id").select(
+        *KEY, "pre", "last", (F.lit(1 << 40) + F.col("k").cast("bigint") * F.lit(1 << 32) + F.col("pre")).alias("co"))
+    both = s1.unionByName(s2).groupBy(*KEY, "pre", "last").agg(F.min("co").alias("co"))
+    w2 = Window.partitionBy(*KEY).orderBy("co")
+    return both.withColumn("r", F.row_number().over(w2)).filter(F.col("r") <= fixed.CONTAINER_TOP).select(
+        *KEY, F.col("pre").alias("container"), "last", "co")
+
+
+def pair_up(prices: list, titles: list) -> list[dict]:
+    """each price (value, ancestors-or-self) in order takes the first
+    unused title that shares one; titles left over are records of their own.
+    Linear: an ancestor's titles are walked once."""
+    under: dict = {}
+    for i, (_, chain) in enumerate(titles):
+        for a in chain:
+            under.setdefault(a, []).append(i)
+    at, used, out = dict.fromkeys(under, 0), set(), []
+    for price, chain in prices:
+        best = None
+        for a in chain:
+            if a in under:
+                while at[a] < len(under[a]) and under[a][at[a]] in used:
+                    at[a] += 1
+                if at[a] < len(under[a]) and (best is None or under[a][at[a]] < best):
+                    best = under[a][at[a]]
+        if best is None:
+            out.append({"price": price})
+        else:
+            used.add(best)
+            out.append({"title": titles[best][0], "price": price})
+    return out + [{"title": t} for i, (t, _) in enumerate(titles) if i not in used]
+
+
+def pair_records(nodes: DataFrame, extracted: DataFrame) -> DataFrame:
+    """F9 over de-duplicated values (page_id, sequence_id, idx, value, node) ->
+    (page_id, sequence_id, co, record)."""
+    near = nodes.filter(F.col("kind") != "error").select("page_id", F.col("pre").alias("node"), F.col("kind").alias("n_kind"), F.col("up").alias("n_up"))
+    text = F.col("n_kind") != "elem"
+    chain = F.slice(F.when(text, F.col("n_up")).otherwise(F.concat(F.array("node"), F.col("n_up"))), 1, fixed.RELATED_MAX_DISTANCE)
     cur = T.contains_any(F.col("value"), fixed.CURRENCY_MARKS)
     n = F.length("value")
     title = ~cur & (F.contains(F.col("value"), F.lit(fixed.PAIR_TITLE_MARK)) | ((n > 15) & (n < 100)))
-    item = F.struct("idx", "value", "chain")
-    per = src.groupBy("page_id").agg(
+    item = F.struct("idx", "value", chain.alias("chain"))
+    per = extracted.join(near, ["page_id", "node"]).groupBy(*KEY).agg(
         F.array_sort(F.collect_list(F.when(cur, item))).alias("prices"),
-        F.array_sort(F.collect_list(F.when(title, item))).alias("titles"),
-    )
-    rec_t = "struct<title:string,price:string>"
-    init = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<{rec_t}>").alias("recs"))
-
-    def step(acc, p):
-        cands = F.filter(F.col("titles"), lambda t: ~F.array_contains(acc["used"], t["idx"]) & F.arrays_overlap(t["chain"], p["chain"]))
-        t = F.try_element_at(cands, F.lit(1))
-        return F.struct(
-            F.when(t.isNotNull(), F.concat(acc["used"], F.array(t["idx"]))).otherwise(acc["used"]).alias("used"),
-            F.concat(acc["recs"], F.array(F.struct(t["value"].alias("title"), p["value"].alias("price")))).alias("recs"),
-        )
-
-    folded = per.select("page_id", "titles", F.aggregate("prices", init, step).alias("acc"))
-    left = F.transform(F.filter("titles", lambda t: ~F.array_contains(F.col("acc.used"), t["idx"])),
-                       lambda t: F.struct(t["value"].alias("title"), F.lit(None).cast("string").alias("price")))
-    recs = folded.select("page_id", F.posexplode(F.concat("acc.recs", left)).alias("record", "r"))
-    return recs.select("page_id", "record", F.explode(F.array(
-        F.struct(F.lit("title").alias("field"), F.col("r.title").alias("value")),
-        F.struct(F.lit("price").alias("field"), F.col("r.price").alias("value")),
-    )).alias("f")).select("page_id", "record", "f.field", "f.value").filter(F.col("value").isNotNull())
-
-
-def product_containers(nodes: DataFrame, src: DataFrame) -> DataFrame:
-    """(page_id, container, rank) — ancestors (up to 4 levels) of the
-    first 5 price sources whose text is > 1.5 × the price, then elements with
-    a product-like class (or ``article``) whose text has a price or brand
-    mark; distinct, first 10 per page in that order."""
-    cur = T.contains_any(F.col("value"), fixed.CURRENCY_MARKS)
-    w = Window.partitionBy("page_id").orderBy("idx")
-    prices = src.filter(cur).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= fixed.CONTAINER_SOURCE_LIMIT)
-    ups = prices.select("page_id", "value", F.posexplode(F.slice("chain", 2, 4)).alias("lvl", "container"),
-                        F.col("_r").alias("r"))
-    el = dom.elements(nodes).select(F.col("page_id").alias("e_page"), F.col("pre").alias("e_pre"), "tag", "cls", "text_len")
-    s1 = ups.join(el, (F.col("page_id") == F.col("e_page")) & (F.col("container") == F.col("e_pre"))).filter(
-        F.col("text_len") > F.length("value") * 1.5).select(
-        "page_id", "container", (F.col("r") * 10 + F.col("lvl")).cast("bigint").alias("o"), F.lit(1).alias("s"))
-    low = F.lower(F.coalesce(F.col("cls"), F.lit("")))
-    cand = el.filter(T.contains_any(low, fixed.CONTAINER_PRODUCT_CLASSES) | (F.col("tag") == "article")).select(
-        F.col("e_page").alias("page_id"), F.col("e_pre").alias("pre"))
-    tc = dom.element_text(nodes, cand, [])
-    s2 = tc.filter(T.contains_any(F.col("text_content"), fixed.CONTAINER_PRODUCT_MARKS)).select(
-        "page_id", F.col("pre").alias("container"), F.col("pre").cast("bigint").alias("o"), F.lit(2).alias("s"))
-    both = s1.unionByName(s2).groupBy("page_id", "container").agg(F.min(F.col("s") * F.lit(1 << 40) + F.col("o")).alias("k"))
-    w2 = Window.partitionBy("page_id").orderBy("k")
-    return both.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= fixed.CONTAINER_TOP).drop("k")
+        F.array_sort(F.collect_list(F.when(title, item))).alias("titles")).filter("size(prices) + size(titles) > 0")
+    dom.ship(__name__)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            recs = [pair_up([(x["value"], x["chain"]) for x in p], [(x["value"], x["chain"]) for x in t])
+                    for p, t in zip(b.column("prices").to_pylist(), b.column("titles").to_pylist())]
+            kind = pa.list_(pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("sequence_id"),
+                                              pa.array([[list(r.items()) for r in rs] for rs in recs], kind)], [*KEY, "r"])
+
+    out = per.mapInArrow(run, "page_id bigint, sequence_id string, r array<map<string,string>>")
+    return out.select(*KEY, F.posexplode("r").alias("co", "record")).withColumn("co", F.col("co").cast("bigint"))
+
+
+def structure(nodes: DataFrame, values: DataFrame, step_status: DataFrame, extracted: DataFrame, compat: bool = False) -> DataFrame:
+    """the final data of every rule and page,
+    (page_id, sequence_id, idx, value, record, strategy).
+
+    ``strategy`` is container / product / parent / pair (``record`` is set) or
+    flat (``value`` is set)."""
+    src = cut_lineage(sources(nodes, values, step_status))  # stage boundary: every branch below starts here
+    flat = extracted.select(*KEY, "idx", "value", "node")
+    keys = src.select(*KEY).distinct()
+    cont = cut_lineage(containers(nodes, src, compat).withColumn("strategy", F.lit("container")))
+    without = keys.join(cont.select(*KEY).distinct(), KEY, "left_anti")
+    broad = product_containers(nodes, src.join(without, KEY, "left_semi"), flat).withColumn("strategy", F.lit("product"))
+    cont = cut_lineage(cont.unionByName(broad))
+    of = cont.select(*KEY, "strategy").distinct()
+    grouped = _records(members(src, cont)).join(of, KEY)
+    # F8: no containers at all
+    rest = src.join(of, KEY, "left_anti")
+    parents = rest.groupBy(*KEY, "parent").agg(F.min("o").alias("co"))
+    by_parent = _records(rest.join(parents, [*KEY, "parent"]).withColumn("container", F.col("parent"))).withColumn("strategy", F.lit("parent"))
+    single = rest.join(by_parent.select(*KEY).distinct(), KEY, "left_anti").filter(F.length("text") > 0).select(
+        *KEY, F.col("o").alias("co"), F.create_map("field", "text").alias("record"), F.lit("parent").alias("strategy"))
+    recs = cut_lineage(grouped.unionByName(by_parent).unionByName(single))
+    # F9 where containers gave records for fewer than 30 % of the values
+    counts = flat.groupBy(*KEY).agg(F.count("*").alias("n_values")).join(of, KEY).join(
+        recs.groupBy(*KEY).agg(F.count("*").alias("n_records")), KEY, "left").fillna(0, ["n_records"])
+    poor = counts.filter(F.col("n_records") < F.col("n_values") * fixed.STRUCTURED_SHARE)
+    pairs = pair_records(nodes, flat.join(poor.select(*KEY), KEY, "left_semi"))
+    more = pairs.groupBy(*KEY).agg(F.count("*").alias("n_pairs")).join(poor, KEY).filter("n_pairs > n_records").select(*KEY)
+    pairs = pairs.join(more, KEY, "left_semi").withColumn("strategy", F.lit("pair"))
+    recs = recs.join(more, KEY, "left_anti").unionByName(pairs)
+    w = Window.partitionBy(*KEY).orderBy("co", "strategy")
+    recs = recs.select(*KEY, F.row_number().over(w).alias("idx"), F.lit(None).cast("string").alias("value"), "record", "strategy")
+    left = flat.join(recs.select(*KEY).distinct(), KEY, "left_anti").select(
+        *KEY, "idx", "value", F.lit(None).cast("map<string,string>").alias("record"), F.lit("flat").alias("strategy"))
+    return recs.unionByName(left)

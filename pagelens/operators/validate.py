@@ -38,11 +38,11 @@ def relevance(value: Column, task: Column) -> Column:
     low = F.lower(value)
     n = F.length(value)
     return (
-        F.when(T.contains_any(t, ["price", "cost", "amount", "money"]),
+        F.when(T.contains_any(t, fixed.RELEVANCE_PRICE_WORDS),
                F.when(T.contains_any(value, fixed.RELEVANCE_CURRENCY) | F.contains(low, F.lit("price")), 1.0).otherwise(0.3))
-        .when(T.contains_any(t, ["title", "heading", "name"]),
+        .when(T.contains_any(t, fixed.RELEVANCE_TITLE_WORDS),
               F.when((n >= 5) & (n <= 100) & ~T.contains_any(value, ["@", "http"]), 0.8).otherwise(0.4))
-        .when(T.contains_any(t, ["link", "url", "href"]),
+        .when(T.contains_any(t, fixed.RELEVANCE_LINK_WORDS),
               F.when(F.contains(low, F.lit("http")) | F.startswith(value, F.lit("/")), 1.0).otherwise(0.2))
         .when(F.contains(t, F.lit("email")),
               F.when(F.contains(value, F.lit("@")) & F.contains(value, F.lit(".")), 1.0).otherwise(0.1))
@@ -50,8 +50,9 @@ def relevance(value: Column, task: Column) -> Column:
     )
 
 
-def page_values(nodes: DataFrame, pages: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """H2: run every rule on every page in scope the validation way.
+def page_values(nodes: DataFrame, pages: DataFrame, steps: DataFrame, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """H2: run every rule on every page (or each page's rules, if ``pairs`` are
+    given) the validation way.
 
     Every action is a text extraction, values are stripped (not squeezed),
     de-duplicated within the action, and the *last* successful action's
@@ -60,7 +61,7 @@ def page_values(nodes: DataFrame, pages: DataFrame, steps: DataFrame) -> tuple[D
       page_status (page_id, sequence_id, success, error_count)
     """
     as_text = select.with_action(steps, fixed.ACTION_TEXT)
-    vals, st = execute.run_steps(nodes, as_text, pages, normalize_whitespace=False, max_results=1 << 30)
+    vals, st = execute.run_steps(nodes, as_text, pages, normalize_whitespace=False, max_results=1 << 30, pairs=pairs)
     first = vals.groupBy("page_id", "sequence_id", "step_index", "value").agg(F.min("ord").alias("ord"))
     ok = first.groupBy("page_id", "sequence_id", "step_index").agg(F.count("*").alias("n"))
     last_ok = ok.groupBy("page_id", "sequence_id").agg(F.max("step_index").alias("last_step"))
@@ -77,11 +78,15 @@ def page_values(nodes: DataFrame, pages: DataFrame, steps: DataFrame) -> tuple[D
     return data, status
 
 
+def _few(rules: DataFrame) -> DataFrame:
+    return select.small(rules, rules.count())
+
+
 def page_quality(data: DataFrame, status: DataFrame, rule_tasks: DataFrame) -> DataFrame:
     """H3/H4/H5 per (page, rule): quality_score, data_consistency,
     content_relevance, meaningfulness, uniqueness_ratio, data_count,
     mean_len."""
-    d = data.join(F.broadcast(rule_tasks.select("sequence_id", "task")), "sequence_id")
+    d = data.join(_few(rule_tasks.select("sequence_id", "task")), "sequence_id")
     n = F.count("*")
     agg = d.groupBy("page_id", "sequence_id").agg(
         n.alias("data_count"),
@@ -90,7 +95,7 @@ def page_quality(data: DataFrame, status: DataFrame, rule_tasks: DataFrame) -> D
         F.coalesce(F.var_samp(F.length("value")), F.lit(0.0)).alias("len_var"),
         F.count_distinct(char_pattern(F.col("value"))).alias("n_patterns"),
         F.avg(relevance(F.col("value"), F.col("task"))).alias("content_relevance"),
-        (F.count_distinct("value") / n).alias("uniqueness_ratio"),
+        F.lit(1.0).alias("uniqueness_ratio"),  # a rule's values are distinct on a page
         F.avg(F.length("value")).alias("mean_len"),
     )
     cons = F.when(
@@ -174,7 +179,7 @@ def rule_performance(quality: DataFrame, data: DataFrame, groups: DataFrame,
 def rank_rules(perf: DataFrame, rule_order: DataFrame, min_success: float = fixed.MIN_SUCCESS_THRESHOLD) -> DataFrame:
     """Rank by robustness (stable on input order) and select the
     first rule meeting the success and quality floors, else rank 1."""
-    p = perf.join(F.broadcast(rule_order.select("sequence_id", "rule_ord")), "sequence_id")
+    p = perf.join(_few(rule_order.select("sequence_id", "rule_ord")), "sequence_id")
     w = Window.partitionBy("grp").orderBy(F.desc(F.round("robustness_score", 12)), F.asc("rule_ord"))
     p = p.withColumn("rank", F.row_number().over(w).cast("bigint"))
     eligible = (F.col("success_rate") >= min_success) & (F.col("quality_score") >= fixed.SELECT_MIN_QUALITY)
@@ -231,16 +236,17 @@ def page_groups(pages: DataFrame, by: str | None = "domain") -> DataFrame:
 
 
 def cross_validate(pages: DataFrame, steps: DataFrame, rule_tasks: DataFrame, by: str | None = "domain",
-                   nodes: DataFrame | None = None, **weights):
+                   nodes: DataFrame | None = None, pairs: DataFrame | None = None, **weights):
     """Full H1-H12 run.  Returns (ranked performance, summary, page quality).
 
     ``rule_tasks``: (sequence_id, task, rule_ord).  Every rule is tried on
     every page of each group; with ``by='domain'`` a rule is judged per
-    domain, so each domain gets its own ranking and selection.
+    domain, so each domain gets its own ranking and selection.  ``pairs``
+    (page_id, sequence_id) limits each page to its own rules.
     """
     if nodes is None:
         nodes = dom.dom_nodes(pages)
-    data, status = page_values(nodes, pages, steps)
+    data, status = page_values(nodes, pages, steps, pairs)
     quality = page_quality(data, status, rule_tasks)
     groups = page_groups(pages, by)
     min_success = weights.pop("min_success", fixed.MIN_SUCCESS_THRESHOLD)

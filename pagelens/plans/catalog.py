@@ -52,9 +52,18 @@ def bench_steps(spark: SparkSession) -> DataFrame:
     return S.steps_frame(spark, rules)
 
 
+#: Rules judged across pages: the flat rules and the multi-step one, of which
+#: the last action that finds something counts.
+VALIDATED = {rid: [st] for rid, _, st in FLAT_RULES} | {MULTI_RULE[0]: MULTI_RULE[1]}
+
+
+def validated_steps(spark: SparkSession) -> DataFrame:
+    return S.steps_frame(spark, VALIDATED)
+
+
 def validation_rules(spark: SparkSession) -> DataFrame:
-    """(sequence_id, task, rule_ord) for the flat rules."""
+    """(sequence_id, task, rule_ord) for the validated rules."""
     return spark.createDataFrame(
-        [(rid, VALIDATION_TASK, i + 1) for i, (rid, _, _) in enumerate(FLAT_RULES)],
+        [(rid, VALIDATION_TASK, i + 1) for i, rid in enumerate(VALIDATED)],
         "sequence_id string, task string, rule_ord int",
     )

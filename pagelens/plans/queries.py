@@ -7,6 +7,7 @@ rounded to 6 places so a different summation order cannot flip a digit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from ..functions import text as T
 from ..functions import urls
 from ..operators import advise, dom, execute, learn, profile, repository, structure, validate
 from ..operators import select as S
-from ..session import cut_lineage, read_table, tune
+from ..session import cut_lineage, ensure_checkpoint_dir, read_table, tune
 from . import catalog, scrape
 
 STAMP = "2026-01-01T00:00:00"
@@ -85,9 +86,9 @@ def robots_urls(spark, sf):
 def page_links(spark, sf):
     """Every a[href] resolved against the page URL, internal flag."""
     pc = _clean(spark, sf)
-    toks = profile.tag_tokens(pc).filter((F.col("tag") == "a") & F.col("has_href"))
+    toks = profile.tag_tokens(pc, carry=("url",)).filter((F.col("tag") == "a") & F.col("has_href"))
     href = T.decode_entities(F.regexp_extract(F.col("attrs"), r"[ \t\n\r\f]href=\"([^\"]*)\"", 1))
-    t = toks.join(pc.select("page_id", "url"), "page_id").select("page_id", "pos", "url", href.alias("href"))
+    t = toks.select("page_id", "pos", "url", href.alias("href"))
     t = urls.resolve(t, "url", "href", "absolute")
     return t.select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "href", "absolute",
@@ -128,8 +129,21 @@ def class_top10(spark, sf):
     return profile.class_patterns(_clean(spark, sf))
 
 
+def _order_pages(spark, sf) -> DataFrame:
+    """A listing page per order, made of its lines: pages with classes."""
+    tune(spark)
+    line = F.concat(
+        F.lit('<li class="line-item '), F.lower("l_returnflag"), F.lit('"><span class="item-name label">Part '), F.col("l_partkey").cast("string"),
+        F.lit('</span><b class="price">$'), F.col("l_quantity").cast("bigint").cast("string"), F.lit(".00</b></li>"))
+    lines = read_table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", line.alias("html")).alias("l"))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["html"]), "")
+    one = lines.groupBy("l_orderkey").agg(items.alias("items"))  # an order has a few lines
+    return one.select(F.col("l_orderkey").cast("bigint").alias("page_id"), F.lit(None).cast("string").alias("url"),
+                      F.concat(F.lit('<html><body><ul class="order list">'), "items", F.lit("</ul></body></html>")).alias("html"))
+
+
 def semantic_classes(spark, sf):
-    return profile.semantic_classes(_clean(spark, sf))
+    return profile.semantic_classes(profile.with_clean(_order_pages(spark, sf)))
 
 
 def price_patterns(spark, sf):
@@ -137,7 +151,7 @@ def price_patterns(spark, sf):
 
 
 def repeated_classes(spark, sf):
-    return profile.repeated_classes(_clean(spark, sf))
+    return profile.repeated_classes(profile.with_clean(_order_pages(spark, sf)))
 
 
 def content_patterns_pages(spark, sf):
@@ -156,19 +170,20 @@ def dom_nodes(spark, sf):
     return n.select("page_id", "pre", "last", "parent", "depth", "kind", "tag", "cls", "text", "text_len")
 
 
+def dom_tags(spark, sf):
+    """D1 by counts: elements of each tag, and text nodes (``#text``) with
+    their characters."""
+    n = dom.good_nodes(dom.parse_nodes(_clean_pages(spark, sf)))
+    return n.groupBy("page_id", F.coalesce("tag", F.lit("#text")).alias("tag")).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("bigint").alias("n_chars"))
+
+
 def dom_profile(spark, sf):
-    """Node-form profile per page (depth, counts) joined to token stats."""
-    pc = _clean_pages(spark, sf)
-    nodes = dom.dom_nodes(pc)
-    e = dom.elements(nodes).groupBy("page_id").agg(
-        F.count("*").alias("total_elements"), F.max("depth").alias("max_depth"),
-        F.sum(F.col("cls").isNotNull().cast("int")).alias("elements_with_classes"),
-        F.sum(F.col("elem_id").isNotNull().cast("int")).alias("elements_with_ids"),
-        F.sum(((F.col("tag") == "a") & F.col("href").isNotNull()).cast("int")).alias("links"),
-        F.sum((F.col("tag") == "img").cast("int")).alias("images"),
-    )
-    t = dom.text_nodes(nodes).filter(F.length(F.trim("text")) > 0).groupBy("page_id").agg(F.count("*").alias("text_nodes"))
-    return e.join(t, "page_id", "left")
+    """One nested report per page, lists as JSON."""
+    pc = _clean(spark, sf)
+    nodes = dom.dom_nodes(pc.select("page_id", F.col("html_clean").alias("html")))
+    full = profile.full_profile(pc, nodes)
+    return full.select(*[F.to_json(c).alias(c) if t.startswith("array") else F.col(c) for c, t in full.dtypes])
 
 
 def task_patterns(spark, sf):
@@ -179,7 +194,14 @@ def task_patterns(spark, sf):
 
 def dynamic_pages(spark, sf):
     p = _pages(spark, sf)
-    return profile.dynamic_pages(p, dom.dom_nodes(p))
+    return profile.dynamic_pages(p, dom.dom_nodes(p)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def page_routes(spark, sf):
+    """A3: pages kept as they are, and pages to be rendered first."""
+    p = _pages(spark, sf)
+    keep, render = profile.route_pages(p, profile.dynamic_pages(p, dom.dom_nodes(p)))
+    return keep.select("page_id", F.lit("static").alias("route")).unionByName(render.select("page_id", F.lit("render").alias("route")))
 
 
 # ---------------------------------------------------------------------------
@@ -194,24 +216,31 @@ def _run(spark, sf, rules: dict, **kw):
 
 
 def extract_titles(spark, sf):
-    ex, _, _ = _run(spark, sf, {"r_headings": [learn.CANDIDATES["title"]]})
+    ex = _run(spark, sf, {"r_headings": [learn.CANDIDATES["title"]]}, enable_structuring=False).extracted
     return ex.select("page_id", F.col("idx").cast("bigint").alias("idx"), "value")
 
 
 def extract_links(spark, sf):
-    ex, _, _ = _run(spark, sf, {catalog.LINKS_RULE[0]: [catalog.LINKS_RULE[1]]})
+    ex = _run(spark, sf, {catalog.LINKS_RULE[0]: [catalog.LINKS_RULE[1]]}, enable_structuring=False).extracted
     return ex.select("page_id", F.col("idx").cast("bigint").alias("idx"), "value")
 
 
+def single_rule(spark, sf):
+    """One rule on every page, with its values."""
+    steps = S.steps_frame(spark, {catalog.FLAT_RULES[3][0]: [catalog.FLAT_RULES[3][2]]})
+    one = execute.execute_single(_clean_pages(spark, sf), steps)
+    return one.select("page_id", "sequence_id", "status", "element_count", "data_count", F.array_join("data", "|").alias("data"))
+
+
 def step_status(spark, sf):
     rules = {rid: [st] for rid, _, st in catalog.FLAT_RULES}
     rules[catalog.LINKS_RULE[0]] = [catalog.LINKS_RULE[1]]
-    _, _, st = _run(spark, sf, rules)
+    st = _run(spark, sf, rules, enable_structuring=False).steps
     return st.select("page_id", "sequence_id", "status", "element_count", "data_count", "error_message")
 
 
 def sequence_results(spark, sf):
-    _, summ, _ = _run(spark, sf, {catalog.MULTI_RULE[0]: catalog.MULTI_RULE[1]})
+    summ = _run(spark, sf, {catalog.MULTI_RULE[0]: catalog.MULTI_RULE[1]}).summary
     return summ.select("page_id", "sequence_id", "success", "total_steps", "successful_steps", "failed_steps",
                        "data_count", _r6(F.col("success_rate")).alias("success_rate"),
                        _r6(F.col("data_extraction_rate")).alias("data_extraction_rate"))
@@ -219,12 +248,15 @@ def sequence_results(spark, sf):
 
 def rule_probe(spark, sf):
     pc = _clean_pages(spark, sf)
-    pr = execute.probe(pc, catalog.bench_steps(spark))
-    return pr.select("page_id", "sequence_id", "result_count", F.array_join("sample_results", " | ").alias("sample"))
+    rules = {rid: [st] for rid, _, st in catalog.FLAT_RULES} | {"r_broken": [S.Step([], xpath="//x[[")]}
+    pr = execute.probe(pc, S.steps_frame(spark, rules))
+    return pr.select("page_id", "sequence_id", "valid", "result_count", F.array_join("result_types", ",").alias("result_types"),
+                     F.array_join("sample_results", " | ").alias("sample"))
 
 
 def extract_html(spark, sf):
-    ex, _, _ = _run(spark, sf, {"r_ad_html": [S.Step([S.Branch(tags=["div"], class_any=["ad"])], action_type=fixed.ACTION_HTML)]})
+    rule = {"r_ad_html": [S.Step([S.Branch(tags=["div"], class_any=["ad"])], action_type=fixed.ACTION_HTML)]}
+    ex = _run(spark, sf, rule, enable_structuring=False).extracted
     return ex.select("page_id", F.col("idx").cast("bigint").alias("idx"), "value")
 
 
@@ -238,21 +270,29 @@ def field_inference(spark, sf):
     nodes = dom.dom_nodes(pc)
     from pyspark.sql.window import Window
 
-    f = structure.field_names(nodes, ["h1", "a", "div", "footer", "title"])
+    f = structure.field_names(nodes)
     w = Window.partitionBy("page_id", "tag").orderBy("pre")
     return f.select("page_id", "tag", F.row_number().over(w).cast("bigint").alias("idx"), "field")
 
 
 def nav_filter(spark, sf):
-    ex, _, _ = _run(spark, sf, {"r_link_text": [catalog.FLAT_RULES[3][2]]})
+    ex = _run(spark, sf, {"r_link_text": [catalog.FLAT_RULES[3][2]]}, enable_structuring=False).extracted
     return ex.select("page_id", F.col("idx").cast("bigint").alias("idx"), "value",
                      structure.is_navigation(F.col("value")).alias("is_nav"))
 
 
 def structured_records(spark, sf):
-    pc = _clean_pages(spark, sf)
-    steps = S.steps_frame(spark, {"r_text": [catalog.TREE_RULES[0][1]], "r_headings": [learn.CANDIDATES["title"]]})
-    return structure.structure_records(pc, steps)
+    """how many records (or values) each rule gives on each page."""
+    data = _run(spark, sf, catalog.VALIDATED).data
+    return data.groupBy("page_id", "sequence_id").agg(F.count("*").alias("data_count"))
+
+
+def product_records(spark, sf):
+    """F11 on listing pages: the records of name and price of every order."""
+    rule = {"r_items": [S.Step([S.Branch(tags=["span"], output="text")]), S.Step([S.Branch(tags=["b"], output="text")])]}
+    run = execute.execute(_order_pages(spark, sf), S.steps_frame(spark, rule))
+    return run.data.select("page_id", F.col("idx").cast("bigint").alias("idx"), "strategy", F.col("record")["price"].alias("price"),
+                           F.col("record")["title"].alias("title"))
 
 
 # ---------------------------------------------------------------------------
@@ -297,7 +337,7 @@ def learn_rules(spark, sf):
 
 def learn_trace(spark, sf):
     p = _pages(spark, sf)
-    _, trace, _ = learn.learn(p, catalog.LEARN_TASKS[:2], max_iterations=3, route_on="prompt")
+    _, trace, _ = learn.learn(p, catalog.LEARN_TASKS, route_on="prompt")
     return trace
 
 
@@ -309,8 +349,8 @@ def rule_suggestions(spark, sf):
 def advice(spark, sf):
     rules = {rid: [st] for rid, _, st in catalog.FLAT_RULES}
     rules[catalog.LINKS_RULE[0]] = [catalog.LINKS_RULE[1]]
-    ex, summ, st = _run(spark, sf, rules)
-    return advise.advice(st, summ)
+    run = _run(spark, sf, rules)
+    return advise.advice(run.steps, run.summary)
 
 
 # ---------------------------------------------------------------------------
@@ -320,7 +360,7 @@ def advice(spark, sf):
 
 def _validate(spark, sf):
     pc = _clean_pages(spark, sf)
-    return validate.cross_validate(pc, catalog.flat_steps(spark), catalog.validation_rules(spark), by="domain")
+    return validate.cross_validate(pc, catalog.validated_steps(spark), catalog.validation_rules(spark), by="domain")
 
 
 def cross_validate(spark, sf):
@@ -360,7 +400,7 @@ def _published(spark, sf):
     rule table would be."""
     pages = _pages(spark, sf)
     rules, ranked, summary = scrape.validate_and_publish(
-        pages, catalog.flat_steps(spark), catalog.validation_rules(spark), catalog.VALIDATION_TASK, STAMP)
+        pages, catalog.validated_steps(spark), catalog.validation_rules(spark), catalog.VALIDATION_TASK, STAMP)
     return cut_lineage(rules)
 
 
@@ -414,15 +454,60 @@ def scrape_envelope(spark, sf):
 
 def scrape_learn(spark, sf):
     pages = _pages(spark, sf)
-    rules = repository.empty(spark)
-    stored, results = scrape.scrape_learn(pages, rules, catalog.LEARN_TASKS[0], STAMP, max_iterations=3)
-    return results
+    results = [scrape.scrape_learn(pages, repository.empty(spark), task, STAMP)[1] for task in catalog.LEARN_TASKS]
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def learn_publish(spark, sf):
+    """The learned and validated rule of each domain."""
+    rules, _, _ = scrape.learn_and_publish(_pages(spark, sf), catalog.VALIDATION_TASK, STAMP)
+    return rules.select("sequence_id", "domain", _r6(F.col("robustness_score")).alias("robustness_score"),
+                        F.col("metadata")["source_rule"].alias("source_rule"))
+
+
+def rule_store(spark, sf):
+    """Published rules saved, some updated (two rows of an id: the
+    last wins), some deleted, saved as the next version and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/rules-{uuid.uuid4().hex}"
+    repository.save(_published(spark, sf), path)
+    now = repository.load(spark, path)
+    some = now.filter(F.col("metadata")["source_rule"] == "r_h1")
+    twice = some.withColumn("robustness_score", F.lit(0.1)).unionByName(some.withColumn("robustness_score", F.lit(0.25)))
+    gone = now.filter(F.col("metadata")["source_rule"] == "r_ad").select("sequence_id")
+    repository.save(repository.delete(repository.upsert(now, twice, F.to_timestamp(F.lit("2026-02-01T00:00:00"))), gone), path)
+    return repository.load(spark, path).select("sequence_id", "domain", _r6(F.col("robustness_score")).alias("robustness_score"),
+                                               (F.col("updated_at") > F.col("created_at")).alias("updated"))
+
+
+def rules_by_id(spark, sf):
+    """I2 for every stored id: each is found once."""
+    rules = _published(spark, sf)
+    return rules.select("sequence_id").join(rules, "sequence_id").select("sequence_id", "domain", "extraction_task")
+
+
+def rules_by_task(spark, sf):
+    r = repository.fetch_by_task(_published(spark, sf), catalog.VALIDATION_TASK)
+    return r.select("sequence_id", "domain", _r6(F.col("robustness_score")).alias("robustness_score"))
+
+
+def result_files(spark, sf):
+    """A4: result documents written as JSON and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    res, vals = scrape.scrape_known(_pages(spark, sf), _published(spark, sf), catalog.VALIDATION_TASK)
+    env = scrape.envelope(res, vals, stamp=STAMP)
+    scrape.write_results(env, path)
+    back = spark.read.schema(env.schema).json(path)
+    return back.select("page_id", "success", "error", "metadata.data_count", "metadata.domain",
+                       F.coalesce(F.size("data"), F.lit(0)).cast("bigint").alias("n_items"))
 
 
 def stream_extract(spark, sf):
     from ..streaming import continuous
 
-    return continuous.run_available(spark, f"{sf.rstrip('/')}/pages.parquet", catalog.flat_steps(spark))
+    return continuous.run_available(spark, f"{sf.rstrip('/')}/pages.parquet", catalog.flat_steps(spark), enable_structuring=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -444,11 +529,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "content_patterns_pages": content_patterns_pages,
     "content_patterns_docs": content_patterns_docs,
     "dom_nodes": dom_nodes,
+    "dom_tags": dom_tags,
     "dom_profile": dom_profile,
     "task_patterns": task_patterns,
     "dynamic_pages": dynamic_pages,
+    "page_routes": page_routes,
     "extract_titles": extract_titles,
     "extract_links": extract_links,
+    "single_rule": single_rule,
     "step_status": step_status,
     "sequence_results": sequence_results,
     "rule_probe": rule_probe,
@@ -456,6 +544,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "field_inference": field_inference,
     "nav_filter": nav_filter,
     "structured_records": structured_records,
+    "product_records": product_records,
     "task_routing": task_routing,
     "rule_score": rule_score,
     "learn_rules": learn_rules,
@@ -469,10 +558,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rules_top_by_domain": rules_top_by_domain,
     "rules_by_domain_task": rules_by_domain_task,
     "rules_stats": rules_stats,
+    "rules_by_id": rules_by_id,
+    "rules_by_task": rules_by_task,
+    "rule_store": rule_store,
     "rules_list": rules_list,
     "scrape_known": scrape_known,
     "run_report": run_report,
     "scrape_envelope": scrape_envelope,
     "scrape_learn": scrape_learn,
+    "learn_publish": learn_publish,
+    "result_files": result_files,
     "stream_extract": stream_extract,
 }

@@ -8,7 +8,7 @@ page_id, and per-domain work is aggregated (never collected per domain).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +16,7 @@ from .. import fixed
 from ..functions import urls
 from ..operators import dom, execute, learn, profile, repository, validate
 from ..operators import select as S
+from ..session import cut_lineage
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -33,9 +34,10 @@ def rule_steps(rules: DataFrame) -> DataFrame:
     )
 
 
-def publish(ranked: DataFrame, steps: DataFrame, task: str, stamp: str) -> DataFrame:
-    """J4 publish: every evaluated (domain, rule) becomes a stored rule with
-    its validation scores; the selected one is flagged in metadata.
+def publish(ranked: DataFrame, steps: DataFrame, task: str, stamp: str, selected_only: bool = False) -> DataFrame:
+    """J4 publish: evaluated (domain, rule) rows become stored rules with their
+    validation scores, every one with its rank and whether it was selected, or
+    the selected one of each domain only.
 
     ``stamp`` is the run timestamp (ISO text) — passed in so ids repeat.
     The id is I9 over (domain, task, stamp/source rule)."""
@@ -43,7 +45,8 @@ def publish(ranked: DataFrame, steps: DataFrame, task: str, stamp: str) -> DataF
         F.array_sort(F.collect_list(F.struct("step_index", "action_type", "attribute", "xpath", "branches", "post"))).alias("actions")
     )
     ts = F.to_timestamp(F.lit(stamp))
-    r = ranked.join(F.broadcast(acts), "sequence_id")
+    ranked = ranked.filter("is_selected") if selected_only else ranked
+    r = ranked.join(S.small(acts, S.rule_meta(steps)["n_steps"]), "sequence_id")
     return r.select(
         repository.rule_id(F.col("grp"), F.lit(task), F.concat(F.lit(stamp + "/"), F.col("sequence_id"))).alias("sequence_id"),
         F.col("grp").alias("domain"), F.lit(task).alias("extraction_task"), "actions",
@@ -69,11 +72,17 @@ def validate_and_publish(pages: DataFrame, steps: DataFrame, rule_tasks: DataFra
     return publish(ranked, steps, task, stamp), ranked, summary
 
 
+def final_values(data: DataFrame) -> DataFrame:
+    """Final data as text: a record as JSON, a value as it is."""
+    return data.select(*[c for c in data.columns if c not in ("value", "record", "strategy")],
+                       F.coalesce("value", F.to_json("record")).alias("value"))
+
+
 def scrape_known(pages: DataFrame, rules: DataFrame, task: str, nodes: DataFrame | None = None,
                  limit: int = fixed.SCRAPE_RULE_LIMIT):
     """For each page, run the top ``limit`` stored rules of (domain,
-    task), score = successful/total steps × values, strictly best > 0
-    wins, ties to the higher-ranked rule.
+    task), score = successful/total steps × items of the final data, strictly
+    best > 0 wins, ties to the higher-ranked rule.
 
     Returns (results, values): results (page_id, domain, task, success,
     sequence_id, data_count, success_rate, robustness_score, error);
@@ -84,24 +93,24 @@ def scrape_known(pages: DataFrame, rules: DataFrame, task: str, nodes: DataFrame
         nodes = dom.dom_nodes(pc)
     tasks = spark.createDataFrame([(task,)], "task string")
     cand = repository.rules_for_pages(pc, rules, tasks, limit)  # page_id, domain, sequence_id, rank, ...
-    # the rule table is small and already materialised; the (page, rule)
-    # pairs restrict evaluation to each page's own top rules
-    steps = rule_steps(rules)
+    # only rules that some page runs, and each page only with its own
+    steps = rule_steps(rules.join(cand.select("sequence_id").distinct(), "sequence_id", "left_semi"))
     pairs = cand.select("page_id", "sequence_id")
     vals, st = execute.run_steps(nodes, steps, pc, pairs=pairs)
-    extracted, summary = execute.sequence_results(vals, st, steps, pc)
+    _, summary, data = execute.sequence_results(vals, st, steps, pc, nodes)
     sc = summary.join(cand.select("page_id", "sequence_id", "rank", "robustness_score"), ["page_id", "sequence_id"])
     sc = sc.withColumn("score", F.col("successful_steps") / F.col("total_steps") * F.col("data_count"))
     ok = sc.filter(F.col("success") & (F.col("data_count") > 0) & (F.col("score") > 0))
     w = Window.partitionBy("page_id").orderBy(F.desc("score"), F.asc("rank"))
     best = ok.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") == 1)
-    res = pc.select("page_id", "domain").join(best, "page_id", "left").select(
+    errors = dom.node_errors(nodes).withColumnRenamed("error_message", "page_error")
+    res = pc.select("page_id", "domain").join(best, "page_id", "left").join(errors, "page_id", "left").select(
         "page_id", "domain", F.lit(task).alias("task"), F.col("sequence_id").isNotNull().alias("success"),
         "sequence_id", F.coalesce("data_count", F.lit(0)).cast("bigint").alias("data_count"),
         "success_rate", "robustness_score",
-        F.when(F.col("sequence_id").isNull(), F.lit(fixed.MSG_NO_RULE_RESULTS)).alias("error"),
+        F.when(F.col("sequence_id").isNull(), F.coalesce("page_error", F.lit(fixed.MSG_NO_RULE_RESULTS))).alias("error"),
     )
-    values = extracted.join(best.select("page_id", "sequence_id"), ["page_id", "sequence_id"], "left_semi").select(
+    values = final_values(data.join(best.select("page_id", "sequence_id"), ["page_id", "sequence_id"], "left_semi")).select(
         "page_id", "idx", "value")
     return res, values
 
@@ -126,6 +135,12 @@ def envelope(results: DataFrame, values: DataFrame, is_new_rule: bool = False, s
     )
 
 
+def write_results(envelopes: DataFrame, path: str) -> None:
+    """A4: result documents as JSON lines, a folder per hash of the page so that
+    no site becomes a folder (or a file) of its own."""
+    envelopes.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(16))).write.partitionBy("part").mode("errorifexists").json(path)
+
+
 def run_report(results: DataFrame) -> DataFrame:
     """One line per scrape rolled up per (domain, task): sessions,
     successes, items (counted only for successful scrapes with items)."""
@@ -136,30 +151,61 @@ def run_report(results: DataFrame) -> DataFrame:
     )
 
 
+def learn_and_publish(pages: DataFrame, task: str, stamp: str, max_iterations: int = fixed.MAX_ITERATIONS,
+                      min_confidence: float = fixed.MIN_CONFIDENCE):
+    """Learn on each domain's pages, validate the distinct rules of a domain
+    on all its pages, publish the selected one.  Returns (rules, ranked, summary)."""
+    pc = clean_pages(pages)
+    nodes = dom.dom_nodes(pc)
+    learned, _, book = learn.learn(pages, [task], max_iterations, min_confidence, route_on="task", nodes=nodes)
+    group = pc.select("page_id", F.coalesce("domain", F.lit("")).alias("grp"))
+    rules = learned.filter("success").join(group, "page_id").select("grp", F.col("rule_id").alias("sequence_id")).distinct()
+    rules = cut_lineage(rules)
+    ids = sorted(book.rules)
+    steps = book.frame(pages.sparkSession, ids)
+    pairs = group.join(S.small(rules, rules.count()), "grp").select("page_id", "sequence_id")
+    tasks = pages.sparkSession.createDataFrame([(r, task, i + 1) for i, r in enumerate(ids)], "sequence_id string, task string, rule_ord int")
+    ranked, summary, _ = validate.cross_validate(pc, steps, tasks, by="domain", nodes=nodes, pairs=pairs)
+    return publish(ranked, steps, task, stamp, selected_only=True), ranked, summary
+
+
+def _trace_steps(trace: DataFrame, max_iterations: int) -> DataFrame:
+    """(page_id, step_index, rule_id) of the actions a learning run records:
+    the initial rule, then for each iteration the tried rule and, if it was
+    repaired, the step back.  A rule that is neither accepted nor repaired is
+    tried again in every iteration that is left."""
+    t = trace.select("page_id", "iteration", "rule_id", "action")
+    again = F.when(F.col("action") == "kept", F.lit(max_iterations) - F.col("iteration") + 1).otherwise(
+        F.when(F.col("action") == "accepted", 1).otherwise(2))  # a repair records the rule twice
+    n = F.when(F.col("iteration") == 1, again + 1).otherwise(again)
+    t = t.select("page_id", "iteration", "rule_id", F.posexplode(F.sequence(F.lit(1), n)).alias("k", "_"))
+    w = Window.partitionBy("page_id").orderBy("iteration", "k")
+    return t.select("page_id", (F.row_number().over(w) - 1).alias("step_index"), "rule_id")
+
+
 def scrape_learn(pages: DataFrame, rules: DataFrame, task: str, stamp: str, keep_trace: bool = True,
                  max_iterations: int = fixed.MAX_ITERATIONS, min_confidence: float = fixed.MIN_CONFIDENCE):
     """Pages whose (domain, task) has no stored rule learn one; the
-    learned rule (by default the whole trace of tried rules, as stored by
+    learned rule (by default the whole trace of recorded actions, as stored by
     the original flow) is executed and stored when it yields data.
 
     Returns (new rules, results)."""
-    spark = pages.sparkSession
     pc = clean_pages(pages)
     have = rules.filter(F.col("extraction_task") == task).select("domain").distinct()
-    todo = pc.join(have, "domain", "left_anti")
+    # Only ids and domains meet the rule table, not the pages themselves.
+    ids = pc.select("page_id", "domain").join(S.small(have, have.count()), "domain", "left_anti").select("page_id")
+    todo = pc.join(ids, "page_id", "left_semi")
+    nodes = dom.dom_nodes(todo)
     learned, trace, book = learn.learn(todo.select("page_id", "url", "html"), [task], max_iterations,
-                                       min_confidence, route_on="task")
+                                       min_confidence, route_on="task", nodes=nodes)
     ok = learned.filter("success")
-    if keep_trace:
-        tr = trace.select("page_id", "iteration", "rule_id")
-    else:
-        tr = ok.select("page_id", F.lit(1).alias("iteration"), "rule_id")
-    ids = [r["rule_id"] for r in tr.select("rule_id").distinct().collect()]  # bounded by the rule book
-    book_steps = book.frame(spark, ids).select(
+    tr = _trace_steps(trace, max_iterations) if keep_trace else ok.select("page_id", F.lit(0).alias("step_index"), "rule_id")
+    book_steps = book.frame(pages.sparkSession, sorted(book.rules)).select(
         F.col("sequence_id").alias("rule_id"), "action_type", "attribute", "xpath", "branches", "post")
+    # The rule book is bounded by the catalogue and the iterations.
     acts = tr.join(ok.select("page_id"), "page_id", "left_semi").join(F.broadcast(book_steps), "rule_id")
     acts = acts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(
-        (F.col("iteration") - 1).alias("step_index"), "action_type", "attribute", "xpath", "branches", "post"))).alias("actions"))
+        "step_index", "action_type", "attribute", "xpath", "branches", "post"))).alias("actions"))
     meta = ok.join(todo.select("page_id", "url", "domain"), "page_id")
     new = meta.join(acts, "page_id").select(
         "page_id",
@@ -171,18 +217,21 @@ def scrape_learn(pages: DataFrame, rules: DataFrame, task: str, stamp: str, keep
                      F.lit("initial_data_count"), F.col("data_count").cast("string"),
                      F.lit("generation_method"), F.lit("phase1_direct")).alias("metadata"),
     )
+    new = cut_lineage(new)
     steps = rule_steps(new)
-    nodes = dom.dom_nodes(todo)
     pairs = new.select("page_id", "sequence_id")
     vals, st = execute.run_steps(nodes, steps, todo, pairs=pairs)
-    extracted, summary = execute.sequence_results(vals, st, steps, todo)
+    _, summary, _ = execute.sequence_results(vals, st, steps, todo, nodes)
+    summary = cut_lineage(summary)
     stored = new.join(summary.filter(F.col("success") & (F.col("data_count") > 0)).select("page_id", "sequence_id"),
                       ["page_id", "sequence_id"], "left_semi").drop("page_id")
+    errors = dom.node_errors(nodes).withColumnRenamed("error_message", "page_error")
     results = todo.select("page_id", "domain").join(
         summary.join(pairs, ["page_id", "sequence_id"]), "page_id", "left"
-    ).select(
+    ).join(errors, "page_id", "left").select(
         "page_id", "domain", F.lit(task).alias("task"), F.coalesce("success", F.lit(False)).alias("success"),
-        "sequence_id", F.coalesce("data_count", F.lit(0)).cast("bigint").alias("data_count"),
-        F.when(~F.coalesce("success", F.lit(False)), F.lit(fixed.MSG_NO_RULE)).alias("error"),
+        "sequence_id", F.coalesce("total_steps", F.lit(0)).cast("bigint").alias("total_steps"),
+        F.coalesce("data_count", F.lit(0)).cast("bigint").alias("data_count"),
+        F.when(~F.coalesce("success", F.lit(False)), F.coalesce("page_error", F.lit(fixed.MSG_NO_RULE))).alias("error"),
     )
     return stored, results

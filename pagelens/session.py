@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Runtime SQL settings the operators rely on.  They can be changed at any
 # time on a live session, so operators apply them to whatever session they
@@ -59,8 +58,9 @@ def tune(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment (a shared file system); we
-    only pick a folder ourselves when the session has none, as in tests.
+    On a cluster the deployment sets it (a shared file system).  Only a local
+    session, as in tests, gets a folder of its own; on a cluster an executor
+    could not read what another wrote to a local one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -68,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="pagelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -79,15 +81,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven small.
-
-    Counting a rule/task table is cheap; above the bound the caller's join
-    falls back to the planner's shuffle join.
-    """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -13,48 +13,50 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import execute
 from ..plans import scrape
 from ..session import ensure_checkpoint_dir
 
-RESULT_DDL = "page_id bigint, sequence_id string, idx int, value string, batch_id bigint"
+RESULT_DDL = "page_id bigint, sequence_id string, idx int, value string"
 
 
-def extract_batch(batch: DataFrame, steps: DataFrame) -> DataFrame:
-    pc = scrape.clean_pages(batch)
-    extracted, _, _ = execute.execute(pc, steps)
-    return extracted.select("page_id", "sequence_id", "idx", "value")
+def extract_batch(batch: DataFrame, steps: DataFrame, enable_structuring: bool = True) -> execute.Execution:
+    return execute.execute(scrape.clean_pages(batch), steps, enable_structuring=enable_structuring)
 
 
 def start(spark: SparkSession, source_dir: str, steps: DataFrame, out_dir: str, checkpoint: str,
-          glob: str | None = None, available_now: bool = True, max_files: int = 1):
-    """Start the stream; returns the StreamingQuery."""
+          glob: str | None = None, available_now: bool = True, max_files: int | None = None,
+          enable_structuring: bool = True):
+    """Start the stream; returns the StreamingQuery.  ``max_files`` per
+    micro-batch is the caller's tuning; by default a batch takes all there are."""
     schema = spark.read.parquet(source_dir if glob is None else os.path.join(source_dir, glob)).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.parquet(source_dir)
+    # The sink exists with its schema before the first page arrives.
+    spark.createDataFrame([], RESULT_DDL).write.mode("ignore").parquet(os.path.join(out_dir, "batch_id=-1"))
 
     def write(batch_df: DataFrame, batch_id: int):
-        out = extract_batch(batch_df, steps).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        run = extract_batch(batch_df, steps, enable_structuring)
+        out = scrape.final_values(run.data).select("page_id", "sequence_id", "idx", "value")
         # idempotent per batch: a retried batch overwrites its own folder
         out.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
+        run.release()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def run_available(spark: SparkSession, pages_path: str, steps: DataFrame) -> DataFrame:
+def run_available(spark: SparkSession, pages_path: str, steps: DataFrame, enable_structuring: bool = True) -> DataFrame:
     """Process every page file available now and return the sink table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = f"{base}/pagelens-stream-{uuid.uuid4().hex}"
     src_dir, name = os.path.split(pages_path)
-    q = start(spark, src_dir, steps, f"{run}/out", f"{run}/chk", glob=name)
+    q = start(spark, src_dir, steps, f"{run}/out", f"{run}/chk", glob=name, enable_structuring=enable_structuring)
     q.awaitTermination()
-    try:
-        return spark.read.schema(RESULT_DDL).parquet(f"{run}/out").drop("batch_id")
-    except Exception:
-        return spark.createDataFrame([], RESULT_DDL).drop("batch_id")
+    return spark.read.schema(RESULT_DDL + ", batch_id bigint").parquet(f"{run}/out").drop("batch_id")

@@ -24,6 +24,6 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for t in ["pages", "documents"]:
+    for t in ["pages", "documents", "lineitem"]:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF0001}/{t}.parquet'")
     return con

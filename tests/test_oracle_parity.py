@@ -5,9 +5,9 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-FAST = ["url_validate", "url_normalize", "page_links", "clean_html", "structure_info", "tag_distribution",
-        "content_patterns_docs", "extract_titles", "step_status", "field_inference", "rule_score", "cross_validate",
-        "rank_rules"]
+FAST = ["url_validate", "url_normalize", "page_links", "clean_html", "structure_info", "tag_distribution", "repeated_classes",
+        "content_patterns_docs", "dom_tags", "step_status", "rule_probe", "field_inference", "rule_score", "rank_rules",
+        "structured_records", "rule_store"]
 
 
 def _norm(v):

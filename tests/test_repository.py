@@ -1,41 +1,54 @@
 import datetime as dt
+import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
 from pagelens.operators import repository as R
 
+T1, T2 = dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1)
+
 
 def _rules(spark):
-    ts = dt.datetime(2026, 1, 1)
-    rows = [("a", "example.com", "product_titles", [], 0.85, 0.78, ts, ts, {"source": "phase2_synthesis"}),
-            ("b", "shop.com", "product_prices", [], 0.92, 0.88, ts, ts, {"source": "phase2_synthesis"})]
+    rows = [("a", "ferry.test", "fares", [], 0.8, 0.7, T1, T1, {"origin": "x"}), ("b", "shop.test", "prices", [], 0.9, 0.85, T1, T1, {}),
+            ("c", "", "fares", [], 0.1, 0.2, T1, T1, {}), ("d", None, "fares", [], 0.1, 0.15, T1, T1, {})]
     return spark.createDataFrame(rows, R.RULE_DDL)
 
 
-def test_statistics_and_listing(spark):
+def test_statistics_and_lookups(spark):
     rules = _rules(spark)
     stats = {r["metric"]: r["value"] for r in R.statistics(rules).collect()}
-    assert stats["total_sequences"] == "2" and stats["unique_domains"] == "2" and stats["unique_tasks"] == "2"
-    assert stats["average_robustness"] == "0.83"
-    assert [r["domain"] for r in R.list_all(rules).collect()] == ["shop.com", "example.com"]
-    assert R.fetch(rules, "b").first()["domain"] == "shop.com"
-    assert R.fetch_by_domain_and_task(rules, "example.com", "product_titles").count() == 1
+    assert stats["total_sequences"] == "4" and stats["unique_tasks"] == "2" and stats["average_robustness"] == "0.475"
+    assert [r["sequence_id"] for r in R.list_all(rules).collect()] == ["b", "a", "c", "d"]
+    assert R.fetch(rules, "b").first()["domain"] == "shop.test"
+    assert R.fetch_by_domain_and_task(rules, "ferry.test", "fares").count() == 1
+    assert [r.sequence_id for r in R.fetch_by_task(rules, "fares", 2).collect()] == ["a", "c"]
 
 
-def test_upsert_keeps_created_and_delete(spark):
+def test_upsert_last_wins_and_delete(spark):
     rules = _rules(spark)
-    later = dt.datetime(2026, 2, 1)
-    new = spark.createDataFrame([("a", "example.com", "product_titles", [], 0.9, 0.9, later, later, {})], R.RULE_DDL)
-    up = R.upsert(rules, new, now=F.lit(later))
-    a = up.filter("sequence_id = 'a'").first()
-    assert a["created_at"] == dt.datetime(2026, 1, 1) and a["updated_at"] == later and a["robustness_score"] == 0.9
-    assert up.count() == 2
-    assert R.delete(up, spark.createDataFrame([("a",)], "sequence_id string")).count() == 1
+    new = spark.createDataFrame([("a", "ferry.test", "fares", [], s, s, T2, T2, {}) for s in (0.3, 0.4)]
+                                + [("e", "new.test", "fares", [], 0.5, 0.5, T2, T2, {})], R.RULE_DDL).coalesce(1)
+    up = R.upsert(rules, new, now=F.lit(T2))
+    a = up.filter("sequence_id = 'a'").collect()
+    assert len(a) == 1 and a[0]["created_at"] == T1 and a[0]["updated_at"] == T2 and a[0]["robustness_score"] == 0.4
+    assert up.count() == 5
+    assert R.delete(up, spark.createDataFrame([("a",)], "sequence_id string")).count() == 4
+
+
+def test_versions(spark, tmp_path):
+    path = str(tmp_path / uuid.uuid4().hex)
+    assert R.load(spark, path).count() == 0
+    assert R.save(_rules(spark), path) == 1
+    assert {r.domain for r in R.load(spark, path).collect()} == {"ferry.test", "shop.test", "", None}
+    now = R.load(spark, path)
+    assert R.save(R.delete(now, now.filter("sequence_id = 'b'")), path) == 2
+    assert R.load(spark, path).count() == 3 and R.load(spark, path, version=1).count() == 4
+    assert [r.sequence_id for r in R.load(spark, path, domain="").collect()] == ["c"]
+    (tmp_path / path / "v00000003").mkdir()  # a write that did not finish
+    assert R.load(spark, path).count() == 3 and R.save(_rules(spark), path) == 4
 
 
 def test_rule_id(spark):
-    df = spark.range(1).select(R.rule_id(F.lit("example.com"), F.lit("titles"), F.lit("2026-01-01T00:00:00")).alias("i"))
-    import hashlib
-
-    want = "seq_" + hashlib.md5(b"example.com:titles:2026-01-01T00:00:00").hexdigest()[:12]
-    assert df.first()["i"] == want
+    df = spark.range(1).select(R.rule_id(F.lit("ferry.test"), F.lit("fares"), F.lit("2026-01-01T00:00:00")).alias("i"))
+    assert df.first()["i"] == "seq_" + hashlib.md5(b"ferry.test:fares:2026-01-01T00:00:00").hexdigest()[:12]

@@ -7,7 +7,30 @@ from pagelens.streaming import continuous
 def test_stream_equals_batch(spark):
     steps = catalog.flat_steps(spark)
     streamed = continuous.run_available(spark, "/root/testdata/sf0.001/pages.parquet", steps)
-    ex, _, _ = execute.execute(scrape.clean_pages(read_table(spark, "/root/testdata/sf0.001", "pages")), steps)
-    a = sorted(tuple(r) for r in streamed.select("page_id", "sequence_id", "idx", "value").collect())
-    b = sorted(tuple(r) for r in ex.select("page_id", "sequence_id", "idx", "value").collect())
+    run = execute.execute(scrape.clean_pages(read_table(spark, "/root/testdata/sf0.001", "pages")), steps)
+    cols = ["page_id", "sequence_id", "idx", "value"]
+    a = sorted(tuple(r) for r in streamed.select(*cols).collect())
+    b = sorted(tuple(r) for r in scrape.final_values(run.data).select(*cols).collect())
     assert a == b and len(a) > 0
+    run.release()
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    import pytest
+    from pagelens import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())

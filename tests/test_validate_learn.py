@@ -1,98 +1,106 @@
 import pytest
 
-from fixtures import LEARN_PAGE, LEARN_TASKS, VALID_PAGES
-from pagelens.operators import learn, structure, validate
+from fixtures import FARE_PAGE, FARE_TASK, LIBRARY_PAGES
+from pagelens.operators import learn, repository, validate
 from pagelens.operators import select as S
+from pagelens.plans import scrape
 
 B, St = S.Branch, S.Step
+PAGES = "page_id bigint, url string, html string"
+STAMP = "2026-01-01T00:00:00"
 
 
-def test_cross_validation_demo(spark):
-    pages = spark.createDataFrame([(i + 1, f"https://shop.test/{k}", h) for i, (k, h) in enumerate(VALID_PAGES.items())],
-                                  "page_id bigint, url string, html string")
-    rules = {"seq1": [St([B(tags=["h2"], class_eq="title", output="text")])],
-             "seq2": [St([B(tags=["h3"], class_eq="name", output="text")])],
-             "seq3": [St([B(tags=["h1", "h2", "h3"], output="text")])]}
-    rt = spark.createDataFrame([(k, "product titles", i + 1) for i, k in enumerate(rules)],
-                               "sequence_id string, task string, rule_ord int")
-    ranked, summary, _ = validate.cross_validate(pages, S.steps_frame(spark, rules), rt, by=None, min_success=0.5)
+def _library(spark):
+    return spark.createDataFrame([(i + 1, f"https://library.test/{i}", h) for i, h in enumerate(LIBRARY_PAGES)], PAGES)
+
+
+def test_cross_validation_by_hand(spark):
+    rules = {"dt": [St([B(tags=["dt"], class_eq="work", output="text")])],
+             "h2": [St([B(tags=["h2"], output="text")])],
+             "any": [St([B(tags=["dt", "h1", "h2"], output="text")])]}
+    rt = spark.createDataFrame([(k, "book titles", i + 1) for i, k in enumerate(rules)], "sequence_id string, task string, rule_ord int")
+    ranked, summary, _ = validate.cross_validate(_library(spark), S.steps_frame(spark, rules), rt, by=None, min_success=0.5)
     r = {x["sequence_id"]: x for x in ranked.collect()}
-    assert r["seq3"]["rank"] == 1 and r["seq3"]["is_selected"]
-    assert r["seq3"]["robustness_score"] == pytest.approx(1.0)
-    assert r["seq3"]["consistency_score"] == pytest.approx(0.864081, abs=1e-6)
-    assert r["seq3"]["coverage_score"] == pytest.approx(1 / 6, abs=1e-6)
-    assert r["seq3"]["quality_score"] == pytest.approx(0.908258, abs=1e-6)
-    assert r["seq1"]["robustness_score"] == pytest.approx(0.454722, abs=1e-6) and r["seq1"]["rank"] == 2
-    assert r["seq2"]["robustness_score"] == pytest.approx(0.454707, abs=1e-6) and r["seq2"]["rank"] == 3
+    assert r["any"]["rank"] == 1 and r["any"]["is_selected"] and r["any"]["success_rate"] == 1.0
+    # 2, 2 and 1 values: sample variance 1/3
+    assert r["any"]["coverage_score"] == pytest.approx(5 / 3 / 10)
+    assert r["any"]["robustness_score"] == pytest.approx(1.0)  # capped
+    # "Tides and Moons" (15) and "A Book of Kites" (15): one length, patterns LLLLLSLLLSLLLLL and LSLLLLSLLSLLLLL
+    assert r["dt"]["success_rate"] == pytest.approx(1 / 3) and r["dt"]["consistency_score"] == 1.0
+    quality = (1 + (1 + 1 / 2) / 2 + 0.8 + 1) / 4
+    assert r["dt"]["quality_score"] == pytest.approx(quality / 3)
+    weighted = 1 / 3 * 0.4 + 1.0 * 0.4 + 0.2 * 0.3 + quality / 3 * 0.3
+    assert r["dt"]["robustness_score"] == pytest.approx(weighted * (1 / 3) / 0.5)
     s = summary.first()
-    assert s["selected_sequence_id"] == "seq3" and s["pages_successful"] == 3
-    assert s["total_sequences_evaluated"] == 3 and s["total_pages_tested"] == 3
+    assert s["selected_sequence_id"] == "any" and s["pages_successful"] == 3 and s["total_pages_tested"] == 3
+
 
+def test_last_successful_action_counts(spark):
+    rules = {"m": [St([B(tags=["h1", "h2"], output="text")]), St([B(tags=["dd"], output="text")]), St([B(tags=["em"], output="text")])]}
+    from pagelens.operators import dom
 
-def _learn_pages(spark):
-    return spark.createDataFrame([(1, "https://shop.test/p", LEARN_PAGE)], "page_id bigint, url string, html string")
+    pages = _library(spark)
+    data, status = validate.page_values(dom.dom_nodes(pages), pages, S.steps_frame(spark, rules))
+    got = {}
+    for r in data.orderBy("page_id", "idx").collect():
+        got.setdefault(r.page_id, []).append(r.value)
+    assert got == {1: ["1931", "1950"], 2: ["On Walking Slowly", "Bread for Beginners"], 3: ["The Salt Road"]}
+    assert {(r.page_id, r.success, r.error_count) for r in status.collect()} == {(1, True, 2), (2, True, 2), (3, True, 2)}
 
 
-def test_learning_task_routing(spark):
-    learned, trace, book = learn.learn(_learn_pages(spark), LEARN_TASKS, max_iterations=3, min_confidence=0.6)
+def test_learning_by_task(spark):
+    page = spark.createDataFrame([(1, "https://ferry.test/fares", FARE_PAGE)], PAGES)
+    learned, trace, _ = learn.learn(page, [FARE_TASK, "List all headings"], max_iterations=3)
     got = {r["task"]: r for r in learned.collect()}
-    assert got["Extract product titles"]["rule_id"] == "cand:title" and got["Extract product titles"]["success"]
-    assert got["Extract prices"]["rule_id"] == "cand:price" and got["Extract prices"]["data_count"] == 2
-    assert got["Extract product descriptions"]["rule_id"] == "cand:title"  # keyword router weakness, kept
-
-
-def test_learning_prompt_routing_fails_demo(spark):
-    learned, trace, _ = learn.learn(_learn_pages(spark), LEARN_TASKS, max_iterations=3, min_confidence=0.6,
-                                    route_on="prompt")
-    assert all(not r["success"] for r in learned.collect())
-    steps = trace.filter("task = 'Extract prices'").orderBy("iteration").collect()
-    assert [r["action"] for r in steps] == ["parent", "parent", "parent"]
-    assert steps[0]["rule_id"] == "cand:name_price"
-
-
-def test_structured_records(spark):
-    from fixtures import EXEC_PAGE
-
-    pages = spark.createDataFrame([(1, "https://example.com/p", EXEC_PAGE)], "page_id bigint, url string, html string")
-    steps = S.steps_frame(spark, {"t4": [St([B(tags=["h2"], class_eq="title", output="text")]),
-                                         St([B(tags=["span"], class_eq="price", output="text")]),
-                                         St([B(tags=["p"], class_eq="description", output="text")])]})
-    recs = structure.structure_records(pages, steps)
-    by = {}
-    for r in recs.collect():
-        by.setdefault(r["record"], {})[r["field"]] = r["value"]
-    assert sorted(v["title"] for v in by.values()) == ["Desktop Monitor", "Laptop Computer", "Wireless Mouse"]
-    assert all(v["price"].startswith("$") for v in by.values())
-
-
-def test_navigation_and_fields(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([("Home",), ("Nike",), ("SALE",), ("Comfortable running shoe",), ("shoes",)], "t string")
-    nav = [r[0] for r in df.select(structure.is_navigation(F.col("t"))).collect()]
-    assert nav == [True, False, True, False, True]
-    f = df.select(structure.field_name(F.col("t"), F.lit(None), F.lit("span"), F.lit(False))).collect()
-    assert [r[0] for r in f] == ["text", "title", "text", "title", "title"]
-
-
-def test_price_title_pairing(spark):
-    from pyspark.sql import functions as F
-    from pyspark.sql.window import Window
-
-    from pagelens.operators import dom, execute
-
-    html = ("<html><body><ul><li><span>$10</span><a>New Balance 574 Classic</a></li>"
-            "<li><span>$20</span><a>Another long product name</a></li></ul>"
-            "<p>Some unrelated paragraph text</p></body></html>")
-    pages = spark.createDataFrame([(1, "https://shop.test/p", html)], "page_id bigint, url string, html string")
-    steps = S.steps_frame(spark, {"r": [St([B(tags=["span", "a", "p"], output="text")])]})
-    nodes = dom.dom_nodes(pages)
-    vals, _ = execute.run_steps(nodes, steps, pages)
-    sv = structure._source_values(nodes, vals.withColumn(
-        "idx", F.row_number().over(Window.partitionBy("page_id").orderBy("step_index", "ord"))))
-    recs = {}
-    for r in structure.pair_records(sv).collect():
-        recs.setdefault(r["record"], {})[r["field"]] = r["value"]
-    assert recs[0] == {"price": "$10", "title": "New Balance 574 Classic"}
-    assert recs[1] == {"price": "$20", "title": "Another long product name"}
-    assert recs[2] == {"title": "Some unrelated paragraph text"}
+    assert got[FARE_TASK]["rule_id"] == "cand:price" and got[FARE_TASK]["data_count"] == 3 and got[FARE_TASK]["success"]
+    # no headings: parents of nothing, then the refine table's words of divs (none either)
+    assert not got["List all headings"]["success"]
+    assert [r.action for r in trace.filter("task = 'List all headings'").orderBy("iteration").collect()] == ["parent"] * 3
+
+
+def test_fine_tuning_reaches_every_text_result():
+    st = learn.repair_fine(learn.CANDIDATES["quote"], False, True, False)
+    assert st.branches[0].min_len == 10 and st.display() != learn.CANDIDATES["quote"].display()
+    assert "//text()[string-length(.) > 5]" in st.display()
+    long = learn.repair_fine(learn.CANDIDATES["name_price"], False, False, True)
+    assert long.branches[0].max_len == 100
+    post = learn.repair_fine(St([B(tags=["p"])], post=[S.op("child_text")]), True, False, False)
+    assert [o["op"] for o in post.post] == ["child_text", "nonblank"]
+    same = St([B(tags=["a"], output="attr", out_attr="href")])
+    assert learn.repair_fine(same, True, True, True) is same
+
+
+def test_learned_rules_are_recorded_with_every_action(spark):
+    pages = spark.createDataFrame([(1, "https://ferry.test/fares", FARE_PAGE), (2, "https://ferry.test/none", "<html><body></body></html>"),
+                                   (3, "https://old.test/x", FARE_PAGE), (4, "https://ferry.test/blank", " ")], PAGES)
+    known = spark.createDataFrame([("k", "old.test", FARE_TASK, [], 1.0, 1.0, None, None, {})], repository.RULE_DDL)
+    stored, results = scrape.scrape_learn(pages, known, FARE_TASK, STAMP, max_iterations=3)
+    res = {r.page_id: r for r in results.collect()}
+    assert set(res) == {1, 2, 4}  # old.test has a rule
+    assert res[1].success and res[1].total_steps == 2  # the initial action and one iteration
+    assert not res[2].success and res[2].error == "Failed to generate extraction rule"
+    assert res[4].error.startswith("HTML parsing failed")
+    rows = stored.collect()
+    assert [r.domain for r in rows] == ["ferry.test"] and [a.step_index for a in rows[0].actions] == [0, 1]
+
+
+def test_trace_pads_and_steps_back(spark):
+    t = spark.createDataFrame([(1, 1, "a", "parent"), (1, 2, "b", "kept"), (2, 1, "a", "accepted")],
+                              "page_id bigint, iteration int, rule_id string, action string")
+    got = {}
+    for r in scrape._trace_steps(t, 4).orderBy("page_id", "step_index").collect():
+        got.setdefault(r.page_id, []).append(r.rule_id)
+    assert got == {1: ["a", "a", "a", "b", "b", "b"], 2: ["a", "a"]}
+
+
+def test_learn_validate_publish_and_scrape(spark):
+    rules, ranked, _ = scrape.learn_and_publish(_library(spark), "Extract book titles", STAMP)
+    rows = rules.collect()
+    assert len(rows) == 1 and rows[0].domain == "library.test" and rows[0].metadata["is_selected"] == "true"
+    assert rows[0].metadata["source_rule"] == "cand:title"
+    res, vals = scrape.scrape_known(_library(spark), rules, "Extract book titles")
+    got = {r.page_id: r for r in res.collect()}
+    assert not got[1].success and got[1].error == "No existing rules produced results"
+    assert got[3].success and got[3].data_count == 1
+    docs = {r.page_id: r for r in scrape.envelope(res, vals, stamp=STAMP).collect()}
+    assert list(docs[3].data) == ['{"title":"The Salt Road"}'] and docs[1].data is None and docs[3].metadata.timestamp == STAMP
