@@ -52,7 +52,7 @@ LATIN_PATTERN = SPLIT.format(L=f"[{LATIN_LETTER}]", N=f"[{LATIN_NUMBER}]", l=LAT
 
 #: Entries of the table of encoded words and of the transition table in a
 #: worker; a full table is emptied, which changes nothing but time.
-WORDS, ARCS, WORD_BYTES = 600_000, 1_000_000, 64
+WORDS, ARCS, WORD_BYTES = 200_000, 300_000, 64
 
 #: Ids decoded at once.
 BLOCK_IDS = 1 << 16
