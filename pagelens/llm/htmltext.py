@@ -150,16 +150,8 @@ def blocks(page: str) -> list[Block]:
 #: Labelled blocks: words, linked, words and linked of the block before and
 #: after, in article, in furniture, heading -> main text?  (0 words: no block)
 LABELLED = [
-    # paragraphs and headings of articles, long and short
-    (60, 0.0, 12, 0.0, 80, 0.0, 1, 0, 0, 1), (8, 0.0, 0, 0.0, 60, 0.0, 1, 0, 1, 1), (3, 0.0, 40, 0.0, 50, 0.0, 1, 0, 0, 1),
-    (1, 0.0, 30, 0.0, 0, 0.0, 1, 0, 0, 1), (2, 0.0, 8, 0.0, 4, 0.0, 1, 0, 1, 1), (25, 0.3, 30, 0.0, 45, 0.1, 1, 0, 0, 1),
-    (5, 1.0, 60, 0.0, 70, 0.0, 1, 0, 0, 1), (120, 0.02, 9, 0.0, 7, 1.0, 1, 0, 0, 1), (10, 0.0, 5, 1.0, 12, 0.0, 1, 0, 1, 1),
-    (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0, 1), (15, 0.6, 20, 0.2, 22, 0.3, 1, 0, 0, 1),
-    # menus, footers, adverts, forms, comments, inside and outside of articles
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (9, 0.0, 100, 0.0, 0, 0.0, 0, 1, 0, 0),
-    (14, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0, 0), (45, 0.0, 2, 1.0, 12, 0.0, 0, 1, 0, 0), (80, 0.1, 90, 0.0, 6, 0.5, 0, 1, 0, 0),
-    (30, 0.0, 60, 0.0, 20, 0.0, 1, 1, 0, 0), (6, 0.0, 50, 0.0, 40, 0.0, 1, 1, 0, 0), (4, 0.0, 3, 1.0, 9, 0.0, 0, 1, 1, 0),
-    (70, 0.0, 40, 0.0, 65, 0.0, 1, 1, 0, 0), (3, 1.0, 50, 0.0, 5, 1.0, 1, 1, 0, 0), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 0),
+    # the only text of a page
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
     # pages without marked articles: long text with few links stays
     (55, 0.0, 4, 0.0, 60, 0.0, 0, 0, 0, 1), (35, 0.1, 40, 0.0, 25, 0.0, 0, 0, 0, 1), (90, 0.05, 3, 1.0, 50, 0.0, 0, 0, 0, 1),
     (20, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1), (12, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 1), (18, 0.0, 80, 0.0, 4, 1.0, 0, 0, 0, 1),
@@ -170,9 +162,18 @@ LABELLED = [
     (6, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 0), (30, 0.8, 25, 0.7, 50, 0.0, 0, 0, 0, 0),
     (8, 0.5, 5, 0.0, 6, 1.0, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (7, 0.0, 12, 0.6, 4, 0.0, 0, 0, 0, 0),
     (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1, 0), (10, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0), (4, 0.0, 5, 0.0, 3, 0.0, 0, 0, 1, 0),
+    (2, 1.0, 50, 0.0, 40, 0.0, 0, 0, 0, 0), (1, 1.0, 80, 0.0, 60, 0.0, 0, 0, 0, 0), (3, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (6, 1.0, 0, 0.0, 70, 0.0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 50, 0.0, 0, 0, 1, 0), (25, 1.0, 70, 0.0, 70, 0.0, 0, 0, 0, 0),
 ]
 
 
+#: Every kind of block in an article is main text, in furniture none is.
+SIZES, NEIGHBOURS = ((1, 0.0), (3, 1.0), (12, 0.4), (60, 0.0), (90, 0.1)), ((0, 0.0), (2, 1.0), (6, 0.0), (70, 0.0))
+LABELLED += [(*size, *before, *after, article, furniture, heading, int(not furniture))
+             for size in SIZES for before in NEIGHBOURS for after in NEIGHBOURS for heading in (0, 1)
+             for article, furniture in ((1, 0), (1, 1), (0, 1))]
+
+
 def grow(rows: np.ndarray, depth: int = 8):
     """Decision tree by Gini impurity: a label, or (feature, cut, low, high)."""
     y = rows[:, -1]
