@@ -34,7 +34,7 @@ TRAINING = {
     "block": [
         "casino win", "casino bonus free spins", "online casino jackpot", "best casino slots win", "casino poker bet",
         "cheap pills", "cheap pills online pharmacy", "buy cheap viagra pills", "discount pills rx", "cheap meds pills store",
-        "adult x", "adult xxx video", "adult x pics", "hot adult x", "adult cams x live", "adult dating sex", "xxx porn adult tube",
+        "adult x", "adult xxx video", "adult pics blog", "hot adult pics", "spam blog comments", "adult cams x live", "adult dating sex", "xxx porn adult tube",
         "spam farm", "spam links farm", "link farm seo spam", "spam bulk mail", "content farm spam clicks",
         "replica watches cheap", "payday loan fast cash", "free crack keygen warez", "hacked accounts cheap", "escort adult",
         "ads track", "ads tracker click", "track ads banner", "free bets", "bets odds betting", "bets win casino",
@@ -73,8 +73,9 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 
 
 def naive_bayes(training: dict[str, list[str]] = TRAINING) -> dict[str, float]:
-    """Log odds against each known word (Laplace smoothing)."""
-    n = {k: Counter(w for text in v for w in text.split()) for k, v in training.items()}
+    """Log odds against each known word (Laplace smoothing); single letters
+    say nothing about a name."""
+    n = {k: Counter(w for text in v for w in text.split() if len(w) > 1) for k, v in training.items()}
     known = set(n["block"]) | set(n["allow"])
     total = {k: sum(c.values()) + len(known) for k, c in n.items()}
     return {w: math.log((n["block"][w] + 1) / total["block"]) - math.log((n["allow"][w] + 1) / total["allow"]) for w in sorted(known)}
