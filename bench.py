@@ -7,7 +7,7 @@ tables, and forces full evaluation with the no-op sink (no collect):
   clean_html       C1   cleaned page column
   extract_10_rules E9   ten rules over every page (rule x page pairs)
   cross_validate   H    rules x pages per domain -> robustness ranking
-  learn_3_tasks    G10  bounded rule learning, three tasks, every page
+  learn_tasks      G10  bounded rule learning, every task, every page
   content_patterns D11  content patterns over the documents text
   scrape_known     J1   stored rules (published by H) applied per page
 
@@ -57,24 +57,24 @@ def main() -> None:
 
     def extract():
         pc = scrape.clean_pages(pages)
-        ex, summ, st = execute.execute(pc, catalog.bench_steps(spark))
-        _run(ex)
-        _run(summ)
+        run = execute.execute(pc, catalog.bench_steps(spark))
+        _run(run.data)
+        _run(run.summary)
 
     timed("extract_10_rules", extract)
 
     def cross():
         pc = scrape.clean_pages(pages)
-        ranked, summary, _ = validate.cross_validate(pc, catalog.flat_steps(spark), catalog.validation_rules(spark))
+        ranked, summary, _ = validate.cross_validate(pc, catalog.validated_steps(spark), catalog.validation_rules(spark))
         _run(ranked)
 
     timed("cross_validate", cross)
 
-    def learn3():
-        learned, trace, _ = learn.learn(pages, catalog.LEARN_TASKS[:3], route_on="task")
+    def learn_all():
+        learned, trace, _ = learn.learn(pages, catalog.LEARN_TASKS, route_on="task")
         _run(learned)
 
-    timed("learn_3_tasks", learn3)
+    timed("learn_tasks", learn_all)
 
     def patterns():
         docs = read_table(spark, sf, "documents")
@@ -84,7 +84,7 @@ def main() -> None:
 
     def known():
         rules, _, _ = scrape.validate_and_publish(
-            pages, catalog.flat_steps(spark), catalog.validation_rules(spark), catalog.VALIDATION_TASK, STAMP)
+            pages, catalog.validated_steps(spark), catalog.validation_rules(spark), catalog.VALIDATION_TASK, STAMP)
         rules = cut_lineage(rules)
         res, _ = scrape.scrape_known(pages, rules, catalog.VALIDATION_TASK)
         _run(res)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..session import cut_lineage
 
 NODE_DDL = (
     "page_id bigint, pre int, last int, parent int, depth int, kind string, tag string, "
@@ -394,11 +395,11 @@ def parse_nodes(pages: DataFrame, html_col: str = "html", partitions: int | None
     ).drop("attr_names", "attr_values")
 
 
-def dom_nodes(pages: DataFrame, html_col: str = "html", persist: bool = True) -> DataFrame:
-    """Node table (with error rows), kept for the operators that share it.
-    The caller that made it releases it with ``unpersist()``."""
-    nodes = parse_nodes(pages, html_col)
-    return nodes.persist() if persist else nodes
+def dom_nodes(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Node table (with error rows), written once for the operators that share
+    it: a checkpoint in the shared folder, whose short plan also keeps the
+    planning of everything built on it short."""
+    return cut_lineage(parse_nodes(pages, html_col))
 
 
 def good_nodes(nodes: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..session import BROADCAST_MAX_ROWS
+from ..session import BROADCAST_MAX_ROWS, cut_lineage
 from . import dom, select, structure
 
 KEY = select.KEY
@@ -186,23 +186,18 @@ class Execution(NamedTuple):
     summary: DataFrame  # one row per page and rule
     steps: DataFrame  # one row per page and rule step
     data: DataFrame  # final data: records, or values where there are none
-    cached: tuple  # tables to release when the results are written
-
-    def release(self) -> None:
-        for df in self.cached:
-            df.unpersist()
 
 
 def execute(pages: DataFrame, steps: DataFrame, nodes: DataFrame | None = None, enable_structuring: bool = True,
             compat: bool = False, **kw) -> Execution:
     """pages × rules -> :class:`Execution`."""
-    own = () if nodes is not None else (dom.dom_nodes(pages),)
-    nodes = nodes if nodes is not None else own[0]
+    if nodes is None:
+        nodes = dom.dom_nodes(pages)
     vals, st = run_steps(nodes, steps, pages, **kw)
     # both feed the per-rule results and the step report: compute once
-    vals, st = vals.persist(), st.persist()
+    vals, st = cut_lineage(vals), cut_lineage(st)
     extracted, summary, data = sequence_results(vals, st, steps, pages, nodes if enable_structuring else None, compat)
-    return Execution(extracted, summary, st, data, (*own, vals, st))
+    return Execution(extracted, summary, st, data)
 
 
 def execute_single(pages: DataFrame, steps: DataFrame, nodes: DataFrame | None = None, **kw):

@@ -268,29 +268,33 @@ def structure(nodes: DataFrame, values: DataFrame, step_status: DataFrame, extra
     ``strategy`` is container / product / parent / pair (``record`` is set) or
     flat (``value`` is set)."""
     src = cut_lineage(sources(nodes, values, step_status))  # stage boundary: every branch below starts here
-    flat = extracted.select(*KEY, "idx", "value", "node")
+    flat = cut_lineage(extracted.select(*KEY, "idx", "value", "node"))
     keys = src.select(*KEY).distinct()
     cont = cut_lineage(containers(nodes, src, compat).withColumn("strategy", F.lit("container")))
+    # Branches that no page needs are not planned.
     without = keys.join(cont.select(*KEY).distinct(), KEY, "left_anti")
-    broad = product_containers(nodes, src.join(without, KEY, "left_semi"), flat).withColumn("strategy", F.lit("product"))
-    cont = cut_lineage(cont.unionByName(broad))
+    if without.take(1):
+        broad = product_containers(nodes, src.join(without, KEY, "left_semi"), flat).withColumn("strategy", F.lit("product"))
+        cont = cut_lineage(cont.unionByName(broad))
     of = cont.select(*KEY, "strategy").distinct()
-    grouped = _records(members(src, cont)).join(of, KEY)
-    # F8: no containers at all
+    recs = _records(members(src, cont)).join(of, KEY)
     rest = src.join(of, KEY, "left_anti")
-    parents = rest.groupBy(*KEY, "parent").agg(F.min("o").alias("co"))
-    by_parent = _records(rest.join(parents, [*KEY, "parent"]).withColumn("container", F.col("parent"))).withColumn("strategy", F.lit("parent"))
-    single = rest.join(by_parent.select(*KEY).distinct(), KEY, "left_anti").filter(F.length("text") > 0).select(
-        *KEY, F.col("o").alias("co"), F.create_map("field", "text").alias("record"), F.lit("parent").alias("strategy"))
-    recs = cut_lineage(grouped.unionByName(by_parent).unionByName(single))
+    if rest.take(1):  # F8: no containers at all
+        parents = rest.groupBy(*KEY, "parent").agg(F.min("o").alias("co"))
+        by_parent = _records(rest.join(parents, [*KEY, "parent"]).withColumn("container", F.col("parent"))).withColumn("strategy", F.lit("parent"))
+        single = rest.join(by_parent.select(*KEY).distinct(), KEY, "left_anti").filter(F.length("text") > 0).select(
+            *KEY, F.col("o").alias("co"), F.create_map("field", "text").alias("record"), F.lit("parent").alias("strategy"))
+        recs = recs.unionByName(by_parent).unionByName(single)
+    recs = cut_lineage(recs)
     # F9 where containers gave records for fewer than 30 % of the values
     counts = flat.groupBy(*KEY).agg(F.count("*").alias("n_values")).join(of, KEY).join(
         recs.groupBy(*KEY).agg(F.count("*").alias("n_records")), KEY, "left").fillna(0, ["n_records"])
     poor = counts.filter(F.col("n_records") < F.col("n_values") * fixed.STRUCTURED_SHARE)
-    pairs = pair_records(nodes, flat.join(poor.select(*KEY), KEY, "left_semi"))
-    more = pairs.groupBy(*KEY).agg(F.count("*").alias("n_pairs")).join(poor, KEY).filter("n_pairs > n_records").select(*KEY)
-    pairs = pairs.join(more, KEY, "left_semi").withColumn("strategy", F.lit("pair"))
-    recs = recs.join(more, KEY, "left_anti").unionByName(pairs)
+    if poor.take(1):
+        pairs = cut_lineage(pair_records(nodes, flat.join(poor.select(*KEY), KEY, "left_semi")))
+        more = pairs.groupBy(*KEY).agg(F.count("*").alias("n_pairs")).join(poor, KEY).filter("n_pairs > n_records").select(*KEY)
+        pairs = pairs.join(more, KEY, "left_semi").withColumn("strategy", F.lit("pair"))
+        recs = recs.join(more, KEY, "left_anti").unionByName(pairs)
     w = Window.partitionBy(*KEY).orderBy("co", "strategy")
     recs = recs.select(*KEY, F.row_number().over(w).alias("idx"), F.lit(None).cast("string").alias("value"), "record", "strategy")
     left = flat.join(recs.select(*KEY).distinct(), KEY, "left_anti").select(

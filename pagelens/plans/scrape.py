@@ -92,11 +92,12 @@ def scrape_known(pages: DataFrame, rules: DataFrame, task: str, nodes: DataFrame
     if nodes is None:
         nodes = dom.dom_nodes(pc)
     tasks = spark.createDataFrame([(task,)], "task string")
-    cand = repository.rules_for_pages(pc, rules, tasks, limit)  # page_id, domain, sequence_id, rank, ...
+    cand = cut_lineage(repository.rules_for_pages(pc, rules, tasks, limit))  # page_id, domain, sequence_id, rank, ...
     # only rules that some page runs, and each page only with its own
     steps = rule_steps(rules.join(cand.select("sequence_id").distinct(), "sequence_id", "left_semi"))
     pairs = cand.select("page_id", "sequence_id")
     vals, st = execute.run_steps(nodes, steps, pc, pairs=pairs)
+    vals, st = cut_lineage(vals), cut_lineage(st)
     _, summary, data = execute.sequence_results(vals, st, steps, pc, nodes)
     sc = summary.join(cand.select("page_id", "sequence_id", "rank", "robustness_score"), ["page_id", "sequence_id"])
     sc = sc.withColumn("score", F.col("successful_steps") / F.col("total_steps") * F.col("data_count"))
@@ -221,6 +222,7 @@ def scrape_learn(pages: DataFrame, rules: DataFrame, task: str, stamp: str, keep
     steps = rule_steps(new)
     pairs = new.select("page_id", "sequence_id")
     vals, st = execute.run_steps(nodes, steps, todo, pairs=pairs)
+    vals, st = cut_lineage(vals), cut_lineage(st)
     _, summary, _ = execute.sequence_results(vals, st, steps, todo, nodes)
     summary = cut_lineage(summary)
     stored = new.join(summary.filter(F.col("success") & (F.col("data_count") > 0)).select("page_id", "sequence_id"),

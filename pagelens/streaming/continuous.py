@@ -45,7 +45,6 @@ def start(spark: SparkSession, source_dir: str, steps: DataFrame, out_dir: str,
         out = scrape.final_values(run.data).select("page_id", "sequence_id", "idx", "value")
         # idempotent per batch: a retried batch overwrites its own folder
         out.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
-        run.release()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -49,7 +49,6 @@ def test_full_profile_keeps_pages_that_fail(spark):
     got = {r.page_id: r for r in profile.full_profile(pc, nodes).collect()}
     assert set(got) == {1, 2, 3} and got[2].text_nodes == 0 and got[3].max_depth == 0
     assert got[1].max_depth == 3 and got[1].top_classes[0].class_name == "head"
-    nodes.unpersist()
 
 
 def test_dynamic_reasons_and_routes(spark):

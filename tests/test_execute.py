@@ -37,7 +37,6 @@ def test_rule_kinds(spark):
     s = {r["sequence_id"]: r for r in run.summary.collect()}
     assert s["three"]["successful_steps"] == 3 and s["three"]["success"]
     assert not s["broken"]["success"] and s["broken"]["error_summary"] == ["Step 0: XPath execution failed: Invalid expression"]
-    run.release()
 
 
 def test_union_dedup_truncation_and_elements(spark):
@@ -89,7 +88,6 @@ def test_a_page_meets_its_own_rules_only(spark):
     assert sets.count() == 60 and sets.filter(F.concat(F.lit("r"), "page_id") != F.col("sequence_id")).count() == 0
     plan = sets._jdf.queryExecution().optimizedPlan().toString()
     assert "tkey" in plan and "LeftSemi" not in plan  # not: all rules first, own rules after
-    nodes.unpersist()
 
 
 def _records(run):
@@ -161,6 +159,5 @@ def test_partition_independence(spark):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
         run = execute.execute(scrape.clean_pages(pages), catalog.bench_steps(spark), enable_structuring=False)
         out.append(sorted(tuple(r) for r in run.extracted.select("page_id", "sequence_id", "idx", "value").collect()))
-        run.release()
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out[0] == out[1] and len(out[0]) > 0

@@ -12,7 +12,6 @@ def test_stream_equals_batch(spark):
     a = sorted(tuple(r) for r in streamed.select(*cols).collect())
     b = sorted(tuple(r) for r in scrape.final_values(run.data).select(*cols).collect())
     assert a == b and len(a) > 0
-    run.release()
 
 
 def test_cluster_needs_a_shared_folder(spark, monkeypatch):
