@@ -74,14 +74,15 @@ def test_learned_rules_are_recorded_with_every_action(spark):
     pages = spark.createDataFrame([(1, "https://ferry.test/fares", FARE_PAGE), (2, "https://ferry.test/none", "<html><body></body></html>"),
                                    (3, "https://old.test/x", FARE_PAGE), (4, "https://ferry.test/blank", " ")], PAGES)
     known = spark.createDataFrame([("k", "old.test", FARE_TASK, [], 1.0, 1.0, None, None, {})], repository.RULE_DDL)
-    stored, results = scrape.scrape_learn(pages, known, FARE_TASK, STAMP, max_iterations=3)
+    stored, results = scrape.scrape_learn(pages, known, FARE_TASK, STAMP, max_iterations=2)
     res = {r.page_id: r for r in results.collect()}
     assert set(res) == {1, 2, 4}  # old.test has a rule
-    assert res[1].success and res[1].total_steps == 2  # the initial action and one iteration
+    # the initial action, then a rule that is neither accepted nor repaired, in both iterations
+    assert res[1].success and res[1].total_steps == 3
     assert not res[2].success and res[2].error == "Failed to generate extraction rule"
     assert res[4].error.startswith("HTML parsing failed")
     rows = stored.collect()
-    assert [r.domain for r in rows] == ["ferry.test"] and [a.step_index for a in rows[0].actions] == [0, 1]
+    assert [r.domain for r in rows] == ["ferry.test"] and [a.step_index for a in rows[0].actions] == [0, 1, 2]
 
 
 def test_trace_pads_and_steps_back(spark):
