@@ -6,8 +6,7 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 FAST = ["url_validate", "url_normalize", "page_links", "clean_html", "structure_info", "tag_distribution", "repeated_classes",
-        "content_patterns_docs", "dom_tags", "step_status", "rule_probe", "field_inference", "rule_score", "rank_rules",
-        "structured_records", "rule_store"]
+        "content_patterns_docs", "dom_tags", "step_status", "field_inference", "rule_score"]
 
 
 def _norm(v):
