@@ -5,12 +5,16 @@ url's path starts with the rule's; the longest fitting rule decides.
 
 Otherwise concatenated host names are split into words by a unigram Viterbi
 search and the words of host and path are scored by multinomial naive Bayes.
-Unigram counts are numbers of *hosts*, not of pages: a real word occurs in the
-names of many hosts, a concatenated name in its own only.  They come from all
-urls, plus the words of the small labelled table ``TRAINING``.  Distinct name
-pieces meet the counts by a join on their substrings, which is broadcast only
-when the counts are few; scores return to the pages by a join on the host with
-skew splitting, after hosts were made distinct.
+Unigram counts are numbers of *owners* (the label before the public suffix),
+not of hosts or pages: however many subdomains, suffixes or pages a name has, it
+counts once, and it is no evidence for itself.  Counts come from all urls, plus
+the words of the small labelled table ``TRAINING``.  A name that many owners
+write in their paths is still no word if it splits into known words, and the
+seen counts are scaled to a fixed weight, so splits do not depend on the table's
+size.  Words and distinct name pieces meet the counts by a join on their
+substrings, which is broadcast only when the counts are few; scores return to
+the pages by a join on the host with skew splitting, after hosts were made
+distinct.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no
 rule fits, and no word speaks against it (allow); repeated rows get equal rows;
@@ -49,9 +53,13 @@ TRAINING = {
 }
 #: Log prior odds against a url: a url is blocked only on evidence.
 PRIOR = math.log(0.2 / 0.8)
-#: A piece counts as a word if it occurs in at most so long a form, in at least
-#: so many hosts; words of TRAINING count as SEED_HOSTS hosts.
-MAX_WORD, MIN_HOSTS, SEED_HOSTS = 24, 3, 50
+#: A piece counts as a word if it occurs in at most so long a form, with at least
+#: so many owners; words of TRAINING count as SEED_OWNERS owners.
+MAX_WORD, MIN_OWNERS, SEED_OWNERS = 24, 3, 50
+#: Other words that a word may be made of have at least so many letters.
+MIN_PART = 3
+#: All seen words together weigh at most so many owners.
+SEEN_WEIGHT = 10_000
 #: Hosts (with their words) that may be broadcast to the pages.
 BROADCAST_HOSTS = 100_000
 
@@ -62,6 +70,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(part(1)), part(2)
 
 
+def owner(host: Column) -> Column:
+    """The label before the public suffix: the last label, or a general label
+    (``co``, ``com``, ...) and a country's."""
+    name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"(?::\d*)?\.?$", "")
+    return F.regexp_extract(name, r"(?:^|\.)([^.]++)(?:\.(?:ac|co|com|edu|gob|gov|gv|ne|net|or|org)\.[a-z]{2}|\.[^.]++)?$", 1)
+
+
 def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """struct<rule, verdict> of the longest fitting rule, or null."""
     best = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -103,13 +118,63 @@ def _pieces(c: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(c), F.lit(r"([a-z]+)"), F.lit(1))
 
 
+def seeds(training: dict[str, list[str]]) -> list[str]:
+    return sorted({w for v in training.values() for t in v for w in t.split()})
+
+
+def is_compound(word: str, known) -> bool:
+    """Whether ``word`` is a row of two or more of the ``known`` words."""
+    reached = [True] + [False] * len(word)
+    for end in range(1, len(word) + 1):
+        reached[end] = any(reached[start] and end - start < len(word) and word[start:end] in known for start in range(end))
+    return reached[-1]
+
+
+def _with_known(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(piece, words): each distinct piece with its substrings that are words
+    and their counts; linear in the piece's length."""
+    starts = F.sequence(F.lit(1), F.length("piece"))
+    sub = names.select("piece", F.explode(starts).alias("s")).select(
+        "piece", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("piece") - F.col("s") + 1, F.lit(MAX_WORD))),
+                                       lambda n: F.substring(F.col("piece"), F.col("s"), n))).alias("word")).distinct()
+    return sub.join(maybe_broadcast(counts), "word", "left").groupBy("piece").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("owners").isNotNull(), F.struct("word", "owners")))).alias("words"))
+
+
 def unigrams(pages: DataFrame, training: dict[str, list[str]] = TRAINING) -> DataFrame:
-    """(word, hosts): in how many hosts' names or paths each piece occurs."""
-    seen = pages.select("host", F.explode(F.array_distinct(F.concat(_pieces(F.col("host")), _pieces(F.col("path"))))).alias("word"))
-    seen = seen.filter(F.length("word").between(2, MAX_WORD)).distinct().groupBy("word").agg(F.count("*").alias("hosts"))
-    seed = sorted({w for v in training.values() for t in v for w in t.split()})
-    seeds = pages.sparkSession.createDataFrame([(w, SEED_HOSTS) for w in seed], "word string, hosts long")
-    return seen.filter(F.col("hosts") >= MIN_HOSTS).unionByName(seeds).groupBy("word").agg(F.sum("hosts").alias("hosts"))
+    """(word, owners): with how many owners each word occurs in the names or
+    paths of their hosts; a word that is the owner's whole label is not counted
+    there.  Words made of other words are left out, those of ``training`` stay."""
+    # Parts of a compound that are compounds themselves have parts in turn, so
+    # one pass over all seen words finds every compound.
+    seen = pages.select(owner(F.col("host")).alias("owner"), F.explode(F.array_distinct(F.concat(_pieces(F.col("host")), _pieces(F.col("path"))))).alias("word"))
+    seen = seen.filter(F.length("word").between(2, MAX_WORD) & (F.col("word") != F.col("owner"))).distinct().groupBy("word").agg(
+        F.count("*").alias("owners")).filter(F.col("owners") >= MIN_OWNERS)
+    seen = stored(seen)
+    first = pages.sparkSession.createDataFrame([(w, SEED_OWNERS) for w in seeds(training)], "word string, owners long")
+    parts = seen.filter(F.length("word") >= MIN_PART).unionByName(first.filter(F.length("word") > 1)).groupBy("word").agg(
+        F.sum("owners").alias("owners"))
+    found = _with_known(seen.join(F.broadcast(first), "word", "left_anti").select(F.col("word").alias("piece")), parts)
+
+    def run(batches):
+        for b in batches:
+            words = b.column("piece").to_pylist()
+            made = [is_compound(w, dict(k)) for w, k in zip(words, b.column("words").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, m in zip(words, made) if m], pa.string())], ["word"])
+
+    words = seen.join(found.mapInArrow(run, "word string"), "word", "left_anti")
+    return words.unionByName(first).groupBy("word").agg(F.sum("owners").alias("owners"))
+
+
+def scaled(counts: DataFrame, training: dict[str, list[str]] = TRAINING) -> tuple[DataFrame, float]:
+    """The counts with those of seen words scaled to ``SEEN_WEIGHT`` together,
+    but at least 1 each, and the total."""
+    first = SEED_OWNERS * len(seeds(training))
+    of_seen = counts.agg(F.sum("owners")).first()[0] - first
+    rate = min(1.0, SEEN_WEIGHT / max(1, of_seen))
+    base = F.when(F.col("word").isin(*seeds(training)), F.lit(SEED_OWNERS)).otherwise(F.lit(0))
+    weight = base + F.when(F.col("owners") > base, F.greatest(F.lit(1.0), (F.col("owners") - base) * rate)).otherwise(F.lit(0.0))
+    return counts.select("word", weight.alias("owners")), float(first + of_seen * rate)
 
 
 def host_scores(pages: DataFrame, training: dict[str, list[str]] = TRAINING) -> DataFrame:
@@ -118,17 +183,9 @@ def host_scores(pages: DataFrame, training: dict[str, list[str]] = TRAINING) ->
     small_batches(pages.sparkSession)
     hosts = pages.select("host").distinct()
     of = hosts.select("host", F.posexplode(_pieces(F.col("host"))).alias("at", "piece"))
-    counts = unigrams(pages, training)
-    total = counts.agg(F.sum("hosts")).first()[0]
+    counts, total = scaled(stored(unigrams(pages, training)), training)
     weights = naive_bayes(training)
-    names = of.select("piece").distinct()
-    # Substrings of a distinct piece that are words; linear in its length.
-    starts = F.sequence(F.lit(1), F.length("piece"))
-    sub = names.select("piece", F.explode(starts).alias("s")).select(
-        "piece", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("piece") - F.col("s") + 1, F.lit(MAX_WORD))),
-                                       lambda n: F.substring(F.col("piece"), F.col("s"), n))).alias("word")).distinct()
-    found = sub.join(maybe_broadcast(counts), "word", "left").groupBy("piece").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("hosts").isNotNull(), F.struct("word", "hosts")))).alias("words"))
+    found = _with_known(of.select("piece").distinct(), counts)
 
     def run(batches):
         for b in batches:

@@ -181,6 +181,41 @@ def test_urls(spark):
     assert urlfilter.judge(d.filter("false"), queries.URL_RULES).count() == 0
 
 
+def test_names_on_many_hosts_are_split(spark):
+    """A name does not become a word by its subdomains, suffixes or paths."""
+    want = {}
+    for name, split in (("cheappills", ["cheap", "pills"]), ("casinobonuswin", ["casino", "bonus", "win"])):
+        for hosts in ([f"{x}{name}.com" for x in ("", "www.", "m.")], [f"s{i}.{name}.com" for i in range(1000)],
+                      [f"{name}.{x}" for x in ("com", "org", "net", "co.uk")], [f"{name}.com"] * 3):
+            want |= {h: split for h in hosts}
+    rows = [f"http://{h}/" for h in want]
+    # in the paths of three and of 300 owners
+    rows += [f"http://site{chr(97 + i)}.org/cheappills/" for i in range(3)]
+    rows += [f"http://a{chr(97 + i // 20)}{chr(97 + i % 20)}.org/casinobonuswin/zebra" for i in range(300)]
+    rows += ["http://zebracheap.org/", "http://user@www.flowers.co.uk:8080/"]
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
+    got = {r.host: r for r in urlfilter.judge(d, []).collect()}
+    for h, split in want.items():
+        name = got[h].host_words[1:] if h.startswith(("www", "m.", "s")) else got[h].host_words
+        assert name[: len(split)] == split and got[h].verdict == "block", got[h]
+    assert got["zebracheap.org"].host_words == ["zebra", "cheap", "org"]
+    assert got["user@www.flowers.co.uk:8080"].host_words == ["user", "www", "flowers", "co", "uk"]
+    p, path = urlfilter.host_and_path(d.url)
+    counts = {r.word: r.owners for r in urlfilter.unigrams(d.select(p.alias("host"), path.alias("path"))).collect()}
+    assert "cheappills" not in counts and "casinobonuswin" not in counts and counts["zebra"] == 300
+    owners = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "www.x.com", "x", "", "u@m.y.org:80", "z.net.")], "h string")
+    assert [r[0] for r in owners.select(urlfilter.owner(owners.h)).collect()] == ["b", "x", "x", "", "y", "z"]
+
+
+def test_split_does_not_depend_on_the_size(spark):
+    seen = [(w, n) for w in ("zebra", "shop") for n in (10**9,)]
+    seeds = [(w, urlfilter.SEED_OWNERS) for w in urlfilter.seeds(urlfilter.TRAINING)]
+    counts, total = urlfilter.scaled(spark.createDataFrame(seen + seeds, "word string, owners long").groupBy("word").sum("owners").toDF("word", "owners"))
+    known = {r.word: r.owners for r in counts.collect()}
+    assert urlfilter.segment("adultpicsblog", known, total) == ["adult", "pics", "blog"]
+    assert urlfilter.segment("cheaprx", known, total) == ["cheap", "rx"]
+
+
 def test_segmentation_is_the_best_split():
     counts = {"a": 5, "ab": 3, "b": 4, "ba": 9, "abc": 1, "c": 2}
     total = sum(counts.values())
