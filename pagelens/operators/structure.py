@@ -75,13 +75,13 @@ def is_navigation(text: Column) -> Column:
 
 
 def field_names(nodes: DataFrame) -> DataFrame:
-    """F4 for every element without element children (void elements have no
-    text and are left out): (page_id, pre, tag, text, field)."""
-    e = dom.elements(nodes).filter((F.col("n_elem") == 0) & ~F.col("tag").isin(*fixed.VOID_TAGS)).select(
-        "page_id", "pre", "tag", "cls", "href", F.coalesce("first_text", F.lit("")).alias("own"))
-    txt = S.strip_ws(F.col("own"))  # its only text node
-    return e.select("page_id", "pre", "tag", txt.alias("text"),
-                    field_name(txt, F.col("cls"), F.col("tag"), F.col("href").isNotNull()).alias("field"))
+    """F4 for every element, void ones included, from its full text:
+    (page_id, pre, tag, n_elem, text, field)."""
+    e = dom.elements(nodes).select("page_id", "pre", "tag", "cls", "href", "n_elem")
+    txt = S.strip_ws(F.col("text_content"))
+    return e.join(dom.element_text(nodes, e, []), ["page_id", "pre"]).select(
+        "page_id", "pre", "tag", "n_elem", txt.alias("text"),
+        field_name(txt, F.col("cls"), F.col("tag"), F.col("href").isNotNull()).alias("field"))
 
 
 def _records(members: DataFrame) -> DataFrame:

@@ -265,16 +265,24 @@ def extract_html(spark, sf):
 # ---------------------------------------------------------------------------
 
 
-def field_inference(spark, sf):
-    pc = _clean_pages(spark, sf)
-    nodes = dom.dom_nodes(pc)
+def _field_rows(f):
     from pyspark.sql.window import Window
 
-    f = structure.field_names(nodes)
     w = Window.partitionBy("page_id", "tag").orderBy("pre")
     return f.select("page_id", "tag", F.row_number().over(w).cast("bigint").alias("idx"), "field")
 
 
+def field_inference(spark, sf):
+    """The part of :func:`field_inference_all` that its SQL can match: elements
+    without element children that are not void."""
+    f = structure.field_names(dom.dom_nodes(_clean_pages(spark, sf)))
+    return _field_rows(f.filter((F.col("n_elem") == 0) & ~F.col("tag").isin(*fixed.VOID_TAGS)))
+
+
+def field_inference_all(spark, sf):
+    return _field_rows(structure.field_names(dom.dom_nodes(_clean_pages(spark, sf))))
+
+
 def nav_filter(spark, sf):
     ex = _run(spark, sf, {"r_link_text": [catalog.FLAT_RULES[3][2]]}, enable_structuring=False).extracted
     return ex.select("page_id", F.col("idx").cast("bigint").alias("idx"), "value",
@@ -542,6 +550,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_probe": rule_probe,
     "extract_html": extract_html,
     "field_inference": field_inference,
+    "field_inference_all": field_inference_all,
     "nav_filter": nav_filter,
     "structured_records": structured_records,
     "product_records": product_records,

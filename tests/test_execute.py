@@ -149,6 +149,48 @@ def test_navigation_and_fields(spark):
     assert [r[0] for r in f] == ["text", "title", "text", "title", "title"]
 
 
+NESTED = """<html><body><div class="x"><p>A <b>bold</b> claim that is <i>long</i> enough</p><ul><li><a href="/r">Roots <span>and leaves</span></a></li>
+<li><a>No <b>way</b></a></li></ul><a href="/i"><img src="a.png"/></a><img class="star" src="b.png"/><div><span>Cost</span> <em>€2.40</em></div><time><b>May</b></time>
+<section><h2>Walk<b>ing</b> far</h2><div class="body-x"><u>kale</u></div><p>One<br/>two</p><p><s></s></p></section></div><footer><small>All <b>rights</b></small></footer></body></html>"""
+
+
+def _field(e):
+    """F4 as the appendix of the survey states it."""
+    text, cls = "".join(e.itertext()).strip(), e.get("class", "").lower()
+    has = lambda s, *words: any(w in s for w in words)
+    if has(text, "Rs.", "$", "€", "£", "₹") or "price" in text.lower():
+        return "price"
+    if has(text, "New Balance", "Nike", "Adidas", "Puma", "Reebok") or has(text.lower(), "shoe", "sneaker", "boot", "sandal", "trainer", "running", "walking"):
+        return "title"
+    for name, words in (("title", "title heading name"), ("brand", "author by writer brand"), ("description", "text content body desc"), ("price", "price cost amount money"),
+                        ("date", "date time when"), ("category", "tag category label"), ("rating", "rating star review")):
+        if has(cls, *words.split()):
+            return name
+    if e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        return "title"
+    if e.tag == "a":
+        return "link" if e.get("href") else "title"
+    if e.tag in ("p", "div", "span"):
+        return "description" if len(text) > 100 else "title" if len(text) > 20 else "text"
+    return {"time": "date", "img": "image"}.get(e.tag) or ("description" if len(text) > 100 else "title" if len(text) > 10 else "code")
+
+
+def test_every_element_has_a_field(spark, tmp_path):
+    """With its full text: elements with element children, and void ones."""
+    from xml.etree import ElementTree
+
+    from pagelens.plans import queries
+
+    nodes = dom.dom_nodes(spark.createDataFrame([(1, "u", NESTED)], PAGES))
+    got = [(r.tag, r.text, r.field) for r in structure.field_names(nodes).orderBy("pre").collect()]
+    every = list(ElementTree.fromstring(NESTED).iter())
+    assert got == [(e.tag, "".join(e.itertext()).strip(), _field(e)) for e in every]
+    assert {f for t, _, f in got if t == "img"} == {"image", "rating"}
+    spark.createDataFrame([(1, "u", NESTED)], PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.QUERIES["field_inference_all"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(every) and ("img", 1, "image") in {(r.tag, r.idx, r.field) for r in rows}
+
+
 def test_partition_independence(spark):
     from pagelens.plans import catalog, scrape
     from pagelens.session import read_table
