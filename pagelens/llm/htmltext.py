@@ -2,9 +2,15 @@
 
 A page is cut at block-level tags into a flat list of text blocks.  Each block
 is described by its word count and link density, those of its neighbours, and
-what it stands in (article, page furniture, a container whose class or id names
-furniture, a heading).  A decision tree, trained on the small labelled table
-``LABELLED``, keeps or drops it.
+what it stands in (article, heading, and how much speaks for page furniture).
+A decision tree, trained on the small hand-labelled table ``LABELLED``, keeps or
+drops it.
+
+Furniture has grades: ``SOFT`` (a form or header element), ``HINT`` (a class, id
+or role that names furniture) and ``FIRM`` (nav, aside, footer and the like,
+comments).  Within SOFT and HINT the tree decides by words, links and
+neighbours.  An article starts anew within SOFT, a main element within HINT too,
+none within FIRM.  Names of layouts and of an article's own header do not count.
 
 Defined cases: null and empty html give an empty text; unclosed and stray tags
 are tolerated; very long pages take time in proportion to their length;
@@ -36,7 +42,14 @@ SILENT = frozenset("script style noscript template title textarea iframe object
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Page furniture by element, and by words of class, id or role.
-FURNITURE = frozenset("nav footer aside form menu dialog button select".split())
+SOFT, HINT, FIRM = 1, 2, 3
+FURNITURE = frozenset("nav footer aside menu dialog button select".split())
+#: Readers' comments.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment[_-]\w+|disqus|replies|respond)(?:$|[\s_-])", re.I)
+#: Names of layouts (with-sidebar) and of a text's own header (entry-header).
+LAYOUT = re.compile(
+    r"(?<!\S)(?:(?:[\w]+[_-]+)?(?:with|has|no|without|hide|hidden|show)[_-]+[\w-]+|(?:content[_-]+sidebar|sidebar[_-]+content)[\w-]*|"
+    r"(?:\w+[_-]+)?(?:entry|post|article|page|section|story|content|title|heading)[_-]+header)(?!\S)", re.I)
 FURNITURE_WORD = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|comment\w*|complementary|contentinfo|cookies?|consent|disqus|footer|"
     r"header|login|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|search|share\w*|"
@@ -56,15 +69,15 @@ class Block(NamedTuple):
     words: int
     linked: float  # share of the words inside links
     article: bool
-    furniture: bool
+    furniture: int  # 0, SOFT, HINT or FIRM
     heading: bool
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in page order."""
     out: list[Block] = []
-    # Open block elements: (tag, inside an article, inside furniture).
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    # Open block elements: (tag, inside an article, furniture around it).
+    stack: list[tuple[str, bool, int]] = [("", False, 0)]
     text, in_link, silent, silent_tag, heading = [], False, 0, "", False
 
     def add(s):
@@ -138,17 +151,21 @@ def blocks(page: str) -> list[Block]:
             if tag not in VOID and not (tag in ("html", "body", "head")):
                 _, article, furniture = stack[-1]
                 words = " ".join(a or b or c for _, a, b, c in ATTR.findall(attrs)) if attrs else ""
-                if tag in ("article", "main") and not (words and FURNITURE_WORD.search(words)):
-                    article, furniture = True, False
-                elif tag in FURNITURE or tag == "header" and not article or words and FURNITURE_WORD.search(words):
-                    furniture = True
+                words = LAYOUT.sub(" ", words)
+                named = FIRM if COMMENTS.search(words) else HINT if FURNITURE_WORD.search(words) else 0
+                if named or tag in FURNITURE:
+                    furniture = max(furniture, named, FIRM * (tag in FURNITURE))
+                elif tag in ("article", "main"):
+                    article, furniture = True, furniture if furniture > (SOFT if tag == "article" else HINT) else 0
+                elif tag == "form" or tag == "header" and not article:
+                    furniture = max(furniture, SOFT)
                 stack.append((tag, article, furniture))
     flush()
     return out
 
 
 #: Labelled blocks: words, linked, words and linked of the block before and
-#: after, in article, in furniture, heading -> main text?  (0 words: no block)
+#: after, in article, furniture grade, heading -> main text?  (0 words: no block)
 LABELLED = [
     # the only text of a page
     (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
@@ -164,16 +181,58 @@ LABELLED = [
     (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1, 0), (10, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0), (4, 0.0, 5, 0.0, 3, 0.0, 0, 0, 1, 0),
     (2, 1.0, 50, 0.0, 40, 0.0, 0, 0, 0, 0), (1, 1.0, 80, 0.0, 60, 0.0, 0, 0, 0, 0), (3, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
     (6, 1.0, 0, 0.0, 70, 0.0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 50, 0.0, 0, 0, 1, 0), (25, 1.0, 70, 0.0, 70, 0.0, 0, 0, 0, 0),
+    # ... the last of some paragraphs stays
+    (24, 0.0, 28, 0.0, 0, 0.0, 0, 0, 0, 1), (25, 0.0, 25, 0.0, 3, 1.0, 0, 0, 0, 1), (21, 0.0, 23, 0.0, 5, 0.0, 0, 0, 0, 1),
+    (24, 0.1, 26, 0.0, 2, 1.0, 0, 1, 0, 1), (23, 0.0, 25, 0.0, 4, 0.0, 0, 2, 0, 1), (22, 0.0, 45, 0.0, 1, 1.0, 0, 2, 0, 1),
+    # in an article: paragraphs, list items, headings, quotations, short lines
+    (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (8, 0.0, 0, 0.0, 60, 0.0, 1, 0, 1, 1), (1, 0.0, 70, 0.0, 50, 0.0, 1, 0, 0, 1),
+    (2, 0.0, 8, 0.0, 2, 0.0, 1, 0, 0, 1), (45, 0.05, 8, 0.0, 2, 0.0, 1, 0, 0, 1), (120, 0.0, 45, 0.05, 30, 0.2, 1, 0, 0, 1),
+    (3, 0.0, 2, 1.0, 14, 0.0, 1, 0, 0, 1), (14, 0.3, 3, 0.0, 2, 0.0, 1, 0, 0, 1), (4, 0.0, 90, 0.0, 10, 1.0, 1, 0, 0, 1),
+    (6, 0.0, 3, 1.0, 2, 1.0, 1, 0, 0, 1), (3, 0.0, 5, 0.0, 6, 0.0, 1, 0, 0, 1), (5, 0.4, 6, 0.0, 4, 0.3, 1, 0, 0, 1),
+    (7, 0.0, 40, 0.0, 25, 0.0, 1, 0, 1, 1), (2, 0.0, 3, 1.0, 3, 1.0, 1, 0, 1, 1), (12, 1.0, 50, 0.0, 60, 0.0, 1, 0, 0, 1),
+    (4, 1.0, 2, 0.0, 45, 0.0, 1, 0, 1, 1), (9, 0.0, 0, 0.0, 4, 1.0, 1, 0, 0, 1), (30, 0.5, 20, 0.0, 12, 0.4, 1, 0, 0, 1),
+    (6, 0.0, 40, 0.0, 3, 1.0, 1, 0, 0, 1), (10, 0.0, 50, 0.0, 45, 0.0, 1, 0, 0, 1), (10, 0.1, 60, 0.0, 5, 0.0, 1, 0, 0, 1),
+    (3, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 1), (15, 0.2, 35, 0.0, 4, 0.0, 1, 0, 0, 1), (11, 0.0, 30, 0.0, 40, 0.0, 1, 0, 0, 1),
+    (2, 0.0, 55, 0.0, 2, 1.0, 1, 0, 0, 1), (9, 0.0, 33, 0.0, 60, 0.0, 1, 0, 1, 1), (5, 0.0, 25, 0.0, 12, 0.5, 1, 0, 0, 1),
+    (25, 0.0, 25, 0.0, 2, 0.0, 1, 0, 0, 1), (26, 0.0, 24, 0.0, 0, 0.0, 1, 0, 0, 1), (60, 0.0, 70, 0.0, 2, 0.0, 1, 0, 0, 1),
+    (3, 0.0, 60, 0.0, 2, 0.0, 1, 0, 0, 1), (8, 0.1, 70, 0.0, 1, 0.0, 1, 0, 0, 1), (30, 0.0, 2, 0.0, 1, 1.0, 1, 0, 0, 1),
+    (70, 0.0, 62, 0.0, 3, 0.0, 1, 0, 0, 1), (2, 0.0, 1, 0.0, 50, 0.0, 1, 0, 0, 1), (10, 0.0, 80, 0.0, 2, 0.0, 1, 0, 0, 1),
+    (17, 0.0, 60, 0.0, 3, 1.0, 1, 0, 0, 1), (1, 0.0, 26, 0.0, 3, 0.0, 1, 0, 0, 1), (20, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 1),
+    # ... but for rows of links: tags, sections, share buttons
+    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 60, 0.0, 1, 1.0, 1, 0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 1, 0, 0, 0),
+    (4, 1.0, 1, 1.0, 0, 0.0, 1, 0, 0, 0), (6, 1.0, 5, 1.0, 3, 1.0, 1, 0, 0, 0),
+    # in a form or header element: long texts of few links, and what leads to them, stay
+    (40, 0.0, 6, 0.0, 60, 0.0, 0, 1, 0, 1), (80, 0.1, 40, 0.0, 35, 0.0, 0, 1, 0, 1), (28, 0.0, 3, 1.0, 50, 0.0, 0, 1, 0, 1),
+    (55, 0.0, 2, 1.0, 0, 0.0, 0, 1, 0, 1), (15, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0, 1), (5, 0.0, 2, 1.0, 60, 0.0, 0, 1, 1, 1),
+    (7, 0.0, 50, 0.0, 45, 0.0, 0, 1, 1, 1), (4, 0.0, 65, 0.0, 50, 0.0, 0, 1, 0, 1),
+    (2, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0, 0), (1, 0.0, 0, 0.0, 14, 0.0, 0, 1, 1, 0), (14, 0.0, 1, 0.0, 1, 1.0, 0, 1, 0, 0),
+    (12, 0.0, 2, 0.0, 3, 1.0, 0, 1, 0, 0), (3, 1.0, 50, 0.0, 2, 1.0, 0, 1, 0, 0), (30, 0.9, 4, 1.0, 40, 0.0, 0, 1, 0, 0),
+    (2, 0.0, 10, 0.0, 4, 0.0, 1, 1, 0, 0), (4, 0.0, 0, 0.0, 3, 1.0, 0, 1, 1, 0), (16, 0.0, 4, 0.0, 6, 0.0, 0, 1, 0, 0),
+    # in a container whose name is one of furniture: the same
+    (60, 0.0, 5, 0.0, 45, 0.0, 0, 2, 0, 1), (45, 0.1, 60, 0.0, 30, 0.0, 0, 2, 0, 1), (30, 0.0, 2, 1.0, 55, 0.0, 0, 2, 0, 1),
+    (90, 0.05, 3, 1.0, 2, 1.0, 0, 2, 0, 1), (18, 0.0, 50, 0.0, 40, 0.0, 0, 2, 0, 1), (6, 0.0, 3, 1.0, 60, 0.0, 0, 2, 1, 1),
+    (8, 0.0, 45, 0.0, 50, 0.0, 0, 2, 1, 1), (3, 0.0, 70, 0.0, 60, 0.0, 0, 2, 0, 1), (50, 0.0, 40, 0.0, 60, 0.0, 1, 2, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 2, 0, 0), (2, 0.0, 3, 0.0, 14, 0.0, 1, 2, 0, 0), (13, 0.0, 3, 0.0, 8, 0.0, 0, 2, 0, 0),
+    (5, 0.0, 4, 0.0, 6, 0.0, 0, 2, 0, 0), (9, 0.0, 2, 1.0, 50, 0.0, 0, 2, 0, 0), (8, 0.0, 3, 1.0, 9, 0.0, 0, 2, 0, 0),
+    (16, 0.0, 6, 1.0, 5, 0.0, 0, 2, 0, 0), (3, 1.0, 60, 0.0, 50, 0.0, 0, 2, 0, 0), (40, 0.9, 30, 0.8, 3, 1.0, 0, 2, 0, 0),
+    (4, 0.0, 2, 1.0, 3, 1.0, 0, 2, 1, 0), (25, 0.7, 6, 1.0, 40, 0.0, 0, 2, 0, 0), (15, 0.0, 60, 0.0, 4, 1.0, 0, 2, 0, 0),
+    (10, 0.0, 6, 0.0, 50, 0.0, 1, 2, 0, 0), (6, 0.0, 60, 0.0, 0, 0.0, 0, 2, 0, 0), (11, 0.0, 1, 1.0, 40, 0.0, 0, 2, 0, 0),
+    (24, 0.0, 2, 0.0, 25, 0.0, 0, 2, 0, 1), (25, 0.0, 24, 0.0, 26, 0.0, 0, 2, 0, 1), (22, 0.0, 30, 0.0, 3, 0.0, 0, 2, 0, 1),
+    (26, 0.1, 25, 0.0, 3, 1.0, 0, 1, 0, 1), (2, 0.0, 3, 1.0, 24, 0.0, 0, 2, 1, 1), (3, 0.0, 1, 1.0, 22, 0.0, 0, 1, 1, 1),
+    (23, 0.0, 4, 0.0, 28, 0.0, 0, 1, 0, 1), (21, 0.0, 24, 0.0, 20, 0.0, 0, 2, 0, 1), (5, 0.0, 26, 0.0, 23, 0.0, 0, 2, 1, 1),
+    (5, 0.0, 2, 1.0, 20, 0.0, 0, 2, 0, 0), (7, 0.0, 1, 1.0, 30, 0.0, 0, 2, 0, 0), (2, 0.0, 3, 1.0, 40, 0.0, 0, 2, 0, 0),
+    (20, 0.0, 4, 0.0, 6, 0.0, 0, 2, 0, 0), (24, 0.0, 3, 1.0, 2, 1.0, 0, 2, 0, 0), (3, 0.0, 25, 0.0, 1, 1.0, 0, 2, 0, 0),
+    (4, 0.0, 26, 0.0, 3, 0.0, 0, 1, 0, 0), (22, 0.0, 5, 0.0, 3, 1.0, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 24, 0.0, 0, 2, 0, 0),
+    # in navigation, asides, footers, dialogs and comments nothing stays
+    (2, 1.0, 3, 1.0, 2, 1.0, 0, 3, 0, 0), (60, 0.0, 4, 0.0, 50, 0.0, 0, 3, 0, 0), (90, 0.0, 60, 0.0, 70, 0.0, 1, 3, 0, 0),
+    (25, 0.1, 2, 1.0, 30, 0.0, 0, 3, 0, 0), (5, 0.0, 40, 0.0, 50, 0.0, 0, 3, 1, 0), (14, 0.0, 3, 0.0, 2, 0.0, 1, 3, 0, 0),
+    (11, 0.0, 2, 1.0, 6, 0.0, 0, 3, 0, 0), (8, 0.0, 13, 0.0, 0, 0.0, 0, 3, 0, 0), (40, 0.9, 8, 0.0, 0, 0.0, 0, 3, 0, 0),
+    (50, 0.0, 3, 1.0, 2, 1.0, 1, 3, 0, 0), (70, 0.0, 5, 0.0, 3, 0.0, 0, 3, 0, 0), (38, 0.0, 2, 0.0, 1, 1.0, 0, 3, 0, 0),
+    (24, 0.0, 25, 0.0, 25, 0.0, 0, 3, 0, 0), (55, 0.1, 2, 1.0, 4, 0.0, 1, 3, 0, 0), (3, 0.0, 2, 1.0, 24, 0.0, 0, 3, 1, 0),
+    (4, 0.0, 60, 0.0, 70, 0.0, 1, 3, 1, 0), (1, 0.0, 0, 0.0, 0, 0.0, 0, 3, 0, 0), (120, 0.0, 90, 0.0, 0, 0.0, 0, 3, 0, 0),
 ]
 
 
-#: Every kind of block in an article is main text, in furniture none is.
-SIZES, NEIGHBOURS = ((1, 0.0), (3, 1.0), (12, 0.4), (60, 0.0), (90, 0.1)), ((0, 0.0), (2, 1.0), (6, 0.0), (70, 0.0))
-LABELLED += [(*size, *before, *after, article, furniture, heading, int(not furniture))
-             for size in SIZES for before in NEIGHBOURS for after in NEIGHBOURS for heading in (0, 1)
-             for article, furniture in ((1, 0), (1, 1), (0, 1))]
-
-
 def grow(rows: np.ndarray, depth: int = 8):
     """Decision tree by Gini impurity: a label, or (feature, cut, low, high)."""
     y = rows[:, -1]
@@ -193,8 +252,17 @@ def grow(rows: np.ndarray, depth: int = 8):
     return f, cut, grow(rows[low], depth - 1), grow(rows[~low], depth - 1)
 
 
+def features(words, linked, b_words, b_linked, a_words, a_linked, article, furniture, heading) -> tuple:
+    """What the tree sees of a labelled or found block: the words outside links
+    of its neighbours, of the richer and of the poorer one, besides its own, and
+    whether it has neighbours at all.  Where it stands is one scale from an
+    article to firm furniture."""
+    before, after = b_words * (1 - b_linked), a_words * (1 - a_linked)
+    return words, linked, words * (1 - linked), before, after, max(before, after), min(before, after), b_words + a_words > 0, 0 if article and not furniture else 1 + furniture, heading
+
+
 def train(labelled: list[tuple] = LABELLED):
-    return grow(np.array(labelled, float))
+    return grow(np.array([(*features(*row[:-1]), row[-1]) for row in labelled], float))
 
 
 def keeps(tree, features) -> bool:
@@ -205,10 +273,10 @@ def keeps(tree, features) -> bool:
 
 def main_text(page: str | None, tree) -> str:
     found = blocks(page or "")
-    none = Block("", 0, 0.0, False, False, False)
+    none = Block("", 0, 0.0, False, 0, False)
     out = []
     for before, b, after in zip([none, *found], found, [*found[1:], none]):
-        f = (b.words, b.linked, before.words, before.linked, after.words, after.linked, b.article, b.furniture, b.heading)
+        f = features(b.words, b.linked, before.words, before.linked, after.words, after.linked, b.article, b.furniture, b.heading)
         if keeps(tree, f):
             out.append(b.text)
     return "\n".join(out)

@@ -133,6 +133,37 @@ def test_html(spark):
     assert htmltext.extract(d.filter("false")).count() == 0
 
 
+PROSE = ["The river rose in the night and by morning the lower fields were under water as far as the mill and the old road",
+         "Nobody had seen it as high since the winter of the great frost when the bridge went and two barns were carried off with it",
+         "The miller opened the sluices before dawn and stood in the yard with a lamp until the level had begun to fall again at last"]
+BODY = "<h2>High water</h2>" + "".join(f"<p>{p}</p>" for p in PROSE)
+TEXT = "\n".join(["High water", *PROSE])
+LINKS = "<ul><li><a href=1>Home</a><li><a href=2>About us</a><li><a href=3>Contact</a></ul>"
+WRAPPED = {
+    # names of layouts and of a text's own header are no hint
+    f'<div class="container with-sidebar">{BODY}</div>': TEXT,
+    f'<div id="no-sidebar">{BODY}</div>': TEXT, f'<div class="has-sidebar">{BODY}</div>': TEXT,
+    f'<article><header class="entry-header"><h1>Flood</h1></header>{BODY}</article>': "Flood\n" + TEXT,
+    # within a hint words, links and neighbours decide
+    f'<div class="sidebar-layout widget">{LINKS}{BODY}<p>Read more here</p>{LINKS}</div>': TEXT,
+    f"<form id=aspnet>{LINKS}{BODY}</form>": TEXT,
+    f'<div class="related"><h3>See also</h3>{LINKS}<p>Ten more things to read today</p></div>': "",
+    f'<div class="related"><article><h3>Other</h3><p>Ten more things to read today</p></article></div>': "",
+    # articles do not undo asides and comments
+    f"<article>{BODY}</article><aside><article>{BODY}</article></aside>": TEXT,
+    f'<article>{BODY}</article><section id="comments"><article><p>{PROSE[0]}</p></article></section>': TEXT,
+    f'<article>{BODY}<ol class="comment-list"><li><article class="comment"><p>{PROSE[1]}</p></article></ol></article>': TEXT,
+    f'<form><article><p>Short.</p>{BODY}</article></form>': "Short.\n" + TEXT,
+    f"<article>{BODY}{LINKS}</article>": TEXT,
+}
+
+
+def test_html_furniture_is_a_hint():
+    tree = htmltext.train()
+    got = {p: htmltext.main_text(p, tree) for p in WRAPPED}
+    assert got == WRAPPED
+
+
 def test_html_is_linear():
     tree = htmltext.train()
     page = "<article>" + "<p>para one two" * 40_000 + "<b a=\"" * 2000
