@@ -6,8 +6,15 @@ letters became spaces.  A text's vector is the mean of its grams' embeddings.
 Training uses at most ``SAMPLE`` labelled texts of each language (the bound is
 a parameter); their grams are counted on the executors, so only bounded
 vectors reach the driver.  A fifth of the sample is not trained on: it fits the
-softmax temperature and the rejection threshold, below which at most
-``REJECTED`` of the correct calibration texts fall.
+softmax temperature and the rejection.
+
+Rejection looks at the softmax score, which is high for whatever lies on one
+side, and at how usual a text's grams are in the language found: their mean log
+frequency against that language's own texts, where short texts are drawn to its
+mean.  Each has a threshold, set on the kept fifth, on the same texts with their
+letters shuffled, and on each language's texts with that language not to choose.  The
+threshold lies below all but ``REJECTED`` / 2 of the correct texts, and in the
+middle of the gap where the others leave one.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
 is rejected; if no labelled text exists every text is ``und``; very long texts
@@ -18,7 +25,9 @@ an empty result; only the named columns are read.
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
+import random
 import re
 
 import numpy as np
@@ -32,7 +41,11 @@ from .common import bounded_sample, by_value, small_batches
 BUCKETS, DIM, ORDERS = 1 << 13, 16, (2, 3, 4)
 SAMPLE, MAX_LANGUAGES = 400, 64
 EPOCHS, RATE, BATCH = 12, 0.2, 32
-REJECTED, UNKNOWN = 0.001, "und"
+REJECTED, UNKNOWN = 0.01, "und"
+#: Grams at the language's mean that are added to a text's own.
+DRAWN = 20
+#: Characters of a text that are shuffled.
+JUNK = 10_000
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Letters keep their (lower-cased) bytes, everything else is one separator.
@@ -88,13 +101,16 @@ def gram_counts(text: str) -> np.ndarray:
 
 class Model:
     """``table`` = embeddings times output weights, already divided by the
-    temperature; ``bias`` likewise."""
+    temperature; ``bias`` likewise.  ``usual`` holds each language's log gram
+    frequencies less their mean over its texts."""
 
-    def __init__(self, langs, table, bias, threshold):
-        self.langs, self.table, self.bias, self.threshold = langs, table, bias, threshold
+    def __init__(self, langs, table, bias, threshold, usual, least):
+        self.langs, self.table, self.bias, self.threshold, self.usual, self.least = langs, table, bias, threshold, usual, least
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(logits, usualness) of each text in each language."""
+        k = len(self.langs)
+        total, n = np.zeros((2, len(texts), k)), np.zeros(len(texts))
         for x, starts, first, cut in _blocks(texts):
             for b, ok in _each_order(x, starts):
                 bounds = np.minimum(cut, len(b))
@@ -102,28 +118,52 @@ class Model:
                 add = lambda v: np.diff(np.concatenate(([0], np.cumsum(v, dtype=np.float64)))[bounds])
                 n[rows] += add(ok)
                 b = np.where(ok, b, BUCKETS)
-                for k in range(len(self.langs)):
-                    total[rows, k] += add(self.table[k][b])
-        return total / np.maximum(n, 1)[:, None] + self.bias
+                for i in range(k):
+                    total[0, rows, i] += add(self.table[i][b])
+                    total[1, rows, i] += add(self.usual[i][b])
+        return total[0] / np.maximum(n, 1)[:, None] + self.bias, total[1] / (n + DRAWN)[:, None]
 
     def predict(self, texts: list[str | None]):
         """(language, score, rejected) of each text."""
         blank = [t is None or not LETTER.search(t) for t in texts]
         if not self.langs:
             return [(UNKNOWN, 0.0, True)] * len(texts)
-        z = self.logits([t or "" for t in texts])
+        z, usual = self.logits([t or "" for t in texts])
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
-        return [(UNKNOWN, 0.0, True) if e else (self.langs[k], min(1.0, float(q[k])), bool(q[k] < self.threshold))
-                for e, k, q in zip(blank, best.tolist(), p)]
-
-
-def fit(langs: list[str], x: np.ndarray, y: np.ndarray, check: np.ndarray, seed: int = 7) -> Model:
-    """Train on rows of mean gram frequencies ``x`` with classes ``y``;
-    ``check`` marks the rows kept for calibration."""
+        return [(UNKNOWN, 0.0, True) if e else (self.langs[k], min(1.0, float(q[k])), bool(q[k] < self.threshold or u[k] < self.least))
+                for e, k, q, u in zip(blank, best.tolist(), p, usual)]
+
+
+def threshold(right: np.ndarray, other: np.ndarray) -> float:
+    """Below all but ``REJECTED`` / 2 of ``right``; if nearly all of ``other``
+    lie lower still, in the middle of the gap."""
+    if not len(right):
+        return -math.inf
+    low = float(np.sort(right)[int(REJECTED / 2 * len(right))])
+    high = float(np.quantile(other, 0.99)) if len(other) else low
+    return (low + high) / 2 if high < low else low
+
+
+def shuffled(text: str, seed: int) -> str:
+    """``text`` with its letters in any order, the rest where it was."""
+    at = [m.start() for m in LETTER.finditer(text, 0, JUNK)]
+    out = list(text[:JUNK])
+    letters = [out[i] for i in at]
+    random.Random(seed).shuffle(letters)
+    for i, c in zip(at, letters):
+        out[i] = c
+    return "".join(out)
+
+
+def fit(langs: list[str], x: np.ndarray, y: np.ndarray, check: np.ndarray, n: np.ndarray, junk: np.ndarray, junk_n: np.ndarray,
+        seed: int = 7) -> Model:
+    """Train on rows of mean gram frequencies ``x`` of ``n`` grams with classes
+    ``y``; ``check`` marks the rows kept for calibration.  ``junk`` and
+    ``junk_n`` are of texts in no language."""
     if not langs:
-        return Model([], np.zeros((0, BUCKETS + 1), np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros((0, BUCKETS + 1), np.float32), np.zeros(0), 1.0, np.zeros((0, BUCKETS + 1), np.float32), 0.0)
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
@@ -146,18 +186,37 @@ def fit(langs: list[str], x: np.ndarray, y: np.ndarray, check: np.ndarray, seed:
     held = np.flatnonzero(check) if check.any() else fitted
     z, want = x[held] @ table.T + bias, y[held]
 
-    def soft(t):
+    def soft(z, t):
         e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
         return e / e.sum(axis=1, keepdims=True)
 
-    loss = lambda t: -np.log(np.maximum(soft(t)[np.arange(len(held)), want], 1e-12)).mean()
+    loss = lambda t: -np.log(np.maximum(soft(z, t)[np.arange(len(held)), want], 1e-12)).mean()
     t = min(np.geomspace(0.05, 20, 61), key=loss)
-    p = soft(t)
-    right = p.argmax(axis=1) == want
-    sure = np.sort(p.max(axis=1)[right])
-    threshold = min(0.5, float(sure[int(REJECTED * len(sure))])) if len(sure) else 0.5
-    table = np.concatenate((table / t, np.zeros((len(langs), 1))), axis=1).astype(np.float32)
-    return Model(langs, table, (bias / t).astype(np.float64), threshold)
+    # Texts weigh alike, however long; no gram is impossible.
+    usual = np.zeros((len(langs), BUCKETS), np.float32)
+    for k in range(len(langs)):
+        own = x[fitted[y[fitted] == k]]
+        freq = (own.sum(axis=0) + 1 / BUCKETS) / (len(own) + 1)
+        log = np.log(freq / freq.sum())
+        usual[k] = log - (own @ log).mean() if len(own) else log
+
+    def found(rows, size, z, among):
+        """Score and usualness in the best of the languages ``among``."""
+        p, u = soft(z[:, among], t), rows @ usual[among].T * (size / (size + DRAWN))[:, None]
+        best = p.argmax(axis=1)
+        return best, p.max(axis=1), u[np.arange(len(rows)), best]
+
+    every = np.arange(len(langs))
+    best, score, own = found(x[held], n[held], z, every)
+    right = best == want
+    others = [found(junk, junk_n, junk @ table.T + bias, every)[1:]] if len(junk) else []
+    for k in every if len(langs) > 1 else ():
+        of = want == k
+        if of.any():
+            others.append(found(x[held[of]], n[held[of]], z[of], every[every != k])[1:])
+    other = [np.concatenate([o[i] for o in others]) if others else np.zeros(0) for i in (0, 1)]
+    wide = lambda v: np.concatenate((v, np.zeros((len(langs), 1))), axis=1).astype(np.float32)
+    return Model(langs, wide(table / t), (bias / t).astype(np.float64), threshold(score[right], other[0]), wide(usual), threshold(own[right], other[1]))
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -179,25 +238,27 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         for b in batches:
             rows = []
             for lang, text, h in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "h"))):
-                if LETTER.search(text):
-                    n = gram_counts(text)
-                    at = np.flatnonzero(n)
-                    rows.append((lang, h, at.astype("<i2").tobytes(), (n[at] / n.sum()).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))],
-                ["lang", "h", "at", "share"])
-
-    rows = sorted(some.select("lang", "text", "h").mapInArrow(run, "lang string, h long, at binary, share binary").collect())
+                for t, junk in ((text, False), (shuffled(text, h), True)) if h % 5 == 0 else ((text, False),):
+                    if LETTER.search(t):
+                        n = gram_counts(t)
+                        at = np.flatnonzero(n)
+                        rows.append((lang, h, junk, int(n.sum()), at.astype("<i2").tobytes(), (n[at] / n.sum()).astype("<f4").tobytes()))
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["lang", "h", "junk", "n", "at", "share"])
+
+    rows = some.select("lang", "text", "h").mapInArrow(run, "lang string, h long, junk boolean, n long, at binary, share binary").collect()
+    rows = sorted(rows, key=lambda r: (r.junk, *r))
     langs = sorted({r.lang for r in rows})
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r.at, "<i2")] = np.frombuffer(r.share, "<f4")
-    y = np.array([langs.index(r.lang) for r in rows], np.int64)
-    return fit(langs, x, y, np.array([r.h % 5 == 0 for r in rows], bool))
+    y, n = np.array([langs.index(r.lang) for r in rows], np.int64), np.array([r.n for r in rows], np.float64)
+    check, real = np.array([r.h % 5 == 0 for r in rows], bool), sum(not r.junk for r in rows)
+    return fit(langs, x[:real], y[:real], check[:real], n[:real], x[real:], n[real:])
 
 
 def _predictor(spark, model: Model):
-    blob = pickle.dumps((model.langs, model.table, model.bias, model.threshold))
+    blob = pickle.dumps((model.langs, model.table, model.bias, model.threshold, model.usual, model.least))
     shared, key = spark.sparkContext.broadcast(blob), hashlib.sha256(blob).hexdigest()
     return lambda: textops.stash(("langid", key), lambda: Model(*pickle.loads(shared.value)))
 

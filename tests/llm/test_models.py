@@ -1,6 +1,7 @@
 import sys
 
 import numpy as np
+import pytest
 from helpers import LONG, documents, empty
 from pagelens.llm import langid, textops, toxicity
 from pagelens.session import read_table
@@ -55,6 +56,30 @@ def test_language_held_out(spark):
     assert a[1] == model.predict([LONG])[0]
 
 
+@pytest.mark.parametrize("known", [("de", "en", "es"), ("en", "fr"), ("de", "en")])
+def test_junk_and_unseen_languages_go(spark, known):
+    docs = read_table(spark, SF, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs, ~held & F.col("lang").isin(*known))
+    rows = [(r.lang, r.text) for r in docs.filter(held & (F.length("text") > 200)).collect()]
+    share = lambda texts: np.mean([r[2] for r in model.predict(texts)])
+    clean = [t for lang, t in rows if lang in known]
+    assert share(clean) < 0.05
+    assert share([t for lang, t in rows if lang not in known]) > 0.95
+    assert share([langid.shuffled(t, i) for i, t in enumerate(clean)]) > 0.95
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz   ")
+    assert share(["".join(rng.choice(letters, 200)) for _ in range(50)]) > 0.95
+
+
+def test_thresholds():
+    right, other = np.linspace(0.6, 1, 1000), np.linspace(0, 0.4, 100)
+    assert 0.45 < langid.threshold(right, other) < 0.55  # the middle of the gap
+    assert np.mean(right < langid.threshold(right, right)) <= langid.REJECTED / 2
+    assert langid.threshold(right + 1, np.zeros(0)) > 1.5 and langid.threshold(right[:0], other) == -np.inf
+    assert sorted(langid.shuffled("Ab, 1 çd", 3)) == sorted("Ab, 1 çd")
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     x = rng.poisson(0.5, (600, 5)).astype(float)
