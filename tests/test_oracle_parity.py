@@ -6,7 +6,8 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 FAST = ["url_validate", "url_normalize", "page_links", "clean_html", "structure_info", "tag_distribution", "repeated_classes",
-        "content_patterns_docs", "dom_tags", "step_status", "field_inference", "rule_score"]
+        "content_patterns_docs", "dom_tags", "step_status", "field_inference", "rule_score",
+        "extract_titles", "cross_validate", "rank_rules", "rule_probe", "structured_records", "rule_store"]
 
 
 def _norm(v):
