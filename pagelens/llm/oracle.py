@@ -56,4 +56,67 @@ SELECT conv_id, count(*) AS n_turns,
 FROM p GROUP BY conv_id
 """
 
-ORACLES = {"op3_exact_dedup": EXACT_DEDUP, "op8_decontamination": DECONTAMINATION, "op10_chat_format": CHAT_FORMAT}
+#: CRC-32 of a text's bytes: the table of the reflected polynomial, then one step for each byte.
+CRC32 = r"""
+table_of AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+      CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+crc AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(f))),
+      lambda k: ('0x' || substr(hex(encode(f)), 2 * k + 1, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295::BIGINT) AS crc
+  FROM (SELECT DISTINCT f FROM features), table_of)"""
+
+IMPORTANCE = r"""
+WITH words AS (
+  SELECT 0 AS target, doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, NULL, row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+features AS (
+  SELECT target, row, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words),
+""" + CRC32.strip() + r""",
+hashed AS (SELECT target, row, crc % 10000 AS bucket FROM features JOIN crc USING (f)),
+counts AS (
+  SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM hashed GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) + 10000 AS s_all, coalesce(sum(t), 0) + 10000 AS t_all FROM counts),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * s_all::DOUBLE) / ((s + 1)::DOUBLE * t_all::DOUBLE)))::BIGINT AS gain
+  FROM counts, totals),
+sums AS (SELECT row, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+         FROM hashed JOIN gains USING (bucket) WHERE target = 0 GROUP BY row),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS long,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN sums USING (row) WHERE target = 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY long ORDER BY score DESC, doc_id NULLS LAST) AS place,
+    count(*) OVER (PARTITION BY long) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN long AND place <= n * 25 // 100 THEN place END AS rank FROM placed
+"""
+
+HARD_NEGATIVES = r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM (SELECT DISTINCT * FROM rows WHERE vec_id % 100 = 0) a JOIN rows b ON a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+  AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+ORACLES = {"op3_exact_dedup": EXACT_DEDUP, "op8_decontamination": DECONTAMINATION, "op10_chat_format": CHAT_FORMAT,
+           "op11_importance_resampling": IMPORTANCE, "op12_hard_negatives": HARD_NEGATIVES}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, htmltext, langid, sharding, simhash, toxicity, urlfilter
+from . import ann, bpe, chat, decontam, exact_dedup, hardneg, htmltext, importance, langid, sharding, simhash, toxicity, urlfilter
 from .common import table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -74,6 +74,23 @@ def op10_chat_format(spark, sf_dir):
     return chat.read_back(chat.format_examples(turns.unionByName(probe)))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    d = importance.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return d.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_hard_negatives(spark, sf_dir):
+    vecs, label = table(spark, sf_dir, "embeddings"), F.col("label")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (label.cast("bigint") + 1) % 10).otherwise(label)
+    m = hardneg.mine(vecs, F.col("id") % 100 == 0, label=noisy)
+    return m.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_nearest_neighbours(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_url_filter, op3_exact_dedup, op4_sharding, op5_language_id, op6_bpe, op7_html_text,
-    op8_decontamination, op9_toxicity, op10_chat_format)}
+    op8_decontamination, op9_toxicity, op10_chat_format, op11_importance_resampling, op12_hard_negatives,
+    op13_nearest_neighbours)}
