@@ -24,11 +24,11 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..session import cut_lineage
+from ..session import bucketed
 
 NODE_DDL = (
     "page_id bigint, pre int, last int, parent int, depth int, kind string, tag string, "
@@ -378,28 +378,23 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def parse_nodes(pages: DataFrame, html_col: str = "html", partitions: int | None = None) -> DataFrame:
-    """pages(page_id, html) -> raw node rows (including error rows).
-
-    The result is hash-partitioned by ``page_id`` so every later
-    (page_id, ...) join and aggregate reuses this one exchange.
-    """
-    spark = pages.sparkSession
+def parse_nodes(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """pages(page_id, html) -> raw node rows (including error rows)."""
     ship(__name__)
     src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col(html_col).alias("html"))
     raw = src.mapInArrow(_parse_batches(), NODE_DDL)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    raw = raw.repartition(n, "page_id")
-    return raw.withColumn(
-        "attrs", F.map_from_arrays(F.col("attr_names"), F.col("attr_values"))
-    ).drop("attr_names", "attr_values")
+    return raw.withColumn("attrs", F.map_from_arrays(F.col("attr_names"), F.col("attr_values"))).drop("attr_names", "attr_values")
 
 
 def dom_nodes(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Node table (with error rows), written once for the operators that share
-    it: a checkpoint in the shared folder, whose short plan also keeps the
-    planning of everything built on it short."""
-    return cut_lineage(parse_nodes(pages, html_col))
+    it: Parquet in the shared folder, bucketed by ``page_id``.  Pages are dealt to
+    the buckets before they are parsed, so their rows, not their nodes, are
+    shuffled; every later (page_id, ...) join and aggregate reads only its
+    columns and needs no exchange."""
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col(html_col).alias("html"))
+    return bucketed(parse_nodes(src.repartition(n, "page_id")), "page_id")
 
 
 def good_nodes(nodes: DataFrame) -> DataFrame:
@@ -435,6 +430,54 @@ def texts_below(nodes: DataFrame, elems: DataFrame) -> DataFrame:
     return e.join(t, (F.col("page_id") == F.col("d_page")) & (F.col("t_at") == F.col("d_at"))).drop("d_page", "d_at", "t_at")
 
 
+def text_facts(nodes: DataFrame, needles: dict[str, Column], reach: int, text: Column) -> DataFrame:
+    """Facts about every element's full text without putting it together:
+    (page_id, pre, n_chars, one boolean for each of ``needles``).
+
+    ``needles`` maps a name to an array of strings, none longer than
+    ``reach + 1``; ``text`` is the text to search, an expression over ``text``
+    (as in lower case).  ``n_chars`` is the length without outer white space.
+
+    A text node's event for a name is the last text at or before it in which an
+    occurrence begins that ends no later than in this node: itself if it holds one,
+    else found in the ``reach`` characters before it joined to its head.  An
+    element over the texts a to b holds an occurrence if the greatest event up
+    to b is not before a.  Lengths come from running sums.  So each text is read
+    once, however deep its elements are nested.
+    """
+    w = Window.partitionBy("page_id").orderBy("i")
+    before = w.rowsBetween(-reach, -1)
+    up, down = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("page_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    blank = r"(?U)^\s+"
+    t = text_nodes(nodes).select(
+        "page_id", F.col("t_from").alias("i"), text.alias("s"), F.length("text").alias("n"),
+        F.length(F.regexp_extract("text", blank, 0)).alias("lead"), F.length(F.regexp_extract(F.reverse("text"), blank, 0)).alias("trail"))
+    t = t.withColumn("tails", F.collect_list(F.right("s", F.lit(reach))).over(before)).withColumn("cum", F.sum("n").over(up))
+    head = F.left("s", F.lit(reach))
+
+    def behind(k):  # the last ``reach`` characters of the k texts before
+        return F.right(F.array_join(F.slice("tails", -k, k), ""), F.lit(reach))
+
+    def event(words):
+        holds = lambda x: F.exists(words, lambda y: F.contains(x, y))
+        n = F.size("tails")
+        back = F.filter(F.sequence(F.lit(1), n), lambda k: holds(F.concat(behind(k), head)))
+        return F.when(holds(F.col("s")), F.col("i")).when((n > 0) & holds(F.concat(behind(n), head)), F.col("i") - back[0])
+
+    found = {name: event(words) for name, words in needles.items()}
+    t = t.select("page_id", "i", *[F.max(e).over(up).alias(f"last_{k}") for k, e in found.items()],
+                 F.max(F.when(F.col("lead") < F.col("n"), F.col("cum") - F.col("trail"))).over(up).alias("ends"),
+                 F.min(F.when(F.col("lead") < F.col("n"), F.col("cum") - F.col("n") + F.col("lead"))).over(down).alias("begins"))
+    e = elements(nodes).select(F.col("page_id").alias("e_page"), "pre", "t_from", (F.col("t_from") + F.col("t_count") - 1).alias("t_to"), "t_count")
+    first = t.select(F.col("page_id").alias("f_page"), F.col("i").alias("f_at"), "begins")
+    last = t.drop("begins")
+    j = e.join(last, (F.col("e_page") == F.col("page_id")) & (F.col("t_to") == F.col("i")) & (F.col("t_count") > 0), "left").drop("page_id")
+    j = j.join(first, (F.col("e_page") == F.col("f_page")) & (F.col("t_from") == F.col("f_at")) & (F.col("t_count") > 0), "left")
+    return j.select(
+        F.col("e_page").alias("page_id"), "pre", F.greatest(F.lit(0), F.coalesce(F.col("ends") - F.col("begins"), F.lit(0))).alias("n_chars"),
+        *[F.coalesce(F.col(f"last_{k}") >= F.col("t_from"), F.lit(False)).alias(k) for k in needles])
+
+
 def element_text(nodes: DataFrame, elems: DataFrame, key_cols: list[str]) -> DataFrame:
     """Full text content (descendant texts in document order) of the
     elements in ``elems`` (columns page_id, pre + key_cols).  Groups are one

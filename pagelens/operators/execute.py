@@ -42,6 +42,12 @@ def rule_grid(pages: DataFrame, steps: DataFrame) -> DataFrame:
     return p.join(select.small(r, n), "scope").drop("scope")
 
 
+def rule_pages(pages: DataFrame, steps: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(page_id, sequence_id): which rules each page runs."""
+    grid = pairs if pairs is not None else rule_grid(pages, steps)
+    return grid.select("page_id", "sequence_id").distinct()
+
+
 def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None,
               normalize_whitespace: bool = True, resolve_relative: bool = False,
               max_results: int = fixed.MAX_RESULTS_PER_STEP, pairs: DataFrame | None = None,

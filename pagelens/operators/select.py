@@ -353,63 +353,72 @@ def select_nodes(nodes: DataFrame, steps: DataFrame, pairs: DataFrame | None = N
     return apply_post_ops(nodes, steps, sets)
 
 
+#: Ops that look a node up in the node table, and ops that fetch texts.
+_LOOKS = {"parent", "next_sibling", "desc_text", "len_gt", "len_lt", "nonblank"}
+_TEXTS = {"child_text", "desc_text"}
+_MOVES = {"parent", "next_sibling"}
+
+
+def _text_ends(nodes: DataFrame, present: set) -> DataFrame:
+    """Text nodes under the keys by which ops fetch them: ``c`` and the parent,
+    ``d`` and the text's ordinal."""
+    at = []
+    if "child_text" in present:
+        at.append(F.struct(F.lit("c").alias("how"), F.col("parent").alias("at")))
+    if "desc_text" in present:
+        at.append(F.struct(F.lit("d").alias("how"), F.col("t_from").alias("at")))
+    return dom.text_nodes(nodes).select(F.col("page_id").alias("t_page"), F.explode(F.array(*at)).alias("k"), F.col("pre").alias("tpre"),
+                                        F.col("text").alias("ttext")).select("t_page", F.col("k.how").alias("t_how"), F.col("k.at").alias("t_at"), "tpre", "ttext")
+
+
 def apply_post_ops(nodes: DataFrame, steps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Apply each step's ordered post ops to its node set.
+    """Run each step's ordered post ops as a program over its node set.
 
-    The number of rounds is the longest op list in the (tiny) rule table;
-    each round is a handful of equi-joins on (page_id, node)."""
+    The op is data: round k gives every node its step's k-th op and moves, keeps
+    or drops it by one expression over one look-up in the node table, and ops that fetch
+    texts meet them in one more join.  A round adds at most two joins to the node table
+    whatever ops and however many rules there are, so plans grow linearly with
+    the longest program; a node whose program has ended passes through.
+    """
     meta = rule_meta(steps)
-    n_rounds = len(meta["posts"])
-    if n_rounds <= 0:
-        return sets
-    ops = steps.select(*KEY, "post")
-    info = nodes.filter(F.col("kind") != "error").select(
-        F.col("page_id").alias("i_page"), F.col("pre").alias("i_pre"), F.col("parent").alias("i_parent"),
-        F.col("next_sib").alias("i_next"), F.col("text").alias("i_text"), "t_from", "t_count",
-    )
-    texts = dom.text_nodes(nodes).select(F.col("page_id").alias("t_page"), F.col("parent").alias("tparent"),
-                                         F.col("pre").alias("tpre"), F.col("text").alias("ttext"))
-    on_info = (F.col("page_id") == F.col("i_page")) & (F.col("node") == F.col("i_pre"))
-    cols = ["page_id", *KEY, "node", "attr", "kind"]
-    null_attr = F.lit(None).cast("string").alias("attr")
-    for k in range(n_rounds):
-        # ops used at this position (the rule table is tiny): plan only those
-        present = meta["posts"][k]
-        cur = sets.join(small(ops, meta["n_steps"]), KEY).withColumn("o", F.try_element_at("post", F.lit(k + 1))).drop("post")
-        parts = [cur.filter(F.col("o").isNull()).select(*cols)]
-        if "parent" in present:  # parent of each node (attribute results: their element)
-            par = cur.filter(F.col("o.op") == "parent").join(info, on_info)
-            parts.append(par.select(
-                "page_id", *KEY, F.when(F.col("kind") == "attr", F.col("node")).otherwise(F.col("i_parent")).alias("node"),
-                null_attr, F.lit("elem").alias("kind")).filter(F.col("node") >= 0))
-        if "next_sibling" in present:
-            nxt = cur.filter((F.col("o.op") == "next_sibling") & (F.col("kind") == "elem")).join(info, on_info)
-            parts.append(nxt.select("page_id", *KEY, F.col("i_next").alias("node"), null_attr,
-                                    F.lit("elem").alias("kind")).filter(F.col("node") >= 0))
-        if "child_text" in present:
-            ct = cur.filter((F.col("o.op") == "child_text") & (F.col("kind") == "elem"))
-            ct = ct.join(texts, (F.col("page_id") == F.col("t_page")) & (F.col("node") == F.col("tparent")))
-            parts.append(ct.select("page_id", *KEY, F.col("tpre").alias("node"), null_attr, F.lit("text").alias("kind")))
-        if "desc_text" in present:
-            dt = cur.filter((F.col("o.op") == "desc_text") & (F.col("kind") == "elem"))
-            dt = dom.texts_below(nodes, dt.join(info, on_info).select("page_id", *KEY, "t_from", "t_count")).filter(
-                _norm_len(F.col("ttext")) > 0)
-            parts.append(dt.select("page_id", *KEY, F.col("tpre").alias("node"), null_attr, F.lit("text").alias("kind")))
-        if present & {"len_gt", "len_lt", "nonblank"}:  # text filters on text results
-            tf = cur.filter(F.col("o.op").isin("len_gt", "len_lt", "nonblank") & (F.col("kind") == "text")).join(info, on_info)
-            parts.append(tf.filter(
-                F.when(F.col("o.op") == "len_gt", F.length("i_text") > F.col("o.n"))
-                .when(F.col("o.op") == "len_lt", F.length("i_text") < F.col("o.n"))
-                .otherwise(_norm_len(F.col("i_text")) > 0)
-            ).select("page_id", *KEY, "node", "attr", "kind"))
-        if "position_max" in present:  # position filter on the (document-ordered) node set
-            pm = cur.filter(F.col("o.op") == "position_max")
-            w = Window.partitionBy("page_id", *KEY).orderBy("node", "attr")
-            parts.append(pm.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("o.n")).select(*cols))
-        sets = parts[0]
-        for p in parts[1:]:
-            sets = sets.unionByName(p)
-        sets = sets.distinct()
+    ops = steps.select(*KEY, F.posexplode("post").alias("k", "o")).select(*KEY, "k", F.col("o.op").alias("op"), F.col("o.n").alias("op_n"))
+    # ops used in each round (a few words of the rule table): plan only those
+    for k, present in enumerate(meta["posts"]):
+        cur = sets.join(small(ops.filter(F.col("k") == k).drop("k"), meta["n_steps"]), KEY, "left")
+        op_, elem = F.coalesce(F.col("op"), F.lit("")), F.col("kind") == "elem"
+        if present & _LOOKS:
+            info = nodes.filter(F.col("kind") != "error").select(
+                F.col("page_id").alias("i_page"), F.col("pre").alias("i_pre"), F.col("parent").alias("i_parent"), F.col("next_sib").alias("i_next"),
+                F.col("text").alias("i_text"), F.col("t_from").alias("i_from"), F.col("t_count").alias("i_count"))
+            cur = cur.join(info, (F.col("page_id") == F.col("i_page")) & (F.col("node") == F.col("i_pre")), "left")
+            length = F.length("i_text")
+            fits = (F.when(op_ == "len_gt", length > F.col("op_n")).when(op_ == "len_lt", length < F.col("op_n"))
+                    .otherwise(_norm_len(F.col("i_text")) > 0))
+            # attribute results: the parent is their element
+            to = (F.when(op_ == "parent", F.when(F.col("kind") == "attr", F.col("node")).otherwise(F.col("i_parent")))
+                  .when(op_ == "next_sibling", F.when(elem, F.col("i_next")).otherwise(-1)).otherwise(F.col("node")))
+            cur = cur.withColumn("node", to).filter((F.col("node") >= 0) & (~op_.isin("len_gt", "len_lt", "nonblank") | ((F.col("kind") == "text") & fits)))
+        moved = op_.isin(*_MOVES)
+        attr, kind = F.when(~moved, F.col("attr")), F.when(moved, F.lit("elem")).otherwise(F.col("kind"))
+        if present & _TEXTS:
+            none = F.array().cast("array<int>")
+            at = F.when(~op_.isin(*_TEXTS), F.array(F.lit(-1))).when(~elem, none).when(op_ == "child_text", F.array("node"))
+            if "desc_text" in present:
+                at = at.when(F.col("i_count") > 0, F.sequence("i_from", F.col("i_from") + F.col("i_count") - 1))
+            cur = cur.withColumn("at", F.explode(at.otherwise(none)))
+            how = F.when(op_ == "child_text", F.lit("c")).when(op_ == "desc_text", F.lit("d"))
+            cur = cur.withColumn("how", how).join(
+                _text_ends(nodes, present), (F.col("page_id") == F.col("t_page")) & (F.col("how") == F.col("t_how")) & (F.col("at") == F.col("t_at")), "left")
+            fetched = F.col("how").isNotNull()
+            cur = cur.filter(~fetched | (F.col("tpre").isNotNull() & ((F.col("how") == "c") | (_norm_len(F.col("ttext")) > 0))))
+            cur = cur.withColumn("node", F.coalesce("tpre", "node"))
+            attr, kind = F.when(~fetched, attr), F.when(fetched, F.lit("text")).otherwise(kind)
+        if "position_max" in present:  # by place in the document-ordered node set
+            place = F.row_number().over(Window.partitionBy("page_id", *KEY).orderBy("node", "attr"))
+            cur = cur.withColumn("place", place).filter((op_ != "position_max") | (F.col("place") <= F.col("op_n")))
+        sets = cur.select("page_id", *KEY, "node", attr.alias("attr"), kind.alias("kind"))
+        if present & (_MOVES | _TEXTS):  # node sets: what several nodes led to counts once
+            sets = sets.distinct()
     return sets
 
 

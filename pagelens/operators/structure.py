@@ -41,27 +41,30 @@ def _has_currency(v: Column) -> Column:
     return T.contains_any(v, fixed.CURRENCY_MARKS)
 
 
-def field_name(text: Column, cls: Column, tag: Column, has_href: Column) -> Column:
-    """field name of an element from its full text, class and tag."""
-    low = F.lower(text)
+def _field(price: Column, title: Column, n: Column, cls: Column, tag: Column, has_href: Column) -> Column:
+    """F4 from what the full text says (a price, a brand or product, its length)."""
     c = F.lower(F.coalesce(cls, F.lit("")))
-    n = F.length(text)
-    out = F.when(_has_currency(text) | F.contains(low, F.lit("price")), F.lit("price"))
-    out = out.when(T.contains_any(text, fixed.BRANDS), F.lit("title"))
-    out = out.when(T.contains_any(low, fixed.PRODUCT_TERMS), F.lit("title"))
+    out = F.when(price, F.lit("price")).when(title, F.lit("title"))
     for name, words in fixed.CLASS_FIELDS:
         out = out.when((c != "") & T.contains_any(c, words), F.lit(name))
     t = F.lower(tag)
     out = out.when(t.isin(*fixed.HEADING_TAGS), F.lit("title"))
     out = out.when((t == "a") & has_href, F.lit("link")).when(t == "a", F.lit("title"))
     blk = t.isin(*fixed.BLOCK_TEXT_TAGS)
-    out = (out.when(blk & (n > 100), F.lit("description")).when(blk & _has_currency(text), F.lit("price"))
-           .when(blk & (n > 20), F.lit("title")).when(blk, F.lit("text")))
+    out = out.when(blk & (n > 100), F.lit("description")).when(blk & (n > 20), F.lit("title")).when(blk, F.lit("text"))
     out = out.when(t == "time", F.lit("date")).when(t == "img", F.lit("image"))
     out = out.when(n > 100, F.lit("description")).when((n > 10) & (n <= 100), F.lit("title"))
     return out.otherwise(F.lit("code"))
 
 
+def field_name(text: Column, cls: Column, tag: Column, has_href: Column) -> Column:
+    """field name of an element from its full text, class and tag."""
+    low = F.lower(text)
+    price = _has_currency(text) | F.contains(low, F.lit("price"))
+    title = T.contains_any(text, fixed.BRANDS) | T.contains_any(low, fixed.PRODUCT_TERMS)
+    return _field(price, title, F.length(text), cls, tag, has_href)
+
+
 def is_navigation(text: Column) -> Column:
     """navigation / UI text."""
     low = F.lower(F.trim(text))
@@ -75,13 +78,18 @@ def is_navigation(text: Column) -> Column:
 
 
 def field_names(nodes: DataFrame) -> DataFrame:
-    """F4 for every element, void ones included, from its full text:
-    (page_id, pre, tag, n_elem, text, field)."""
+    """F4 for every element, void ones included, by its full text:
+    (page_id, pre, tag, n_elem, n_chars, field).  Linear in nodes."""
     e = dom.elements(nodes).select("page_id", "pre", "tag", "cls", "href", "n_elem")
-    txt = S.strip_ws(F.col("text_content"))
-    return e.join(dom.element_text(nodes, e, []), ["page_id", "pre"]).select(
-        "page_id", "pre", "tag", "n_elem", txt.alias("text"),
-        field_name(txt, F.col("cls"), F.col("tag"), F.col("href").isNotNull()).alias("field"))
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    reach = max(map(len, [*fixed.CURRENCY_MARKS, *fixed.BRANDS, *fixed.PRODUCT_TERMS, "price"])) - 1
+    # Text as it is and in lower case, which differ in length for a few characters: two searches.
+    facts = dom.text_facts(nodes, {"currency": words(*fixed.CURRENCY_MARKS), "brand": words(*fixed.BRANDS)}, reach, F.col("text"))
+    low = dom.text_facts(nodes, {"price": words("price"), "product": words(*fixed.PRODUCT_TERMS)}, reach, F.lower("text")).drop("n_chars")
+    return e.join(facts, ["page_id", "pre"]).join(low, ["page_id", "pre"]).select(
+        "page_id", "pre", "tag", "n_elem", "n_chars",
+        _field(F.col("currency") | F.col("price"), F.col("brand") | F.col("product"), F.col("n_chars"), F.col("cls"), F.col("tag"),
+               F.col("href").isNotNull()).alias("field"))
 
 
 def _records(members: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from .. import fixed
 from ..functions import text as T
 from ..functions import urls
+from ..session import cut_lineage
 from . import dom, execute, select
 
 UNICODE_WS = r"[ \t\n\r\f\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -61,16 +62,20 @@ def page_values(nodes: DataFrame, pages: DataFrame, steps: DataFrame, pairs: Dat
       page_status (page_id, sequence_id, success, error_count)
     """
     as_text = select.with_action(steps, fixed.ACTION_TEXT)
-    vals, st = execute.run_steps(nodes, as_text, pages, normalize_whitespace=False, max_results=1 << 30, pairs=pairs)
-    first = vals.groupBy("page_id", "sequence_id", "step_index", "value").agg(F.min("ord").alias("ord"))
+    sets = select.select_nodes(nodes, as_text, pairs)
+    vals = select.node_values(nodes, pages, as_text, sets, normalize_whitespace=False, max_results=1 << 30)
+    per_rule = steps.groupBy("sequence_id").agg(F.count("*").alias("n_steps"))
+    grid = execute.rule_pages(pages, steps, pairs)
+    step_counts = grid.join(select.small(per_rule, select.rule_meta(steps)["n_steps"]), "sequence_id")
+    # Values and statuses are read by several branches below: computed once.
+    first = cut_lineage(vals.groupBy("page_id", "sequence_id", "step_index", "value").agg(F.min("ord").alias("ord")))
     ok = first.groupBy("page_id", "sequence_id", "step_index").agg(F.count("*").alias("n"))
     last_ok = ok.groupBy("page_id", "sequence_id").agg(F.max("step_index").alias("last_step"))
     data = first.join(last_ok, ["page_id", "sequence_id"]).filter(F.col("step_index") == F.col("last_step"))
     w = Window.partitionBy("page_id", "sequence_id").orderBy("ord")
     data = data.withColumn("idx", F.row_number().over(w)).select("page_id", "sequence_id", "idx", "value")
-    steps_n = st.groupBy("page_id", "sequence_id").agg(F.count("*").alias("n_steps"))
     status = (
-        steps_n.join(ok.groupBy("page_id", "sequence_id").agg(F.count("*").alias("n_ok")), ["page_id", "sequence_id"], "left")
+        step_counts.join(ok.groupBy("page_id", "sequence_id").agg(F.count("*").alias("n_ok")), ["page_id", "sequence_id"], "left")
         .fillna(0, ["n_ok"])
         .select("page_id", "sequence_id", (F.col("n_ok") > 0).alias("success"),
                 (F.col("n_steps") - F.col("n_ok")).cast("bigint").alias("error_count"))

@@ -162,7 +162,9 @@ def learn_and_publish(pages: DataFrame, task: str, stamp: str, max_iterations: i
     group = pc.select("page_id", F.coalesce("domain", F.lit("")).alias("grp"))
     rules = learned.filter("success").join(group, "page_id").select("grp", F.col("rule_id").alias("sequence_id")).distinct()
     rules = cut_lineage(rules)
-    ids = sorted(book.rules)
+    # Only rules that some domain has learned (a part of the bounded rule book).
+    used = {r.sequence_id for r in rules.select("sequence_id").distinct().collect()}
+    ids = [i for i in sorted(book.rules) if i in used]
     steps = book.frame(pages.sparkSession, ids)
     pairs = group.join(S.small(rules, rules.count()), "grp").select("page_id", "sequence_id")
     tasks = pages.sparkSession.createDataFrame([(r, task, i + 1) for i, r in enumerate(ids)], "sequence_id string, task string, rule_ord int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,5 +82,51 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; :func:`release` removes it."""
+    path = f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made(spark).append((None, path))
+    return path
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder, bucketed by
+    ``key``, and read back: later scans read only the columns and row groups
+    that they need, and joins and aggregates on ``key`` need no exchange.
+    A row is expected to lie in the partition that its key hashes to."""
+    spark = df.sparkSession
+    path = shared_path(spark, "table")
+    name = "pagelens_" + path.rsplit("-", 1)[1]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+    _made(spark)[-1] = (name, path)
+    return spark.table(name)
+
+
+def _made(spark: SparkSession) -> list:
+    if not hasattr(spark, "_pagelens_made"):
+        spark._pagelens_made = []
+    return spark._pagelens_made
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables and folders that this session's operators have written
+    to the shared folder, once no result that reads them is needed any more.
+    Returns how many there were."""
+    made = _made(spark)
+    n = len(made)
+    while made:
+        name, path = made.pop()
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+    return n
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
