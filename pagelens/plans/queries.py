@@ -254,6 +254,30 @@ def rule_probe(spark, sf):
                      F.array_join("sample_results", " | ").alias("sample"))
 
 
+def rule_programs(spark, sf):
+    """Rules that walk on from their elements, of different lengths: next
+    sibling, parent, texts below, position and length filters."""
+    a = [S.Branch(tags=["a"])]
+    rules = {
+        "next_items": S.Step(a, post=[S.op("parent"), S.op("next_sibling"), S.op("desc_text")]),
+        "first_two": S.Step(a, post=[S.op("position_max", 2), S.op("child_text")]),
+        "middle_length": S.Step([S.Branch(tags=["a"], output="text")], post=[S.op("len_gt", 3), S.op("len_lt", 8)]),
+        "grandparents_first": S.Step(a, post=[S.op("parent"), S.op("parent"), S.op("desc_text"), S.op("len_gt", 2), S.op("position_max", 3)])}
+    ex = _run(spark, sf, {k: [v] for k, v in rules.items()}, enable_structuring=False).extracted
+    return ex.select("page_id", "sequence_id", F.col("idx").cast("bigint").alias("idx"), "value")
+
+
+def action_dispatch(spark, sf):
+    """Unknown and missing actions, attributes of texts and elements,
+    and at most three results of a step."""
+    text, elem = [S.Branch(tags=["a"], output="text")], [S.Branch(tags=["a"])]
+    rules = {"unknown": S.Step(text, action_type="xpath_guess"), "none": S.Step(text, action_type=None),
+             "attribute_of_text": S.Step(text, action_type=fixed.ACTION_ATTRIBUTE, attribute="title"),
+             "default_attribute": S.Step(elem, action_type=fixed.ACTION_ATTRIBUTE)}
+    st = execute.execute_single(_clean_pages(spark, sf), S.steps_frame(spark, {k: [v] for k, v in rules.items()}), max_results=3)
+    return st.select("page_id", "sequence_id", "status", "element_count", "data_count", "error_message", F.array_join("data", "|").alias("data"))
+
+
 def extract_html(spark, sf):
     rule = {"r_ad_html": [S.Step([S.Branch(tags=["div"], class_any=["ad"])], action_type=fixed.ACTION_HTML)]}
     ex = _run(spark, sf, rule, enable_structuring=False).extracted
@@ -549,6 +573,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sequence_results": sequence_results,
     "rule_probe": rule_probe,
     "extract_html": extract_html,
+    "rule_programs": rule_programs,
+    "action_dispatch": action_dispatch,
     "field_inference": field_inference,
     "field_inference_all": field_inference_all,
     "nav_filter": nav_filter,
