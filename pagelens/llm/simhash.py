@@ -13,16 +13,15 @@ the principle).  So from that start
 * the first seven hold at most one difference, so of segments 4-5 and 6-7 at
   least one half is equal as well.
 
-Both facts go into the join key (start, three segments, half, its bits; 40 bits
-for t = 2), so the budgets prune before any pair exists; the remaining chain
-budgets prune pairs before the full Hamming check.
-
-A bucket with more than ``BUCKET`` fingerprints would give too many pairs.
-Its fingerprints are linked through neighbouring values instead, exactly: if two
-differ in at most t bits, some value lies within t/2 bits of both (rounded
-down for one of them, up for the other).  All fingerprints around a value (a
-bounded number) are linked to the smallest of its near ones, which is within t
-of each, so components are kept and the work is linear.
+Both facts go into a first key (start, three segments, half, its bits; 40 bits
+for t = 2): a fingerprint that shares none of its keys has no neighbour and is
+dropped before any pair exists.  What shares one is keyed again, by what the whole
+chain of budgets leaves free: t bits that may differ (one of the other half and
+one of the last segment, or two of the last segment), all other bits equal.
+Fingerprints under one such key differ in those t bits at most, so a group has
+2**t members at most however crowded the first key was, every member passes the Hamming
+check by construction, and linking the members to the smallest
+keeps every component.
 
 Links become components by repeated star contraction (join and aggregate),
 cut by checkpoints.
@@ -40,15 +39,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_value, maybe_broadcast, small_batches, stored
 
 SHINGLE, MAX_DISTANCE, BITS = 3, 2, 64
 
-#: Fingerprints of a bucket that are still compared pair by pair.
-BUCKET = 16
+#: Links that one partition contracts; more links take more partitions.
+PART_LINKS = 200_000
 
 #: Bytes of a text that are split into words at once.
 BLOCK = 1 << 20
@@ -116,81 +115,65 @@ def _mask(segs) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def _keys(fp: Column, t: int) -> Column:
-    """array<struct<part, bits>> of the join keys of a fingerprint."""
+def _parts(t: int) -> list[tuple[int, list[int]]]:
+    """For each start and half: the mask of the bits that must be equal, and
+    the masks of t bits that keep every chain budget from there."""
     segs, equal, one = _segments(t)
     m, out = len(segs), []
     for i in range(m):
         ring = [segs[(i + x) % m] for x in range(m)]
         rest = ring[equal:one]
         halves = [rest[: len(rest) // 2], rest[len(rest) // 2 :]] if len(rest) > 1 else [[]]
-        out += [F.struct(F.lit(len(halves) * i + k).alias("part"),
-                         fp.bitwiseAND(F.lit(_mask(ring[:equal] + h))).alias("bits")) for k, h in enumerate(halves)]
-    return F.array(*out)
+        for half in halves:
+            free = [(n, 1 << b) for n, (a, w) in enumerate(ring) if n >= equal and (a, w) not in half for b in range(a, a + w)]
+            fit = [c for c in itertools.combinations(free, t)
+                   if all(sum(n < x for n, _ in c) <= t * x // m for x in range(1, m + 1))]
+            out.append((_mask(ring[:equal] + half), [_signed(sum(v for _, v in c)) for c in fit]))
+    return out
 
 
-def _chain(x: Column, part: Column, t: int) -> Column:
-    """Whether the differences ``x`` keep within every chain budget from the
-    start that belongs to ``part``."""
-    segs, equal, one = _segments(t)
-    m = len(segs)
-    per = 2 if one - equal > 1 else 1
-    ok = F.lit(False)
-    for i in range(m):
-        ring = [segs[(i + k) % m] for k in range(m)]
-        fits = F.lit(True)
-        for n in range(equal + 1, m + 1):
-            fits = fits & (F.bit_count(x.bitwiseAND(F.lit(_mask(ring[:n])))) <= t * n // m)
-        ok = F.when(F.floor(part / per) == i, fits).otherwise(ok)
-    return ok
-
-
-def links(fps: DataFrame, t: int = MAX_DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """(a, b), a > b: distinct fingerprints within ``t`` bits; in crowded
-    buckets only enough of them to keep every component."""
-    if t > 4:
-        raise ValueError("max_distance may be 4 at most")
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
+
+
+def links(fps: DataFrame, t: int = MAX_DISTANCE) -> DataFrame:
+    """(a, b), a > b: distinct fingerprints within ``t`` bits, enough of them to
+    keep every component (a group's members are linked to its smallest)."""
+    if t > 3:
+        raise ValueError("max_distance may be 3 at most")
     if t < 1:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter("false")
-    keyed = fps.select("fp", F.explode(_keys(F.col("fp"), t)).alias("k")).select("fp", "k.part", "k.bits")
-    sizes = keyed.groupBy("part", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = stored(keyed.join(sizes, ["part", "bits"]))
-    few = keyed.filter(F.col("n") <= bucket)
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = (
-        few.groupBy("part", "bits").agg(F.sort_array(F.collect_list("fp")).alias("f"))  # at most ``bucket`` entries
-        .select("part", "f", F.posexplode("f").alias("i", "b"))
-        .select("part", "b", F.explode(F.slice("f", F.col("i") + 2, F.size("f"))).alias("a"))
-        .filter(_chain(x, F.col("part"), t))
-        .filter(F.bit_count(x) <= t).select("a", "b")
-    )
-    crowded = keyed.filter(F.col("n") > bucket).select("fp").distinct()
-    near, far = t // 2, t - t // 2
-    masks = [(r, sum(1 << i for i in c)) for r in range(far + 1) for c in itertools.combinations(range(BITS), r)]
-    masks = [F.struct(F.lit(r).alias("r"), F.lit(v - (1 << 64) if v >> 63 else v).alias("v")) for r, v in masks]
-    var = crowded.select("fp", F.explode(F.array(*masks)).alias("m")).select(
-        F.col("fp").bitwiseXOR(F.col("m.v")).alias("v"), F.col("m.r").alias("r"), "fp")
-    # Whatever lies within ``far`` of a value is within t of what lies within ``near``.
-    around = var.groupBy("v").agg(F.min(F.when(F.col("r") <= near, F.col("fp"))).alias("b"), F.collect_list("fp").alias("f"))
-    star = around.filter(F.size("f") > 1).select(F.explode("f").alias("x"), "b").filter("x <> b").select(
-        F.greatest("x", "b").alias("a"), F.least("x", "b").alias("b"))
-    return pairs.union(star).distinct()
+    parts, fp = _parts(t), F.col("fp")
+    keys = F.array(*[F.struct(F.lit(k).alias("part"), fp.bitwiseAND(F.lit(mask)).alias("bits")) for k, (mask, _) in enumerate(parts)])
+    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.part", "k.bits")
+    shared = keyed.groupBy("part", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    near = stored(keyed.join(shared, ["part", "bits"], "left_semi").select("fp", "part"))
+    free = fps.sparkSession.createDataFrame([(k, masks) for k, (_, masks) in enumerate(parts)], "part int, masks array<bigint>")
+    again = near.join(F.broadcast(free), "part").select("fp", F.explode("masks").alias("mask"))
+    group = again.groupBy("mask", fp.bitwiseAND(F.bitwise_not("mask")).alias("bits")).agg(F.collect_set("fp").alias("f"))  # 2**t at most
+    return group.filter(F.size("f") > 1).select(F.explode("f").alias("a"), F.array_min("f").alias("b")).filter("a > b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node
-    of its component.  Alternating star contraction until nothing changes."""
-    state = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-    e = stored(edges.select("a", "b").filter("a > b").distinct())
+    of its component.  Alternating star contraction until nothing changes.
+
+    Links lie in as many partitions as their number asks for; a node's smallest
+    neighbour is pre-aggregated and, up to a checked size, broadcast, so the links
+    of a hub are never gathered."""
+    state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    sized = lambda e, n: e.coalesce(max(1, -(-n // PART_LINKS)))
+    e = stored(edges.select("a", "b").filter("a > b"))
     was, now = None, state(e)
     while was != now:
+        e = sized(e, now[0])
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = sized(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), now[0])
         # Large star: larger neighbours move to the smallest.
-        e = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        big = stored(both.filter("b > a").join(maybe_broadcast(stored(low)), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # Small star: smaller neighbours and the node itself move to the smallest.
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = stored(e.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(
+        low = sized(big.groupBy("a").agg(F.min("b").alias("m")), now[0])
+        e = stored(big.join(maybe_broadcast(stored(low)), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(
             F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a > b").distinct())
         was, now = now, state(e)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -208,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = own.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     best = of.groupBy("root").agg(F.min("first").alias("best"))
-    of = of.join(best, "root").select("fp", "best")
+    of = stored(of.join(best, "root").select("fp", "best"))
     return d.join(of, "fp").select(
         "doc_id", "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("best.d").alias("component_id"),
