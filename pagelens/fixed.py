@@ -273,3 +273,8 @@ LIST_ORDER_FIELDS = ["robustness_score", "created_at", "updated_at", "success_ra
 STATS_TOP_DOMAINS = 5
 MSG_NO_RULE_RESULTS = "No existing rules produced results"
 MSG_NO_RULE = "Failed to generate extraction rule"
+
+# Run log: a line for each scrape.
+LOG_SUCCESS, LOG_FAILED = "SUCCESS", "FAILED"
+LOG_LINE = "Scraping %s | URL: %s | Task: %s | Time: %.2fs"
+LOG_ITEMS = " | Items: %d"

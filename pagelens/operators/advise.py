@@ -49,11 +49,18 @@ def suggestions_probe(pages: DataFrame, tasks: list[str], nodes: DataFrame | Non
         "page_id", "task", "suggestion", "confidence", "result_count", "data_count")
 
 
-def advice(step_status: DataFrame, summary: DataFrame, execution_ms: float = 0.0) -> DataFrame:
-    """G12 per (page, rule step) and G13 per (page, rule), joined."""
+def advice(step_status: DataFrame, summary: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """G12 per (page, rule step) and G13 per (page, rule), joined.
+
+    ``times`` (page_id, seconds), as of the run log: a page that took long has the
+    slow advice; without it no time is known."""
     n = F.col("element_count")
+    if times is not None:
+        step_status = step_status.join(times.select("page_id", (F.col("seconds") * 1000).alias("execution_ms")), "page_id", "left")
+    else:
+        step_status = step_status.withColumn("execution_ms", F.lit(None).cast("double"))
     imp = F.filter(F.array(
-        F.when(F.lit(execution_ms) > fixed.ADVICE_SLOW_MS, F.lit(fixed.ADVICE_SLOW)),
+        F.when(F.col("execution_ms") > fixed.ADVICE_SLOW_MS, F.lit(fixed.ADVICE_SLOW)),
         F.when(n > fixed.ADVICE_MANY, F.lit(fixed.ADVICE_LIMIT)),
         F.when(n == 0, F.lit(fixed.ADVICE_BROADEN)),
     ), lambda x: x.isNotNull())

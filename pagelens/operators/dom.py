@@ -35,7 +35,7 @@ NODE_DDL = (
     "ptag string, cls string, elem_id string, href string, attr_names array<string>, "
     "attr_values array<string>, text string, first_text string, "
     "n_text int, n_elem int, next_sib int, text_len int, t_from int, t_count int, up array<int>, "
-    "src_start int, src_end int"
+    "src_start int, src_end int, tail_end int"
 )
 
 #: Ancestors kept in ``up``: what relatedness and containers look at.
@@ -86,6 +86,9 @@ class _TreeBuilder(HTMLParser):
         self.stack: list[int] = []
         self.open_at: dict[str, list[int]] = {}  # tag -> its places in the stack
         self.last_child_text = -1  # index of the text node that may absorb more data
+        # Where the text behind an element ends: the next markup.
+        self.tail_end: list[int] = []
+        self.tailing = -1  # the element that ended last, until then
 
     # -- helpers ---------------------------------------------------------
     def _offset(self) -> int:
@@ -103,6 +106,7 @@ class _TreeBuilder(HTMLParser):
         self.text.append(text)
         self.start.append(start)
         self.end.append(start)
+        self.tail_end.append(start)
         self.last.append(idx)
         self.first_text.append(-1)
         self.n_text.append(0)
@@ -122,7 +126,7 @@ class _TreeBuilder(HTMLParser):
         idx = self.stack.pop()
         self.open_at[self.tag[idx]].pop()
         self.last[idx] = len(self.kind) - 1
-        self.end[idx] = end
+        self.end[idx] = self.tail_end[idx] = end
         self.t_count[idx] = self.n_texts - self.t_from[idx]
         self.text_len[idx] = self.n_chars - self.text_len[idx]
         self.last_child_text = -1
@@ -151,8 +155,16 @@ class _TreeBuilder(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self._open(tag, attrs, self_closing=True)
 
-    def _open(self, tag, attrs, self_closing):
+    def _markup(self) -> int:
+        """Place of the markup that is being read; ends the text before it."""
         start = self._offset()
+        if self.tailing >= 0:
+            self.tail_end[self.tailing] = start
+            self.tailing = -1
+        return start
+
+    def _open(self, tag, attrs, self_closing):
+        start = self._markup()
         if tag == "html" and not self.kind:
             self._push(self._new("elem", "html", _dedup_attrs(attrs), None, start))
             return
@@ -195,15 +207,18 @@ class _TreeBuilder(HTMLParser):
         if tag in _VOID or self_closing:
             raw = self.get_starttag_text() or ""
             self._close_top(start + len(raw))
+            self.tailing = idx
 
     def handle_endtag(self, tag):
+        start = self._markup()
         if tag in _NEVER_CLOSED:
             return
         i = self._innermost((tag,))
         if i >= 0:
-            start = self._offset()
             close = self.src.find(">", start)
-            self._close_through(i, (close + 1) if close >= 0 else len(self.src))
+            self._close_through(i + 1, start)  # what is still open in it has no end tag
+            self.tailing = self.stack[i]
+            self._close_top((close + 1) if close >= 0 else len(self.src))
 
     def handle_data(self, data):
         if not data:
@@ -230,11 +245,23 @@ class _TreeBuilder(HTMLParser):
         self.last_child_text = idx
 
     def handle_comment(self, data):
+        self._markup()
         self.last_child_text = -1
 
+    def handle_decl(self, decl):
+        self._markup()
+
+    def handle_pi(self, data):
+        self._markup()
+
+    def unknown_decl(self, data):
+        self._markup()
+
     def finish(self):
         self.close()
         end = len(self.src)
+        if self.tailing >= 0:
+            self.tail_end[self.tailing] = end
         while self.stack:
             self._close_top(end)
 
@@ -290,6 +317,7 @@ def _page_rows(page_id, html, cols):
         cols["up"].append(near)
         cols["src_start"].append(b.start[i])
         cols["src_end"].append(b.end[i])
+        cols["tail_end"].append(b.tail_end[i])
         if kind == "elem":
             attrs = b.attrs[i] or []
             d = dict(attrs)

@@ -449,7 +449,7 @@ def node_values(nodes: DataFrame, pages: DataFrame | None, steps: DataFrame, set
     s = sets.join(small(steps.select(*KEY, "action_type", "attribute"), meta["n_steps"]), KEY)
     info = nodes.filter(F.col("kind") != "error").select(
         "page_id", F.col("pre").alias("i_pre"), F.col("text").alias("i_text"), F.col("attrs").alias("i_attrs"),
-        F.col("src_start").alias("i_start"), F.col("src_end").alias("i_end"),
+        F.col("src_start").alias("i_start"), F.col("tail_end").alias("i_end"),
     )
     info = info.withColumnRenamed("page_id", "i_page")
     j = s.join(info, (F.col("page_id") == F.col("i_page")) & (F.col("node") == F.col("i_pre"))).drop("i_page")

@@ -7,7 +7,6 @@ rounded to 6 places so a different summation order cannot flip a digit.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,8 @@ from ..functions import text as T
 from ..functions import urls
 from ..operators import advise, dom, execute, learn, profile, repository, structure, validate
 from ..operators import select as S
-from ..session import cut_lineage, ensure_checkpoint_dir, read_table, tune
+from ..session import cut_lineage, read_table, shared_path, tune
+from ..sources import captures
 from . import catalog, scrape
 
 STAMP = "2026-01-01T00:00:00"
@@ -503,7 +503,7 @@ def learn_publish(spark, sf):
 def rule_store(spark, sf):
     """Published rules saved, some updated (two rows of an id: the
     last wins), some deleted, saved as the next version and read back."""
-    path = f"{ensure_checkpoint_dir(spark)}/rules-{uuid.uuid4().hex}"
+    path = shared_path(spark, "rules")
     repository.save(_published(spark, sf), path)
     now = repository.load(spark, path)
     some = now.filter(F.col("metadata")["source_rule"] == "r_h1")
@@ -514,6 +514,56 @@ def rule_store(spark, sf):
                                                (F.col("updated_at") > F.col("created_at")).alias("updated"))
 
 
+def rule_commits(spark, sf):
+    """A5: commits that touch some buckets only, on top of each other, and what
+    each version holds of the rules of one source."""
+    path = shared_path(spark, "rules")
+    repository.save(_published(spark, sf), path)
+    now = repository.load(spark, path)
+    low = now.filter(F.col("metadata")["source_rule"] == "r_link_text").withColumn("robustness_score", F.lit(0.5))
+    repository.apply(spark, path, upserts=low, now=F.to_timestamp(F.lit("2026-02-01T00:00:00")))
+    repository.apply(spark, path, deletes=now.filter(F.col("metadata")["is_selected"] == "true"))
+    out = None
+    for v in repository.versions(spark, path):
+        one = repository.load(spark, path, version=v).groupBy(F.col("metadata")["source_rule"].alias("source_rule")).agg(
+            F.count("*").alias("n"), F.sum((F.col("robustness_score") == 0.5).cast("bigint")).alias("lowered")).withColumn("version", F.lit(v).cast("bigint"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def stream_scrape(spark, sf):
+    """The pages as a stream, scraped with the rules of a store."""
+    from ..streaming import continuous
+
+    path = shared_path(spark, "rules")
+    repository.save(_published(spark, sf), path)
+    out = continuous.run_stored(spark, f"{sf.rstrip('/')}/pages.parquet", path, catalog.VALIDATION_TASK)
+    return out.select("page_id", "domain", "task", "success", "sequence_id", "data_count", "error", "rule_version")
+
+
+def run_log(spark, sf):
+    """A line for each scrape; its time is shown as whether there is one."""
+    pages = _pages(spark, sf)
+    started = scrape.clock(pages)
+    res, _ = scrape.scrape_known(pages, _published(spark, sf), catalog.VALIDATION_TASK)
+    log = scrape.run_log(res, started, catalog.VALIDATION_TASK)
+    return log.select("page_id", "url", "task", "status", "items", (F.col("seconds") > 0).alias("timed"),
+                      F.regexp_replace("line", r"Time: [0-9]+\.[0-9][0-9]s", "Time: ?").alias("line"))
+
+
+def page_captures(spark, sf):
+    """A1: the pages written as JSON lines and as HTML files, and read back."""
+    pages = _pages(spark, sf)
+    path = shared_path(spark, "captures")
+    pages.select("page_id", "url", "html").write.json(f"{path}/lines")
+    pages.select("page_id", "html").write.partitionBy("page_id").option("lineSep", "\n").text(f"{path}/files")
+    lines = captures.json_lines(spark, f"{path}/lines").withColumn("source", F.lit("lines"))
+    files = captures.html_files(spark, f"{path}/files", "*.txt", page_id=r"page_id=([0-9]+)").withColumn("source", F.lit("files"))
+    # a text file ends with a line feed of its own
+    files = files.withColumn("html", F.regexp_replace("html", r"\n\z", "")).withColumn("url", F.lit(None).cast("string"))
+    return lines.unionByName(files).select("source", "page_id", "url", F.md5("html").alias("html_md5"))
+
+
 def rules_by_id(spark, sf):
     """I2 for every stored id: each is found once."""
     rules = _published(spark, sf)
@@ -527,7 +577,7 @@ def rules_by_task(spark, sf):
 
 def result_files(spark, sf):
     """A4: result documents written as JSON and read back."""
-    path = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    path = shared_path(spark, "results")
     res, vals = scrape.scrape_known(_pages(spark, sf), _published(spark, sf), catalog.VALIDATION_TASK)
     env = scrape.envelope(res, vals, stamp=STAMP)
     scrape.write_results(env, path)
@@ -596,6 +646,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rules_by_id": rules_by_id,
     "rules_by_task": rules_by_task,
     "rule_store": rule_store,
+    "page_captures": page_captures,
+    "run_log": run_log,
+    "stream_scrape": stream_scrape,
+    "rule_commits": rule_commits,
     "rules_list": rules_list,
     "scrape_known": scrape_known,
     "run_report": run_report,

@@ -116,13 +116,42 @@ def scrape_known(pages: DataFrame, rules: DataFrame, task: str, nodes: DataFrame
     return res, values
 
 
-def envelope(results: DataFrame, values: DataFrame, is_new_rule: bool = False, stamp: str | None = None) -> DataFrame:
-    """The result document per page (success, data, error, metadata)."""
+def _millis():
+    """The clock of the task that handles a row."""
+    return F.expr("cast(reflect('java.lang.System', 'currentTimeMillis') as bigint)")
+
+
+def clock(pages: DataFrame) -> DataFrame:
+    """(page_id, url, started_ms): when each page was taken up, written down at once."""
+    return cut_lineage(pages.select("page_id", "url").withColumn("started_ms", _millis()))
+
+
+def run_log(results: DataFrame, started: DataFrame, task: str) -> DataFrame:
+    """A line for each scrape, written down at once: (page_id, url, task, status, seconds,
+    items, line).  ``seconds`` is the time from a page's ``started_ms`` to its result."""
+    j = results.select("page_id", "success", F.when(F.col("success"), F.col("data_count")).otherwise(0).alias("items")).join(started, "page_id")
+    j = j.withColumn("seconds", F.greatest(F.lit(0.0), (_millis() - F.col("started_ms")) / 1000.0))
+    status = F.when(F.col("success"), fixed.LOG_SUCCESS).otherwise(fixed.LOG_FAILED)
+    line = F.format_string(fixed.LOG_LINE, status, F.coalesce("url", F.lit("")), F.lit(task), F.col("seconds"))
+    return cut_lineage(j.select("page_id", "url", F.lit(task).alias("task"), status.alias("status"), "seconds", "items",
+                                F.when(F.col("items") > 0, F.concat(line, F.format_string(fixed.LOG_ITEMS, "items"))).otherwise(line).alias("line")))
+
+
+def append_log(log: DataFrame, path: str) -> None:
+    """The lines, appended to the text files below ``path``."""
+    log.select("line").write.mode("append").text(path)
+
+
+def envelope(results: DataFrame, values: DataFrame, is_new_rule: bool = False, stamp: str | None = None,
+             log: DataFrame | None = None) -> DataFrame:
+    """The result document per page (success, data, error, metadata);
+    ``log`` (see :func:`run_log`) has the pages' execution times."""
     data = values.groupBy("page_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s["value"]).alias("data")
     )
     ts = F.lit(stamp) if stamp is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     j = results.join(data, "page_id", "left")
+    j = j.join(log.select("page_id", "seconds"), "page_id", "left") if log is not None else j.withColumn("seconds", F.lit(None).cast("double"))
     return j.select(
         "page_id", "success",
         F.when(F.col("success"), F.coalesce("data", F.array().cast("array<string>"))).alias("data"),
@@ -131,7 +160,7 @@ def envelope(results: DataFrame, values: DataFrame, is_new_rule: bool = False, s
             F.col("task").alias("task"), F.col("domain").alias("domain"), F.col("sequence_id").alias("sequence_id"),
             F.lit(is_new_rule).alias("is_new_rule"), F.col("data_count").alias("data_count"),
             F.col("success_rate").alias("success_rate"), F.col("robustness_score").alias("robustness_score"),
-            ts.alias("timestamp"),
+            F.col("seconds").alias("execution_time_seconds"), ts.alias("timestamp"),
         ).alias("metadata"),
     )
 

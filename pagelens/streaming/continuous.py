@@ -5,38 +5,56 @@ running the batch engine (clean, parse, execute the rule set) on each
 micro-batch -> append to a parquet sink.  Extraction is stateless per page,
 so each micro-batch is independent; the query's checkpoint makes restarts
 exactly-once with respect to the sink (batch ids are idempotent writes).
+
+The rules are a fixed set (:func:`start`), or those that a rule store holds for each
+page's domain and the task (:func:`start_stored`): a stream-static join whose rule
+side is read anew for every micro-batch from the store's newest version, which
+the sink records.  A batch that is retried uses the version that it has recorded.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import execute
+from .. import fixed
+from ..operators import execute, repository
 from ..plans import scrape
-from ..session import ensure_checkpoint_dir
+from ..session import release, shared_path
 
 RESULT_DDL = "page_id bigint, sequence_id string, idx int, value string"
+SCRAPE_DDL = ("page_id bigint, domain string, task string, success boolean, sequence_id string, data_count bigint, success_rate double, "
+              "robustness_score double, error string, data array<string>, rule_version bigint")
 
 
 def extract_batch(batch: DataFrame, steps: DataFrame, enable_structuring: bool = True) -> execute.Execution:
     return execute.execute(scrape.clean_pages(batch), steps, enable_structuring=enable_structuring)
 
 
-def start(spark: SparkSession, source_dir: str, steps: DataFrame, out_dir: str, checkpoint: str,
-          glob: str | None = None, available_now: bool = True, max_files: int | None = None,
-          enable_structuring: bool = True):
-    """Start the stream; returns the StreamingQuery.  ``max_files`` per
-    micro-batch is the caller's tuning; by default a batch takes all there are."""
+def _stream(spark: SparkSession, source_dir: str, glob: str | None, max_files: int | None) -> DataFrame:
     schema = spark.read.parquet(source_dir if glob is None else os.path.join(source_dir, glob)).schema
     reader = spark.readStream.schema(schema)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    stream = reader.parquet(source_dir)
+    return reader.parquet(source_dir)
+
+
+def _write(stream: DataFrame, write, checkpoint: str, available_now: bool):
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def start(spark: SparkSession, source_dir: str, steps: DataFrame, out_dir: str, checkpoint: str,
+          glob: str | None = None, available_now: bool = True, max_files: int | None = None,
+          enable_structuring: bool = True):
+    """Start the stream; returns the StreamingQuery.  ``max_files`` per
+    micro-batch is the caller's tuning; by default a batch takes all there are."""
+    stream = _stream(spark, source_dir, glob, max_files)
     # The sink exists with its schema before the first page arrives.
     spark.createDataFrame([], RESULT_DDL).write.mode("ignore").parquet(os.path.join(out_dir, "batch_id=-1"))
 
@@ -45,17 +63,50 @@ def start(spark: SparkSession, source_dir: str, steps: DataFrame, out_dir: str,
         out = scrape.final_values(run.data).select("page_id", "sequence_id", "idx", "value")
         # idempotent per batch: a retried batch overwrites its own folder
         out.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
+        release(batch_df.sparkSession)  # the batch's node table
+
+    return _write(stream, write, checkpoint, available_now)
 
-    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+
+def start_stored(spark: SparkSession, source_dir: str, store: str, task: str, out_dir: str, checkpoint: str,
+                 glob: str | None = None, available_now: bool = True, max_files: int | None = None,
+                 limit: int = fixed.SCRAPE_RULE_LIMIT):
+    """Scrape arriving pages (J1) with the stored rules of their domain and
+    ``task``; the sink has a row for each page, see ``SCRAPE_DDL``."""
+    stream = _stream(spark, source_dir, glob, max_files)
+    spark.createDataFrame([], SCRAPE_DDL).write.mode("ignore").parquet(os.path.join(out_dir, "batch_id=-1"))
+
+    def write(batch_df: DataFrame, batch_id: int):
+        # The version is fixed before the batch is read, and by name, so that a retry takes the same.
+        version = repository.pinned(spark, store, f"{checkpoint.rstrip('/')}/rules/{batch_id}")
+        pages = batch_df.select("page_id", "url", "html")
+        results, values = scrape.scrape_known(pages, repository.load(spark, store, version=version), task, limit=limit)
+        data = values.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("data"))
+        out = results.join(data, "page_id", "left").withColumn("rule_version", F.lit(version).cast("bigint"))
+        names = [f.strip().split(" ")[0] for f in SCRAPE_DDL.split(", ")]
+        out.select(*names).write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
+        release(batch_df.sparkSession)
+
+    return _write(stream, write, checkpoint, available_now)
+
+
+def results(spark: SparkSession, out_dir: str, ddl: str = SCRAPE_DDL) -> DataFrame:
+    """The sink's rows with their batch_id."""
+    return spark.read.schema(ddl + ", batch_id bigint").parquet(out_dir)
 
 
 def run_available(spark: SparkSession, pages_path: str, steps: DataFrame, enable_structuring: bool = True) -> DataFrame:
     """Process every page file available now and return the sink table."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = f"{base}/pagelens-stream-{uuid.uuid4().hex}"
+    run = shared_path(spark, "stream")
     src_dir, name = os.path.split(pages_path)
     q = start(spark, src_dir, steps, f"{run}/out", f"{run}/chk", glob=name, enable_structuring=enable_structuring)
     q.awaitTermination()
     return spark.read.schema(RESULT_DDL + ", batch_id bigint").parquet(f"{run}/out").drop("batch_id")
+
+
+def run_stored(spark: SparkSession, pages_path: str, store: str, task: str) -> DataFrame:
+    """Scrape every page file available now with the stored rules."""
+    run = shared_path(spark, "stream")
+    src_dir, name = os.path.split(pages_path)
+    start_stored(spark, src_dir, store, task, f"{run}/out", f"{run}/chk", glob=name).awaitTermination()
+    return results(spark, f"{run}/out").drop("batch_id")

@@ -45,8 +45,60 @@ def test_versions(spark, tmp_path):
     assert R.save(R.delete(now, now.filter("sequence_id = 'b'")), path) == 2
     assert R.load(spark, path).count() == 3 and R.load(spark, path, version=1).count() == 4
     assert [r.sequence_id for r in R.load(spark, path, domain="").collect()] == ["c"]
-    (tmp_path / path / "v00000003").mkdir()  # a write that did not finish
-    assert R.load(spark, path).count() == 3 and R.save(_rules(spark), path) == 4
+    (tmp_path / path / "data" / "write=dead").mkdir()  # a write that did not finish
+    assert R.load(spark, path).count() == 3 and R.save(_rules(spark), path) == 3
+
+
+def test_commits_rewrite_only_their_buckets(spark, tmp_path):
+    path = str(tmp_path / "store")
+    R.save(_rules(spark), path)
+    first = R._manifest(R._Files(spark, path), 1)
+    moved = spark.createDataFrame([("a", "shop.test", "fares", [], 0.9, 0.9, T2, T2, {})], R.RULE_DDL)  # another domain
+    assert R.apply(spark, path, upserts=moved, now=F.lit(T2)) == 2
+    second = R._manifest(R._Files(spark, path), 2)
+    where = {d: str(spark.range(1).select(R._bucket(F.lit(d)).alias("b")).first().b) for d in ("ferry.test", "shop.test", "")}
+    assert second[where[""]] == first[where[""]] and second[where["shop.test"]] != first[where["shop.test"]]
+    assert {r.sequence_id for r in R.load(spark, path, domain="shop.test").collect()} == {"a", "b"}
+    assert R.load(spark, path, domain="ferry.test").count() == 0 and R.load(spark, path, version=1).count() == 4
+    assert R.apply(spark, path, deletes=moved) == 3 and R.load(spark, path).count() == 3
+
+
+def test_concurrent_commits_all_survive(spark, tmp_path):
+    import threading
+
+    path = str(tmp_path / "store")
+    R.save(_rules(spark), path)
+    # two writers in the same bucket, two in others
+    rows = [(f"n{i}", d, "fares", [], 0.5, 0.5, T2, T2, {}) for i, d in enumerate(["same.test", "same.test", "x.test", "ferry.test"])]
+    got, errors = [], []
+
+    def write(row):
+        try:
+            got.append(R.apply(spark, path, upserts=spark.createDataFrame([row], R.RULE_DDL)))
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=write, args=(r,)) for r in rows]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and sorted(got) == [2, 3, 4, 5]
+    assert {r.sequence_id for r in R.load(spark, path).collect()} == {"a", "b", "c", "d", "n0", "n1", "n2", "n3"}
+    for v in range(2, 6):  # every version holds what the one before it held
+        assert R.load(spark, path, version=v).count() == 3 + v
+
+
+def test_clean_up_keeps_what_is_needed(spark, tmp_path):
+    path = str(tmp_path / "store")
+    R.save(_rules(spark), path)
+    for i in range(3):
+        R.apply(spark, path, upserts=spark.createDataFrame([(f"n{i}", "x.test", "t", [], 0.5, 0.5, T2, T2, {})], R.RULE_DDL))
+    (tmp_path / "store" / "data" / "write=dead").mkdir()
+    assert R.clean_up(spark, path) == 1  # version 2's bucket; version 1's folder still holds the other domains
+    assert R.versions(spark, path) == [3, 4] and R.load(spark, path).count() == 7 and R.load(spark, path, version=3).count() == 6
+    assert R.clean_up(spark, path, age_seconds=-60) == 1  # the writer that died
+    assert R.load(spark, path).count() == 7
 
 
 def test_rule_id(spark):
