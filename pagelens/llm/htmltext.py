@@ -7,13 +7,18 @@ A decision tree, trained on the small hand-labelled table ``LABELLED``, keeps or
 drops it.
 
 Furniture has grades: ``SOFT`` (a form or header element), ``HINT`` (a class, id
-or role that names furniture) and ``FIRM`` (nav, aside, footer and the like,
-comments).  Within SOFT and HINT the tree decides by words, links and
-neighbours.  An article starts anew within SOFT, a main element within HINT too,
-none within FIRM.  Names of layouts and of an article's own header do not count.
+or role that may name furniture), ``NAMED`` (one that names notices, adverts and
+the like) and ``FIRM`` (nav, aside, footer and the like, comments).  Within SOFT
+and HINT the tree decides by words, links and neighbours, from NAMED on nothing
+stays.  An article starts anew within SOFT, a main element up to NAMED, none
+within FIRM.  Names of layouts and of an article's own header do not count.
+
+What is long depends on the page: the tree also sees the longest text of a page that
+is not in furniture, so that a page of short paragraphs keeps them.
 
 Defined cases: null and empty html give an empty text; unclosed and stray tags
-are tolerated; very long pages take time in proportion to their length;
+are tolerated (a picture or film without an end tag hides no text: it ends with
+the element around it, or at once if no end tag follows at all); very long pages take time in proportion to their length;
 repeated rows get equal rows; an empty table gives an empty result; only the
 named columns are read.
 """
@@ -42,14 +47,21 @@ SILENT = frozenset("script style noscript template title textarea iframe object
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Page furniture by element, and by words of class, id or role.
-SOFT, HINT, FIRM = 1, 2, 3
+SOFT, HINT, NAMED, FIRM = 1, 2, 2.9, 3
 FURNITURE = frozenset("nav footer aside menu dialog button select".split())
 #: Readers' comments.
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment[_-]\w+|disqus|replies|respond)(?:$|[\s_-])", re.I)
 #: Names of layouts (with-sidebar) and of a text's own header (entry-header).
 LAYOUT = re.compile(
     r"(?<!\S)(?:(?:[\w]+[_-]+)?(?:with|has|no|without|hide|hidden|show)[_-]+[\w-]+|(?:content[_-]+sidebar|sidebar[_-]+content)[\w-]*|"
-    r"(?:\w+[_-]+)?(?:entry|post|article|page|section|story|content|title|heading)[_-]+header)(?!\S)", re.I)
+    r"(?:\w+[_-]+)?(?:entry|post|article|page|section|story|content|title|heading)[_-]+header|"
+    r"[\w-]+[_-]+(?:enabled|disabled|ready|loaded|support\w*))(?!\S)", re.I)
+#: A container that is laid out around a sidebar on one side.
+WRAPPER = re.compile(r"(?<!\S)(?:[\w-]*[_-])?(?:wrapper|wrap|container|layout|site|row|grid|main|content)(?:[_-][\w-]*)?(?!\S)", re.I)
+SIDE = re.compile(r"(?<!\S)(?:sidebar[_-]+(?:left|right|first|second|both|none)|(?:left|right|one|two|both)[_-]+sidebars?)(?!\S)", re.I)
+NAMED_WORD = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|breadcrumbs?|cookies?|consent|login|modal|newsletter|notices?|pagination|popup|promo\w*|related|share\w*|"
+    r"sharing|signup|sponsor\w*|subscribe)(?:$|[\s_-])", re.I)
 FURNITURE_WORD = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|comment\w*|complementary|contentinfo|cookies?|consent|disqus|footer|"
     r"header|login|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|search|share\w*|"
@@ -69,16 +81,28 @@ class Block(NamedTuple):
     words: int
     linked: float  # share of the words inside links
     article: bool
-    furniture: int  # 0, SOFT, HINT or FIRM
+    furniture: float  # 0, SOFT, HINT, NAMED or FIRM
     heading: bool
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in page order."""
     out: list[Block] = []
-    # Open block elements: (tag, inside an article, furniture around it).
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]
+    # Open block elements: (tag, inside an article, furniture around it), and the places of each tag's.
+    stack: list[tuple[str, bool, float]] = [("", False, 0)]
+    places: dict[str, list[int]] = {}
     text, in_link, silent, silent_tag, heading = [], False, 0, "", False
+    hidden: dict[str, int] = {}  # block elements opened within a silent one
+    last_end: dict[str, int] = {}  # where the last end tag of a silent element is
+
+    def shut(to):
+        while len(stack) > to:
+            places[stack.pop()[0]].pop()
+
+    def ends_later(tag, at):
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+        return last_end[tag] >= at
 
     def add(s):
         if s and not silent:
@@ -117,10 +141,20 @@ def blocks(page: str) -> list[Block]:
             end = rest.end()
         tag, closing, attrs, at = m[2].lower(), bool(m[1]), page[m.end() : max(m.end(), end - 1)], end
         if silent:
-            silent += (tag == silent_tag) * (-1 if closing else not attrs.endswith("/"))
-            continue
+            if tag == silent_tag:
+                silent += -1 if closing else not attrs.endswith("/")
+                continue
+            if tag not in BLOCK_TAGS or tag in VOID:
+                continue
+            if not closing and silent_tag not in ("svg", "math"):  # a block ends these two
+                hidden[tag] = hidden.get(tag, 0) + 1
+                continue
+            if closing and (hidden.get(tag) or not places.get(tag) and tag not in ("body", "html")):
+                hidden[tag] = max(0, hidden.get(tag, 0) - 1)
+                continue
+            silent = 0  # the element around it ends, or a block begins
         if tag in SILENT:
-            if not closing and not attrs.endswith("/"):
+            if not closing and not attrs.endswith("/") and ends_later(tag, at):
                 if tag in BLOCK_TAGS:
                     flush()
                 if tag in RAW:
@@ -131,6 +165,7 @@ def blocks(page: str) -> list[Block]:
                         at = n if close < 0 else close + 1
                 else:
                     silent, silent_tag = 1, tag
+                    hidden.clear()
             continue
         if tag == "a":
             in_link = not closing
@@ -140,25 +175,26 @@ def blocks(page: str) -> list[Block]:
             flush()
             if closing:
                 heading = False
-                open_at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0) if len(stack) > 1 else 0
-                if open_at:
-                    del stack[open_at:]
+                if places.get(tag):
+                    shut(places[tag][-1])
                     in_link = False
                 continue
             heading = tag in HEADINGS
             if stack[-1][0] == "p" or tag in SELF_CLOSING and stack[-1][0] == tag:
-                stack.pop()
+                shut(len(stack) - 1)
             if tag not in VOID and not (tag in ("html", "body", "head")):
                 _, article, furniture = stack[-1]
                 words = " ".join(a or b or c for _, a, b, c in ATTR.findall(attrs)) if attrs else ""
                 words = LAYOUT.sub(" ", words)
-                named = FIRM if COMMENTS.search(words) else HINT if FURNITURE_WORD.search(words) else 0
+                words = SIDE.sub(" ", words) if WRAPPER.search(words) else words
+                named = FIRM if COMMENTS.search(words) else NAMED if NAMED_WORD.search(words) else HINT if FURNITURE_WORD.search(words) else 0
                 if named or tag in FURNITURE:
                     furniture = max(furniture, named, FIRM * (tag in FURNITURE))
                 elif tag in ("article", "main"):
-                    article, furniture = True, furniture if furniture > (SOFT if tag == "article" else HINT) else 0
+                    article, furniture = True, furniture if furniture > (SOFT if tag == "article" else NAMED) else 0
                 elif tag == "form" or tag == "header" and not article:
                     furniture = max(furniture, SOFT)
+                places.setdefault(tag, []).append(len(stack))
                 stack.append((tag, article, furniture))
     flush()
     return out
@@ -166,21 +202,38 @@ def blocks(page: str) -> list[Block]:
 
 #: Labelled blocks: words, linked, words and linked of the block before and
 #: after, in article, furniture grade, heading -> main text?  (0 words: no block)
+#: Where a page's longest text is short, its words outside links stand behind the label.
 LABELLED = [
+    # pages of short texts only: what is no link stays
+    (2, 0.0, 0, 0.0, 4, 0.0, 0, 0, 1, 1, 4), (4, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0, 1, 4), (4, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 1, 4),
+    (3, 0.0, 2, 1.0, 5, 0.0, 0, 0, 1, 1, 6), (5, 0.0, 3, 0.0, 6, 0.0, 0, 0, 0, 1, 6), (6, 0.0, 5, 0.0, 2, 1.0, 0, 0, 0, 1, 6),
+    (14, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 1, 14), (3, 0.0, 14, 0.0, 2, 0.0, 0, 0, 0, 1, 14), (2, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 1, 14),
+    (9, 0.0, 2, 1.0, 8, 0.0, 0, 0, 0, 1, 9), (8, 0.0, 9, 0.0, 2, 1.0, 0, 0, 0, 1, 9), (1, 0.0, 0, 0.0, 3, 0.0, 0, 0, 1, 1, 3),
+    (2, 0.0, 1, 0.0, 2, 0.0, 0, 0, 0, 1, 2), (12, 0.1, 4, 0.0, 11, 0.0, 0, 0, 0, 1, 12), (4, 0.0, 12, 0.0, 3, 1.0, 0, 0, 0, 1, 12),
+    (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 4), (1, 1.0, 2, 1.0, 3, 0.0, 0, 0, 0, 0, 5), (3, 1.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0, 5),
+    (5, 1.0, 4, 0.0, 6, 0.0, 0, 0, 0, 0, 6), (2, 1.0, 14, 0.0, 1, 1.0, 0, 0, 0, 0, 14), (6, 0.8, 4, 0.0, 4, 0.0, 0, 0, 0, 0, 9),
     # the only text of a page
-    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1, 9), (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 1, 3),
+    (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1, 30), (4, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
     # pages without marked articles: long text with few links stays
     (55, 0.0, 4, 0.0, 60, 0.0, 0, 0, 0, 1), (35, 0.1, 40, 0.0, 25, 0.0, 0, 0, 0, 1), (90, 0.05, 3, 1.0, 50, 0.0, 0, 0, 0, 1),
     (20, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1), (12, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 1), (18, 0.0, 80, 0.0, 4, 1.0, 0, 0, 0, 1),
     (6, 0.0, 70, 0.0, 60, 0.0, 0, 0, 0, 1), (30, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1), (7, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 1),
     (5, 0.0, 40, 0.0, 55, 0.0, 0, 0, 1, 1), (3, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1, 1), (2, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 1),
-    # ... short or linked text among its like goes
+    # ... text among links and linked text goes, short text among text stays
     (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (20, 0.9, 40, 0.0, 18, 0.9, 0, 0, 0, 0),
-    (6, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 0), (30, 0.8, 25, 0.7, 50, 0.0, 0, 0, 0, 0),
+    (6, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (3, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 1), (30, 0.8, 25, 0.7, 50, 0.0, 0, 0, 0, 0),
     (8, 0.5, 5, 0.0, 6, 1.0, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (7, 0.0, 12, 0.6, 4, 0.0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1, 0), (10, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0), (4, 0.0, 5, 0.0, 3, 0.0, 0, 0, 1, 0),
+    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1, 0), (10, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0), (4, 0.0, 5, 0.0, 3, 0.0, 0, 0, 1, 1),
     (2, 1.0, 50, 0.0, 40, 0.0, 0, 0, 0, 0), (1, 1.0, 80, 0.0, 60, 0.0, 0, 0, 0, 0), (3, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
     (6, 1.0, 0, 0.0, 70, 0.0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 50, 0.0, 0, 0, 1, 0), (25, 1.0, 70, 0.0, 70, 0.0, 0, 0, 0, 0),
+    (2, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 1), (2, 0.0, 90, 0.0, 2, 0.0, 0, 0, 0, 1), (1, 0.0, 3, 0.0, 70, 0.0, 0, 0, 0, 1),
+    (8, 0.0, 9, 0.0, 10, 0.0, 0, 0, 0, 1), (15, 0.0, 8, 0.0, 4, 0.0, 0, 0, 0, 1), (1, 0.0, 1, 0.0, 5, 0.0, 0, 0, 0, 1),
+    (13, 0.0, 31, 0.0, 1, 0.0, 0, 0, 0, 1), (7, 0.0, 250, 0.0, 4, 0.0, 0, 0, 0, 1), (11, 0.0, 19, 0.0, 36, 0.0, 0, 0, 0, 1),
+    (10, 0.0, 140, 0.0, 25, 0.0, 0, 0, 0, 1), (14, 0.0, 7, 0.0, 90, 0.0, 0, 0, 0, 1), (9, 0.0, 44, 0.0, 130, 0.0, 0, 0, 0, 1),
+    (31, 0.0, 5, 0.0, 1, 0.0, 0, 0, 0, 1), (13, 0.0, 4, 0.0, 1, 0.0, 0, 0, 0, 1), (118, 0.0, 1, 0.0, 4, 0.0, 0, 0, 0, 1),
+    (8, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0, 1), (42, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0, 1), (6, 0.0, 2, 0.0, 1, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 100, 0.0, 4, 1.0, 0, 0, 0, 1), (2, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0, 1), (13, 0.0, 5, 0.0, 12, 0.0, 0, 0, 0, 1),
     # ... the last of some paragraphs stays
     (24, 0.0, 28, 0.0, 0, 0.0, 0, 0, 0, 1), (25, 0.0, 25, 0.0, 3, 1.0, 0, 0, 0, 1), (21, 0.0, 23, 0.0, 5, 0.0, 0, 0, 0, 1),
     (24, 0.1, 26, 0.0, 2, 1.0, 0, 1, 0, 1), (23, 0.0, 25, 0.0, 4, 0.0, 0, 2, 0, 1), (22, 0.0, 45, 0.0, 1, 1.0, 0, 2, 0, 1),
@@ -252,17 +305,18 @@ def grow(rows: np.ndarray, depth: int = 8):
     return f, cut, grow(rows[low], depth - 1), grow(rows[~low], depth - 1)
 
 
-def features(words, linked, b_words, b_linked, a_words, a_linked, article, furniture, heading) -> tuple:
+def features(words, linked, b_words, b_linked, a_words, a_linked, article, furniture, heading, longest) -> tuple:
     """What the tree sees of a labelled or found block: the words outside links
     of its neighbours, of the richer and of the poorer one, besides its own, and
     whether it has neighbours at all.  Where it stands is one scale from an
-    article to firm furniture."""
+    article to firm furniture; last, the words outside links of the page's longest text."""
     before, after = b_words * (1 - b_linked), a_words * (1 - a_linked)
-    return words, linked, words * (1 - linked), before, after, max(before, after), min(before, after), b_words + a_words > 0, 0 if article and not furniture else 1 + furniture, heading
+    return words, linked, words * (1 - linked), before, after, max(before, after), min(before, after), b_words + a_words > 0, 0 if article and not furniture else 1 + furniture, heading, longest
 
 
 def train(labelled: list[tuple] = LABELLED):
-    return grow(np.array([(*features(*row[:-1]), row[-1]) for row in labelled], float))
+    # a page has longer texts than the labelled ones, unless it is said how long they are
+    return grow(np.array([(*features(*row[:9], row[10] if len(row) > 10 else max(60, row[0], row[2], row[4])), row[9]) for row in labelled], float))
 
 
 def keeps(tree, features) -> bool:
@@ -274,9 +328,10 @@ def keeps(tree, features) -> bool:
 def main_text(page: str | None, tree) -> str:
     found = blocks(page or "")
     none = Block("", 0, 0.0, False, 0, False)
+    longest = max((b.words * (1 - b.linked) for b in found if b.furniture <= SOFT), default=0)
     out = []
     for before, b, after in zip([none, *found], found, [*found[1:], none]):
-        f = features(b.words, b.linked, before.words, before.linked, after.words, after.linked, b.article, b.furniture, b.heading)
+        f = features(b.words, b.linked, before.words, before.linked, after.words, after.linked, b.article, b.furniture, b.heading, longest)
         if keeps(tree, f):
             out.append(b.text)
     return "\n".join(out)
