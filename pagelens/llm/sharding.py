@@ -7,8 +7,9 @@ not wrap.
 
 Slots number the rows of each shard without gaps and without sorting a shard
 in one task: rows are pre-aggregated by (key, size, crc), dealt into chunks by
-the top bits of the key's hash, numbered within a chunk, and shifted by the
-sizes of the chunks before it.
+the top bits of the hash of all three (so a key that holds many rows lies in many chunks), numbered
+within a chunk, and shifted by the sizes of the chunks before it.  Copies are
+unfolded in blocks of bounded size.
 
 Defined cases: a null key is a key of its own; null text has size 1 and CRC 0;
 repeated rows get consecutive slots; an empty table gives an empty result;
@@ -31,6 +32,9 @@ MAX_STEPS = 256
 #: Rows of one chunk in the numbering of slots, on average.
 CHUNK_ROWS = 50_000
 
+#: Copies of one row that are unfolded at once.
+BLOCK_COPIES = 10_000
+
 
 def _long(v: int) -> Column:
     return F.lit(v).cast("bigint")
@@ -87,6 +91,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     ).groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
     h = F.xxhash64("doc_id")
     d = d.select("*", h.alias("h"), jump_hash(h, n_shards).alias("shard"), jump_hash(h, n_shards + 1).alias("grown_shard"))
+    d = d.withColumn("h", F.xxhash64("doc_id", "size", "text_crc32"))
     # A power of two of chunks in each shard, by the hash's top bits.
     per_shard = max(1, docs.count() // (n_shards * chunk_rows))
     bits = max(1, (per_shard - 1).bit_length())
@@ -102,6 +107,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     return (
         d.join(F.broadcast(offsets) if n_shards << bits <= 200_000 else offsets,
                [F.col("shard") == F.col("_s"), F.col("chunk") == F.col("_c")])
+        .select("doc_id", "size", "text_crc32", "shard", "grown_shard", (start + F.col("copies") - 1).alias("last"),
+                F.explode(F.sequence(start, start + F.col("copies") - 1, F.lit(BLOCK_COPIES).cast("bigint"))).alias("first"))
         .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-                F.explode(F.sequence(start, start + F.col("copies") - 1)).alias("slot"), "grown_shard")
+                F.explode(F.sequence("first", F.least("last", F.col("first") + BLOCK_COPIES - 1))).alias("slot"), "grown_shard")
     )

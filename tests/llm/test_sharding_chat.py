@@ -44,6 +44,11 @@ def test_shards_hot_key_and_balance(spark):
     for s in range(16):
         own = sorted(r.slot for r in got if r.shard == s)
         assert own == list(range(len(own)))
+    # a hot key of many texts lies in several chunks, a row of very many copies in several blocks
+    d = spark.range(30_000).selectExpr("CASE WHEN id < 25000 THEN NULL ELSE id END AS doc_id", "CASE WHEN id < 12500 THEN repeat('x', 200000) ELSE concat('t', id) END AS text")
+    got = sharding.shard_documents(d, 16, chunk_rows=100).groupBy("shard").agg(
+        F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("a"), F.max("slot").alias("b")).collect()
+    assert sum(r.n for r in got) == 30_000 and all(r.slots == r.n and r.a == 0 and r.b == r.n - 1 for r in got)
     u = spark.range(16000).withColumn("text", F.lit("t"))
     n = [r["count"] for r in sharding.with_shard(u, "id", 16).groupBy("shard").count().collect()]
     assert len(n) == 16 and min(n) > 850 and max(n) < 1150
