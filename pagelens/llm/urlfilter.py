@@ -16,6 +16,11 @@ substrings, which is broadcast only when the counts are few; scores return to
 the pages by a join on the host with skew splitting, after hosts were made
 distinct.
 
+The words of ``TRAINING`` are only where it starts: owners whose words speak
+clearly against or for them label all other words of their names and of their hosts' paths, and
+words that ``MIN_OWNERS`` labelled owners use get weights of their own, which
+score hosts (words of both kinds of owners weigh nothing).
+
 Defined cases: a null url or one without ``://`` has an empty host and path, no
 rule fits, and no word speaks against it (allow); repeated rows get equal rows;
 very long names are split in linear time; an empty table gives an empty result;
@@ -42,6 +47,7 @@ TRAINING = {
         "spam farm", "spam links farm", "link farm seo spam", "spam bulk mail", "content farm spam clicks",
         "replica watches cheap", "payday loan fast cash", "free crack keygen warez", "hacked accounts cheap", "escort adult",
         "ads track", "ads tracker click", "track ads banner", "free bets", "bets odds betting", "bets win casino",
+        "viagra cialis xanax pills", "xanax valium rx", "pharmacy rx meds", "poker gambling casino", "gambling slots roulette", "nude porn sex",
     ],
     "allow": [
         "news daily", "city news today", "weather report", "blog travel", "blog cooking food", "health clinic", "public library",
@@ -49,6 +55,8 @@ TRAINING = {
         "sports league", "football club", "history museum", "art gallery", "local council", "software docs", "python tutorial",
         "wiki pages", "forum talk", "photo album", "house design", "book store", "bank savings", "online shop", "game news",
         "free software", "video lessons", "live concert", "web mail", "farm museum",
+        "cheap flights", "cheap hotels travel", "adult learning", "adult education courses", "free recipes", "fast cars", "cash register",
+        "online courses", "best books", "hot springs", "city pharmacy", "track and field", "link road",
     ],
 }
 #: Log prior odds against a url: a url is blocked only on evidence.
@@ -60,6 +68,10 @@ MAX_WORD, MIN_OWNERS, SEED_OWNERS = 24, 3, 50
 MIN_PART = 3
 #: All seen words together weigh at most so many owners.
 SEEN_WEIGHT = 10_000
+#: Smoothing of the labelled counts: a word of one side only says much.
+SMOOTH = 0.1
+#: Log odds from which an owner labels its words, and the most that a learned word weighs.
+CLEAR, LEARNED = math.log(4), 2.0
 #: Hosts (with their words) that may be broadcast to the pages.
 BROADCAST_HOSTS = 100_000
 
@@ -88,12 +100,12 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 
 
 def naive_bayes(training: dict[str, list[str]] = TRAINING) -> dict[str, float]:
-    """Log odds against each known word (Laplace smoothing); single letters
+    """Log odds against each known word (additive smoothing); single letters
     say nothing about a name."""
     n = {k: Counter(w for text in v for w in text.split() if len(w) > 1) for k, v in training.items()}
     known = set(n["block"]) | set(n["allow"])
-    total = {k: sum(c.values()) + len(known) for k, c in n.items()}
-    return {w: math.log((n["block"][w] + 1) / total["block"]) - math.log((n["allow"][w] + 1) / total["allow"]) for w in sorted(known)}
+    total = {k: sum(c.values()) + SMOOTH * len(known) for k, c in n.items()}
+    return {w: math.log((n["block"][w] + SMOOTH) / total["block"]) - math.log((n["allow"][w] + SMOOTH) / total["allow"]) for w in sorted(known)}
 
 
 def segment(name: str, counts: dict[str, int], total: int) -> list[str]:
@@ -200,6 +212,36 @@ def host_scores(pages: DataFrame, training: dict[str, list[str]] = TRAINING) ->
         F.sum("score").alias("host_score"))
 
 
+def learned(pages: DataFrame, hosts: DataFrame, training: dict[str, list[str]] = TRAINING) -> DataFrame:
+    """(word, weight) of words that are not in ``training``, from the owners that
+    its words label: log odds of the share of blocked and of allowed owners that use the word."""
+    of = owner(F.col("host"))
+    words = hosts.select(of.alias("owner"), F.explode(F.array_distinct("host_words")).alias("word")).unionByName(
+        pages.select(of.alias("owner"), F.explode(F.array_distinct(_pieces(F.col("path")))).alias("word"))).filter(
+        (F.col("owner") != "") & F.length("word").between(2, MAX_WORD)).distinct()
+    ends = hosts.select(F.explode(_pieces(F.regexp_extract("host", r"((?:\.[^.]{2,3})?\.[^.]*)$", 1))).alias("word")).distinct()
+    words = words.join(ends, "word", "left_anti")  # public suffixes say nothing
+    known = naive_bayes(training)
+    first = pages.sparkSession.createDataFrame(sorted(known.items()), "word string, w double")
+    words = stored(words.join(F.broadcast(first), "word", "left"))
+    label = F.sum(F.coalesce("w", F.lit(0.0)))
+    owners = words.groupBy("owner").agg(label.alias("s")).select("owner", F.when(F.col("s") >= CLEAR, 1).when(F.col("s") < 0, 0).alias("bad")).filter("bad is not null")
+    owners = stored(owners)
+    n = owners.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("*").alias("every")).first()
+    bad, good = n.bad, n.every - n.bad
+    per = words.filter("w is null").join(owners, "owner").groupBy("word").agg(F.sum("bad").alias("b"), F.sum(1 - F.col("bad")).alias("g"))
+    odds = F.log((F.col("b") + 0.5) / float(bad + 1)) - F.log((F.col("g") + 0.5) / float(good + 1))
+    weight = F.greatest(F.lit(-LEARNED), F.least(F.lit(LEARNED), odds))
+    enough = (F.col("b") + F.col("g") >= MIN_OWNERS) & F.lit(min(bad, good) >= MIN_OWNERS)
+    return per.filter(enough).select("word", weight.alias("weight")).filter(F.abs("weight") >= 0.5)
+
+
+def with_learned(hosts: DataFrame, more: DataFrame) -> DataFrame:
+    """``hosts`` with the weights of learned words in their score."""
+    extra = hosts.select("host", F.explode("host_words").alias("word")).join(maybe_broadcast(more), "word").groupBy("host").agg(F.sum("weight").alias("extra"))
+    return hosts.join(extra, "host", "left").select("host", "host_words", (F.col("host_score") + F.coalesce("extra", F.lit(0.0))).alias("host_score"))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",
           training: dict[str, list[str]] = TRAINING) -> DataFrame:
     """(page_id, host, path, rule, verdict, score, host_words) of every page;
@@ -210,7 +252,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     of_path = F.aggregate(_pieces(F.col("path")), F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(weights, w), F.lit(0.0)))
     # Stored, so that beyond the bound both sides are dealt anew and a hot
     # host's pages can be split.
-    j = p.join(maybe_broadcast(stored(host_scores(p, training)), BROADCAST_HOSTS), "host", "left")
+    hosts = stored(host_scores(p, training))
+    hosts = stored(with_learned(hosts, stored(learned(p, hosts, training))))
+    j = p.join(maybe_broadcast(hosts, BROADCAST_HOSTS), "host", "left")
     score = F.lit(PRIOR) + F.coalesce("host_score", F.lit(0.0)) + of_path
     j = j.select("page_id", "host", "path", fitting_rule(F.col("host"), F.col("path"), rules).alias("r"), score.alias("score"),
                  F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words"))

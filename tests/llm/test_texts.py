@@ -301,3 +301,19 @@ def test_segmentation_is_the_best_split():
     for s in ("abc", "abab", "cabba", "xab", "abxxba"):
         best = max(math.prod(map(p, x)) for x in splits(s))
         assert math.isclose(math.prod(map(p, urlfilter.segment(s, counts, total))), best)
+
+
+def test_urls_that_are_in_no_table(spark):
+    """Single strong words decide, words that clean names share do not, and words
+    learned from labelled owners decide where no word of the table does."""
+    bad = ["freeviagra.com", "pharmacyrx.net", "poker.org", "xanaxnow.com", "gamblinghub.com", "cheappills.com", "casinowin.net"]
+    good = ["cheapflights.com", "adultlearning.org", "citylibrary.org", "hotsprings.com", "cashregister.com", "bestbooks.net", "localmuseum.org"]
+    # "zorbo" stands in the paths of blocked owners only, "quill" of allowed ones, "page" of both
+    shady = [f"casino{x}win.com" for x in ("alpha", "bravo", "delta", "gamma", "omega")]
+    decent = [f"library{x}.org" for x in ("alpha", "bravo", "delta", "gamma", "omega")]
+    rows = [f"http://{h}/" for h in bad + good] + [f"http://{h}/zorbo/page" for h in shady] + [f"http://{h}/quill/page" for h in decent]
+    rows += ["http://zorbo-zone.com/", "http://quill-zone.com/", "http://page-zone.com/"]
+    got = {r.host: r.verdict for r in urlfilter.judge(spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string"), []).collect()}
+    assert {h for h in bad + shady if got[h] != "block"} == set()
+    assert {h for h in good + decent if got[h] != "allow"} == set()
+    assert (got["zorbo-zone.com"], got["quill-zone.com"], got["page-zone.com"]) == ("block", "allow", "allow")
