@@ -159,6 +159,11 @@ NAV_TERMS = [
 NAV_SHORT_ALLOWED = ["nike", "puma", "new", "balance"]
 NAV_UPPER_ALLOWED = "NEW BALANCE"
 CATEGORY_TERMS = ["perfumes", "shoes", "clothing", "accessories", "men", "women", "kids"]
+# Sources by text: characters looked up, first elements of a text result; first
+# values (longer than so many characters), their first elements; characters of a price.
+LOOKUP_CHARS, LOOKUP_ELEMENTS = 30, 5
+LOOKUP_VALUES, LOOKUP_MIN_LEN, LOOKUP_VALUE_ELEMENTS = 10, 3, 3
+LOOKUP_PRICE_CHARS = 20
 CONTAINER_MAX_LEVELS = 5
 CONTAINER_SOURCE_LIMIT = 5
 # class substrings, and the element name "article", in this order

@@ -109,7 +109,7 @@ def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None
 
 
 def sequence_results(values: DataFrame, step_status: DataFrame, steps: DataFrame, pages: DataFrame | None = None,
-                     nodes: DataFrame | None = None, compat: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+                     nodes: DataFrame | None = None, compat: bool = False, by_text: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per (page, rule) concatenation of step values in step order,
     de-duplicated keeping the first occurrence, then grouped into records
     (F11) if ``nodes`` is given.  Counts are those of the final data: records
@@ -162,7 +162,7 @@ def sequence_results(values: DataFrame, step_status: DataFrame, steps: DataFrame
         data = extracted.select("page_id", "sequence_id", "idx", "value", F.lit(None).cast("map<string,string>").alias("record"),
                                 F.lit("flat").alias("strategy"))
     else:
-        data = structure.structure(nodes, values, step_status, extracted, compat)
+        data = structure.structure(nodes, values, step_status, extracted, compat, by_text)
     counts = data.groupBy("page_id", "sequence_id").agg(F.count("*").alias("data_count"))
     summary = (
         agg.join(select.small(per_rule, select.rule_meta(steps)["n_steps"]), "sequence_id")
@@ -195,14 +195,15 @@ class Execution(NamedTuple):
 
 
 def execute(pages: DataFrame, steps: DataFrame, nodes: DataFrame | None = None, enable_structuring: bool = True,
-            compat: bool = False, **kw) -> Execution:
-    """pages × rules -> :class:`Execution`."""
+            compat: bool = False, by_text: bool = False, **kw) -> Execution:
+    """pages × rules -> :class:`Execution`; ``compat`` and ``by_text`` as of
+    :mod:`structure`."""
     if nodes is None:
         nodes = dom.dom_nodes(pages)
     vals, st = run_steps(nodes, steps, pages, **kw)
     # both feed the per-rule results and the step report: compute once
     vals, st = cut_lineage(vals), cut_lineage(st)
-    extracted, summary, data = sequence_results(vals, st, steps, pages, nodes if enable_structuring else None, compat)
+    extracted, summary, data = sequence_results(vals, st, steps, pages, nodes if enable_structuring else None, compat, by_text)
     return Execution(extracted, summary, st, data)
 
 

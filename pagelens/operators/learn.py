@@ -10,8 +10,13 @@
   catalogue and the iteration bound, never by the data.
 * G9 runs at most ``max_iterations`` rounds.  Each round is one Spark pass
   over the still-active (page, task) rows: execute their current rules,
-  score, accept / keep best / repair.  The state table is cut from its
-  lineage by a reliable checkpoint into ``spark.checkpoint.dir`` each round.
+  score, accept / keep best / repair.  A round's rows are written once (a reliable
+  checkpoint into ``spark.checkpoint.dir``); which repairs occur at all, a few
+  words, is all that the driver learns of them, and their results join the rows as
+  a transition table.
+* The class/id repair needs a value of each page: its rule is a template, and the value
+  (the class or id of the first element that the rule found there) stays with the
+  page's row until it is bound (``select.bind_steps``).
 """
 
 from __future__ import annotations
@@ -214,6 +219,32 @@ def repair_specific(st: Step) -> Step:
     return st
 
 
+def binds(st: Step) -> bool:
+    """Whether the specificity repair takes a class or id from the page: the path
+    has conditions but no text, and finds elements.  A rule binds once."""
+    shown = st.display()
+    elements = st.post[-1]["op"] in ("parent", "next_sibling") if st.post else all(b.output == "self" for b in st.branches)
+    return "[" in shown and "text()" not in shown and elements
+
+
+def repair_bound(st: Step) -> Step:
+    st = copy.deepcopy(st)
+    st.post.append(S.op("bound"))
+    st.xpath = None
+    return st
+
+
+def bindings(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(page_id, sequence_id, bind): ``class=`` and the first class, or ``id=`` and
+    the id, of the first element that each rule found on each page; null if it has neither."""
+    first = sets.groupBy("page_id", "sequence_id").agg(F.min_by("kind", "node").alias("kind"), F.min("node").alias("pre"))
+    e = dom.elements(nodes).select("page_id", "pre", "cls", "elem_id")
+    words = F.filter(F.split("cls", r"\s+"), lambda w: w != "")
+    some = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
+    bind = F.when(some("cls"), F.concat(F.lit("class="), F.get(words, F.lit(0)))).when(some("elem_id"), F.concat(F.lit("id="), F.col("elem_id")))
+    return first.filter("kind = 'elem'").join(e, ["page_id", "pre"]).select("page_id", "sequence_id", bind.alias("bind"))
+
+
 def repair_alternative(st: Step) -> Step:
     st = copy.deepcopy(st)
     if not _ends_with_text(st):
@@ -318,112 +349,121 @@ def learn(pages: DataFrame, tasks: list[str], max_iterations: int = fixed.MAX_IT
         pt = prompt_haystack(pt)
     else:
         pt = pt.withColumn("hay", F.lower("task"))
-    state = pt.select(
-        "page_id", "task", F.concat(F.lit("cand:"), route(F.col("hay"))).alias("rule_id"),
-        F.lit(False).alias("done"), F.lit(False).alias("accepted"),
-        F.lit(-1.0).alias("best_conf"), F.lit(None).cast("string").alias("best_rule"),
-        F.lit(0).cast("bigint").alias("best_n"), F.lit(0).alias("iterations"),
-    )
-    state = cut_lineage(state)
+    state = cut_lineage(pt.select(
+        "page_id", "task", F.concat(F.lit("cand:"), route(F.col("hay"))).alias("rule_id"), F.lit(None).cast("string").alias("bound"),
+        F.lit(-1.0).alias("best_conf"), F.lit(None).cast("string").alias("best_rule"), F.lit(None).cast("string").alias("best_bound"),
+        F.lit(0).cast("bigint").alias("best_n"),
+    ))
     book = RuleBook()
-    traces = []
+    ids = [f"cand:{k}" for k in CANDIDATES]
+    traces, finished = [], []
+    flags = {"f_no_data": fixed.ISSUE_NO_DATA.lower(), "f_too_many": "too many results", "f_single": "single element", "f_short": "very short",
+             "f_empty": "empty results", "f_long": "very long"}
+    keys = ["rule_id", "kind", "binds", *flags]
     for it in range(max_iterations):
-        active = state.filter(~F.col("done"))
-        ids = [r["rule_id"] for r in active.select("rule_id").distinct().collect()]  # bounded by the rule book
-        if not ids:
-            break
         steps = book.frame(spark, ids)
-        pairs = active.select("page_id", F.col("rule_id").alias("sequence_id")).distinct()
-        vals, _ = execute.run_steps(nodes, steps, None, normalize_whitespace=False, max_results=1 << 30,
-                                    pairs=pairs, keep_empty_text=True)
+        if any(o["op"] == "bound" for i in ids for o in book.rules[i].post):
+            steps = S.bind_steps(steps, state.select(F.col("rule_id").alias("sequence_id"), "bound"))
+        state = state.withColumn("sequence_id", S.bound_id(F.col("rule_id"), F.col("bound")))
+        pairs = state.select("page_id", "sequence_id").distinct()
+        sets = S.select_nodes(nodes, steps, pairs)
+        vals = S.node_values(nodes, None, steps, sets, normalize_whitespace=False, max_results=1 << 30, keep_empty_text=True)
         first = vals.groupBy("page_id", "sequence_id", "value").agg(F.min("ord").alias("ord"))
-        v = first.withColumnRenamed("sequence_id", "rule_id").join(
-            active.select("page_id", "task", "rule_id"), ["page_id", "rule_id"])
-        scored = with_empty_scores(active.select("page_id", "task", "rule_id"),
-                                   score(v, ["page_id", "task", "rule_id"]), ["page_id", "task", "rule_id"])
-        st = active.drop("rule_id").join(scored, ["page_id", "task"])
-        accept = F.col("success") & (F.col("confidence") >= min_confidence)
-        better = F.col("confidence") > F.col("best_conf")
-        needs_repair = (F.col("confidence") < 0.4) | (F.col("is_weak") & (F.col("confidence") < 0.7))
+        own = ["page_id", "task", "sequence_id"]
+        scored = with_empty_scores(state.select(*own), score(first.join(state.select(*own), ["page_id", "sequence_id"]), own), own)
+        st = state.join(scored.drop("sequence_id"), ["page_id", "task"])
+        open_to = [i for i in ids if binds(book.rules[i])]
+        if open_to:
+            st = st.join(bindings(nodes, sets.filter(F.col("sequence_id").isin(open_to))), ["page_id", "sequence_id"], "left")
+        else:
+            st = st.withColumn("bind", F.lit(None).cast("string"))
         kind = (
             F.when(F.col("n") == 0, F.lit("parent"))
             .when(F.col("n") > 20, F.lit("specific"))
             .when(F.col("confidence") < 0.4, F.lit("alternative"))
             .otherwise(F.lit("fine"))
         )
-        iss = issues()
-        st = st.withColumn("issues", iss).withColumn("kind", kind).select(
-            "*",
-            F.array_contains(F.col("issues"), fixed.ISSUE_NO_DATA).alias("f_no_data"),
-            F.exists("issues", lambda x: F.contains(x, F.lit("too many results"))).alias("f_too_many"),
-            F.exists("issues", lambda x: F.contains(F.lower(x), F.lit("single element"))).alias("f_single"),
-            F.exists("issues", lambda x: F.contains(F.lower(x), F.lit("very short"))).alias("f_short"),
-            F.exists("issues", lambda x: F.contains(F.lower(x), F.lit("empty results"))).alias("f_empty"),
-            F.exists("issues", lambda x: F.contains(F.lower(x), F.lit("very long"))).alias("f_long"),
-        )
-        st = cut_lineage(st.withColumn("accept", accept).withColumn("better", better)
-                         .withColumn("needs_repair", needs_repair))
-        traces.append(st.select("page_id", "task", F.lit(it + 1).alias("iteration"), "rule_id", "success",
+        st = st.withColumn("issues", issues()).select(
+            "*", kind.alias("kind"), F.col("bind").isNotNull().alias("binds"),
+            *[_says(words).alias(f) for f, words in flags.items()],
+            (F.col("success") & (F.col("confidence") >= min_confidence)).alias("accept"),
+            (F.col("confidence") > F.col("best_conf")).alias("better"),
+            ((F.col("confidence") < 0.4) | (F.col("is_weak") & (F.col("confidence") < 0.7))).alias("needs_repair"))
+        st = cut_lineage(st)
+        traces.append(st.select("page_id", "task", F.lit(it + 1).alias("iteration"), "rule_id", "bound", "success",
                                 "confidence", F.col("n").alias("data_count"),
                                 F.when(F.col("accept"), F.lit("accepted"))
                                 .when(F.col("needs_repair"), F.col("kind"))
                                 .otherwise(F.lit("kept")).alias("action")))
-        # repair table: one row per distinct (rule, kind, flags) — bounded
-        combos = st.filter(~F.col("accept") & F.col("needs_repair")).select(
-            "rule_id", "kind", "f_no_data", "f_too_many", "f_single", "f_short", "f_empty", "f_long").distinct().collect()
-        rep_rows = []
-        for c in combos:
-            cur = book.rules[c["rule_id"]]
-            if c["kind"] == "parent":
-                nxt = repair_parent(cur)
-            elif c["kind"] == "specific":
-                nxt = repair_specific(cur)
-            elif c["kind"] == "alternative":
-                nxt = repair_alternative(cur)
-            else:
-                nxt = repair_fine(cur, c["f_empty"], c["f_short"], c["f_long"])
-            if nxt.display() == cur.display():
-                nid = "refine:" + refine_key(c["f_no_data"], c["f_too_many"], c["f_single"], c["f_short"])
-                nxt = book.rules[nid]
-            else:
-                nid = book.add(f"{c['kind']}({c['rule_id']})", nxt)
-            if nxt.display() == cur.display():
-                nid = None  # nothing left to try
-            rep_rows.append((c["rule_id"], c["kind"], c["f_no_data"], c["f_too_many"], c["f_single"],
-                             c["f_short"], c["f_empty"], c["f_long"], nid))
-        rep = spark.createDataFrame(
-            rep_rows,
-            "rule_id string, kind string, f_no_data boolean, f_too_many boolean, f_single boolean, "
-            "f_short boolean, f_empty boolean, f_long boolean, next_rule string",
-        )
-        keys = ["rule_id", "kind", "f_no_data", "f_too_many", "f_single", "f_short", "f_empty", "f_long"]
-        st = st.join(F.broadcast(rep), keys, "left")
         last_round = it == max_iterations - 1
-        new_best_conf = F.when(F.col("better"), F.col("confidence")).otherwise(F.col("best_conf"))
-        new_state = st.select(
+        # repairs that occur: one row per distinct (rule, kind, flags), bounded by the rule book
+        combos = [] if last_round else st.filter(~F.col("accept") & F.col("needs_repair")).select(*keys).distinct().collect()
+        rep_rows = [(*[c[k] for k in keys], _next_rule(book, c)) for c in combos]
+        kinds = ", ".join(f"{k} {'string' if k in ('rule_id', 'kind') else 'boolean'}" for k in keys)
+        rep = spark.createDataFrame(rep_rows, f"{kinds}, next_rule string")
+        st = st.join(F.broadcast(rep), keys, "left")
+        best = F.col("accept") | F.col("better")
+        new = st.select(
             "page_id", "task",
-            F.when(F.col("needs_repair") & F.col("next_rule").isNotNull(), F.col("next_rule"))
-            .otherwise(F.col("rule_id")).alias("rule_id"),
-            (F.col("accept") | ~F.col("needs_repair") | F.col("next_rule").isNull() | F.lit(last_round)).alias("done"),
-            F.col("accept").alias("accepted"),
-            F.when(F.col("accept"), F.col("confidence")).otherwise(new_best_conf).alias("best_conf"),
-            F.when(F.col("accept") | F.col("better"), F.col("rule_id")).otherwise(F.col("best_rule")).alias("best_rule"),
-            F.when(F.col("accept") | F.col("better"), F.col("n")).otherwise(F.col("best_n")).alias("best_n"),
-            F.lit(it + 1).alias("iterations"),
-        )
-        state = cut_lineage(state.filter(F.col("done")).unionByName(new_state))
+            F.when(F.col("needs_repair"), F.col("next_rule")).alias("rule_id"),
+            F.when(F.col("next_rule").startswith("bound("), F.coalesce("bound", "bind"))
+            .when(~F.col("next_rule").startswith("refine:"), F.col("bound")).alias("bound"),
+            F.when(best, F.col("confidence")).otherwise(F.col("best_conf")).alias("best_conf"),
+            F.when(best, F.col("rule_id")).otherwise(F.col("best_rule")).alias("best_rule"),
+            F.when(best, F.col("bound")).otherwise(F.col("best_bound")).alias("best_bound"),
+            F.when(best, F.col("n")).otherwise(F.col("best_n")).alias("best_n"),
+            F.col("accept").alias("accepted"), F.lit(it + 1).alias("iterations"))
+        over = F.col("accepted") | F.col("rule_id").isNull()
+        finished.append(new.filter(over))
+        state = new.filter(~over).drop("accepted", "iterations")
+        ids = sorted({r[-1] for r in rep_rows if r[-1]})
+        if not ids:
+            break
+    state = finished[0]
+    for f in finished[1:]:
+        state = state.unionByName(f)
     # final results
     disp = spark.createDataFrame([(k, v.display()) for k, v in book.rules.items()], "rule_id string, xpath string")
     ok = F.col("accepted") | (F.col("best_conf") >= fixed.ACCEPT_BEST_MIN)
-    learned = state.select(
+    learned = _shown(state.select(
         "page_id", "task", ok.alias("success"),
-        F.when(ok, F.col("best_rule")).alias("rule_id"),
+        F.when(ok, F.col("best_rule")).alias("rule_id"), F.when(ok, F.col("best_bound")).alias("bound"),
         F.when(ok, F.col("best_conf")).otherwise(F.lit(0.0)).alias("confidence"),
         F.when(ok, F.col("best_n")).otherwise(F.lit(0)).cast("bigint").alias("data_count"),
         F.col("iterations").cast("bigint").alias("total_iterations"),
-    ).join(F.broadcast(disp), "rule_id", "left")
+    ), disp)
     trace = traces[0]
     for t in traces[1:]:
         trace = trace.unionByName(t)
-    trace = trace.join(F.broadcast(disp), "rule_id", "left")
-    return learned, trace, book
+    return learned, _shown(trace, disp), book
+
+
+def _says(words: str) -> Column:
+    """Whether an issue has these words."""
+    return F.exists("issues", lambda x: F.contains(F.lower(x), F.lit(words)))
+
+
+def _shown(rows: DataFrame, disp: DataFrame) -> DataFrame:
+    """With each rule's path, bound values in their place."""
+    value = F.concat(F.lit("[@"), F.replace("bound", F.lit("="), F.lit("='")), F.lit("']"))
+    return rows.join(F.broadcast(disp), "rule_id", "left").withColumn(
+        "xpath", F.when(F.col("bound").isNull(), F.col("xpath")).otherwise(F.replace("xpath", F.lit(S.BOUND), value)))
+
+
+def _next_rule(book: RuleBook, c) -> str | None:
+    """The rule that a repair leads to, None if there is nothing left to try."""
+    cur = book.rules[c["rule_id"]]
+    if c["kind"] == "parent":
+        nxt = repair_parent(cur)
+    elif c["kind"] == "specific" and c["binds"] and not any(o["op"] == "bound" for o in cur.post):
+        return book.add(f"bound({c['rule_id']})", repair_bound(cur))
+    elif c["kind"] == "specific":
+        nxt = repair_specific(cur)
+    elif c["kind"] == "alternative":
+        nxt = repair_alternative(cur)
+    else:
+        nxt = repair_fine(cur, c["f_empty"], c["f_short"], c["f_long"])
+    if nxt.display() != cur.display():
+        return book.add(f"{c['kind']}({c['rule_id']})", nxt)
+    nid = "refine:" + refine_key(c["f_no_data"], c["f_too_many"], c["f_single"], c["f_short"])
+    return None if book.rules[nid].display() == cur.display() else nid

@@ -131,6 +131,32 @@ class Branch:
         return out
 
 
+#: Shown for a condition on class or id whose value a page gives.
+BOUND = "[@?]"
+
+
+def shown_bound(value: str) -> str:
+    """``class=x`` as a path shows it."""
+    name, _, x = value.partition("=")
+    return f"[@{name}='{x}']"
+
+
+def bind_steps(steps: DataFrame, bound: DataFrame) -> DataFrame:
+    """Rules from templates: for each row of ``bound`` (sequence_id, bound) the
+    template's steps with the value in its ``bound`` ops, under
+    :func:`bound_id`; templates without a row of their own stay as they are."""
+    filled = F.transform("post", lambda o: F.when(o["op"] == "bound", F.struct(o["op"].alias("op"), o["n"].alias("n"), F.col("bound").alias("s"))).otherwise(o))
+    value = F.concat(F.lit("[@"), F.replace("bound", F.lit("="), F.lit("='")), F.lit("']"))
+    own = steps.join(bound.filter("bound IS NOT NULL").distinct(), "sequence_id").select(
+        bound_id(F.col("sequence_id"), F.col("bound")).alias("sequence_id"), "step_index", "action_type", "attribute",
+        F.replace("xpath", F.lit(BOUND), value).alias("xpath"), "branches", filled.alias("post"))
+    return steps.unionByName(own)
+
+
+def bound_id(rule: Column, bound: Column) -> Column:
+    return F.concat_ws("@", rule, bound)
+
+
 def op(name: str, n: int | None = None, s: str | None = None) -> dict:
     return {"op": name, "n": n, "s": s}
 
@@ -158,6 +184,8 @@ class Step:
                 s = f"{s}//text()[normalize-space()]"
             elif o["op"] == "next_sibling":
                 s = f"{s}/following-sibling::*[1]"
+            elif o["op"] == "bound":
+                s = f"{s}{BOUND if o['s'] is None else shown_bound(o['s'])}"
         return s
 
 
@@ -354,7 +382,7 @@ def select_nodes(nodes: DataFrame, steps: DataFrame, pairs: DataFrame | None = N
 
 
 #: Ops that look a node up in the node table, and ops that fetch texts.
-_LOOKS = {"parent", "next_sibling", "desc_text", "len_gt", "len_lt", "nonblank"}
+_LOOKS = {"parent", "next_sibling", "desc_text", "len_gt", "len_lt", "nonblank", "bound"}
 _TEXTS = {"child_text", "desc_text"}
 _MOVES = {"parent", "next_sibling"}
 
@@ -381,7 +409,7 @@ def apply_post_ops(nodes: DataFrame, steps: DataFrame, sets: DataFrame) -> DataF
     the longest program; a node whose program has ended passes through.
     """
     meta = rule_meta(steps)
-    ops = steps.select(*KEY, F.posexplode("post").alias("k", "o")).select(*KEY, "k", F.col("o.op").alias("op"), F.col("o.n").alias("op_n"))
+    ops = steps.select(*KEY, F.posexplode("post").alias("k", "o")).select(*KEY, "k", F.col("o.op").alias("op"), F.col("o.n").alias("op_n"), F.col("o.s").alias("op_s"))
     # ops used in each round (a few words of the rule table): plan only those
     for k, present in enumerate(meta["posts"]):
         cur = sets.join(small(ops.filter(F.col("k") == k).drop("k"), meta["n_steps"]), KEY, "left")
@@ -389,7 +417,7 @@ def apply_post_ops(nodes: DataFrame, steps: DataFrame, sets: DataFrame) -> DataF
         if present & _LOOKS:
             info = nodes.filter(F.col("kind") != "error").select(
                 F.col("page_id").alias("i_page"), F.col("pre").alias("i_pre"), F.col("parent").alias("i_parent"), F.col("next_sib").alias("i_next"),
-                F.col("text").alias("i_text"), F.col("t_from").alias("i_from"), F.col("t_count").alias("i_count"))
+                F.col("text").alias("i_text"), F.col("t_from").alias("i_from"), F.col("t_count").alias("i_count"), F.col("cls").alias("i_cls"), F.col("elem_id").alias("i_id"))
             cur = cur.join(info, (F.col("page_id") == F.col("i_page")) & (F.col("node") == F.col("i_pre")), "left")
             length = F.length("i_text")
             fits = (F.when(op_ == "len_gt", length > F.col("op_n")).when(op_ == "len_lt", length < F.col("op_n"))
@@ -398,6 +426,10 @@ def apply_post_ops(nodes: DataFrame, steps: DataFrame, sets: DataFrame) -> DataF
             to = (F.when(op_ == "parent", F.when(F.col("kind") == "attr", F.col("node")).otherwise(F.col("i_parent")))
                   .when(op_ == "next_sibling", F.when(elem, F.col("i_next")).otherwise(-1)).otherwise(F.col("node")))
             cur = cur.withColumn("node", to).filter((F.col("node") >= 0) & (~op_.isin("len_gt", "len_lt", "nonblank") | ((F.col("kind") == "text") & fits)))
+            if "bound" in present:
+                name, value = F.substring_index("op_s", "=", 1), F.expr("substring(op_s, instr(op_s, '=') + 1)")
+                has = F.coalesce(F.when(name == "class", F.col("i_cls")).otherwise(F.col("i_id")) == value, F.lit(False))
+                cur = cur.filter((op_ != "bound") | (elem & has))
         moved = op_.isin(*_MOVES)
         attr, kind = F.when(~moved, F.col("attr")), F.when(moved, F.lit("elem")).otherwise(F.col("kind"))
         if present & _TEXTS:

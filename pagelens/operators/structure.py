@@ -3,8 +3,10 @@
 Everything is keyed by (page_id, sequence_id): one rule's results on one page.
 
 * F1  sources are the exact elements the values came from (provenance from the
-  selector join, instead of re-finding elements by their text), in discovery
-  order, from steps that succeeded;
+  selector join), in discovery order, from steps that succeeded;
+  ``text_lookup=True`` finds them again by the heads of their texts instead: the
+  first 5 elements that hold a text result's, and the first 3 that hold one of the first
+  10 values' (a head with an apostrophe finds nothing, as there);
 * F2  containers are ancestors (within 5 levels) shared by two sources or
   more; one is skipped if a container discovered earlier is its ancestor.
   ``compat=True`` keeps one ancestor per (tag, level) instead;
@@ -116,19 +118,71 @@ def _records(members: DataFrame) -> DataFrame:
         "keep", "container")
 
 
-def sources(nodes: DataFrame, values: DataFrame, step_status: DataFrame) -> DataFrame:
+#: Positions of a text that are indexed at once.
+LOOKUP_BLOCK = 4096
+
+
+def head(text: Column, chars: int) -> Column:
+    """What is looked up of ``text``: its first characters, apostrophes escaped;
+    null where that leaves one (no element is found then)."""
+    cut = F.substring(F.replace(text, F.lit("'"), F.lit("\\'")), 1, chars)
+    return F.when(~F.contains(cut, F.lit("'")) & (cut != ""), cut)
+
+
+def text_lookup(nodes: DataFrame, needles: DataFrame, limit: int | None = None, normalized: bool = False) -> DataFrame:
+    """Elements whose first text holds a needle: (page_id, needle, pre, r), by
+    document order, the first ``limit`` of each (page_id, needle).
+
+    An inverted index of each page's first texts: all their windows of the
+    lengths that the page's needles have, which meet the needles by an equi-join.  Work is
+    linear in texts (times the number of lengths); no needle meets an
+    element that does not hold it.
+    """
+    needles = needles.filter(F.col("needle").isNotNull()).select("page_id", "needle").distinct()
+    lengths = needles.select("page_id", F.length("needle").alias("l")).distinct()
+    text = F.col("first_text")
+    if normalized:
+        text = F.trim(F.regexp_replace(text, S.XML_WS + "+", " "))
+    e = dom.elements(nodes).filter("first_text IS NOT NULL").select("page_id", "pre", text.alias("t")).join(lengths, "page_id")
+    e = e.filter(F.length("t") >= F.col("l")).select("page_id", "pre", "t", "l", F.explode(
+        F.sequence(F.lit(1), F.length("t") - F.col("l") + 1, F.lit(LOOKUP_BLOCK))).alias("at"))
+    e = e.select("page_id", "pre", "l", F.substring("t", F.col("at"), F.col("l") + LOOKUP_BLOCK - 1).alias("part"))
+    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("part") - F.col("l") + 1), lambda i: F.substring(F.col("part"), i, F.col("l"))))
+    hits = e.select("page_id", "pre", F.explode(windows).alias("needle")).join(needles, ["page_id", "needle"]).distinct()
+    hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("page_id", "needle").orderBy("pre")))
+    return hits if limit is None else hits.filter(F.col("r") <= limit)
+
+
+def _looked_up(nodes: DataFrame, found: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(page_id, sequence_id, o, pre) of sources by text; ``found`` has each
+    result's node, kind, text and order ``o``."""
+    text = found.filter("i_kind <> 'elem'").select(*KEY, "o", head(F.col("i_text"), fixed.LOOKUP_CHARS).alias("needle"))
+    by_text = text.join(text_lookup(nodes, text, fixed.LOOKUP_ELEMENTS), ["page_id", "needle"]).select(*KEY, (F.col("o") * 8 + F.col("r")).alias("o"), "pre")
+    some = extracted.filter((F.col("idx") <= fixed.LOOKUP_VALUES) & (F.length(F.trim("value")) > fixed.LOOKUP_MIN_LEN)).select(
+        *KEY, "idx", head(F.col("value"), fixed.LOOKUP_CHARS).alias("needle"))
+    late = F.lit(1 << 55) + F.col("idx") * 8 + F.col("r")  # after what the results lead to
+    by_value = some.join(text_lookup(nodes, some, fixed.LOOKUP_VALUE_ELEMENTS, normalized=True), ["page_id", "needle"]).select(*KEY, late.alias("o"), "pre")
+    own = found.filter("i_kind = 'elem'").select(*KEY, (F.col("o") * 8).alias("o"), F.col("node").alias("pre"))
+    return own.unionByName(by_text).unionByName(by_value)
+
+
+def sources(nodes: DataFrame, values: DataFrame, step_status: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
     """F1 with F4: (page_id, sequence_id, pre, o, up, parent, text, field);
-    ``o`` is the order of discovery, ``up`` the nearest ancestors."""
+    ``o`` is the order of discovery, ``up`` the nearest ancestors.  With
+    ``extracted`` sources are looked up by text."""
     ok = step_status.filter(F.col("status") == "success").select(*KEY, "step_index")
     info = nodes.filter(F.col("kind") != "error").select(
         F.col("page_id").alias("i_page"), F.col("pre").alias("i_pre"), F.col("kind").alias("i_kind"),
-        F.col("parent").alias("i_parent"), F.col("up").alias("i_up"))
+        F.col("parent").alias("i_parent"), F.col("text").alias("i_text"))
     v = values.join(ok, [*KEY, "step_index"], "left_semi")
     v = v.join(info, (F.col("page_id") == F.col("i_page")) & (F.col("node") == F.col("i_pre")))
     elem = F.col("i_kind") == "elem"  # else the parent of a text result
     o = F.col("step_index").cast("bigint") * F.lit(1 << 32) + F.col("ord")
-    src = v.select(*KEY, o.alias("o"), F.when(elem, F.col("node")).otherwise(F.col("i_parent")).alias("pre")).groupBy(*KEY, "pre").agg(
-        F.min("o").alias("o"))
+    if extracted is not None:
+        src = _looked_up(nodes, v.select(*KEY, "node", "i_kind", "i_text", o.alias("o")), extracted)
+    else:
+        src = v.select(*KEY, o.alias("o"), F.when(elem, F.col("node")).otherwise(F.col("i_parent")).alias("pre"))
+    src = src.groupBy(*KEY, "pre").agg(F.min("o").alias("o"))
     one = src.select("page_id", "pre").distinct()
     e = dom.elements(nodes).select("page_id", "pre", "tag", "cls", "href", "up", "parent").join(one, ["page_id", "pre"], "left_semi")
     txt = S.squeeze_ws(F.col("text_content"))
@@ -183,11 +237,12 @@ def members(src: DataFrame, cont: DataFrame) -> DataFrame:
     return ranges.select(*KEY, "container", "co", F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("n")).join(numbered, [*KEY, "n"])
 
 
-def product_containers(nodes: DataFrame, src: DataFrame, extracted: DataFrame) -> DataFrame:
+def product_containers(nodes: DataFrame, src: DataFrame, extracted: DataFrame, by_text: bool = False) -> DataFrame:
     """F7 for the rules and pages of ``src``: ancestors (up to 4 levels) of the
     first 5 price values whose text is over 1.5 times as long as the price, then
     elements with a product-like class (or ``article``) whose text has a price or
-    brand mark; the first 10.  Columns as of :func:`containers`."""
+    brand mark; the first 10.  Columns as of :func:`containers`.  ``by_text``:
+    a price's elements are all whose first text holds its head."""
     keys = src.select(*KEY).distinct()
     w = Window.partitionBy(*KEY).orderBy("idx")
     prices = extracted.join(keys, KEY, "left_semi").filter(T.contains_any(F.col("value"), fixed.CURRENCY_MARKS))
@@ -195,10 +250,16 @@ def product_containers(nodes: DataFrame, src: DataFrame, extracted: DataFrame) -
     el = dom.elements(nodes).select("page_id", "pre", "last", "text_len", "tag", "cls")
     near = nodes.filter(F.col("kind") != "error").select("page_id", F.col("pre").alias("node"), F.col("kind").alias("n_kind"), F.col("up").alias("n_up"))
     up = F.when(F.col("n_kind") == "elem", F.col("n_up")).otherwise(F.slice("n_up", 2, dom.NEAR))
-    s1 = prices.join(near, ["page_id", "node"]).select(
-        *KEY, "r", F.length("value").alias("n"), F.posexplode(F.slice(up, 1, 4)).alias("lvl", "pre"))
+    if by_text:
+        asked = prices.select(*KEY, F.col("r").alias("price"), "value", head(F.col("value"), fixed.LOOKUP_PRICE_CHARS).alias("needle"))
+        hit = text_lookup(nodes, asked).join(dom.elements(nodes).select("page_id", "pre", "up"), ["page_id", "pre"])
+        at = (F.col("price").cast("bigint") * F.lit(1 << 28) + F.col("r")).alias("r")
+        s1 = asked.join(hit, ["page_id", "needle"]).select(*KEY, at, F.length("value").alias("n"), F.posexplode(F.slice("up", 1, 4)).alias("lvl", "pre"))
+    else:
+        s1 = prices.join(near, ["page_id", "node"]).select(
+            *KEY, F.col("r").cast("bigint").alias("r"), F.length("value").alias("n"), F.posexplode(F.slice(up, 1, 4)).alias("lvl", "pre"))
     s1 = s1.join(el, ["page_id", "pre"]).filter(F.col("text_len") > F.col("n") * 1.5).select(
-        *KEY, "pre", "last", (F.col("r") * 8 + F.col("lvl")).cast("bigint").alias("co"))
+        *KEY, "pre", "last", (F.col("r") * 8 + F.col("lvl")).alias("co"))
     low = F.coalesce(F.col("cls"), F.lit(""))
     kind = F.lit(None).cast("int")
     for i, word in reversed(list(enumerate(fixed.CONTAINER_PRODUCT_CLASSES))):
@@ -208,7 +269,7 @@ def product_containers(nodes: DataFrame, src: DataFrame, extracted: DataFrame) -
     tc = dom.element_text(nodes, cand.select("page_id", "pre"), [])
     marked = cand.join(tc.filter(T.contains_any(F.col("text_content"), fixed.CONTAINER_PRODUCT_MARKS)), ["page_id", "pre"], "left_semi")
     s2 = marked.join(keys, "page_id").select(
-        *KEY, "pre", "last", (F.lit(1 << 40) + F.col("k").cast("bigint") * F.lit(1 << 32) + F.col("pre")).alias("co"))
+        *KEY, "pre", "last", (F.lit(1 << 50) + F.col("k").cast("bigint") * F.lit(1 << 32) + F.col("pre")).alias("co"))
     both = s1.unionByName(s2).groupBy(*KEY, "pre", "last").agg(F.min("co").alias("co"))
     w2 = Window.partitionBy(*KEY).orderBy("co")
     return both.withColumn("r", F.row_number().over(w2)).filter(F.col("r") <= fixed.CONTAINER_TOP).select(
@@ -269,20 +330,21 @@ def pair_records(nodes: DataFrame, extracted: DataFrame) -> DataFrame:
     return out.select(*KEY, F.posexplode("r").alias("co", "record")).withColumn("co", F.col("co").cast("bigint"))
 
 
-def structure(nodes: DataFrame, values: DataFrame, step_status: DataFrame, extracted: DataFrame, compat: bool = False) -> DataFrame:
+def structure(nodes: DataFrame, values: DataFrame, step_status: DataFrame, extracted: DataFrame, compat: bool = False,
+              by_text: bool = False) -> DataFrame:
     """the final data of every rule and page,
     (page_id, sequence_id, idx, value, record, strategy).
 
     ``strategy`` is container / product / parent / pair (``record`` is set) or
     flat (``value`` is set)."""
-    src = cut_lineage(sources(nodes, values, step_status))  # stage boundary: every branch below starts here
     flat = cut_lineage(extracted.select(*KEY, "idx", "value", "node"))
+    src = cut_lineage(sources(nodes, values, step_status, flat if by_text else None))  # every branch below starts here
     keys = src.select(*KEY).distinct()
     cont = cut_lineage(containers(nodes, src, compat).withColumn("strategy", F.lit("container")))
     # Branches that no page needs are not planned.
     without = keys.join(cont.select(*KEY).distinct(), KEY, "left_anti")
     if without.take(1):
-        broad = product_containers(nodes, src.join(without, KEY, "left_semi"), flat).withColumn("strategy", F.lit("product"))
+        broad = product_containers(nodes, src.join(without, KEY, "left_semi"), flat, by_text).withColumn("strategy", F.lit("product"))
         cont = cut_lineage(cont.unionByName(broad))
     of = cont.select(*KEY, "strategy").distinct()
     recs = _records(members(src, cont)).join(of, KEY)

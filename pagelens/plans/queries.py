@@ -332,6 +332,17 @@ def product_records(spark, sf):
 # ---------------------------------------------------------------------------
 
 
+def text_lookup(spark, sf):
+    """for the head of every link's text, the first 5 elements whose
+    first text holds it."""
+    nodes = dom.dom_nodes(_clean_pages(spark, sf))
+    a = dom.elements(nodes).filter("tag = 'a' AND first_text IS NOT NULL")
+    needles = a.select("page_id", structure.head(F.col("first_text"), fixed.LOOKUP_CHARS).alias("needle"))
+    hits = structure.text_lookup(nodes, needles, fixed.LOOKUP_ELEMENTS)
+    e = dom.elements(nodes).select("page_id", "pre", "tag", F.md5("first_text").alias("text_md5"))
+    return hits.join(e, ["page_id", "pre"]).select("page_id", "needle", F.col("r").cast("bigint").alias("rank"), "tag", "text_md5")
+
+
 def task_routing(spark, sf):
     pc = _clean(spark, sf)
     pt = pc.select("page_id", "html_clean", F.explode(F.array(*[F.lit(t) for t in catalog.LEARN_TASKS])).alias("task"))
@@ -358,19 +369,19 @@ def rule_score(spark, sf):
     sc = learn.with_empty_scores(grid, learn.score(v, ["page_id", "task", "sequence_id"]), ["page_id", "task", "sequence_id"])
     return sc.select("page_id", "task", "sequence_id", "n", "is_weak", "success",
                      _r6(F.col("task_score")).alias("task_score"), _r6(F.col("consistency")).alias("consistency"),
-                     _r6(F.col("confidence")).alias("confidence"))
+                     _r6(F.col("confidence")).alias("confidence"), F.array_join(learn.issues(), "; ").alias("issues"))
 
 
 def learn_rules(spark, sf):
     p = _pages(spark, sf)
     learned, _, _ = learn.learn(p, catalog.LEARN_TASKS, route_on="task")
-    return learned
+    return learned.select("page_id", "task", "success", "rule_id", "xpath", _r6(F.col("confidence")).alias("confidence"), "data_count", "total_iterations")
 
 
 def learn_trace(spark, sf):
     p = _pages(spark, sf)
     _, trace, _ = learn.learn(p, catalog.LEARN_TASKS, route_on="prompt")
-    return trace
+    return trace.select("page_id", "task", "iteration", "rule_id", "xpath", "success", _r6(F.col("confidence")).alias("confidence"), "data_count", "action")
 
 
 def rule_suggestions(spark, sf):
@@ -630,6 +641,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nav_filter": nav_filter,
     "structured_records": structured_records,
     "product_records": product_records,
+    "text_lookup": text_lookup,
     "task_routing": task_routing,
     "rule_score": rule_score,
     "learn_rules": learn_rules,

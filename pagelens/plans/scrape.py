@@ -189,14 +189,17 @@ def learn_and_publish(pages: DataFrame, task: str, stamp: str, max_iterations: i
     nodes = dom.dom_nodes(pc)
     learned, _, book = learn.learn(pages, [task], max_iterations, min_confidence, route_on="task", nodes=nodes)
     group = pc.select("page_id", F.coalesce("domain", F.lit("")).alias("grp"))
-    rules = learned.filter("success").join(group, "page_id").select("grp", F.col("rule_id").alias("sequence_id")).distinct()
-    rules = cut_lineage(rules)
+    rules = learned.filter("success").join(group, "page_id").select("grp", "rule_id", "bound").distinct()
+    rules = cut_lineage(rules.withColumn("sequence_id", S.bound_id(F.col("rule_id"), F.col("bound"))))
     # Only rules that some domain has learned (a part of the bounded rule book).
-    used = {r.sequence_id for r in rules.select("sequence_id").distinct().collect()}
-    ids = [i for i in sorted(book.rules) if i in used]
-    steps = book.frame(pages.sparkSession, ids)
+    used = {r.rule_id for r in rules.select("rule_id").distinct().collect()}
+    steps = book.frame(pages.sparkSession, [i for i in sorted(book.rules) if i in used])
+    if any(i.startswith("bound(") or "bound(" in i for i in used):
+        steps = S.bind_steps(steps, rules.select(F.col("rule_id").alias("sequence_id"), "bound"))
+    rules = rules.select("grp", "sequence_id")
     pairs = group.join(S.small(rules, rules.count()), "grp").select("page_id", "sequence_id")
-    tasks = pages.sparkSession.createDataFrame([(r, task, i + 1) for i, r in enumerate(ids)], "sequence_id string, task string, rule_ord int")
+    tasks = rules.select("sequence_id").distinct().withColumn("task", F.lit(task)).withColumn(
+        "rule_ord", F.dense_rank().over(Window.partitionBy("task").orderBy("sequence_id")))  # learned rules, not pages
     ranked, summary, _ = validate.cross_validate(pc, steps, tasks, by="domain", nodes=nodes, pairs=pairs)
     return publish(ranked, steps, task, stamp, selected_only=True), ranked, summary
 
@@ -206,13 +209,14 @@ def _trace_steps(trace: DataFrame, max_iterations: int) -> DataFrame:
     the initial rule, then for each iteration the tried rule and, if it was
     repaired, the step back.  A rule that is neither accepted nor repaired is
     tried again in every iteration that is left."""
-    t = trace.select("page_id", "iteration", "rule_id", "action")
+    bound = F.col("bound") if "bound" in trace.columns else F.lit(None).cast("string")
+    t = trace.select("page_id", "iteration", "rule_id", bound.alias("bound"), "action")
     again = F.when(F.col("action") == "kept", F.lit(max_iterations) - F.col("iteration") + 1).otherwise(
         F.when(F.col("action") == "accepted", 1).otherwise(2))  # a repair records the rule twice
     n = F.when(F.col("iteration") == 1, again + 1).otherwise(again)
-    t = t.select("page_id", "iteration", "rule_id", F.posexplode(F.sequence(F.lit(1), n)).alias("k", "_"))
+    t = t.select("page_id", "iteration", "rule_id", "bound", F.posexplode(F.sequence(F.lit(1), n)).alias("k", "_"))
     w = Window.partitionBy("page_id").orderBy("iteration", "k")
-    return t.select("page_id", (F.row_number().over(w) - 1).alias("step_index"), "rule_id")
+    return t.select("page_id", (F.row_number().over(w) - 1).alias("step_index"), "rule_id", "bound")
 
 
 def scrape_learn(pages: DataFrame, rules: DataFrame, task: str, stamp: str, keep_trace: bool = True,
@@ -231,11 +235,13 @@ def scrape_learn(pages: DataFrame, rules: DataFrame, task: str, stamp: str, keep
     learned, trace, book = learn.learn(todo.select("page_id", "url", "html"), [task], max_iterations,
                                        min_confidence, route_on="task", nodes=nodes)
     ok = learned.filter("success")
-    tr = _trace_steps(trace, max_iterations) if keep_trace else ok.select("page_id", F.lit(0).alias("step_index"), "rule_id")
+    tr = _trace_steps(trace, max_iterations) if keep_trace else ok.select("page_id", F.lit(0).alias("step_index"), "rule_id", "bound")
     book_steps = book.frame(pages.sparkSession, sorted(book.rules)).select(
         F.col("sequence_id").alias("rule_id"), "action_type", "attribute", "xpath", "branches", "post")
     # The rule book is bounded by the catalogue and the iterations.
     acts = tr.join(ok.select("page_id"), "page_id", "left_semi").join(F.broadcast(book_steps), "rule_id")
+    filled = F.transform("post", lambda o: F.when(o["op"] == "bound", F.struct(o["op"].alias("op"), o["n"].alias("n"), F.col("bound").alias("s"))).otherwise(o))
+    acts = acts.withColumn("post", filled)
     acts = acts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(
         "step_index", "action_type", "attribute", "xpath", "branches", "post"))).alias("actions"))
     meta = ok.join(todo.select("page_id", "url", "domain"), "page_id")
