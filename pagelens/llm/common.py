@@ -54,6 +54,16 @@ def bounded_sample(df: DataFrame, key: str, per_key: int, sizes: dict, *order: C
     return few.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_key).drop("_h", "_rank")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, made longer until ``df`` has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import ascii_lower, by_value, maybe_broadcast, small_batches, stored
+from .common import ascii_lower, by_value, free_names, maybe_broadcast, small_batches, stored
 
 SPAN = 10
 SEGMENT_WORDS = 4096
@@ -202,9 +202,9 @@ def document_marks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
 
 def clean_documents(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, all columns kept."""
-    mark = "_llm_row"
+    mark, i, k = free_names(docs, "_llm_row", "_llm_i", "_llm_k")
     keyed = docs.withColumn(mark, F.struct(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("k")))
     hit = document_marks(keyed, bench, mark, text_col, **kw).filter(F.size("hits") > 0).select("doc_id").distinct()
-    hit = stored(hit.select(F.col("doc_id.i").alias("_llm_i"), F.col("doc_id.k").alias("_llm_k")))
-    return keyed.join(maybe_broadcast(hit), [F.col(f"{mark}.i").eqNullSafe(F.col("_llm_i")),
-                                             F.col(f"{mark}.k") == F.col("_llm_k")], "left_anti").drop(mark)
+    hit = stored(hit.select(F.col("doc_id.i").alias(i), F.col("doc_id.k").alias(k)))
+    return keyed.join(maybe_broadcast(hit), [F.col(f"{mark}.i").eqNullSafe(F.col(i)),
+                                             F.col(f"{mark}.k") == F.col(k)], "left_anti").drop(mark)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import free_names, maybe_broadcast, stored
 
 #: Share of all rows from which a digest may be heavy; 1/SUPPORT counters.
 SUPPORT = 1 / 2000
@@ -82,11 +82,11 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows are removed by (doc_id, hash of the raw text), so a doc_id that
     occurs with several texts is handled; repeated rows keep one copy.
     """
-    key = "_llm_text_key"
+    key, i, k = free_names(docs, "_llm_text_key", "_llm_id", "_llm_key")
     marks = stored(mark_duplicates(docs, id_col, text_col, support).groupBy("doc_id", "text_key").agg(
         F.max("kept").alias("kept"), F.count("*").alias("copies")))
-    same = [F.col(id_col).eqNullSafe(F.col("_llm_id")), F.col(key) == F.col("_llm_key")]
-    names = [F.col("doc_id").alias("_llm_id"), F.col("text_key").alias("_llm_key")]
+    same = [F.col(id_col).eqNullSafe(F.col(i)), F.col(key) == F.col(k)]
+    names = [F.col("doc_id").alias(i), F.col("text_key").alias(k)]
     gone = marks.filter(~F.col("kept")).select(*names)
     keyed = docs.withColumn(key, F.xxhash64(F.col(text_col)))
     rows = keyed.join(maybe_broadcast(gone), same, "left_anti")

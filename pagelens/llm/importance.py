@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, small_batches, stored
+from .common import by_value, free_names, small_batches, stored
 
 BUCKETS, MIN_WORDS, SHARE, SEED = 10_000, 20, 25, 7
 
@@ -181,6 +181,7 @@ def draw(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: s
 def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The drawn rows of ``docs`` with all their columns; copies of a drawn row
     with its id and text come along."""
+    i, k = free_names(docs, "_llm_id", "_llm_key")
     drawn = draw(docs, target, id_col, text_col, **kw).filter(F.col("rank").isNotNull()).select(
-        F.col("doc_id").alias("_llm_id"), F.col("text_key").alias("_llm_key")).distinct()
-    return docs.join(drawn, [F.col(id_col).eqNullSafe(F.col("_llm_id")), F.xxhash64(F.col(text_col)) == F.col("_llm_key")], "left_semi")
+        F.col("doc_id").alias(i), F.col("text_key").alias(k)).distinct()
+    return docs.join(drawn, [F.col(id_col).eqNullSafe(F.col(i)), F.xxhash64(F.col(text_col)) == F.col(k)], "left_semi")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, maybe_broadcast, small_batches, stored
+from .common import by_value, free_names, maybe_broadcast, small_batches, stored
 
 SHINGLE, MAX_DISTANCE, BITS = 3, 2, 64
 
@@ -182,9 +182,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row per document: doc_id, text_key, fingerprint (16 hex digits),
-    component_id, kept (first row of its component)."""
-    d = stored(fingerprints(docs, id_col, text_col, shingle))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    component_id, kept (first row of its component), first (that row or one that repeats it)."""
+    d = stored(fingerprints(docs, id_col, text_col, shingle).withColumn("row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("row").alias("r"))
     own = stored(d.groupBy("fp").agg(F.min(order).alias("first")))
     root = components(links(own.select("fp"), max_distance))
     # A component's rows are its fingerprints' first documents, not its documents.
@@ -194,16 +194,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = stored(of.join(best, "root").select("fp", "best"))
     return d.join(of, "fp").select(
         "doc_id", "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.col("best.d").alias("component_id"),
-        (F.col("doc_id").eqNullSafe(F.col("best.d")) & (F.col("text_key") == F.col("best.k"))).alias("kept"))
+        F.col("best.d").alias("component_id"), (F.col("row") == F.col("best.r")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("best.d")) & (F.col("text_key") == F.col("best.k"))).alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                          max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, with all
-    their columns."""
-    key = "_llm_text_key"
-    gone = stored(near_duplicates(docs, id_col, text_col, shingle, max_distance).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_llm_id"), F.col("text_key").alias("_llm_key")).distinct())
+    """The rows of ``docs`` that stay, one document of each component (with the
+    repeated rows of its own), with all their columns."""
+    key, i, k = free_names(docs, "_llm_text_key", "_llm_id", "_llm_key")
+    gone = stored(near_duplicates(docs, id_col, text_col, shingle, max_distance).filter(~F.col("first")).select(
+        F.col("doc_id").alias(i), F.col("text_key").alias(k)).distinct())
     return docs.withColumn(key, F.xxhash64(F.col(text_col))).join(
-        maybe_broadcast(gone), [F.col(id_col).eqNullSafe(F.col("_llm_id")), F.col(key) == F.col("_llm_key")], "left_anti").drop(key)
+        maybe_broadcast(gone), [F.col(id_col).eqNullSafe(F.col(i)), F.col(key) == F.col(k)], "left_anti").drop(key)

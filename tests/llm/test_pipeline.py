@@ -43,3 +43,30 @@ def test_stages_keep_columns(spark):
         assert out.columns == docs.columns, name
         assert stage(spark, docs.filter("false"), SF).count() == 0
     assert decontam.SPAN == 10
+
+
+def test_columns_with_the_operators_own_names_stay(spark):
+    from helpers import documents
+    from pagelens.llm import decontam, exact_dedup, importance, simhash
+
+    own = ["_llm_text_key", "_llm_id", "_llm_key", "_llm_row", "_llm_i", "_llm_k"]
+    d = documents(spark)
+    for name in own:
+        d = d.withColumn(name, d.doc_id)
+    bench = spark.createDataFrame([("b", "nothing of this kind")], "item_id string, text string")
+    for out in (exact_dedup.drop_duplicates(d), simhash.drop_near_duplicates(d), decontam.clean_documents(d, bench), importance.resample(d, bench)):
+        assert out.columns == d.columns
+        rows = out.collect()
+        assert all(r[name] == r.doc_id for r in rows for name in own)
+    assert decontam.clean_documents(d, bench).count() == d.count()
+
+
+def test_one_row_of_a_component_is_kept(spark):
+    from helpers import documents
+    from pagelens.llm import simhash
+
+    near = simhash.near_duplicates(documents(spark)).collect()
+    per = {}
+    for r in near:
+        per[r.component_id] = per.get(r.component_id, 0) + r.kept
+    assert set(per.values()) == {1}

@@ -4,7 +4,7 @@ import pytest
 from pagelens.llm import oracle, queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "conversations")
+TABLES = ("documents", "benchmark", "conversations", "embeddings")
 
 
 @pytest.mark.parametrize("name", sorted(oracle.ORACLES))
@@ -20,4 +20,4 @@ def test_sql_parity(spark, name):
 
 def test_all_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
