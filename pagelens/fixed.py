@@ -258,6 +258,8 @@ LENGTH_VAR_NORM = 10000.0
 COUNT_VAR_NORM = 100.0
 MEAN_LENGTH_VAR_NORM = 1000.0
 COVERAGE_NORM = 10.0
+MSG_SELECTED = ("Selected sequence '%s' based on highest robustness score (%.3f). Success rate: %.1f%%, "
+                "Quality score: %.3f, Consistency: %.3f. Sequence succeeded on %d/%d pages.")
 RELEVANCE_CURRENCY = ["$", "€", "£", "¥"]
 RELEVANCE_PRICE_WORDS = ["price", "cost", "amount", "money"]
 RELEVANCE_TITLE_WORDS = ["title", "heading", "name"]

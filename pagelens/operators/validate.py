@@ -217,8 +217,7 @@ def validation_summary(ranked: DataFrame, quality: DataFrame, groups: DataFrame)
     )
     out = rob.join(pages_per, "grp").join(sel, "grp").join(qsel, "grp", "left")
     rationale = F.format_string(
-        "Selected sequence '%s' based on highest robustness score (%.3f). Success rate: %.1f%%, "
-        "Quality score: %.3f, Consistency: %.3f. Sequence succeeded on %d/%d pages.",
+        fixed.MSG_SELECTED,
         F.col("selected_sequence_id"), F.col("robustness_score"), F.col("success_rate") * 100,
         F.col("quality_score"), F.col("consistency_score"), F.col("pages_successful"), F.col("total_pages_tested"),
     )
