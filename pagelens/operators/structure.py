@@ -79,19 +79,24 @@ def is_navigation(text: Column) -> Column:
     )
 
 
-def field_names(nodes: DataFrame) -> DataFrame:
+def field_names(nodes: DataFrame, with_text: bool = False) -> DataFrame:
     """F4 for every element, void ones included, by its full text:
-    (page_id, pre, tag, n_elem, n_chars, field).  Linear in nodes."""
+    (page_id, pre, tag, n_elem, n_chars, field).  Linear in nodes, unless the
+    texts themselves are asked for, which are read once per enclosing element."""
     e = dom.elements(nodes).select("page_id", "pre", "tag", "cls", "href", "n_elem")
     words = lambda *w: F.array(*[F.lit(x) for x in w])
     reach = max(map(len, [*fixed.CURRENCY_MARKS, *fixed.BRANDS, *fixed.PRODUCT_TERMS, "price"])) - 1
     # Text as it is and in lower case, which differ in length for a few characters: two searches.
     facts = dom.text_facts(nodes, {"currency": words(*fixed.CURRENCY_MARKS), "brand": words(*fixed.BRANDS)}, reach, F.col("text"))
     low = dom.text_facts(nodes, {"price": words("price"), "product": words(*fixed.PRODUCT_TERMS)}, reach, F.lower("text")).drop("n_chars")
-    return e.join(facts, ["page_id", "pre"]).join(low, ["page_id", "pre"]).select(
+    named = e.join(facts, ["page_id", "pre"]).join(low, ["page_id", "pre"]).select(
         "page_id", "pre", "tag", "n_elem", "n_chars",
         _field(F.col("currency") | F.col("price"), F.col("brand") | F.col("product"), F.col("n_chars"), F.col("cls"), F.col("tag"),
                F.col("href").isNotNull()).alias("field"))
+    if not with_text:
+        return named
+    texts = dom.element_text(nodes, e.select("page_id", "pre"), []).select("page_id", "pre", S.strip_ws(F.col("text_content")).alias("text"))
+    return named.join(texts, ["page_id", "pre"])
 
 
 def _records(members: DataFrame) -> DataFrame:

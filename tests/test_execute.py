@@ -182,7 +182,7 @@ def test_every_element_has_a_field(spark, tmp_path):
     from pagelens.plans import queries
 
     nodes = dom.dom_nodes(spark.createDataFrame([(1, "u", NESTED)], PAGES))
-    got = [(r.tag, r.text, r.field) for r in structure.field_names(nodes).orderBy("pre").collect()]
+    got = [(r.tag, r.text, r.field) for r in structure.field_names(nodes, with_text=True).orderBy("pre").collect()]
     every = list(ElementTree.fromstring(NESTED).iter())
     assert got == [(e.tag, "".join(e.itertext()).strip(), _field(e)) for e in every]
     assert {f for t, _, f in got if t == "img"} == {"image", "rating"}
