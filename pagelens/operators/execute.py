@@ -51,15 +51,18 @@ def rule_pages(pages: DataFrame, steps: DataFrame, pairs: DataFrame | None = Non
 def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None,
               normalize_whitespace: bool = True, resolve_relative: bool = False,
               max_results: int = fixed.MAX_RESULTS_PER_STEP, pairs: DataFrame | None = None,
-              keep_empty_text: bool = False):
-    """Returns (values, step_status).
+              keep_empty_text: bool = False, stored: bool = False):
+    """Returns (values, step_status).  With ``stored`` the node sets, the values
+    and the status are written once each and built on each other, so the nodes
+    are selected and their texts read once.
 
     values: (page_id, sequence_id, step_index, ord, node, value)
     step_status: (page_id, sequence_id, step_index, xpath, status, element_count,
                   data_count, error_message, page_failed, has_branches); a page that
                   cannot be parsed fails every step with its parse error
     """
-    sets = select.select_nodes(nodes, steps, pairs)
+    keep = cut_lineage if stored else lambda df: df
+    sets = keep(select.select_nodes(nodes, steps, pairs))
     vals = select.node_values(nodes, pages, steps, sets, normalize_whitespace=normalize_whitespace,
                               max_results=max_results + 1, keep_empty_text=keep_empty_text)
     if resolve_relative and pages is not None:
@@ -71,6 +74,7 @@ def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None
             F.when(F.startswith("value", F.lit("/")) | F.startswith("value", F.lit("./")),
                    F.coalesce(urls.join(F.col("u_url"), F.col("value")), F.col("value"))).otherwise(F.col("value")),
         ).drop("u_page", "u_url")
+    vals = keep(vals.select("page_id", *KEY, "ord", "node", "value"))
     counts_e = sets.groupBy("page_id", *KEY).agg(F.count("*").alias("element_count"))
     counts_v = vals.groupBy("page_id", *KEY).agg(F.max("ord").alias("n_all"))
     if pairs is not None:
@@ -104,8 +108,7 @@ def run_steps(nodes: DataFrame, steps: DataFrame, pages: DataFrame | None = None
         F.least(F.col("n_all"), F.lit(max_results)).cast("bigint").alias("data_count"),
         msg.alias("error_message"), F.col("page_error").isNotNull().alias("page_failed"), "has_branches",
     )
-    vals = vals.filter(F.col("ord") <= max_results).select("page_id", *KEY, "ord", "node", "value")
-    return vals, st
+    return vals.filter(F.col("ord") <= max_results), keep(st)
 
 
 def sequence_results(values: DataFrame, step_status: DataFrame, steps: DataFrame, pages: DataFrame | None = None,
@@ -200,9 +203,8 @@ def execute(pages: DataFrame, steps: DataFrame, nodes: DataFrame | None = None,
     :mod:`structure`."""
     if nodes is None:
         nodes = dom.dom_nodes(pages)
-    vals, st = run_steps(nodes, steps, pages, **kw)
-    # both feed the per-rule results and the step report: compute once
-    vals, st = cut_lineage(vals), cut_lineage(st)
+    # both feed the per-rule results and the step report
+    vals, st = run_steps(nodes, steps, pages, stored=True, **kw)
     extracted, summary, data = sequence_results(vals, st, steps, pages, nodes if enable_structuring else None, compat, by_text)
     return Execution(extracted, summary, st, data)
 

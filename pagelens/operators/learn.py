@@ -330,8 +330,9 @@ class RuleBook:
 
 def learn(pages: DataFrame, tasks: list[str], max_iterations: int = fixed.MAX_ITERATIONS,
           min_confidence: float = fixed.MIN_CONFIDENCE, route_on: str = "task",
-          nodes: DataFrame | None = None):
-    """G10 over pages × tasks.  Returns (learned, trace, rulebook).
+          nodes: DataFrame | None = None, pairs: DataFrame | None = None):
+    """G10 over pages × tasks, or over the (page_id, task) rows of ``pairs``.
+    Returns (learned, trace, rulebook).
 
     learned: (page_id, task, success, rule_id, xpath, confidence, data_count,
               total_iterations)
@@ -345,6 +346,8 @@ def learn(pages: DataFrame, tasks: list[str], max_iterations: int = fixed.MAX_IT
     if nodes is None:
         nodes = dom.dom_nodes(pc.select("page_id", F.col("html_clean").alias("html")))
     pt = pc.select("page_id", "html_clean", F.explode(F.array(*[F.lit(t) for t in tasks])).alias("task"))
+    if pairs is not None:
+        pt = pt.join(pairs, ["page_id", "task"], "left_semi")
     if route_on == "prompt":
         pt = prompt_haystack(pt)
     else:
@@ -366,7 +369,8 @@ def learn(pages: DataFrame, tasks: list[str], max_iterations: int = fixed.MAX_IT
             steps = S.bind_steps(steps, state.select(F.col("rule_id").alias("sequence_id"), "bound"))
         state = state.withColumn("sequence_id", S.bound_id(F.col("rule_id"), F.col("bound")))
         pairs = state.select("page_id", "sequence_id").distinct()
-        sets = S.select_nodes(nodes, steps, pairs)
+        # the values and the bindings both start from them
+        sets = cut_lineage(S.select_nodes(nodes, steps, pairs))
         vals = S.node_values(nodes, None, steps, sets, normalize_whitespace=False, max_results=1 << 30, keep_empty_text=True)
         first = vals.groupBy("page_id", "sequence_id", "value").agg(F.min("ord").alias("ord"))
         own = ["page_id", "task", "sequence_id"]

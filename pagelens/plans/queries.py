@@ -496,12 +496,7 @@ def scrape_envelope(spark, sf):
 
 
 def scrape_learn(spark, sf):
-    pages = _pages(spark, sf)
-    results = [scrape.scrape_learn(pages, repository.empty(spark), task, STAMP)[1] for task in catalog.LEARN_TASKS]
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    return scrape.scrape_learn(_pages(spark, sf), repository.empty(spark), catalog.LEARN_TASKS, STAMP)[1]
 
 
 def learn_publish(spark, sf):

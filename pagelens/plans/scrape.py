@@ -96,8 +96,7 @@ def scrape_known(pages: DataFrame, rules: DataFrame, task: str, nodes: DataFrame
     # only rules that some page runs, and each page only with its own
     steps = rule_steps(rules.join(cand.select("sequence_id").distinct(), "sequence_id", "left_semi"))
     pairs = cand.select("page_id", "sequence_id")
-    vals, st = execute.run_steps(nodes, steps, pc, pairs=pairs)
-    vals, st = cut_lineage(vals), cut_lineage(st)
+    vals, st = execute.run_steps(nodes, steps, pc, pairs=pairs, stored=True)
     _, summary, data = execute.sequence_results(vals, st, steps, pc, nodes)
     sc = summary.join(cand.select("page_id", "sequence_id", "rank", "robustness_score"), ["page_id", "sequence_id"])
     sc = sc.withColumn("score", F.col("successful_steps") / F.col("total_steps") * F.col("data_count"))
@@ -205,50 +204,56 @@ def learn_and_publish(pages: DataFrame, task: str, stamp: str, max_iterations: i
 
 
 def _trace_steps(trace: DataFrame, max_iterations: int) -> DataFrame:
-    """(page_id, step_index, rule_id) of the actions a learning run records:
-    the initial rule, then for each iteration the tried rule and, if it was
-    repaired, the step back.  A rule that is neither accepted nor repaired is
+    """(page_id, task, step_index, rule_id, bound) of the actions a learning run
+    records: the initial rule, then for each iteration the tried rule and, if it
+    was repaired, the step back.  A rule that is neither accepted nor repaired is
     tried again in every iteration that is left."""
     bound = F.col("bound") if "bound" in trace.columns else F.lit(None).cast("string")
-    t = trace.select("page_id", "iteration", "rule_id", bound.alias("bound"), "action")
+    task = F.col("task") if "task" in trace.columns else F.lit(None).cast("string")
+    t = trace.select("page_id", task.alias("task"), "iteration", "rule_id", bound.alias("bound"), "action")
     again = F.when(F.col("action") == "kept", F.lit(max_iterations) - F.col("iteration") + 1).otherwise(
         F.when(F.col("action") == "accepted", 1).otherwise(2))  # a repair records the rule twice
     n = F.when(F.col("iteration") == 1, again + 1).otherwise(again)
-    t = t.select("page_id", "iteration", "rule_id", "bound", F.posexplode(F.sequence(F.lit(1), n)).alias("k", "_"))
-    w = Window.partitionBy("page_id").orderBy("iteration", "k")
-    return t.select("page_id", (F.row_number().over(w) - 1).alias("step_index"), "rule_id", "bound")
+    t = t.select("page_id", "task", "iteration", "rule_id", "bound", F.posexplode(F.sequence(F.lit(1), n)).alias("k", "_"))
+    w = Window.partitionBy("page_id", "task").orderBy("iteration", "k")
+    return t.select("page_id", "task", (F.row_number().over(w) - 1).alias("step_index"), "rule_id", "bound")
 
 
-def scrape_learn(pages: DataFrame, rules: DataFrame, task: str, stamp: str, keep_trace: bool = True,
+def scrape_learn(pages: DataFrame, rules: DataFrame, tasks: str | list[str], stamp: str, keep_trace: bool = True,
                  max_iterations: int = fixed.MAX_ITERATIONS, min_confidence: float = fixed.MIN_CONFIDENCE):
     """Pages whose (domain, task) has no stored rule learn one; the
     learned rule (by default the whole trace of recorded actions, as stored by
-    the original flow) is executed and stored when it yields data.
+    the original flow) is executed and stored when it yields data.  All tasks
+    share one node table, one learning run and one execution.
 
-    Returns (new rules, results)."""
+    Returns (new rules, results), results with a row for each (page, task)
+    that had no rule."""
+    asked = [tasks] if isinstance(tasks, str) else list(dict.fromkeys(tasks))
     pc = clean_pages(pages)
-    have = rules.filter(F.col("extraction_task") == task).select("domain").distinct()
+    have = rules.filter(F.col("extraction_task").isin(asked)).select("domain", F.col("extraction_task").alias("task")).distinct()
     # Only ids and domains meet the rule table, not the pages themselves.
-    ids = pc.select("page_id", "domain").join(S.small(have, have.count()), "domain", "left_anti").select("page_id")
-    todo = pc.join(ids, "page_id", "left_semi")
+    ids = pc.select("page_id", "domain", F.explode(F.array(*[F.lit(t) for t in asked])).alias("task"))
+    ids = cut_lineage(ids.join(S.small(have, have.count()), ["domain", "task"], "left_anti"))
+    todo = pc.join(ids.select("page_id"), "page_id", "left_semi")
     nodes = dom.dom_nodes(todo)
-    learned, trace, book = learn.learn(todo.select("page_id", "url", "html"), [task], max_iterations,
-                                       min_confidence, route_on="task", nodes=nodes)
+    learned, trace, book = learn.learn(todo.select("page_id", "url", "html"), asked, max_iterations,
+                                       min_confidence, route_on="task", nodes=nodes, pairs=ids.select("page_id", "task"))
+    own = ["page_id", "task"]
     ok = learned.filter("success")
-    tr = _trace_steps(trace, max_iterations) if keep_trace else ok.select("page_id", F.lit(0).alias("step_index"), "rule_id", "bound")
+    tr = _trace_steps(trace, max_iterations) if keep_trace else ok.select(*own, F.lit(0).alias("step_index"), "rule_id", "bound")
     book_steps = book.frame(pages.sparkSession, sorted(book.rules)).select(
         F.col("sequence_id").alias("rule_id"), "action_type", "attribute", "xpath", "branches", "post")
     # The rule book is bounded by the catalogue and the iterations.
-    acts = tr.join(ok.select("page_id"), "page_id", "left_semi").join(F.broadcast(book_steps), "rule_id")
+    acts = tr.join(ok.select(*own), own, "left_semi").join(F.broadcast(book_steps), "rule_id")
     filled = F.transform("post", lambda o: F.when(o["op"] == "bound", F.struct(o["op"].alias("op"), o["n"].alias("n"), F.col("bound").alias("s"))).otherwise(o))
     acts = acts.withColumn("post", filled)
-    acts = acts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(
+    acts = acts.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(
         "step_index", "action_type", "attribute", "xpath", "branches", "post"))).alias("actions"))
     meta = ok.join(todo.select("page_id", "url", "domain"), "page_id")
-    new = meta.join(acts, "page_id").select(
+    new = meta.join(acts, own).select(
         "page_id",
-        repository.rule_id(F.col("domain"), F.lit(task), F.concat(F.lit(stamp + "/"), F.col("page_id").cast("string"))).alias("sequence_id"),
-        "domain", F.lit(task).alias("extraction_task"), "actions",
+        repository.rule_id(F.col("domain"), F.col("task"), F.concat(F.lit(stamp + "/"), F.col("page_id").cast("string"))).alias("sequence_id"),
+        "domain", F.col("task").alias("extraction_task"), "actions",
         F.col("confidence").alias("success_rate"), F.col("confidence").alias("robustness_score"),
         F.to_timestamp(F.lit(stamp)).alias("created_at"), F.to_timestamp(F.lit(stamp)).alias("updated_at"),
         F.create_map(F.lit("source_url"), F.col("url"), F.lit("phase1_iterations"), F.col("total_iterations").cast("string"),
@@ -258,17 +263,15 @@ def scrape_learn(pages: DataFrame, rules: DataFrame, task: str, stamp: str, keep
     new = cut_lineage(new)
     steps = rule_steps(new)
     pairs = new.select("page_id", "sequence_id")
-    vals, st = execute.run_steps(nodes, steps, todo, pairs=pairs)
-    vals, st = cut_lineage(vals), cut_lineage(st)
+    vals, st = execute.run_steps(nodes, steps, todo, pairs=pairs, stored=True)
     _, summary, _ = execute.sequence_results(vals, st, steps, todo, nodes)
     summary = cut_lineage(summary)
     stored = new.join(summary.filter(F.col("success") & (F.col("data_count") > 0)).select("page_id", "sequence_id"),
                       ["page_id", "sequence_id"], "left_semi").drop("page_id")
     errors = dom.node_errors(nodes).withColumnRenamed("error_message", "page_error")
-    results = todo.select("page_id", "domain").join(
-        summary.join(pairs, ["page_id", "sequence_id"]), "page_id", "left"
-    ).join(errors, "page_id", "left").select(
-        "page_id", "domain", F.lit(task).alias("task"), F.coalesce("success", F.lit(False)).alias("success"),
+    done = summary.join(new.select("page_id", "sequence_id", F.col("extraction_task").alias("task")), ["page_id", "sequence_id"])
+    results = ids.select("page_id", "domain", "task").join(done, own, "left").join(errors, "page_id", "left").select(
+        "page_id", "domain", "task", F.coalesce("success", F.lit(False)).alias("success"),
         "sequence_id", F.coalesce("total_steps", F.lit(0)).cast("bigint").alias("total_steps"),
         F.coalesce("data_count", F.lit(0)).cast("bigint").alias("data_count"),
         F.when(~F.coalesce("success", F.lit(False)), F.coalesce("page_error", F.lit(fixed.MSG_NO_RULE))).alias("error"),

@@ -85,6 +85,19 @@ def test_learned_rules_are_recorded_with_every_action(spark):
     assert [r.domain for r in rows] == ["ferry.test"] and [a.step_index for a in rows[0].actions] == [0, 1, 2]
 
 
+def test_several_tasks_learn_at_once_where_no_rule_is_stored(spark):
+    pages = spark.createDataFrame([(1, "https://ferry.test/fares", FARE_PAGE), (2, "https://old.test/x", FARE_PAGE), (3, "no address", FARE_PAGE)], PAGES)
+    known = spark.createDataFrame([("k", "old.test", FARE_TASK, [], 1.0, 1.0, None, None, {})], repository.RULE_DDL)
+    headings = "List all headings"
+    stored, results = scrape.scrape_learn(pages, known, [FARE_TASK, headings, FARE_TASK], STAMP, max_iterations=1)
+    res = {(r.page_id, r.task): r for r in results.collect()}
+    # old.test has a rule of one task; a page without a domain has none
+    assert set(res) == {(1, FARE_TASK), (1, headings), (2, headings), (3, FARE_TASK), (3, headings)}
+    assert {k for k, r in res.items() if r.success} == {(1, FARE_TASK), (3, FARE_TASK)}
+    assert all((r.sequence_id is not None) == r.success for r in res.values())
+    assert {(r.domain, r.extraction_task) for r in stored.collect()} == {("ferry.test", FARE_TASK), (None, FARE_TASK)}
+
+
 def test_trace_pads_and_steps_back(spark):
     t = spark.createDataFrame([(1, 1, "a", "parent"), (1, 2, "b", "kept"), (2, 1, "a", "accepted")],
                               "page_id bigint, iteration int, rule_id string, action string")
