@@ -110,3 +110,11 @@ def test_node_table_invariants(spark):
     sizes = nodes.groupBy("page_id").agg((F.count("*") - 1).alias("m"))
     assert roots.join(sizes, "page_id").filter((F.col("n") != 1) | (F.col("l") != F.col("m"))).count() == 0
     assert dom.node_errors(dom.parse_nodes(spark.createDataFrame([(9, "  ")], "page_id bigint, html string"))).count() == 1
+
+
+def test_blank_runs_take_linear_time(spark):
+    n = 200_000
+    rows = [(1, "<p>a" + " " * n + "b</p>"), (2, "<p>a" + "\n \t" * n + "<b>c</b>" + "\xa0" * n + "</p>"), (3, "<p class=\"x  y\">" + " " * n + "d </p> e")]
+    d = spark.createDataFrame(rows, "page_id bigint, html string")
+    got = {r.page_id: r.html_clean for r in profile.with_clean(d).collect()}
+    assert got == {1: "<p>a b</p>", 2: "<p>a<b>c</b></p>", 3: '<p class="x  y">d</p>e'}
