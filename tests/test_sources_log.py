@@ -69,3 +69,14 @@ def test_html_results_have_their_tail(spark):
         got.setdefault(r.sequence_id, []).append(r.value)
     assert got["b"] == ["<b>one</b> tail &amp; more", "<b>two</b>", "<b>three</b>", "<b>open<br>inner", "<b>four<b>five</b> five's</b> end", "<b>five</b> five's"]
     assert got["p"] == ["<p><b>open<br>inner</p>behind"]
+
+
+def test_page_files_lie_in_a_bounded_number_of_folders(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"<p>{i}</p>\n") for i in range(600)], "page_id bigint, html string")
+    path = str(tmp_path / "files")
+    captures.write_files(pages, path)
+    top = [p for p in (tmp_path / "files").iterdir() if p.is_dir()]
+    assert len(top) <= captures.FOLDERS < 600 and len(list((tmp_path / "files").rglob("*.txt"))) == 600
+    back = captures.html_files(spark, path, "*.txt", page_id=r"page_id=([0-9]+)")
+    assert back.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism * 4
+    assert {r.page_id: r.html for r in back.collect()} == {i: f"<p>{i}</p>\n\n" for i in range(600)}
