@@ -68,12 +68,13 @@ def page_values(nodes: DataFrame, pages: DataFrame, steps: DataFrame, pairs: Dat
     grid = execute.rule_pages(pages, steps, pairs)
     step_counts = grid.join(select.small(per_rule, select.rule_meta(steps)["n_steps"]), "sequence_id")
     # Values and statuses are read by several branches below: computed once.
-    first = cut_lineage(vals.groupBy("page_id", "sequence_id", "step_index", "value").agg(F.min("ord").alias("ord")))
+    first = vals.groupBy("page_id", "sequence_id", "step_index", "value").agg(F.min("ord").alias("ord"))
+    first = cut_lineage(first.withColumn("pattern", char_pattern(F.col("value"))))
     ok = first.groupBy("page_id", "sequence_id", "step_index").agg(F.count("*").alias("n"))
     last_ok = ok.groupBy("page_id", "sequence_id").agg(F.max("step_index").alias("last_step"))
     data = first.join(last_ok, ["page_id", "sequence_id"]).filter(F.col("step_index") == F.col("last_step"))
     w = Window.partitionBy("page_id", "sequence_id").orderBy("ord")
-    data = data.withColumn("idx", F.row_number().over(w)).select("page_id", "sequence_id", "idx", "value")
+    data = data.withColumn("idx", F.row_number().over(w)).select("page_id", "sequence_id", "idx", "value", "pattern")
     status = (
         step_counts.join(ok.groupBy("page_id", "sequence_id").agg(F.count("*").alias("n_ok")), ["page_id", "sequence_id"], "left")
         .fillna(0, ["n_ok"])
@@ -98,7 +99,7 @@ def page_quality(data: DataFrame, status: DataFrame, rule_tasks: DataFrame) -> D
         F.avg(((F.length(F.trim("value")) >= fixed.MEANINGFUL_MIN_LEN)
                & (F.length(F.trim("value")) <= fixed.MEANINGFUL_MAX_LEN)).cast("double")).alias("meaningfulness"),
         F.coalesce(F.var_samp(F.length("value")), F.lit(0.0)).alias("len_var"),
-        F.count_distinct(char_pattern(F.col("value"))).alias("n_patterns"),
+        F.count_distinct("pattern").alias("n_patterns"),
         F.avg(relevance(F.col("value"), F.col("task"))).alias("content_relevance"),
         F.lit(1.0).alias("uniqueness_ratio"),  # a rule's values are distinct on a page
         F.avg(F.length("value")).alias("mean_len"),
@@ -150,7 +151,7 @@ def rule_performance(quality: DataFrame, data: DataFrame, groups: DataFrame,
     ).agg(
         F.count("*").alias("n_items"),
         F.coalesce(F.var_samp(F.length("value")), F.lit(0.0)).alias("item_len_var"),
-        F.count_distinct(char_pattern(F.col("value"))).alias("item_patterns"),
+        F.count_distinct("pattern").alias("item_patterns"),
     )
     j = per.join(pooled, ["grp", "sequence_id"], "left")
     pattern_cons = F.when(F.coalesce(F.col("n_items"), F.lit(0)) <= 1, F.lit(1.0)).otherwise(
