@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import fixed
+from ..session import local_rows
 from . import select as S
 
 RULE_DDL = (
@@ -47,7 +48,7 @@ def rule_id(domain: Column, task: Column, stamp: Column) -> Column:
 
 
 def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], RULE_DDL)
+    return local_rows(spark, [], RULE_DDL)
 
 
 def upsert(current: DataFrame, incoming: DataFrame, now: Column | None = None) -> DataFrame:
