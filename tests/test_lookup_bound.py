@@ -1,5 +1,6 @@
 """Sources found by text, and rules whose class or id a page gives, against plain loops."""
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -33,6 +34,33 @@ def test_lookup_equals_a_loop(spark, monkeypatch):
         assert got == want, (limit, normal, sorted(got ^ want)[:5])
 
 
+def test_both_ways_to_look_up_equal_a_loop(monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab\n é") for _ in range(rng.randint(0, n)))
+    monkeypatch.setattr(structure, "LOOKUP_BLOCK", 3)
+    for _ in range(300):
+        texts = [word(12) for _ in range(rng.randint(1, 9))]
+        pres = sorted(rng.choices(range(12), k=len(texts)))  # a page id may come twice
+        needles = list({word(4) for _ in range(6)} | {texts[0], "a\n", ""})
+        for limit in (None, 1, 2):
+            want = {n: sorted({p for p, t in zip(pres, texts) if n in t})[:limit] for n in needles}
+            for most in (0, 1 << 30):
+                monkeypatch.setattr(structure, "LOOKUP_SEARCH", most)
+                assert structure.holders(pres, texts, needles, limit) == want
+
+
+def test_lookup_makes_no_rows_of_windows(spark):
+    """Long texts and heads of many lengths; pages without a page id and such that come twice."""
+    link = "".join(f"<a href='/'>{'w' * k}x{k}.</a>" for k in range(1, 25))
+    rows = [(i, f"<div>{link}<p>{('some words of page %s ' % i) * 600}</p></div>") for i in [*range(50), None, 3]]
+    nodes = dom.dom_nodes(spark.createDataFrame(rows, "page_id bigint, html string"))
+    a = dom.elements(nodes).filter("tag = 'a'").select("page_id", structure.head(F.col("first_text"), 30).alias("needle"))
+    start = time.time()
+    found = structure.text_lookup(nodes, a, 5)
+    assert "explode" not in found._jdf.queryExecution().toString().lower()
+    assert found.count() == 50 * 24 and found.filter("r > 1").count() == 0 and time.time() - start < 60
+
+
 def test_sources_by_text(spark):
     html = ("<div><p class=a>Alpha one</p><p class=b>Alpha one</p><i>say Alpha one</i><p>it's Beta</p></div><ul>"
             + "".join(f"<li>Alpha one {k}</li>" for k in range(6)) + "</ul>")
