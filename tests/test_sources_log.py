@@ -80,3 +80,33 @@ def test_page_files_lie_in_a_bounded_number_of_folders(spark, tmp_path):
     back = captures.html_files(spark, path, "*.txt", page_id=r"page_id=([0-9]+)")
     assert back.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism * 4
     assert {r.page_id: r.html for r in back.collect()} == {i: f"<p>{i}</p>\n\n" for i in range(600)}
+
+
+def test_page_files_are_written_and_listed_in_rounds(spark, tmp_path, monkeypatch):
+    """No plan or commit knows of more files than a round has."""
+    monkeypatch.setattr(captures, "FILES_AT_ONCE", 200, raising=False)
+    monkeypatch.setattr(captures, "FOLDERS", 8)
+    pages = spark.createDataFrame([(i, f"<p>{i}</p>") for i in range(600)], "page_id bigint, html string")
+    path = str(tmp_path / "files")
+    captures.write_files(pages, path)
+    assert len(list((tmp_path / "files").rglob("*.txt"))) == 600
+    back = captures.html_files(spark, path, "*.txt", page_id=r"page_id=([0-9]+)")
+    assert not [f for f in back.inputFiles() if f.endswith(".txt")]
+    assert {r.page_id: r.html for r in back.collect()} == {i: f"<p>{i}</p>\n" for i in range(600)} and back.count() == 600
+
+
+def test_any_tree_of_files_is_read_in_rounds(spark, tmp_path, monkeypatch):
+    """Files beside folders, one folder with most of them, empty and hidden ones, names like patterns."""
+    monkeypatch.setattr(captures, "FILES_AT_ONCE", 15, raising=False)
+    want = set()
+    for name, n in (("", 3), ("a", 2), ("a/b", 20), ("c[1]", 9), ("d {x}/e", 5), ("_hidden", 4), ("empty", 0)):
+        (tmp_path / name).mkdir(parents=True, exist_ok=True)
+        for k in range(n):
+            (tmp_path / name / f"{k}.html").write_text(f"{name} {k}")
+            (tmp_path / name / f"{k}.txt").write_text("no page")
+            if name != "_hidden":
+                want.add(f"{name} {k}")
+    back = captures.html_files(spark, str(tmp_path))
+    assert {r.html for r in back.collect()} == want and back.count() == len(want) == 39
+    assert not [f for f in back.inputFiles() if f.endswith(".html")]
+    assert captures.html_files(spark, str(tmp_path / "a*")).count() == 22
